@@ -3,8 +3,21 @@
 from .langid import op2_identify_languages
 from .lines import OP1_SQL, op1_dedup_lines
 from .mixing import OP6_SQL, op6_mix_sources
+from .packing import op9_pack_sequences
+from .simhash import op7_simhash_components
 from .substrings import op3_dedup_substrings
 from .urls import OP8_SQL, op8_filter_urls
 
-QUERIES = {q.__name__: q for q in (op1_dedup_lines, op2_identify_languages, op3_dedup_substrings, op6_mix_sources, op8_filter_urls)}
+QUERIES = {
+    q.__name__: q
+    for q in (
+        op1_dedup_lines,
+        op2_identify_languages,
+        op3_dedup_substrings,
+        op6_mix_sources,
+        op7_simhash_components,
+        op8_filter_urls,
+        op9_pack_sequences,
+    )
+}
 ORACLE_SQL = {"op1_dedup_lines": OP1_SQL, "op6_mix_sources": OP6_SQL, "op8_filter_urls": OP8_SQL}
