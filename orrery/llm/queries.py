@@ -6,6 +6,7 @@ from .mixing import OP6_SQL, op6_mix_sources
 from .packing import op9_pack_sequences
 from .simhash import op7_simhash_components
 from .substrings import op3_dedup_substrings
+from .toxicity import op4_score_toxicity
 from .urls import OP8_SQL, op8_filter_urls
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
         op1_dedup_lines,
         op2_identify_languages,
         op3_dedup_substrings,
+        op4_score_toxicity,
         op6_mix_sources,
         op7_simhash_components,
         op8_filter_urls,

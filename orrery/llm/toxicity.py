@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 from .common import remainder, table
 
 #: Training documents of each class, at most, and the bytes of a text that may be one.
-TRAINING_DOCUMENTS = 2500
-TRAINING_BYTES = 16_384
+TRAINING_DOCUMENTS = 2000
+TRAINING_BYTES = 8_192
 BUCKETS = 1 << 18
-#: A subword has a vector of its own if it is in so many training documents.
-LEAST_DOCUMENTS = 5
+#: A subword has a vector if it is in so many segments; log odds are shrunk by so many segments that didn't say.
+LEAST_SEGMENTS = 8
+SHRINK = 8.0
+#: Words of a text that are averaged together, and how many words of no meaning are averaged with them.
+SEGMENT = 48
+PRIOR = 8
 THRESHOLD = 0.3
 CACHE = 400_000
 _GRAMS = (3, 4, 5)
@@ -55,29 +59,33 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (codes >> np.uint64(46)).astype(np.int64) % BUCKETS, np.searchsorted(owners[order], np.arange(len(words)))
 
 
+def segments(words: int) -> np.ndarray:
+    """First words of the segments of a text: every ``SEGMENT`` words, a short rest goes with the last."""
+    return np.arange(0, max(1, words - SEGMENT // 3), SEGMENT)
+
+
 class SubwordClassifier:
-    """Score of a word: the mean of its subwords' vectors times the softmax's difference of classes."""
+    """Bucket vectors times the softmax's difference of classes, and the line that turns the highest segment into a score."""
 
-    def __init__(self, bucket_score: np.ndarray, bias: float):
-        self.bucket_score, self.bias = bucket_score.astype(np.float32), bias
+    def __init__(self, bucket_score: np.ndarray, slope: float, bias: float):
+        self.bucket_score, self.slope, self.bias = bucket_score.astype(np.float32), slope, bias
         self.known: dict[str, float] = {}
 
     def __getstate__(self):
-        return self.bucket_score, self.bias
+        return self.bucket_score, self.slope, self.bias
 
     def __setstate__(self, state):
         self.__init__(*state)
 
     def learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > CACHE:
-            self.known.clear()
         for lo in range(0, len(words), 65_536):
             part = words[lo : lo + 65_536]
             buckets, begin = subwords(part)
             count = np.diff(np.append(begin, len(buckets)))
             self.known.update(zip(part, (np.add.reduceat(self.bucket_score[buckets], begin) / count).tolist(), strict=True))
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
+    def highest(self, texts: list[str | None]) -> np.ndarray:
+        """The largest mean over the segments of each text; 0 for a text without words."""
         split = [_words(t) for t in texts]
         new = {w for words in split for w in words if w not in self.known}
         if len(self.known) + len(new) > CACHE:
@@ -86,8 +94,15 @@ class SubwordClassifier:
         if new:
             self.learn(sorted(new))
         get = self.known.__getitem__
-        logits = np.array([sum(map(get, words)) / len(words) if words else 0.0 for words in split]) + self.bias
-        return 1 / (1 + np.exp(-np.clip(logits, -60, 60)))
+        out = np.zeros(len(split))
+        for i, words in enumerate(split):
+            if words:
+                ends = [*segments(len(words)).tolist(), len(words)]
+                out[i] = max(sum(map(get, sorted(set(words[a:b])))) / (b - a + PRIOR) for a, b in zip(ends, ends[1:], strict=False))
+        return out
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.highest(texts) + self.bias, -60, 60)))
 
 
 def _sums(values: np.ndarray, index: np.ndarray, weight: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -103,74 +118,116 @@ def _sums(values: np.ndarray, index: np.ndarray, weight: np.ndarray, begin: np.n
     return out
 
 
-def _turned(index: np.ndarray, begin: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same sparse matrix by column: order of its places, their rows, and where each column begins."""
-    row = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(index))))
-    order = np.argsort(index, kind="stable")
-    return order, row[order], np.searchsorted(index[order], np.arange(rows))
+class _Sparse:
+    """A sparse matrix by row, and by column, to multiply dense ones with."""
 
+    def __init__(self, row: np.ndarray, column: np.ndarray, weight: np.ndarray, shape: tuple[int, int]):
+        order = np.argsort(row, kind="stable")
+        self.by_row = column[order], weight[order], np.searchsorted(row[order], np.arange(shape[0]))
+        order = np.argsort(column, kind="stable")
+        self.by_column = row[order], weight[order], np.searchsorted(column[order], np.arange(shape[1]))
 
-def train(texts: list[str], toxic: list[int], share: float, dimensions: int = 8, steps: int = 80, rate: float = 0.15, decay: float = 1e-6, seed: int = 0) -> SubwordClassifier:
-    """Fit subword vectors and the softmax together by Adam on all texts at once.
+    def __matmul__(self, values: np.ndarray) -> np.ndarray:
+        return _sums(values, *self.by_row)
 
-    share: of toxic documents among all labelled ones; the bias is shifted to it from the sample's own share.
+    def back(self, values: np.ndarray) -> np.ndarray:
+        return _sums(values, *self.by_column)
+
+
+def _line(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the logistic regression of y on x, by damped Newton steps, the slope pulled slightly to 0."""
+    middle, scale = float(x.mean()), float(x.std()) or 1.0
+    features = np.stack([(x - middle) / scale, np.ones_like(x)], 1)
+    pull = np.array([1e-3, 1e-9]) * weight.sum()
+    sign = np.where(y > 0, 1.0, -1.0)
+    loss = lambda w: weight @ np.logaddexp(0, -sign * (features @ w)) + pull @ (w * w) / 2
+    w = np.zeros(2)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(features @ w, -40, 40)))
+        gradient = features.T @ (weight * (p - y)) + pull * w
+        hessian = (features * (weight * p * (1 - p))[:, None]).T @ features + np.diag(pull)
+        step, size = np.linalg.solve(hessian, gradient), 1.0
+        while loss(w - size * step) > loss(w) and size > 1e-6:
+            size /= 2
+        w = w - size * step
+    return float(w[0] / scale), float(w[1] - w[0] * middle / scale)
+
+
+def train(texts: list[str], toxic: list[int], share: float, dimensions: int = 4, steps: int = 40, rate: float = 0.5, decay: float = 1e-3, floor: float = 0.03, seed: int = 0) -> SubwordClassifier:
+    """Fit subword vectors and the softmax together, by Adam on the segments of three quarters of the texts.
+
+    A segment has its text's label. Vectors start from the shrunken log odds of their subwords in one dimension
+    and near 0 in the others, and decay towards that start. The other texts then give the line from a text's
+    highest segment to its score, weighted to ``share``, the share of toxic documents among all labelled ones.
     Without texts of both classes every score is ``share``.
     """
-    labels = np.array(toxic, np.float32)
-    bias = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
-    if not len(labels) or labels.min() == labels.max():
-        return SubwordClassifier(np.zeros(BUCKETS), bias)
+    labels = np.array(toxic, np.int64)
+    odds = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
+    nothing = SubwordClassifier(np.zeros(BUCKETS), 0.0, odds)
     split = [_words(t) for t in texts]
-    words = sorted({w for s in split for w in s})
+    inner = np.arange(len(labels)) % 4 != 3
+    if len(np.unique(labels[inner])) < 2 or len(np.unique(labels[~inner])) < 2 or not any(split):
+        return nothing
+    words = sorted({w for s, i in zip(split, inner, strict=True) if i for w in s})
     if not words:
-        return SubwordClassifier(np.zeros(BUCKETS), bias)
+        return nothing
     number = {w: i for i, w in enumerate(words)}
-    bucket, bucket_begin = subwords(words)
-    bags = [np.unique(np.array([number[w] for w in s], np.int64), return_counts=True) for s in split]
-    word = np.concatenate([b[0] for b in bags])
-    word_weight = np.concatenate([b[1] / max(1, len(s)) for b, s in zip(bags, split, strict=True)]).astype(np.float32)
-    word_begin = np.cumsum([0, *(len(b[0]) for b in bags[:-1])])
-
-    documents_of = np.zeros(BUCKETS, np.int64)
-    ends = np.append(bucket_begin[1:], len(bucket))
-    for own, _ in bags:
-        spans = ends[own] - bucket_begin[own]
-        at = np.repeat(bucket_begin[own] - np.concatenate([[0], np.cumsum(spans)[:-1]]), spans) + np.arange(spans.sum()) if len(own) else own
-        documents_of[np.unique(bucket[at])] += 1
-    kept = np.flatnonzero(documents_of >= LEAST_DOCUMENTS)
-    place = np.full(BUCKETS, len(kept))
+    row, column, target = [], [], []
+    for s, label, i in zip(split, labels, inner, strict=True):
+        if i and s:
+            own = np.array([number[w] for w in s], np.int64)
+            row.append(np.repeat(np.arange(len(begin := segments(len(s)))), np.diff(np.append(begin, len(s)))) + len(target))
+            column.append(own)
+            target += [label] * len(begin)
+    row, column, y = np.concatenate(row), np.concatenate(column), np.array(target)
+    size = np.bincount(row)
+    row, column = np.divmod(np.unique(row * len(words) + column), len(words))
+    bags = _Sparse(row, column, (1 / (size[row] + PRIOR)).astype(np.float32), (len(y), len(words)))
+
+    bucket, begin = subwords(words)
+    count = np.diff(np.append(begin, len(bucket)))
+    owner = np.repeat(np.arange(len(words)), count)
+    # in how many segments of either class a subword is, once for each word
+    classes = [np.bincount(column[y[row] == k], minlength=len(words)) for k in (0, 1)]
+    clean, bad = (np.bincount(bucket, c[owner], BUCKETS) for c in classes)
+    kept = np.flatnonzero(clean + bad >= LEAST_SEGMENTS)
+    place = np.full(BUCKETS, -1)
     place[kept] = np.arange(len(kept))
-    sub_weight = np.repeat(1 / (ends - bucket_begin), ends - bucket_begin).astype(np.float32)
-    sub = place[bucket]
-    to_sub, from_word, sub_begin = _turned(sub, bucket_begin, len(kept) + 1)
-    to_word, from_doc, doc_begin = _turned(word, word_begin, len(words))
-
+    held = place[bucket] >= 0
+    subs = _Sparse(owner[held], place[bucket[held]], (1 / count)[owner[held]].astype(np.float32), (len(words), len(kept)))
+    totals = [max(1, int((y == k).sum())) for k in (0, 1)]
+    shrink = SHRINK / len(y)
     rng = np.random.default_rng(seed)
-    vectors = np.zeros((len(kept) + 1, dimensions), np.float32)
-    vectors[:-1] = rng.normal(0, 0.1, (len(kept), dimensions))
-    softmax = rng.normal(0, 1, (dimensions, 2)).astype(np.float32)
-    offset = np.zeros(2, np.float32)
-    onehot = np.stack([1 - labels, labels], 1)
-    weight = np.where(labels > 0, 0.5 / labels.mean(), 0.5 / (1 - labels.mean())).astype(np.float32)[:, None] / len(labels)
+    start = rng.normal(0, 0.01, (len(kept), dimensions)).astype(np.float32)
+    start[:, 0] = np.log((bad[kept] / totals[1] + shrink) / (clean[kept] / totals[0] + shrink))
+    vectors = start.copy()
+    softmax = rng.normal(0, 0.1, (dimensions, 2)).astype(np.float32)
+    softmax[0] = -5, 5
+    offset = np.array([1, -1], np.float32)
+    onehot = np.stack([1 - y, y], 1).astype(np.float32)
+    weight = np.where(y > 0, 0.5 / totals[1], 0.5 / totals[0]).astype(np.float32)[:, None]
     parameters = [vectors, softmax, offset]
     first, second = [np.zeros_like(p) for p in parameters], [np.zeros_like(p) for p in parameters]
     for step in range(1, steps + 1):
-        of_words = _sums(vectors, sub, sub_weight, bucket_begin)
-        hidden = _sums(of_words, word, word_weight, word_begin)
+        hidden = bags @ (subs @ vectors)
         logits = hidden @ softmax + offset
         p = np.exp(logits - logits.max(1, keepdims=True))
         error = (p / p.sum(1, keepdims=True) - onehot) * weight
-        back = _sums(error @ softmax.T, from_doc, word_weight[to_word], doc_begin)
-        gradients = [_sums(back, from_word, sub_weight[to_sub], sub_begin), hidden.T @ error, error.sum(0)]
-        gradients[0] += decay * vectors
-        gradients[0][-1] = 0  # rare subwords have the zero vector
+        gradients = [subs.back(bags.back(error @ softmax.T)) + decay / len(kept) * (vectors - start), hidden.T @ error, error.sum(0)]
         for x, g, m, v in zip(parameters, gradients, first, second, strict=True):
             m += 0.1 * (g - m)
             v += 0.02 * (g * g - v)
-            x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.98**step)) + 1e-10)
+            # subwords with little evidence move in proportion to it, not by a full step
+            scale = np.sqrt(v / (1 - 0.98**step))
+            x -= rate * (m / (1 - 0.9**step)) / (scale + floor * scale.max() + 1e-12)
     score = np.zeros(BUCKETS)
-    score[kept] = vectors[:-1] @ (softmax[:, 1] - softmax[:, 0])
-    return SubwordClassifier(score, float(offset[1] - offset[0]) + bias)
+    score[kept] = vectors @ (softmax[:, 1] - softmax[:, 0])
+    model = SubwordClassifier(score, 1.0, 0.0)
+    outer = labels[~inner]
+    x = model.highest([t for t, i in zip(texts, inner, strict=True) if not i])
+    weight = np.where(outer > 0, share / max(1, outer.sum()), (1 - share) / max(1, (1 - outer).sum())) * len(outer)
+    slope, bias = _line(x, outer, weight)
+    return SubwordClassifier(score, max(0.0, slope), bias if slope > 0 else odds)
 
 
 def fit_toxicity(documents: DataFrame, labels: DataFrame) -> SubwordClassifier:
@@ -194,8 +251,10 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame) -> SubwordClassifier:
 def score_toxicity(documents: DataFrame, model: SubwordClassifier, keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Score every whole text. Returns the columns in ``keep`` (default: doc_id), then score and predicted.
 
-    Words are runs of letters, lower-cased. The vectors of a text's words are averaged, each word's being the
-    mean of its subwords'; as the softmax is linear, a word counts by one number, which workers keep at hand.
+    Words are runs of letters, lower-cased. The vectors of each segment's words are averaged, a word's being the
+    mean of its subwords'; as the softmax is linear, a word counts by one number, which workers keep at hand. A
+    text is as toxic as its most toxic segment, so that long texts don't dilute it; a word counts once a segment,
+    so that one repeated throughout doesn't stand for all.
     Texts that are null or have no words get the share of toxic documents as their score. A map over rows.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
