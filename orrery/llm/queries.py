@@ -1,9 +1,11 @@
 """The queries of the training-data operators, and SQL for those that SQL can express."""
 
+from .forest import op10_near_duplicates
 from .langid import op2_identify_languages
 from .lines import OP1_SQL, op1_dedup_lines
 from .mixing import OP6_SQL, op6_mix_sources
 from .packing import op9_pack_sequences
+from .search import op5_nearest_neighbours
 from .simhash import op7_simhash_components
 from .substrings import op3_dedup_substrings
 from .toxicity import op4_score_toxicity
@@ -16,10 +18,12 @@ QUERIES = {
         op2_identify_languages,
         op3_dedup_substrings,
         op4_score_toxicity,
+        op5_nearest_neighbours,
         op6_mix_sources,
         op7_simhash_components,
         op8_filter_urls,
         op9_pack_sequences,
+        op10_near_duplicates,
     )
 }
 ORACLE_SQL = {"op1_dedup_lines": OP1_SQL, "op6_mix_sources": OP6_SQL, "op8_filter_urls": OP8_SQL}
