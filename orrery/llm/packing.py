@@ -27,11 +27,33 @@ _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-ö
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else the next from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class _Ids(dict):
+    """Ids of words. Words met after ``CACHE`` others are encoded each time: the frequent ones come early."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model, self.letters = model, _byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        ids = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+        if len(self) < CACHE:
+            self[word] = ids
+        return ids
+
+
 class WordTokenizer:
-    """Ids of whole texts from a tokenizer that lower-cases and never merges across words.
+    """Ids of whole texts from a byte-level tokenizer that lower-cases and never merges across words.
 
-    Plain texts are split by the tokenizer's own pattern and each distinct word is encoded once; any other text,
-    and any that spells a special token, goes to the tokenizer as it is.
+    Plain texts are split by the tokenizer's own pattern and words looked up; any other text, and any that spells
+    a special token, goes to the tokenizer as it is.
     """
 
     def __init__(self, path: str):
@@ -39,28 +61,13 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
+        self.words = _Ids(self.tokenizer.model)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers, without special tokens of the tokenizer's own."""
-        plain = [_PLAIN.fullmatch(t) is not None and not any(s in t for s in self.special) for t in texts]
-        split = [_SPLIT.findall(t.lower()) if p else None for t, p in zip(texts, plain, strict=True)]
-        known = self.words
-        new = list({w for words in split if words for w in words if w not in known})
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list({w for words in split if words for w in words})
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[word] = np.array(found.ids, "<u4").tobytes()
-        out = []
-        for text, words in zip(texts, split, strict=True):
-            if words is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-            else:
-                out.append(b"".join(map(known.__getitem__, words)))
-        return out
+        if _PLAIN.fullmatch(text) is None or any(s in text for s in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(self.words.__getitem__, _SPLIT.findall(text.lower())))
 
 
 def tokenizer_path() -> str:
@@ -87,8 +94,8 @@ def tokenize_pieces(documents: DataFrame, path: str | None = None, capacity: int
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 rows, piece, start, ids = [], [], [], []
-                for i, raw in enumerate(tokenizer.encode([t or "" for t in part.column(1).to_pylist()])):
-                    raw += last
+                for i, text in enumerate(part.column(1).to_pylist()):
+                    raw = tokenizer.encode(text or "") + last
                     for k, at in enumerate(range(0, len(raw), capacity * 4)):
                         rows.append(i)
                         piece.append(k)
