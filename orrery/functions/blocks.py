@@ -6,8 +6,18 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-BLOCK = "array<struct<head:string,start:int,end:int,start_line:int,end_line:int,text:string>>"
+# Types are objects, not text: workers import this module without a session to parse one.
+BLOCK = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("head", T.StringType()),
+            *(T.StructField(n, T.IntegerType()) for n in ("start", "end", "start_line", "end_line")),
+            T.StructField("text", T.StringType()),
+        ]
+    )
+)
 
 
 def match_brace(text: str, opening: int, aware: bool) -> int:
@@ -90,7 +100,7 @@ def split_arguments(raw: str) -> list[str]:
     return [*out, tail] if tail else out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def js_arguments(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for series in texts:
         yield series.map(lambda t: split_arguments(t or ""))

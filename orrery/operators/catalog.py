@@ -64,7 +64,7 @@ def graph_type(name: Column) -> Column:
 
 def parse_columns(text: Column) -> Column:
     """Lines ``name: type`` as an array of name, type; split at the first colon."""
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("name"), graph_type(F.when(x.contains(":"), F.regexp_replace(x, "^[^:]*:", ""))).alias("type")))
 
 

@@ -45,7 +45,7 @@ def methods(files: DataFrame, aware: bool = False) -> DataFrame:
 def params(signature: Column) -> Column:
     """What stands between the commas of a signature's parentheses."""
     inner = F.regexp_extract(signature, r"(?s)\((.*)\)", 1)
-    return F.filter(F.transform(F.split(inner, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(inner, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def superglobals(body: Column) -> Column:
@@ -74,7 +74,7 @@ def resolved_calls(body: Column) -> Column:
 
 def includes(body: Column) -> Column:
     """Whole include and require statements, trimmed."""
-    return F.transform(found(body, r"(?i)\b(include|include_once|require|require_once)\b\s*(\(|)\s*([^\n;]+)"), F.trim)
+    return F.transform(found(body, r"(?i)\b(include|include_once|require|require_once)\b\s*(\(|)\s*([^\n;]+)"), lambda x: F.trim(x))
 
 
 def code_actions(body: Column) -> Column:
@@ -213,7 +213,7 @@ def relevant_methods(records: DataFrame, top: int = 12) -> DataFrame:
 def annotations(doc: Column) -> Column:
     """``@key value`` of a docblock as a map of lower-case keys; of repeated keys the last."""
     p = r"(?m)@[ \t]*([A-Za-z0-9_\-]+)[ \t]+(.+?)[ \t]*(?:\*/)?[ \t]*$"
-    rows = F.arrays_zip(F.transform(found(doc, p, 1), F.lower).alias("k"), F.transform(found(doc, p, 2), F.trim).alias("v"))
+    rows = F.arrays_zip(F.transform(found(doc, p, 1), F.lower).alias("k"), F.transform(found(doc, p, 2), lambda x: F.trim(x)).alias("v"))
     return F.map_from_entries(F.filter(rows, lambda x, i: ~F.exists(F.slice(rows, i + 2, F.size(rows)), lambda y: y["k"] == x["k"])))
 
 

@@ -93,7 +93,7 @@ def include_paths(text: Column) -> Column:
 
 def parameters(raw: Column) -> Column:
     """``a=1&b`` as a map; without ``=`` the value is empty; of repeated keys the last."""
-    chunks = F.filter(F.transform(F.split(F.replace(F.coalesce(raw, F.lit("")), F.lit("&amp;"), F.lit("&")), "[&?]"), F.trim), lambda x: x != "")
+    chunks = F.filter(F.transform(F.split(F.replace(F.coalesce(raw, F.lit("")), F.lit("&amp;"), F.lit("&")), "[&?]"), lambda x: F.trim(x)), lambda x: x != "")
     entries = F.filter(F.transform(chunks, lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("k"), F.when(x.contains("="), F.trim(F.regexp_replace(x, "^[^=]*=", ""))).otherwise("").alias("v"))), lambda x: x["k"] != "")
     last = F.filter(entries, lambda x, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda y: y["k"] == x["k"]))
     return F.map_from_entries(last)
