@@ -79,7 +79,7 @@ class PPM:
             top = self._blend(full, lower, seen % _SYMBOLS**2)
             cost[:, :, k] = -np.log2(np.concatenate([top, lower]))
         cost[:, _SYMBOLS - 1] += np.log2(others)
-        self.cost = cost.reshape(-1, len(langs))
+        self.cost = cost.reshape(cost.shape[0] * _SYMBOLS, len(langs))
 
     @staticmethod
     def _blend(counts: np.ndarray, lower: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:

@@ -165,7 +165,9 @@ def train(texts: list[str], toxic: list[int], share: float, dimensions: int = 4,
     odds = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
     nothing = SubwordClassifier(np.zeros(BUCKETS), 0.0, odds)
     split = [_words(t) for t in texts]
-    inner = np.arange(len(labels)) % 4 != 3
+    inner = np.ones(len(labels), bool)
+    for k in (0, 1):  # of either class every fourth is held back
+        inner[np.flatnonzero(labels == k)[3::4]] = False
     if len(np.unique(labels[inner])) < 2 or len(np.unique(labels[~inner])) < 2 or not any(split):
         return nothing
     words = sorted({w for s, i in zip(split, inner, strict=True) if i for w in s})

@@ -63,9 +63,7 @@ class GlobAutomaton:
             self.enter[byte, word] |= mask
         for bit, anywhere in staying:
             word, mask = one(bit)
-            self.stay[:, word] |= mask
-            if not anywhere:
-                self.stay[47, word] &= ~mask
+            self.stay[np.arange(256) != (-1 if anywhere else 47), word] |= mask
         for bit in first:
             word, mask = one(bit)
             self.start[word] |= mask
