@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import missing, normalised, numeric_columns, percent, unpivot
+from .quantiles import exact_quantiles
 
 # Kinds of findings and what each adds to a table's score; any other kind adds 1.
 WEIGHTS = {
@@ -72,20 +73,18 @@ def iqr_outliers(df: DataFrame, least: int = 8, reach: float = 1.5) -> DataFrame
     """Numeric columns with values beyond the quartiles by more than ``reach`` times their distance.
 
     Quartiles are exact, interpolated linearly. Columns with under ``least`` values or equal quartiles are left
-    out. Two aggregates: the quartiles of all columns, then the counts, which read the one row of the first.
+    out. The counts read the one row that the quartiles of all columns make up.
     """
     df = normalised(df)
     columns = numeric_columns(df)
     if not columns:
         return _none(df)
-    x = lambda c: F.col(f"`{c}`").cast("double")
-    quartiles = df.agg(*(F.percentile(x(c), F.array(F.lit(0.25), F.lit(0.75))).alias(f"{i}_q") for i, c in enumerate(columns)), *(F.count(x(c)).alias(f"{i}_n") for i, c in enumerate(columns)))
-    for i in range(len(columns)):
-        low, high = F.col(f"{i}_q")[0], F.col(f"{i}_q")[1]
-        told = (F.col(f"{i}_n") >= least) & (high > low)
-        quartiles = quartiles.withColumn(f"{i}_low", F.when(told, low - reach * (high - low))).withColumn(f"{i}_high", F.when(told, high + reach * (high - low)))
-    bounds = quartiles.select(*(f"{i}_{e}" for i in range(len(columns)) for e in ("low", "high")))
-    joined = df.select(*(x(c).alias(f"{i}_x") for i, c in enumerate(columns))).join(F.broadcast(bounds))  # of one row
+    both = exact_quantiles(df, columns).groupBy("position").agg(F.max("n").alias("n"), F.max(F.when(F.col("k") == 0, F.col("value"))).alias("a"), F.max(F.when(F.col("k") == 1, F.col("value"))).alias("b"))
+    told = both.where((F.col("n") >= least) & (F.col("b") > F.col("a")))
+    of = lambda i, v: F.max(F.when(F.col("position") == i, v))
+    gap = F.col("b") - F.col("a")
+    bounds = told.agg(*(of(i, v).alias(f"{i}_{e}") for i in range(len(columns)) for e, v in (("low", F.col("a") - reach * gap), ("high", F.col("b") + reach * gap))))
+    joined = df.select(*(F.col(f"`{c}`").cast("double").alias(f"{i}_x") for i, c in enumerate(columns))).join(F.broadcast(bounds))  # of one row
     row = joined.agg(*(F.count_if((F.col(f"{i}_x") < F.col(f"{i}_low")) | (F.col(f"{i}_x") > F.col(f"{i}_high"))).alias(f"{i}_quantity") for i in range(len(columns))))
     return _findings(unpivot(row, columns, ["quantity"], ["long"]).where("quantity > 0"), "outlier_iqr")
 
