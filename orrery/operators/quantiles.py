@@ -26,8 +26,11 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
     x = [F.col(f"`{c}`").cast("double") for c in columns]
     cells = df.select(*(v.alias(f"x{i}") for i, v in enumerate(x)))
     wide = [max(0.0, min(1.0, p + d * _MARGIN)) for p in probabilities for d in (-1, 1)]
-    sketch = cells.agg(*(F.percentile_approx(f"x{i}", wide, _ACCURACY).alias(f"s{i}") for i in range(len(columns)))).first()
-    pairs = [(i, k) for i in range(len(columns)) if sketch[i] for k in range(len(probabilities))]
+    n = len(columns)
+    told = cells.agg(*(F.percentile_approx(f"x{i}", wide, _ACCURACY) for i in range(n)), *(f(f"x{i}") for f in (F.count, F.min, F.max) for i in range(n))).first()
+    # of few values the bracket could miss a neighbour, so it is all of them
+    sketch = [told[i] if told[n + i] >= 10 / _MARGIN else [told[2 * n + i], told[3 * n + i]] * len(probabilities) for i in range(n)]
+    pairs = [(i, k) for i in range(n) if told[n + i] for k in range(len(probabilities))]
     if not pairs:
         return df.sparkSession.createDataFrame([], "position int, k int, n long, value double")
     low, high = (lambda i, k: F.lit(sketch[i][2 * k])), (lambda i, k: F.lit(sketch[i][2 * k + 1]))
