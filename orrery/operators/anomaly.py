@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import missing, normalised, numeric_columns, percent, unpivot
+from ..functions.columns import normalised, numeric_columns, percent, unpivot
 from .quantiles import exact_quantiles
 
 # Kinds of findings and what each adds to a table's score; any other kind adds 1.
@@ -35,12 +35,45 @@ def _none(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([], FINDING)
 
 
+def _simple(df: DataFrame, kinds: set[str], least_pct: float = 50.0) -> DataFrame:
+    """Findings that plain aggregates tell, all in one pass over the table: one wide row, turned into findings."""
+    plain, cells, told = normalised(df), [F.count(F.lit(1)).alias("n")], []
+    null = {t: F.lit(None).cast(t) for t in ("long", "double", "string")}
+
+    def add(kind: str, column: str, condition: Column, quantity=null["long"], pct=null["double"], detail=null["string"]) -> None:
+        finding = F.struct(F.lit(kind).alias("kind"), F.lit(column).alias("column"), quantity.cast("long").alias("quantity"), pct.alias("pct"), detail.alias("detail"))
+        told.append(F.when(condition, finding))
+
+    def cell(name: str, value: Column) -> Column:
+        cells.append(value.alias(name))
+        return F.col(name)
+
+    for i, f in enumerate(plain.schema.fields if "muitos_nulos" in kinds else []):
+        nulls = cell(f"{i}_nulls", F.count_if(F.col(f"`{f.name}`").isNull()))
+        add("muitos_nulos", f.name, percent(nulls, F.col("n")) >= least_pct, nulls, percent(nulls, F.col("n")))
+    for i, f in enumerate(plain.schema.fields if "coluna_constante" in kinds else []):
+        if f.dataType.typeName() not in ("map", "variant"):
+            x = F.col(f"`{f.name}`")
+            same, value = cell(f"{i}_same", F.min(x).eqNullSafe(F.max(x)) & (F.count(x) > 0)), cell(f"{i}_value", F.min(x).cast("string"))
+            add("coluna_constante", f.name, same, detail=value)
+    for i, c in enumerate(numeric_columns(plain) if "valores_negativos" in kinds else []):
+        below = cell(f"{i}_below", F.count_if(F.col(f"`{c}`") < 0))
+        add("valores_negativos", c, below > 0, below)
+    year = next((c for c in df.columns if "ano" in c.lower()), None)
+    month = next((c for c in df.columns if "mes" in c.lower()), None)
+    if "ano_fora_faixa" in kinds and year is not None and month is not None:
+        for kind, c, low, high in (("ano_fora_faixa", year, 2000, 2100), ("mes_fora_faixa", month, 1, 12)):
+            whole = F.col(f"`{c}`").cast("string").try_cast("double").try_cast("long")
+            outside = cell(kind, F.count_if(~whole.between(low, high)))
+            add(kind, c, outside > 0, outside)
+    if not told:
+        return _none(df)
+    return plain.agg(*cells).select(F.explode(F.array_compact(F.array(*told))).alias("f")).select("f.*")
+
+
 def mostly_null(df: DataFrame, least_pct: float = 50.0) -> DataFrame:
-    """Columns whose share of nulls, rounded to two places, is at least ``least_pct``."""
-    cells = [F.count_if(missing(df, c)).alias(f"{i}_quantity") for i, c in enumerate(df.columns)]
-    row = df.agg(F.count(F.lit(1)).alias("n"), *cells)
-    row = row.withColumns({f"{i}_pct": percent(F.col(f"{i}_quantity"), F.col("n")) for i in range(len(df.columns))})
-    return _findings(unpivot(row, df.columns, ["quantity", "pct"], ["long", "double"]).where(F.col("pct") >= least_pct), "muitos_nulos")
+    """Columns whose share of nulls (NaN is one), rounded to two places, is at least ``least_pct``."""
+    return _simple(df, {"muitos_nulos"}, least_pct)
 
 
 def constant_columns(df: DataFrame) -> DataFrame:
@@ -48,25 +81,21 @@ def constant_columns(df: DataFrame) -> DataFrame:
 
     Least and greatest value decide, so nothing is shuffled but one row a task.
     """
-    df = normalised(df)
-    orderable = [f for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
-    cells = []
-    for i, f in enumerate(orderable):
-        x = F.col(f"`{f.name}`")
-        cells += [F.min(x).eqNullSafe(F.max(x)).alias(f"{i}_same"), F.count(x).alias(f"{i}_quantity"), F.min(x).cast("string").alias(f"{i}_detail")]
-    if not cells:
-        return _none(df)
-    wide = unpivot(df.agg(*cells), [f.name for f in orderable], ["same", "quantity", "detail"], ["boolean", "long", "string"])
-    return _findings(wide.where("same AND quantity > 0").drop("quantity"), "coluna_constante")
+    return _simple(df, {"coluna_constante"})
 
 
 def negatives(df: DataFrame) -> DataFrame:
     """Numeric columns with values below zero, and how many."""
-    columns = numeric_columns(df)
-    if not columns:
-        return _none(df)
-    row = df.agg(*(F.count_if(F.col(f"`{c}`") < 0).alias(f"{i}_quantity") for i, c in enumerate(columns)))
-    return _findings(unpivot(row, columns, ["quantity"], ["long"]).where("quantity > 0"), "valores_negativos")
+    return _simple(df, {"valores_negativos"})
+
+
+def year_month_range(df: DataFrame) -> DataFrame:
+    """Values of the first year column outside 2000-2100 and of the first month column outside 1-12.
+
+    The columns are the first whose names hold ``ano`` and ``mes``; without either there are no findings. Values
+    are read as numbers and truncated; what is no number is left out.
+    """
+    return _simple(df, {"ano_fora_faixa"})
 
 
 def iqr_outliers(df: DataFrame, least: int = 8, reach: float = 1.5) -> DataFrame:
@@ -89,23 +118,6 @@ def iqr_outliers(df: DataFrame, least: int = 8, reach: float = 1.5) -> DataFrame
     return _findings(unpivot(row, columns, ["quantity"], ["long"]).where("quantity > 0"), "outlier_iqr")
 
 
-def year_month_range(df: DataFrame) -> DataFrame:
-    """Values of the first year column outside 2000-2100 and of the first month column outside 1-12.
-
-    The columns are the first whose names hold ``ano`` and ``mes``; without either there are no findings. Values
-    are read as numbers and truncated; what is no number is left out.
-    """
-    year = next((c for c in df.columns if "ano" in c.lower()), None)
-    month = next((c for c in df.columns if "mes" in c.lower()), None)
-    if year is None or month is None:
-        return _none(df)
-    whole = lambda c: F.col(f"`{c}`").cast("string").try_cast("double").try_cast("long")
-    row = df.agg(F.count_if(~whole(year).between(2000, 2100)).alias("0_quantity"), F.count_if(~whole(month).between(1, 12)).alias("1_quantity"))
-    wide = unpivot(row, [year, month], ["quantity"], ["long"]).where("quantity > 0")
-    kinds = _findings(wide.where("position = 0"), "ano_fora_faixa"), _findings(wide.where("position = 1"), "mes_fora_faixa")
-    return kinds[0].unionByName(kinds[1])
-
-
 def suggest_keys(columns: list[str], most: int = 8) -> list[str]:
     """The first ``most`` columns whose names look like parts of a key."""
     return [c for c in columns if c.lower().endswith("_id") or any(p in c.lower() for p in KEY_PARTS)][:most]
@@ -127,11 +139,8 @@ def key_duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
 def detect(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """All findings of a table. keys: of the check for repeated combinations, by default those suggested by name."""
     keys = suggest_keys(df.columns) if keys is None else keys
-    parts = [mostly_null(df), constant_columns(df), negatives(df), iqr_outliers(df), year_month_range(df), key_duplicates(df, keys)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    plain = _simple(df, {"muitos_nulos", "coluna_constante", "valores_negativos", "ano_fora_faixa"})
+    return plain.unionByName(iqr_outliers(df)).unionByName(key_duplicates(df, keys))
 
 
 def score(findings: DataFrame, by: list[str] | None = None) -> DataFrame:
