@@ -9,6 +9,20 @@ from ..functions.blocks import blocks
 from ..functions.columns import found, found_once, kept, sorted_set, text_lines
 from .sqltext import embedded_sql, suspect_lines, tables_in_literals
 
+# What the texts' parts look like.
+INSTANTIATION = r"(?i)(\$\w+)\s*=\s*new\s+([A-Za-z_][A-Za-z0-9_]*)\s*\("
+CALL = r"(\$\w+)\s*->\s*([A-Za-z_][A-Za-z0-9_]*)\s*\("
+INCLUDE = r"(?i)\b(include|include_once|require|require_once)\b\s*(\(|)\s*([^\n;]+)"
+INCLUDED = r"""(?i)['"]([^'"]+\.php(?:\.php)?)['"]"""
+ACTION_URL = r"action=([A-Z][A-Za-z0-9_]*\.[A-Za-z_][A-Za-z0-9_]*)"
+ACTION_QUOTED = r"""['"]([A-Z][A-Za-z0-9_]*\.[A-Za-z_][A-Za-z0-9_]*)['"]"""
+TABLE = r"(?i)\b(from|join|update|into)\s+([A-Za-z0-9_.\[\]]+)"
+PROCEDURE = r"(?i)\bexec(?:ute)?\s+([A-Za-z0-9_.\[\]]+)"
+CLASS = r"(?i)\bclass\s+([A-Za-z_][A-Za-z0-9_]*)\b"
+PROPERTY = r"(?i)^\s*(private|protected|public)\s+\$([A-Za-z_][A-Za-z0-9_]*)\s*;"
+NEW = r"\bnew\s+([A-Za-z_][A-Za-z0-9_]*)\s*\("
+STATIC_CALL = r"\b([A-Za-z_][A-Za-z0-9_]*::[A-Za-z_][A-Za-z0-9_]*)\s*\("
+METHOD_CALL = r"(\$[A-Za-z_][A-Za-z0-9_]*->[A-Za-z_][A-Za-z0-9_]*)\s*\("
 # Superglobals, in the order in which they are reported.
 SUPERGLOBALS = ("$_REQUEST", "$_GET", "$_POST", "$_SESSION", "$_FILES", "$_SERVER", "$_COOKIE")
 # Calls of these methods on these objects say nothing.
@@ -54,13 +68,13 @@ def superglobals(body: Column) -> Column:
 
 def instantiations(body: Column) -> Column:
     """``$v = new C(``: array of variable, class."""
-    p = r"(?i)(\$\w+)\s*=\s*new\s+([A-Za-z_][A-Za-z0-9_]*)\s*\("
+    p = INSTANTIATION
     return F.transform(F.arrays_zip(found(body, p, 1).alias("a"), found(body, p, 2).alias("b")), lambda x: F.struct(x["a"].alias("variable"), x["b"].alias("class")))
 
 
 def calls(body: Column, noise: bool = False) -> Column:
     """``$o->m(``, distinct in order: array of object, method; noise: also those that say nothing."""
-    p = r"(\$\w+)\s*->\s*([A-Za-z_][A-Za-z0-9_]*)\s*\("
+    p = CALL
     rows = F.array_distinct(F.transform(F.arrays_zip(found(body, p, 1).alias("a"), found(body, p, 2).alias("b")), lambda x: F.struct(x["a"].alias("object"), x["b"].alias("method"))))
     return rows if noise else F.filter(rows, lambda x: ~(F.lower(x["method"]).isin(*NOISY_METHODS) & F.lower(x["object"]).isin(*NOISY_OBJECTS)))
 
@@ -74,20 +88,20 @@ def resolved_calls(body: Column) -> Column:
 
 def includes(body: Column) -> Column:
     """Whole include and require statements, trimmed."""
-    return F.transform(found(body, r"(?i)\b(include|include_once|require|require_once)\b\s*(\(|)\s*([^\n;]+)"), lambda x: F.trim(x))
+    return F.transform(found(body, INCLUDE), lambda x: F.trim(x))
 
 
 def code_actions(body: Column) -> Column:
     """``Class.method`` after ``action=`` or in quotes, sorted; the class begins with a capital."""
-    return sorted_set(found(body, r"action=([A-Z][A-Za-z0-9_]*\.[A-Za-z_][A-Za-z0-9_]*)", 1), found(body, r"""['"]([A-Z][A-Za-z0-9_]*\.[A-Za-z_][A-Za-z0-9_]*)['"]""", 1))
+    return sorted_set(found(body, ACTION_URL, 1), found(body, ACTION_QUOTED, 1))
 
 
 def named_tables(body: Column) -> Column:
-    return sorted_set(found(body, r"(?i)\b(from|join|update|into)\s+([A-Za-z0-9_.\[\]]+)", 2))
+    return sorted_set(found(body, TABLE, 2))
 
 
 def named_procedures(body: Column) -> Column:
-    return sorted_set(found(body, r"(?i)\bexec(?:ute)?\s+([A-Za-z0-9_.\[\]]+)", 1))
+    return sorted_set(found(body, PROCEDURE, 1))
 
 
 def method_records(found_methods: DataFrame) -> DataFrame:
@@ -112,7 +126,7 @@ def method_records(found_methods: DataFrame) -> DataFrame:
 
 def classes(files: DataFrame) -> DataFrame:
     """name, path: the first file, by path, that declares each class."""
-    rows = files.select("path", F.explode(found_once(F.col("text"), r"(?i)\bclass\s+([A-Za-z_][A-Za-z0-9_]*)\b", 1)).alias("name"))
+    rows = files.select("path", F.explode(found_once(F.col("text"), CLASS, 1)).alias("name"))
     return rows.groupBy("name").agg(F.min("path").alias("path"))
 
 
@@ -142,7 +156,7 @@ def resolve_includes(statements: DataFrame, files: DataFrame, root: str = "") ->
 
     The quoted path is looked up from the root, then beside the including file; what isn't found keeps its root.
     """
-    quoted = F.regexp_replace(F.regexp_extract("include", r"""(?i)['"]([^'"]+\.php(?:\.php)?)['"]""", 1), r"^\./|^/", "")
+    quoted = F.regexp_replace(F.regexp_extract("include", INCLUDED, 1), r"^\./|^/", "")
     rows = statements.withColumn("__q", quoted).where("__q <> ''")
     rows = rows.withColumns({"__root": F.concat(F.lit(root), F.col("__q")), "__near": F.concat(F.regexp_replace("path", "[^/]*$", ""), F.col("__q"))})
     size = files.select(F.col("path").alias("__p"), F.size(text_lines(F.col("text"))).alias("__l"), F.octet_length("text").alias("__b"))
@@ -184,7 +198,7 @@ def facade_methods(files: DataFrame) -> DataFrame:
     b = F.col("body")
     lines = text_lines(b)
     at = lambda p, g: F.flatten(F.transform(lines, lambda x, i: F.transform(found(x, p, g), lambda y: F.struct(y.alias("name"), (i + F.col("start_line")).cast("int").alias("line")))))
-    new, static, call = r"\bnew\s+([A-Za-z_][A-Za-z0-9_]*)\s*\(", r"\b([A-Za-z_][A-Za-z0-9_]*::[A-Za-z_][A-Za-z0-9_]*)\s*\(", r"(\$[A-Za-z_][A-Za-z0-9_]*->[A-Za-z_][A-Za-z0-9_]*)\s*\("
+    new, static, call = NEW, STATIC_CALL, METHOD_CALL
     full = rows.withColumns({"objects": F.array_distinct(at(new, 1)), "static_calls": F.array_distinct(at(static, 1)), "method_calls": F.array_distinct(at(call, 1)), "tables": tables_in_literals(b)})
     deps = sorted_set(F.transform("objects", lambda x: x["name"]), F.transform("static_calls", lambda x: F.substring_index(x["name"], "::", 1)))
     return full.withColumn("dependencies", deps)
@@ -237,7 +251,7 @@ def docblocks(files: DataFrame) -> DataFrame:
 
 def properties(files: DataFrame) -> DataFrame:
     """path, visibility, name, line of declared properties."""
-    p = r"(?i)^\s*(private|protected|public)\s+\$([A-Za-z_][A-Za-z0-9_]*)\s*;"
+    p = PROPERTY
     rows = files.select("path", F.posexplode(text_lines(F.col("text"))).alias("p", "l")).where(F.col("l").rlike(p))
     return rows.select("path", F.lower(F.regexp_extract("l", p, 1)).alias("visibility"), F.regexp_extract("l", p, 2).alias("name"), (F.col("p") + 1).alias("line"))
 

@@ -8,6 +8,36 @@ from pyspark.sql import functions as F
 from ..functions.blocks import blocks, js_arguments
 from ..functions.columns import found, found_once, kept, sorted_set
 
+# What the texts' parts look like.
+MODAL = r'(?i)id="([^"]*modal[^"]*)"'
+BUTTON = r"(?is)<button\b[^>]*>(.*?)</button>"
+LINK = r"(?is)<a\b([^>]*)>(.*?)</a>"
+INPUT = r"(?is)<input\b([^>]*)>"
+GENERIC = r"(?is)<(div|span|li|p|h1|h2|h3|h4|h5|h6)\b([^>]*)>(.*?)</\1>"
+ATTRIBUTE_DOUBLE = r'([a-zA-Z_:][-a-zA-Z0-9_:.]*)="([^"]*)"'
+ATTRIBUTE_SINGLE = r"([a-zA-Z_:][-a-zA-Z0-9_:.]*)='([^']*)'"
+ONCLICK_DOUBLE = r'(?is)onclick="([^"]+)"'
+ONCLICK_SINGLE = r"(?is)onclick='([^']+)'"
+DATA_ATTRIBUTE = r'(?i)data-[a-zA-Z0-9_-]+="[^"]+"'
+INCLUDED = r"""(?i)\b(?:include|include_once|require|require_once)\s*\(?\s*["']([^"']+)["']"""
+ACTION = r"""(?i)action=([A-Za-z0-9_]+)\.([A-Za-z0-9_]+)([^"']*)"""
+ACTION_TEXT = r"(?i)action=([a-zA-Z0-9_.&=-]+)"
+URL_FIELD = r"""(?i)url\s*:\s*["']([^"']+)["']"""
+GET_POST = r"""(?i)\$\s*\.\s*(?:get|post)\s*\(\s*["']([^"']+)["']"""
+FETCH = r"""(?i)\bfetch\s*\(\s*["']([^"']+)["']"""
+SCRIPT = r"(?is)<script\b([^>]*)>(.*?)</script>"
+SCRIPT_SRC = r"""(?i)src=["']([^"']+)["']"""
+CONST_STRING = r"""(?s)\bconst\s+([A-Za-z_$][A-Za-z0-9_$]*)\s*=\s*(["'])(.*?)\2\s*;?"""
+CONST_ANY = r"\bconst\s+([A-Za-z_$][A-Za-z0-9_$]*)\s*=\s*([^;]+);"
+FORM_DATA = r"\bconst\s+([A-Za-z_$][A-Za-z0-9_$]*)\s*=\s*new\s+FormData\s*\(\s*\)"
+SELECTOR = r"""\$\s*\(\s*(["'])(.*?)\1\s*\)"""
+CONSOLE = r"(?s)\bconsole\.(log|error|warn|info)\s*\(.*?\)\s*;"
+URL_CONSTANT = r"\b(?:URL_[A-Za-z0-9_]+)\b"
+FUNCTION = r"(?i)\bfunction\s+([A-Za-z_][A-Za-z0-9_]*)\s*\("
+CLASS = r"(?i)\bclass\s+([A-Za-z_][A-Za-z0-9_]*)\b"
+SCRIPT_FILE = r"""(?i)<script\b[^>]*src=["']([^"']+)["']"""
+STYLE_FILE = r"""(?i)<link\b[^>]*href=["']([^"']+)["']"""
+TAG = r"<([a-zA-Z][a-zA-Z0-9]*)\b"
 # Kinds of calls to a server, by name and pattern.
 AJAX = {
     "$.ajax": r"\$\s*\.ajax\s*\(",
@@ -53,22 +83,22 @@ def clean_html(text: Column) -> Column:
 def attributes(tag: Column) -> Column:
     """A map of attribute names, in lower case, to values; of repeated names the last, single quotes after double."""
     entry = lambda p: F.arrays_zip(F.transform(found(tag, p, 1), F.lower).alias("k"), found(tag, p, 2).alias("v"))
-    both = F.concat(entry(r'([a-zA-Z_:][-a-zA-Z0-9_:.]*)="([^"]*)"'), entry(r"([a-zA-Z_:][-a-zA-Z0-9_:.]*)='([^']*)'"))
+    both = F.concat(entry(ATTRIBUTE_DOUBLE), entry(ATTRIBUTE_SINGLE))
     last = F.filter(both, lambda x, i: ~F.exists(F.slice(both, i + 2, F.size(both)), lambda y: y["k"] == x["k"]))
     return F.map_from_entries(last)
 
 
 def modals(html: Column) -> Column:
-    return found_once(html, r'(?i)id="([^"]*modal[^"]*)"', 1)
+    return found_once(html, MODAL, 1)
 
 
 def buttons(html: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(found(html, r"(?is)<button\b[^>]*>(.*?)</button>", 1), clean_html), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(found(html, BUTTON, 1), clean_html), lambda x: x != ""))
 
 
 def links(html: Column) -> Column:
     """Distinct anchors with a text: array of text, href, onclick, class, id (empty if not given)."""
-    pairs = F.arrays_zip(found(html, r"(?is)<a\b([^>]*)>(.*?)</a>", 1).alias("attrs"), found(html, r"(?is)<a\b([^>]*)>(.*?)</a>", 2).alias("inner"))
+    pairs = F.arrays_zip(found(html, LINK, 1).alias("attrs"), found(html, LINK, 2).alias("inner"))
     item = lambda x: F.struct(clean_html(x["inner"]).alias("text"), *(attribute(x["attrs"], n).alias(n) for n in ("href", "onclick", "class", "id")))
     return F.array_distinct(F.filter(F.transform(pairs, item), lambda x: x["text"] != ""))
 
@@ -79,16 +109,16 @@ def attribute(tag: Column, name: str) -> Column:
 
 
 def onclicks(html: Column) -> Column:
-    raw = F.concat(found(html, r'(?is)onclick="([^"]+)"', 1), found(html, r"(?is)onclick='([^']+)'", 1))
+    raw = F.concat(found(html, ONCLICK_DOUBLE, 1), found(html, ONCLICK_SINGLE, 1))
     return F.array_distinct(F.filter(F.transform(raw, lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != ""))
 
 
 def data_attributes(html: Column) -> Column:
-    return F.array_distinct(F.transform(found(html, r'(?i)data-[a-zA-Z0-9_-]+="[^"]+"'), lambda x: F.replace(x, F.lit('"'), F.lit(""))))
+    return F.array_distinct(F.transform(found(html, DATA_ATTRIBUTE), lambda x: F.replace(x, F.lit('"'), F.lit(""))))
 
 
 def include_paths(text: Column) -> Column:
-    return found_once(text, r"""(?i)\b(?:include|include_once|require|require_once)\s*\(?\s*["']([^"']+)["']""", 1)
+    return found_once(text, INCLUDED, 1)
 
 
 def parameters(raw: Column) -> Column:
@@ -101,7 +131,7 @@ def parameters(raw: Column) -> Column:
 
 def actions(text: Column) -> Column:
     """``action=Class.method&k=v``: array of class, method, params, backend; distinct regardless of case."""
-    p = r"""(?i)action=([A-Za-z0-9_]+)\.([A-Za-z0-9_]+)([^"']*)"""
+    p = ACTION
     rows = F.arrays_zip(found(text, p, 1).alias("c"), found(text, p, 2).alias("m"), found(text, p, 3).alias("r"))
     key = F.transform(rows, lambda x: F.lower(F.concat_ws("|", x["c"], x["m"], x["r"])))
     first = F.filter(rows, lambda x, i: F.array_position(key, F.get(key, i)) == i + 1)
@@ -109,7 +139,7 @@ def actions(text: Column) -> Column:
 
 
 def endpoints(text: Column) -> Column:
-    raw = F.concat(found(text, r"(?i)action=([a-zA-Z0-9_.&=-]+)", 1), found(text, r"""(?i)url\s*:\s*["']([^"']+)["']""", 1), found(text, r"""(?i)\$\s*\.\s*(?:get|post)\s*\(\s*["']([^"']+)["']""", 1), found(text, r"""(?i)\bfetch\s*\(\s*["']([^"']+)["']""", 1))
+    raw = F.concat(found(text, ACTION_TEXT, 1), found(text, URL_FIELD, 1), found(text, GET_POST, 1), found(text, FETCH, 1))
     return F.array_distinct(F.filter(F.transform(raw, lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != ""))
 
 
@@ -169,11 +199,11 @@ def clickables(html: Column) -> Column:
     """Distinct elements that can be clicked: anchors with a text, buttons among inputs, other tags with onclick.
     Array of element, label, href, onclick, class, id."""
     item = lambda kind, label, tag: F.struct(F.lit(kind).alias("element"), label.alias("label"), *(attribute(tag, n).alias(n) for n in ("href", "onclick", "class", "id")))
-    a = r"(?is)<a\b([^>]*)>(.*?)</a>"
+    a = LINK
     anchors = F.transform(F.arrays_zip(found(html, a, 1).alias("t"), found(html, a, 2).alias("i")), lambda x: item("a", clean_html(x["i"]), x["t"]))
-    fields = F.filter(found(html, r"(?is)<input\b([^>]*)>", 1), lambda t: F.lower(attribute(t, "type")).isin("button", "submit", "image"))
+    fields = F.filter(found(html, INPUT, 1), lambda t: F.lower(attribute(t, "type")).isin("button", "submit", "image"))
     inputs = F.transform(fields, lambda t: item("input", F.trim(F.coalesce(F.nullif(attribute(t, "value"), F.lit("")), attribute(t, "title"))), t))
-    g = r"(?is)<(div|span|li|p|h1|h2|h3|h4|h5|h6)\b([^>]*)>(.*?)</\1>"
+    g = GENERIC
     tags = F.arrays_zip(found(html, g, 2).alias("t"), found(html, g, 3).alias("i"))
     others = F.transform(F.filter(tags, lambda x: F.trim(attribute(x["t"], "onclick")) != ""), lambda x: item("generic", clean_html(x["i"]), x["t"]))
     return F.array_distinct(F.filter(F.concat(anchors, inputs, others), lambda x: x["label"] != ""))
@@ -203,19 +233,19 @@ def parse_action_url(raw: Column) -> Column:
 
 def script_blocks(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """key, block (from 1), attrs, src (null if inline), body, start_line of every script element."""
-    p = r"(?is)<script\b([^>]*)>(.*?)</script>"
+    p = SCRIPT
     text = F.coalesce(F.col(html), F.lit(""))
     parts = F.arrays_zip(found(text, p, 1).alias("attrs"), found(text, p, 2).alias("body"), found(text, p, 0).alias("all"))
     before = F.split(text, r"(?i)<script\b", -1)
     rows = pages.select(key, before.alias("before"), F.posexplode(parts).alias("p", "s"))
     line = F.size(F.split(F.array_join(F.slice("before", 1, F.col("p") + 1), "<script"), "\n", -1))
-    return rows.select(key, (F.col("p") + 1).alias("block"), "s.attrs", F.nullif(F.regexp_extract("s.attrs", r"""(?i)src=["']([^"']+)["']""", 1), F.lit("")).alias("src"), F.trim("s.body").alias("body"), line.alias("start_line"))
+    return rows.select(key, (F.col("p") + 1).alias("block"), "s.attrs", F.nullif(F.regexp_extract("s.attrs", SCRIPT_SRC, 1), F.lit("")).alias("src"), F.trim("s.body").alias("body"), line.alias("start_line"))
 
 
 def js_constants(script: Column) -> Column:
     """const declarations: array of name, kind (string or expression), value; a string wins over an expression."""
-    s = r"""(?s)\bconst\s+([A-Za-z_$][A-Za-z0-9_$]*)\s*=\s*(["'])(.*?)\2\s*;?"""
-    e = r"\bconst\s+([A-Za-z_$][A-Za-z0-9_$]*)\s*=\s*([^;]+);"
+    s = CONST_STRING
+    e = CONST_ANY
     item = lambda kind: lambda x: F.struct(x["n"].alias("name"), F.lit(kind).alias("kind"), F.trim(x["v"]).alias("value"))
     strings = F.transform(F.arrays_zip(found(script, s, 1).alias("n"), found(script, s, 3).alias("v")), item("string"))
     taken = F.transform(strings, lambda x: x["name"])
@@ -245,10 +275,10 @@ def inline_events(html: Column) -> Column:
 def script_summary(script: Column) -> Column:
     """form_data, selectors, console, constants_url, steps of one script."""
     return F.struct(
-        found_once(script, r"\bconst\s+([A-Za-z_$][A-Za-z0-9_$]*)\s*=\s*new\s+FormData\s*\(\s*\)", 1).alias("form_data"),
-        found_once(script, r"""\$\s*\(\s*(["'])(.*?)\1\s*\)""", 2).alias("selectors"),
-        found(script, r"(?s)\bconsole\.(log|error|warn|info)\s*\(.*?\)\s*;", 1).alias("console"),
-        found_once(script, r"\b(?:URL_[A-Za-z0-9_]+)\b").alias("constants_url"),
+        found_once(script, FORM_DATA, 1).alias("form_data"),
+        found_once(script, SELECTOR, 2).alias("selectors"),
+        found(script, CONSOLE, 1).alias("console"),
+        found_once(script, URL_CONSTANT).alias("constants_url"),
         kept(*((script.contains(w), step) for w, step in STEPS)).alias("steps"),
     )
 
@@ -262,16 +292,16 @@ def script_rollup(blocks_: DataFrame, key: str) -> DataFrame:
 
 
 def tag_count(html: Column) -> Column:
-    return F.size(found(html, r"<([a-zA-Z][a-zA-Z0-9]*)\b"))
+    return F.size(found(html, TAG))
 
 
 def page_summary(html: Column) -> Column:
     """functions, classes, scripts, styles, includes, tags, ajax, endpoints, actions of one file."""
     return F.struct(
-        found_once(html, r"(?i)\bfunction\s+([A-Za-z_][A-Za-z0-9_]*)\s*\(", 1).alias("functions"),
-        found_once(html, r"(?i)\bclass\s+([A-Za-z_][A-Za-z0-9_]*)\b", 1).alias("classes"),
-        found_once(html, r"""(?i)<script\b[^>]*src=["']([^"']+)["']""", 1).alias("scripts"),
-        found_once(html, r"""(?i)<link\b[^>]*href=["']([^"']+)["']""", 1).alias("styles"),
+        found_once(html, FUNCTION, 1).alias("functions"),
+        found_once(html, CLASS, 1).alias("classes"),
+        found_once(html, SCRIPT_FILE, 1).alias("scripts"),
+        found_once(html, STYLE_FILE, 1).alias("styles"),
         include_paths(html).alias("includes"),
         tag_count(html).alias("tags"),
         ajax_kinds(html).alias("ajax"),
