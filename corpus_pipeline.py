@@ -16,8 +16,8 @@ from orrery.llm.packing import pack_pieces, tokenize_pieces
 from orrery.llm.simhash import simhash_components
 from orrery.session import ship
 
-#: Below this share of the evidence for the best language, a text is in none that was learned.
-CERTAIN = 0.5
+#: A text whose code under its best language takes as many bits a byte as without any model is in none of them.
+RAW_BITS = 8.0
 
 
 def _like(docs: DataFrame, out: DataFrame) -> DataFrame:
@@ -27,7 +27,9 @@ def _like(docs: DataFrame, out: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or in no learned language with certainty, go. A null ``lang`` is filled in.
+    """Documents without letters, or that no learned language helps to code, go. A null ``lang`` is filled in.
+
+    How sure the choice among languages is doesn't matter: short texts of a learned language stay.
 
     Without any labelled document nothing can be rejected, and all stay.
     """
@@ -35,7 +37,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit_languages(docs.where(remainder("doc_id", 3) != 1))
     if not model.langs:
         return docs
-    kept = identify_languages(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= CERTAIN))
+    kept = identify_languages(docs, model).where((F.col("lang_pred") != "und") & (F.col("bits") < RAW_BITS))
     return kept.select(*(F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else c for c in docs.columns))
 
 
