@@ -14,54 +14,126 @@ from .graph import components
 from .vectors import matrix, valid_vectors
 
 SIMILARITY = 0.9
-TREES = 10
+#: Share of links of the sample, and of pairs planted at exactly the similarity, that have to meet in some tree, and
+#: how many of the latter are planted. Trees are added until then; from ``TREES`` on, less depth is tried instead.
+RECALL = 0.9999
+PLANTED = 20_000
+TREES = 24
 #: Vectors that the splits are fitted on, and how many of all a leaf is to hold on average.
 SAMPLE = 20_000
 LEAF = 600
 #: Half the width of the strip round a split that goes to both sides, and the most levels of a tree.
 SPILL = 0.01
 DEPTH = 16
+#: Levels beyond those of even splits; places of a split, in the order tried; share of a node's links a split may part.
+SLACK = 3
+PLACES = (0.5, 0.4, 0.6, 0.3, 0.7, 0.2, 0.8, 0.1, 0.9)
+PARTED = 1 / 16
 #: Vectors of a leaf that are compared in one go.
 TILE = 2048
+#: One link in so many pairs of a leaf, and leaves are compared for all pairs at once.
+DENSE = 64
 
 
 class Forest:
     """Trees of random splits of the unit sphere: a direction for each level of each tree, a threshold for each node.
 
-    A node sends vectors whose projection is at most ``SPILL`` from its threshold, the sample's median there,
-    to both sides. Leaves are numbered within a tree.
+    A node sends vectors whose projection is at most ``SPILL`` from its threshold to both sides. The threshold is
+    the sample's median there or, where that parts more than ``PARTED`` of the node's links in the sample, the first
+    other place that doesn't. If none does, a dense group fills the node, and all go left: it is split no further.
+    Nor is a node that holds at most ``least`` of the sample. Leaves are numbered within a tree.
     """
 
-    def __init__(self, sample: np.ndarray, depth: int, trees: int = TREES, spill: float = SPILL, seed: int = 0):
-        rng = np.random.default_rng(seed)
-        self.spill, self.depth = spill, depth
-        self.directions = rng.normal(size=(trees, max(1, depth), sample.shape[1]))
-        self.directions /= np.linalg.norm(self.directions, axis=2, keepdims=True)
-        self.thresholds = np.zeros((trees, max(1, 2**depth - 1)))
-        for t in range(trees):
-            places = [np.arange(len(sample))]
-            for node in range(2**depth - 1):
-                x = sample[places[node]] @ self.directions[t, (node + 1).bit_length() - 1]
-                self.thresholds[t, node] = np.median(x) if len(x) else 0
-                places += [places[node][x <= self.thresholds[t, node]], places[node][x > self.thresholds[t, node]]]
+    def __init__(self, sample: np.ndarray, depth: int, links: np.ndarray | None = None, least: float = 0, spill: float = SPILL, seed: int = 0):
+        self.sample, self.depth, self.spill, self.least = sample, depth, spill, least
+        self.links = np.zeros((0, 2), np.int64) if links is None else links
+        self.rng = np.random.default_rng(seed)
+        self.directions = np.zeros((0, max(1, depth), sample.shape[1]))
+        self.thresholds = np.zeros((0, max(1, 2**depth - 1)))
 
-    def leaves(self, x: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of x and the leaves of this tree that they go to; a row that spills has several."""
-        row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("sample", "links", "rng")}  # routing needs none of them
+
+    def grow(self) -> None:
+        """Add a tree."""
+        directions = self.rng.normal(size=self.directions.shape[1:])
+        directions /= np.linalg.norm(directions, axis=1, keepdims=True)
+        thresholds = np.full(self.thresholds.shape[1], np.inf)
+        level = [(0, np.arange(len(self.sample)), np.arange(len(self.links)))]
+        for k in range(self.depth):
+            projected, below = self.sample @ directions[k], []
+            for node, rows, links in level:
+                if len(rows) <= max(1, self.least):
+                    continue
+                x, ends = projected[rows], projected[self.links[links]]
+                for place in np.quantile(x, PLACES):
+                    left, right = (ends <= place + self.spill).all(1), (ends >= place - self.spill).all(1)
+                    if (~left & ~right).sum() <= PARTED * len(links):
+                        thresholds[node] = place
+                        below += [(2 * node + 1, rows[x <= place], links[left]), (2 * node + 2, rows[x > place], links[right])]
+                        break
+            level = below
+        self.directions = np.concatenate([self.directions, directions[None]])
+        self.thresholds = np.concatenate([self.thresholds, thresholds[None]])
+
+    def _down(self, tree: int, *ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and the leaves of this tree that all ends of the row go to."""
+        row, node = np.arange(len(ends[0])), np.zeros(len(ends[0]), np.int64)
         for level in range(self.depth):
-            gap = (x @ self.directions[tree, level])[row] - self.thresholds[tree, node]
-            left, right = gap <= self.spill, gap >= -self.spill
+            gaps = [(x @ self.directions[tree, level])[row] - self.thresholds[tree, node] for x in ends]
+            left, right = np.all([g <= self.spill for g in gaps], 0), np.all([g >= -self.spill for g in gaps], 0)
             row, node = np.concatenate([row[left], row[right]]), np.concatenate([2 * node[left] + 1, 2 * node[right] + 2])
         return row, node - (2**self.depth - 1)
 
+    def leaves(self, x: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of x and the leaves of this tree that they go to; a row that spills has several."""
+        return self._down(tree, x)
+
+    def meet(self, x: np.ndarray, y: np.ndarray, tree: int) -> np.ndarray:
+        """Which rows of x share a leaf of this tree with the same row of y."""
+        out = np.zeros(len(x), bool)
+        out[self._down(tree, x, y)[0]] = True
+        return out
+
+
+def _sample_links(x: np.ndarray, similarity: float, rng: np.random.Generator, most: int = 8) -> np.ndarray:
+    """Pairs of places of linked vectors, up to ``most`` drawn for each vector, so that groups of any size have some."""
+    found = [np.zeros((0, 2), np.int64)]
+    for lo in range(0, len(x), 500):
+        near = _near(x[lo : lo + 500], x, similarity)
+        many = 4 * most / np.maximum(near.sum(1, keepdims=True), 1)
+        if many.min() < 1:  # thinned first
+            near &= rng.random(near.shape, np.float32) < many
+        a, b = np.nonzero(near)
+        a += lo
+        keep = rng.permutation(np.flatnonzero(a != b))
+        keep = keep[np.argsort(a[keep], kind="stable")]
+        first = np.searchsorted(a[keep], a[keep])
+        keep = keep[np.arange(len(keep)) - first < most]
+        found.append(np.stack([a[keep], b[keep]], 1))
+    return np.concatenate(found)
+
+
+def _planted(x: np.ndarray, similarity: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of the sample, each with one at exactly this cosine in a random direction: the links easiest to lose."""
+    x = x[rng.integers(len(x), size=PLANTED)]
+    away = rng.normal(size=x.shape)
+    away -= (away * x).sum(1, keepdims=True) * x
+    norm = np.linalg.norm(away, axis=1, keepdims=True)
+    return x, similarity * x + np.sqrt(max(0.0, 1 - similarity**2)) * away / np.where(norm > 0, norm, 1)
+
 
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(1, keepdims=True)  # neither overflow nor underflow in the squares
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def fit_forest(vectors: DataFrame, sample: int = SAMPLE, leaf: int = LEAF, **options) -> Forest | None:
-    """Splits fitted on about ``sample`` vectors, as deep as leaves of ``leaf`` of all vectors need."""
+def fit_forest(vectors: DataFrame, sample: int = SAMPLE, leaf: int = LEAF, similarity: float = SIMILARITY, recall: float = RECALL) -> Forest | None:
+    """Splits fitted on about ``sample`` vectors, as deep as leaves of ``leaf`` of all vectors need.
+
+    Trees are added until ``recall`` of the sample's links and of as many planted ones meet in one of them. If
+    ``TREES`` are not enough, the trees get a level less; without any level all vectors meet.
+    """
     count = vectors.count()
     if not count:
         return None
@@ -70,8 +142,27 @@ def fit_forest(vectors: DataFrame, sample: int = SAMPLE, leaf: int = LEAF, **opt
     found = matrix(some.select("embedding").toArrow().column("embedding"))
     if not len(found):
         found = matrix(vectors.limit(sample).select("embedding").toArrow().column("embedding"))
-    depth = min(max(0, int(np.ceil(np.log2(count / leaf)))), DEPTH)
-    return Forest(_unit(found), depth, **options)
+    found = _unit(found)
+    even = max(0, int(np.ceil(np.log2(count / leaf))))
+    return _grown(found, min(even + SLACK if even else 0, DEPTH), leaf * len(found) / count, similarity, recall)
+
+
+def _grown(sample: np.ndarray, depth: int, least: float, similarity: float = SIMILARITY, recall: float = RECALL) -> Forest:
+    """The trees of ``fit_forest`` over unit vectors; nodes of at most ``least`` of them are leaves."""
+    rng = np.random.default_rng(1)
+    links = _sample_links(sample, similarity, rng) if depth else np.zeros((0, 2), np.int64)
+    near, far = _planted(sample, similarity, rng)
+    tested = links[rng.permutation(len(links))[:PLANTED]]
+    pairs = [(near, far), (sample[tested[:, 0]], sample[tested[:, 1]])]
+    while True:
+        forest = Forest(sample, depth, links, least)
+        missed = [np.arange(len(x)) for x, _ in pairs]
+        while len(forest.directions) < TREES:
+            forest.grow()
+            missed = [m[~forest.meet(x[m], y[m], len(forest.directions) - 1)] for m, (x, y) in zip(missed, pairs, strict=True)]
+            if all(len(m) <= (1 - recall) * len(x) for m, (x, _) in zip(missed, pairs, strict=True)):
+                return forest
+        depth -= 1
 
 
 def _near(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
@@ -92,6 +183,15 @@ def _shared_before(a: np.ndarray, b: np.ndarray, tree: int, leaf: int) -> np.nda
     return out
 
 
+def _earlier(leaves: np.ndarray, here: int) -> np.ndarray:
+    """A row for each vector, with ones at those of its leaves before ``here`` that others can share."""
+    row, column = np.nonzero((leaves >= 0) & (leaves < here))
+    names, place, times = np.unique(leaves[row, column], return_inverse=True, return_counts=True)
+    out = np.zeros((len(leaves), len(names)), np.float32)
+    out[row, place] = 1
+    return out[:, times > 1]
+
+
 def near_duplicates(embeddings: DataFrame, similarity: float = SIMILARITY, forest: Forest | None = None) -> DataFrame:
     """Link vectors with a cosine of at least ``similarity`` and group them by links.
 
@@ -112,7 +212,7 @@ def near_duplicates(embeddings: DataFrame, similarity: float = SIMILARITY, fores
     valid = valid_vectors(every)
     grouped = valid.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"))
     distinct = checkpointed(grouped.select("vec_id", "embedding", "copies", *mark))
-    forest = forest or fit_forest(distinct)
+    forest = forest or fit_forest(distinct, similarity=similarity)
     if forest is None:
         return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     spark = embeddings.sparkSession
@@ -162,15 +262,21 @@ def near_duplicates(embeddings: DataFrame, similarity: float = SIMILARITY, fores
         leaf = group.column("leaf")[0].as_py()
         within = group.column("low")[0].as_py() == group.column("high")[0].as_py()
         links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        earlier = None
         for lo in range(0, len(ids), 512):
             near = _near(x[lo : lo + 512], x[lo:], similarity)
             a, b = np.nonzero(near)
             a, b = a + lo, b + lo
             fits = (a < b) & (within | (tile[a] != tile[b]))
             a, b = a[fits], b[fits]
-            first = ~_shared_before(leaves[a], padded[b], leaf >> 32, leaf & 0xFFFFFFFF)
-            np.add.at(links, a[first], copies[b[first]])
-            np.add.at(links, b[first], copies[a[first]])
+            if len(a) * DENSE > near.size:  # so many links that all pairs at once are cheaper
+                earlier = _earlier(leaves, leaf) if earlier is None else earlier
+                first = (earlier[lo : lo + 512] @ earlier[lo:].T)[a - lo, b - lo] == 0
+            else:
+                first = ~_shared_before(leaves[a], padded[b], leaf >> 32, leaf & 0xFFFFFFFF)
+            a1, b1 = a[first], b[first]
+            np.add.at(links, a1, copies[b1])
+            np.add.at(links, b1, copies[a1])
             while len(a):  # union by the smallest place
                 p, q = label[a], label[b]
                 apart = p != q

@@ -299,6 +299,19 @@ def test_near_duplicates(spark, monkeypatch):
     assert sorted((r["vec_id"] or 0, r["n_links"], r["kept"]) for r in forest.near_duplicates(tied).collect()) == [(0, 0, False), (1, 1, True), (1, 1, True)]
 
 
+def test_near_duplicates_of_a_dense_group(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3600, 64)) / 8
+    x[:1200] = x[0] / np.linalg.norm(x[0]) + 0.3 * x[:1200]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame(list(enumerate(rng.permutation(x).tolist())), "vec_id long, embedding array<double>")
+    monkeypatch.setattr(forest, "TILE", 256)
+    fitted = forest.fit_forest(df, leaf=60)
+    found = forest.near_duplicates(df, forest=fitted).agg(F.sum("n_links")).first()[0]
+    true = (x @ x.T >= 0.9).sum() - len(x)
+    assert true > 10**6 and 0.999 * true <= found <= true
+
+
 def test_search(spark, monkeypatch):
     x, rows = vectors(4)
     monkeypatch.setattr(search, "BLOCK", 50)
