@@ -48,13 +48,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays, once. Groups without any id stay."""
-    ship(spark)
-    found = simhash_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = found.select(F.col("doc_id").alias("__kept")).distinct()
-    once = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    named = once.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return named.unionByName(once.where(F.col("doc_id").isNull()))
+    """Of each group of near-duplicates one row stays: that with the smallest doc_id, rows without any coming last.
+
+    Rows of a group with one doc_id are told apart by a hash of all columns, so reruns keep the same one.
+    """
+    values = [*docs.columns, *(F.col(c).isNull() for c in docs.columns)]  # hashes pass over nulls
+    marked = docs.withColumns({f"__mark{k}": F.xxhash64(F.lit(k), *values) for k in (1, 2)})  # 128 bits name a row
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__mark1", "__mark2")
+    found = simhash_components(marked.select(place.alias("doc_id"), "text")).where(F.col("doc_id") == F.col("component_id"))
+    kept = found.select("component_id.__mark1", "component_id.__mark2").distinct()
+    once = marked.join(kept, ["__mark1", "__mark2"], "left_semi").dropDuplicates(["__mark1", "__mark2"])
+    return once.select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

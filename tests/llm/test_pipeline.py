@@ -74,6 +74,17 @@ def test_near_duplicates(stages):
     assert collections.Counter(r["doc_id"] for r in stages[3]) == want and len(stages[3]) < len(rows)
 
 
+def test_near_duplicates_keeps_a_row_a_group(spark):
+    texts = [" ".join(f"{name}{k * k}" for k in range(60)) for name in "abcdef"]
+    rows = [(1, texts[0]), (2, texts[0]), (1, texts[1]), (None, texts[1]), (5, texts[2]), (2, texts[2])]
+    rows += [(None, texts[3]), (None, texts[3]), (None, texts[4]), (None, texts[5]), (9, texts[5]), (9, texts[5])]
+    for seen in (rows, rows[::-1], rows[:6], [r for r in rows if r[0]]):
+        docs = spark.createDataFrame([(d, t, None, s, len(t)) for s, (d, t) in zip("xyxyxyxyxyxy", seen, strict=False)], "doc_id long, text string, lang string, source string, n_chars long")
+        groups = {t: min((e for e, u in seen if u == t and e is not None), default=None) for _, t in seen}
+        got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+        assert collections.Counter(got) == collections.Counter((d, t) for t, d in groups.items())
+
+
 def test_mixing(spark, stages):
     docs = spark.createDataFrame(stages[3], "doc_id long, text string, lang string, source string, n_chars long")
     copies = {(r["doc_id"], r["size"]): r["copies"] for r in mixing.mix_sources(docs).collect()}
