@@ -1,4 +1,4 @@
-"""Substring deduplication: fixed-block anchors probed by every rolling window."""
+"""Substring deduplication: fixed-block anchors probed by every rolling window, hits extended by comparing words."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -19,14 +20,16 @@ from .common import checkpointed, table
 WINDOW = 35
 #: Bytes of text in a pack of documents; a longer document has a pack of its own.
 PACK = 2 << 20
-#: Rolling hashes that a bucket is to hold on average.
+#: Hashes that a bucket is to hold on average, and the bytes of each that are sent beyond the bucket's own bits.
 BUCKET_ROWS = 1 << 21
+PROBE_BYTES, WINDOW_BYTES = 4, 6
+#: Words whose hashes a worker keeps at hand.
+CACHE = 500_000
 _SEGMENT = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=4)
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[0] = 1
@@ -39,37 +42,45 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_LETTERS = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+_WORDS = _WordHashes()
 
 
 class Words:
-    """The words of one text: their bytes joined by one space, and where each starts and ends."""
-
-    def __init__(self, text: bytes):
-        self.words = text.split()
-        self.joined = np.frombuffer(b" ".join(self.words), np.uint8)
-        gaps = np.flatnonzero(self.joined == 32)
-        self.starts = np.concatenate([[0], gaps + 1]) if self.words else np.zeros(0, np.int64)
-        self.ends = np.concatenate([gaps, [len(self.joined)]]) if self.words else np.zeros(0, np.int64)
-
-    def hashes(self, width: int, first: int = 0, last: int | None = None) -> np.ndarray:
-        """64-bit hashes of the windows of ``width`` words that start at words first..last-1 (default: all)."""
-        n = len(self.words) - width + 1
-        last = n if last is None else min(last, n)
+    """The words of several texts in a row. ``cuts``: where each text begins, and the end."""
+
+    def __init__(self, texts: list[bytes]):
+        split = [t.split() for t in texts]
+        self.words = [w for s in split for w in s]
+        self.cuts = np.cumsum([0, *map(len, split)])
+
+    def hashes(self, width: int, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of all windows of ``width`` words inside one text, and their hashes of ``bits`` bits (from the top of 64)."""
+        n = len(self.words)
+        room = np.repeat(self.cuts[1:], np.diff(self.cuts)) - np.arange(n)
+        starts = np.flatnonzero(room >= width)
+        own = np.fromiter(map(_WORDS.__getitem__, self.words), np.uint64, n)
         parts = []
-        for lo in range(first, max(first, last), _SEGMENT):  # memory doesn't grow with a text's length
-            hi = min(lo + _SEGMENT, last)
-            start, end = self.starts[lo:hi], self.ends[lo + width - 1 : hi + width - 1]
-            raw = self.joined[start[0] : end[-1]]
-            size = 1 << max(16, len(raw).bit_length())
-            sums = np.zeros(len(raw) + 1, np.uint64)
-            np.cumsum(_LETTERS[raw] * _powers(_BASE, size)[: len(raw)], out=sums[1:])
-            parts.append(_mix((sums[end - start[0]] - sums[start - start[0]]) * _powers(_INVERSE, size)[start - start[0]]))
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        inverse = pow(_BASE, -1, 1 << 64)
+        for lo in range(0, n - width + 1, _SEGMENT):
+            part = own[lo : lo + _SEGMENT + width - 1]
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(part * _powers(_BASE, _SEGMENT + width)[: len(part)], out=sums[1:])
+            parts.append(_mix((sums[width:] - sums[:-width]) * _powers(inverse, _SEGMENT + width)[: len(part) - width + 1]))
+        every = np.concatenate(parts)[starts] if len(starts) else np.zeros(0, np.uint64)
+        return starts, every & np.uint64((1 << 64) - (1 << 64 - bits))
 
 
 def pack_documents(documents: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of about ``PACK`` bytes of text each: pack (an id), n (bytes), payload (compressed documents)."""
+    """Rows of about ``PACK`` bytes of text each: pack (an id), n (bytes), payload (compressed: ``columns``, then the text)."""
+    names = [f"c{k}" for k in range(len(columns))] + ["text"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, base = 0, TaskContext.get().partitionId() << 32
@@ -88,15 +99,31 @@ def pack_documents(documents: DataFrame, columns: list[str]) -> DataFrame:
                 made += 1
                 lo = hi
 
-    return documents.select(*columns, "text").mapInArrow(pack, "pack long, n long, payload binary")
+    read = documents.select(*(F.col(c).alias(n) for c, n in zip([*columns, "text"], names, strict=True)))
+    return read.mapInArrow(pack, "pack long, n long, payload binary")
+
+
+def unpack(payload: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(payload)).read_all().combine_chunks().to_batches()[0]
+
+
+def _texts(payload: bytes) -> Words:
+    return Words([(t or "").encode() for t in unpack(payload).column("text").to_pylist()])
 
 
-def unpack(payload: bytes) -> pa.Table:
-    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(payload)).read_all()
+def _zip(*arrays: np.ndarray) -> bytes:
+    return zstandard.compress(b"".join(a.tobytes() for a in arrays), 1)
 
 
-def _texts(payload: bytes) -> list[Words]:
-    return [Words((t or "").encode()) for t in unpack(payload).column("text").to_pylist()]
+def _unzip(raw: bytes, *kinds: str) -> list[np.ndarray]:
+    """Equally long arrays of these kinds."""
+    raw = zstandard.decompress(raw)
+    n = len(raw) // sum(np.dtype(k).itemsize for k in kinds)
+    out, at = [], 0
+    for k in kinds:
+        out.append(np.frombuffer(raw, k, n, at))
+        at += out[-1].nbytes
+    return out
 
 
 class Entries:
@@ -106,50 +133,62 @@ class Entries:
     """
 
     def __init__(self, hashes: np.ndarray, buckets: int):
-        self.order, self.rows, self.count = np.unique(hashes, return_inverse=True, return_counts=True)
+        self.order, self.first, self.rows, self.count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
         self.bits = buckets.bit_length() - 1  # a bucket is named by the first bits, so hashes in order are in order of bucket too
         limits = np.arange(1, buckets, dtype=np.uint64) << np.uint64(64 - self.bits)
         self.cuts = np.concatenate([[0], np.searchsorted(self.order, limits), [len(self.order)]])
 
-    def answers(self, found: dict[int, bytes]) -> np.ndarray:
+    def answers(self, found: list[dict]) -> np.ndarray:
         """For every occurrence, whether its hash was found to be repeated. found: a bitmap for each bucket."""
         hit = self.count > 1
-        for bucket, bits in found.items():
-            lo, hi = self.cuts[bucket], self.cuts[bucket + 1]
-            hit[lo:hi] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo).astype(bool)
+        for x in found:
+            lo, hi = self.cuts[x["bucket"]], self.cuts[x["bucket"] + 1]
+            hit[lo:hi] |= np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=hi - lo).astype(bool)
         return hit[self.rows]
 
+    def send(self, pack: int, width: int, marked: np.ndarray | None = None, at: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        """A row for each bucket that has entries: of each hash the ``width`` bytes after the bucket's bits, with a bit (marked) or a place (at)."""
+        full = [b for b in range(len(self.cuts) - 1) if self.cuts[b] < self.cuts[b + 1]]
+        hashes, extra = [], []
+        for b in full:
+            lo, hi = self.cuts[b], self.cuts[b + 1]
+            raw = (self.order[lo:hi] << np.uint64(self.bits)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :width]
+            hashes.append(raw.tobytes())
+            extra.append(np.packbits(marked[lo:hi]).tobytes() if at is None else at[lo:hi].astype(np.uint32).tobytes())
+        if full:
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([pack] * len(full), pa.int64()), pa.array(hashes, pa.binary()), pa.array(extra, pa.binary())], ["bucket", "pack", "hashes", "extra"])
 
-_SENT = "bucket int, pack long, hashes binary, marks binary"
 
+_SENT = "bucket int, pack long, hashes binary, extra binary"
 
-def _send(pack: int, entries: Entries, marked: np.ndarray, width: int) -> pa.RecordBatch | None:
-    """One row for each bucket that has entries: of each hash the ``width`` bytes after the bucket's bits, and a bit for its mark."""
-    full = [b for b in range(len(entries.cuts) - 1) if entries.cuts[b] < entries.cuts[b + 1]]
-    hashes, marks = [], []
-    for b in full:
-        lo, hi = entries.cuts[b], entries.cuts[b + 1]
-        raw = (entries.order[lo:hi] << np.uint64(entries.bits)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :width]
-        hashes.append(raw.tobytes())
-        marks.append(np.packbits(marked[lo:hi]).tobytes())
-    if not full:
-        return None
-    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([pack] * len(full), pa.int64()), pa.array(hashes, pa.binary()), pa.array(marks, pa.binary())], ["bucket", "pack", "hashes", "marks"])
 
+def _values(part: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """All hashes of a bucket, and where each row's begin and end."""
+    hashes = [np.frombuffer(h, np.uint8).reshape(-1, width) for h in part.column("hashes").to_pylist()]
+    wide = np.zeros((sum(map(len, hashes)), 8), np.uint8)
+    np.concatenate(hashes, out=wide[:, 8 - width :])
+    return wide.view(">u8").ravel().astype(np.uint64), np.cumsum([0, *map(len, hashes)])
 
-def _meet(sent: DataFrame, width: int) -> DataFrame:
-    """Repeated hashes: those that two packs sent, at least one of them with its mark. A bitmap for each row sent."""
+
+def _chained(values: np.ndarray) -> np.ndarray:
+    """For each place that of the equal value before it, for the first of several that of the second; -1 if none is equal."""
+    order = np.argsort(values, kind="stable")
+    same = values[order][1:] == values[order][:-1]
+    out = np.full(len(values), -1)
+    out[order[:-1][same]] = order[1:][same]
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def _hits(sent: DataFrame, width: int) -> DataFrame:
+    """``found``, for each pack: in every bucket a bitmap of the hashes that two packs sent, at least one of them with its mark."""
 
     def meet(part: pa.Table) -> pa.Table:
-        hashes = [np.frombuffer(h, np.uint8).reshape(-1, width) for h in part.column("hashes").to_pylist()]
-        marks = [np.unpackbits(np.frombuffer(m, np.uint8), count=len(h)) for m, h in zip(part.column("marks").to_pylist(), hashes, strict=True)]
-        wide = np.zeros((sum(map(len, hashes)), 8), np.uint8)
-        np.concatenate(hashes, out=wide[:, 8 - width :])
-        values = wide.view(">u8").ravel().astype(np.uint64)
+        values, cuts = _values(part, width)
+        marks = [np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(part.column("extra").to_pylist(), np.diff(cuts), strict=True)]
         _, inverse, count = np.unique(values, return_inverse=True, return_counts=True)
         marked = np.bincount(inverse, np.concatenate(marks), len(count)) > 0
         hit = ((count > 1) & marked)[inverse]
-        cuts = np.cumsum([0, *map(len, hashes)])
         bits = [np.packbits(hit[a:b]).tobytes() if hit[a:b].any() else None for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         out = pa.table({"bucket": part.column("bucket"), "pack": part.column("pack"), "bits": pa.array(bits, pa.binary())})
         return out.filter(pc.is_valid(out.column("bits")))
@@ -158,111 +197,249 @@ def _meet(sent: DataFrame, width: int) -> DataFrame:
     return met.groupBy("pack").agg(F.collect_list(F.struct("bucket", "bits")).alias("found"))
 
 
-def _map_packs(packs: DataFrame, make: Callable[[int, bytes, dict[int, bytes]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def _partners(sent: DataFrame, width: int) -> DataFrame:
+    """For each pack and bucket: of every hash that other packs have too, its place here, one of those packs and its place there.
+
+    Packs with equal hashes form a chain: each gets the one before it, the first gets the second. So however many
+    packs share a passage, none is named by more than two others.
+    """
+
+    def meet(part: pa.Table) -> pa.Table:
+        part = part.sort_by("pack")
+        values, cuts = _values(part, width)
+        packs = np.repeat(part.column("pack").to_numpy(), np.diff(cuts))
+        place = np.frombuffer(b"".join(part.column("extra").to_pylist()), np.uint32).astype(np.int64)
+        other = _chained(values)
+        out = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            own = a + np.flatnonzero(other[a:b] >= 0)
+            own = own[np.argsort(place[own])]
+            to = other[own]
+            out.append(_zip(np.diff(place[own], prepend=0).astype(np.uint32), packs[to], (place[to] - place[own]).astype(np.int32)) if len(own) else None)
+        table = pa.table({"pack": part.column("pack"), "met": pa.array(out, pa.binary())})
+        return table.filter(pc.is_valid(table.column("met")))
+
+    return sent.groupBy("bucket").applyInArrow(meet, "pack long, met binary")
+
+
+def _runs(own: np.ndarray, pack: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of windows whose partners follow each other too: first place, partner's pack and first place, number."""
+    order = np.lexsort((there, pack, own))
+    own, pack, there = own[order], pack[order], there[order]
+    first = np.ones(len(own), bool)
+    first[1:] = (own[1:] != own[:-1] + 1) | (pack[1:] != pack[:-1]) | (there[1:] != there[:-1] + 1)
+    begin = np.flatnonzero(first)
+    return own[begin], pack[begin], there[begin], np.diff(np.append(begin, len(own)))
+
+
+def _equal(here: list[bytes], there: list[bytes], window: int) -> np.ndarray:
+    """Which windows of two equally long runs of words are equal word by word."""
+    n = len(here) - window + 1
+    if here == there:
+        return np.ones(n, bool)
+    sums = np.cumsum([0, *(a == b for a, b in zip(here, there, strict=True))])
+    return sums[window:] - sums[:n] == window
+
+
+def _map_rows(rows: DataFrame, make: Callable[[dict], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                yield from make(row["pack"], row["payload"], {x["bucket"]: x["bits"] for x in row.get("found") or []})
+                yield from make(batch.slice(i, 1).to_pylist()[0])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _gathered(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.groupBy("pack").agg(F.collect_list(F.struct(*columns)).alias("got"))
 
-    return packs.mapInArrow(run, schema)
 
+def _ranges(gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    turns = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+    return turns[::2], turns[1::2]
 
-def dedup_substrings(documents: DataFrame, window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
+
+def _covered(starts: np.ndarray, n: int, window: int) -> np.ndarray:
+    """Of n words, those that the windows at ``starts`` cover."""
+    edges = np.zeros(n + 1, np.int64)
+    np.add.at(edges, starts, 1)
+    np.add.at(edges, starts + window, -1)
+    return np.cumsum(edges[:-1]) > 0
+
+
+def dedup_substrings(documents: DataFrame, window: int = WINDOW, keep: list[str] | None = None, bits: int = 64) -> DataFrame:
     """Remove every word covered by a window of ``window`` words whose sequence also starts anywhere else.
 
     Words are runs of anything but ASCII white space. Blocks of (window + 1) // 2 words at multiples of that
     length are the reference index; every window holds one whole. All rolling windows of a block's length probe
-    it: a hit is a probe whose hash a reference block has too, elsewhere. Hits are extended to every window that
-    holds one, and those windows meet by their own 64-bit hashes, so that maximal exact repeats, and nothing but
-    them, are covered. Windows are judged on the input.
-
-    Documents travel in packs. A pack sends each distinct hash once to the bucket of its range and gets a bit
-    back, so a passage that a third of all documents hold counts once a pack, no pair of occurrences is ever
-    made, and a bucket's size is bounded by the number of its hashes.
-
-    Returns the columns in ``keep`` (default: doc_id), then n_words, n_removed, text (the kept words joined by
-    one space) and spans (covered [start, end) word ranges, merged), one row per input row. Null and empty texts
-    have no words and an empty text. Repeated rows are documents of their own, so they repeat each other. Empty
-    tables give no rows. Other columns are ignored.
+    it: a hit is a probe that a reference block elsewhere has the hash of. Round hits, windows look for a partner
+    of the same hash; partners that follow each other are one run, the maximal repeat round its hits, and its
+    words are compared with the partner's own words. Only windows found equal word by word are removed. If a
+    window's partner turns out to differ, all windows of its hash are grouped by their words instead, so hashes
+    decide nothing. Windows are judged on the input.
+
+    Documents travel in packs. A pack sends each distinct hash once to the bucket of its range, so a passage that
+    a third of all documents hold counts once a pack, and as partners form chains, no pack is asked for a passage
+    more than twice. No pair of occurrences beyond that is made.
+
+    Returns the columns in ``keep`` (default: doc_id), then n_words, n_removed, text (the kept words joined by one
+    space) and spans (covered [start, end) word ranges, merged), one row per input row; columns of these names in
+    ``keep`` are replaced. Hashes have ``bits`` bits, on which the result doesn't depend.
+    Null and empty texts have no words and an empty text. Repeated rows are documents of their own, so they
+    repeat each other. Empty tables give no rows. Other columns are ignored.
     """
-    return _dedup(documents, window, ["doc_id"] if keep is None else keep, False)
+    columns = [c for c in (["doc_id"] if keep is None else keep) if c not in ("n_words", "n_removed", "text", "spans")]
+    return _dedup(documents, window, columns, False, bits)
 
 
-def _dedup(documents: DataFrame, window: int, columns: list[str], digest: bool) -> DataFrame:
+def _dedup(documents: DataFrame, window: int, columns: list[str], digest: bool, bits: int = 64) -> DataFrame:
     block = (window + 1) // 2
     packs = checkpointed(pack_documents(documents, columns))
     n_bytes = packs.agg(F.sum("n")).first()[0] or 0
     buckets = 1 << max(6, int(n_bytes // (6 * BUCKET_ROWS)).bit_length())  # about six bytes a word
 
-    def probes(texts: list[Words]) -> tuple[Entries, np.ndarray]:
-        hashes = [t.hashes(block) for t in texts]
-        entries = Entries(np.concatenate(hashes), buckets)
+    def send_probes(row: dict) -> Iterator[pa.RecordBatch]:
+        texts = _texts(row["payload"])
+        starts, hashes = texts.hashes(block, bits)
+        entries = Entries(hashes, buckets)
+        begin = np.repeat(texts.cuts[:-1], np.diff(texts.cuts))[starts]
         marked = np.zeros(len(entries.order), bool)
-        at = np.concatenate([np.arange(len(h)) % block == 0 for h in hashes])
-        marked[entries.rows[at]] = True
-        return entries, marked
-
-    def candidates(texts: list[Words], found: dict[int, bytes]) -> tuple[Entries, list[np.ndarray]]:
-        """Of the windows that hold a hit: their entries and, for each text, their starts."""
-        entries, _ = probes(texts)
-        hit = entries.answers(found)
-        hashes, starts, lo = [], [], 0
-        for t in texts:
-            n = len(t.words) - window + 1
-            own = hit[lo : lo + max(0, len(t.words) - block + 1)]
-            lo += len(own)
-            if n <= 0 or not own.any():
-                starts.append(np.zeros(0, np.int64))
-                continue
-            sums = np.concatenate([[0], np.cumsum(own)])
-            reach = np.arange(n) + window - block + 1
-            starts.append(np.flatnonzero(sums[np.minimum(reach, len(own))] > sums[:n]))
-            hashes.append(t.hashes(window)[starts[-1]])
-        return Entries(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), buckets), starts
-
-    def send_probes(pack: int, payload: bytes, _: dict) -> Iterator[pa.RecordBatch]:
-        entries, marked = probes(_texts(payload))
-        if (out := _send(pack, entries, marked, 5)) is not None:
-            yield out
-
-    def send_windows(pack: int, payload: bytes, found: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
-        entries, _ = candidates(_texts(payload), found)
-        if (out := _send(pack, entries, np.ones(len(entries.order), bool), 8)) is not None:
-            yield out
-
-    def cut(pack: int, payload: bytes, found: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
-        """found: of bucket b the answer to its probes, of buckets + b to its windows."""
-        rows = unpack(payload).combine_chunks().to_batches()[0]
-        texts = [Words((t or "").encode()) for t in rows.column("text").to_pylist()]
-        entries, starts = candidates(texts, {b: x for b, x in found.items() if b < buckets})
-        repeated = entries.answers({b - buckets: x for b, x in found.items() if b >= buckets})
-        lo, removed, kept, spans = 0, [], [], []
-        for t, at in zip(texts, starts, strict=True):
-            bad = at[repeated[lo : lo + len(at)]]
-            lo += len(at)
-            edges = np.zeros(len(t.words) + 1, np.int64)
-            np.add.at(edges, bad, 1)
-            np.add.at(edges, bad + window, -1)
-            gone = np.cumsum(edges[:-1]) > 0
-            removed.append(int(gone.sum()))
-            left = b" ".join([w for w, g in zip(t.words, gone, strict=True) if not g]) if removed[-1] else t.joined.tobytes()
+        marked[entries.rows[(starts - begin) % block == 0]] = True
+        return entries.send(row["pack"], PROBE_BYTES, marked)
+
+    def candidates(row: dict) -> Iterator[pa.RecordBatch]:
+        """The spans of words whose every window holds a hit: where they begin in the pack, and their words."""
+        texts = _texts(row["payload"])
+        starts, hashes = texts.hashes(block, bits)
+        hit = np.zeros(len(texts.words) + 1, np.int64)
+        hit[starts + 1] = Entries(hashes, buckets).answers(row["found"] or [])
+        sums = np.cumsum(hit)
+        room = np.repeat(texts.cuts[1:], np.diff(texts.cuts)) - np.arange(len(texts.words))
+        first = np.flatnonzero(room >= window)
+        held = np.zeros(len(texts.words), bool)
+        held[first] = sums[first + window - block + 1] > sums[first]
+        own = np.repeat(np.arange(len(texts.cuts) - 1), np.diff(texts.cuts))
+        begin, end = _ranges(held)
+        cut = [np.flatnonzero(np.diff(own[a:b])) + a + 1 for a, b in zip(begin, end, strict=True)]  # windows of two texts can follow each other
+        begin = np.sort(np.concatenate([begin, *cut]))
+        end = np.sort(np.concatenate([end, *cut]))
+        if len(begin):
+            spans = b"\n".join(b" ".join(texts.words[a : b + window - 1]) for a, b in zip(begin.tolist(), end.tolist(), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([row["pack"]], pa.int64()), pa.array([_zip(begin.astype(np.uint32))], pa.binary()), pa.array([zstandard.compress(spans, 3)], pa.binary())], ["pack", "begin", "spans"])
+
+    def read(row: dict) -> tuple[Words, np.ndarray, np.ndarray]:
+        """Words of the spans, and place and hash of each window."""
+        words = Words(zstandard.decompress(row["spans"]).split(b"\n"))
+        return words, *words.hashes(window, bits)
+
+    def send_windows(row: dict) -> Iterator[pa.RecordBatch]:
+        _, starts, hashes = read(row)
+        entries = Entries(hashes, buckets)
+        return entries.send(row["pack"], WINDOW_BYTES, at=starts[entries.first])
+
+    def ask(row: dict) -> Iterator[pa.RecordBatch]:
+        own, packs_, there = [], [], []
+        for x in row["got"]:
+            a, b, c = _unzip(x["met"], "<u4", "<i8", "<i4")
+            own.append(np.cumsum(a.astype(np.int64)))
+            packs_.append(b)
+            there.append(own[-1] + c)
+        own, ref, there, n = _runs(*map(np.concatenate, (own, packs_, there)))
+        order = np.argsort(ref, kind="stable")
+        names, begin = np.unique(ref[order], return_index=True)
+        for name, k in zip(names.tolist(), np.split(order, begin[1:]), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([row["pack"]], pa.int64()), pa.array([_zip(*(x[k].astype(np.uint32) for x in (own, there, n)))], pa.binary())], ["pack", "asks", "runs"])
+
+    def answer(row: dict) -> Iterator[pa.RecordBatch]:
+        words = Words(zstandard.decompress(row["spans"]).split(b"\n")).words
+        for x in row["got"]:
+            _, there, n = _unzip(x["runs"], "<u4", "<u4", "<u4")
+            text = b"\n".join(b" ".join(words[a : a + k + window - 1]) for a, k in zip(there.tolist(), n.tolist(), strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([x["asks"]], pa.int64()), pa.array([x["runs"]], pa.binary()), pa.array([zstandard.compress(text, 3)], pa.binary())], ["pack", "runs", "text"])
+
+    def judge(row: dict) -> Iterator[pa.RecordBatch]:
+        """Windows found equal to another one, as ranges of the pack's words; and places of those with partners, but none equal."""
+        words, starts, hashes = read(row)
+        met, equal = np.zeros(len(words.words), bool), np.zeros(len(words.words), bool)
+        other = _chained(hashes)  # partners within the pack
+        own, there = starts[other >= 0], starts[other[other >= 0]]
+        for a, _, b, n in zip(*(x.tolist() for x in _runs(own, np.zeros(len(own), np.int64), there)), strict=True):
+            met[a : a + n] = True
+            equal[a : a + n] |= _equal(words.words[a : a + n + window - 1], words.words[b : b + n + window - 1], window)
+        for x in row["got"] or []:
+            own, _, many = _unzip(x["runs"], "<u4", "<u4", "<u4")
+            for a, n, text in zip(own.tolist(), many.tolist(), zstandard.decompress(x["text"]).split(b"\n"), strict=True):
+                met[a : a + n] = True
+                equal[a : a + n] |= _equal(words.words[a : a + n + window - 1], text.split(b" "), window)
+        failed = np.flatnonzero(met & ~equal)
+        yield pa.RecordBatch.from_arrays([pa.array([row["pack"]], pa.int64()), pa.array([origin(row, words, np.flatnonzero(equal))], pa.binary()), pa.array([_zip(failed.astype(np.uint32)) if len(failed) else None], pa.binary())], ["pack", "gone", "failed"])
+
+    def origin(row: dict, words: Words, at: np.ndarray) -> bytes:
+        """The windows at these places of the spans, as ranges of the pack's words."""
+        (begin,) = _unzip(row["begin"], "<u4")
+        span = np.searchsorted(words.cuts, at, "right") - 1
+        at = begin[span].astype(np.int64) + at - words.cuts[span]
+        first, last = _ranges(_covered(at, int(at.max(initial=0)) + window, window)) if len(at) else (at, at)
+        return _zip(first.astype(np.uint32), last.astype(np.uint32))
+
+    def send_failed(row: dict) -> Iterator[pa.RecordBatch]:
+        _, starts, hashes = read(row)
+        entries = Entries(hashes, buckets)
+        marked = np.zeros(len(entries.order), bool)
+        if row["failed"]:
+            marked[entries.rows[np.searchsorted(starts, _unzip(row["failed"], "<u4")[0])]] = True
+        return entries.send(row["pack"], WINDOW_BYTES, marked)
+
+    def spell(row: dict) -> Iterator[pa.RecordBatch]:
+        """The words of all windows whose hash failed somewhere."""
+        words, starts, hashes = read(row)
+        entries = Entries(hashes, buckets)
+        at = starts[entries.answers(row["found"] or [])].tolist()
+        for lo in range(0, len(at), 4096):
+            own = at[lo : lo + 4096]
+            yield pa.RecordBatch.from_arrays([pa.array([row["pack"]] * len(own), pa.int64()), pa.array(own, pa.int64()), pa.array([b" ".join(words.words[a : a + window]) for a in own], pa.binary())], ["pack", "at", "words"])
+
+    def place(row: dict) -> Iterator[pa.RecordBatch]:
+        words, _, _ = read(row)
+        at = np.sort(np.array([x["at"] for x in row["got"]], np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([row["pack"]], pa.int64()), pa.array([origin(row, words, at)], pa.binary())], ["pack", "gone"])
+
+    def cut(row: dict) -> Iterator[pa.RecordBatch]:
+        rows = unpack(row["payload"])
+        texts = Words([(t or "").encode() for t in rows.column("text").to_pylist()])
+        gone = np.zeros(len(texts.words), bool)
+        for x in row["got"] or []:
+            for a, b in zip(*(v.tolist() for v in _unzip(x["gone"], "<u4", "<u4")), strict=True):
+                gone[a:b] = True
+        removed, kept, spans = [], [], []
+        for a, b in zip(texts.cuts[:-1].tolist(), texts.cuts[1:].tolist(), strict=True):
+            words, own = texts.words[a:b], gone[a:b]
+            removed.append(int(own.sum()))
+            left = b" ".join([w for w, g in zip(words, own.tolist(), strict=True) if not g] if removed[-1] else words)
             kept.append(hashlib.sha256(left).hexdigest() if digest else left.decode())
-            turns = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-            spans.append([] if digest else [{"start": int(a), "end": int(b)} for a, b in zip(turns[::2], turns[1::2], strict=True)])
+            spans.append([] if digest else [{"start": int(s), "end": int(e)} for s, e in zip(*_ranges(own), strict=True)])
         names = [*columns, "n_words", "n_removed", *(["kept_sha256"] if digest else ["text", "spans"])]
-        new = [pa.array([len(t.words) for t in texts], pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
+        new = [pa.array(np.diff(texts.cuts), pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
         new += [] if digest else [pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
-        yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in columns), *new], names)
-
-    hits = checkpointed(_meet(_map_packs(packs, send_probes, _SENT), 5))
-    with_hits = packs.join(hits, "pack", "left")
-    repeats = _meet(_map_packs(with_hits, send_windows, _SENT), 8)
-    shifted = repeats.select("pack", F.transform("found", lambda x: F.struct((x["bucket"] + buckets).alias("bucket"), x["bits"].alias("bits"))).alias("found"))
-    both = hits.unionByName(shifted).groupBy("pack").agg(F.flatten(F.collect_list("found")).alias("found"))
+        yield pa.RecordBatch.from_arrays([*rows.columns[:-1], *new], names)
+
+    hits = _hits(_map_rows(packs, send_probes, _SENT), PROBE_BYTES)
+    spans = checkpointed(_map_rows(packs.join(hits, "pack", "left").select("pack", "payload", "found"), candidates, "pack long, begin binary, spans binary"))
+    met = _gathered(_partners(_map_rows(spans, send_windows, _SENT), WINDOW_BYTES), "met")
+    asked = _gathered(_map_rows(met, ask, "pack long, asks long, runs binary"), "asks", "runs")
+    texts = _gathered(_map_rows(spans.join(asked, "pack"), answer, "pack long, runs binary, text binary"), "runs", "text")
+    judged = checkpointed(_map_rows(spans.join(texts, "pack", "left"), judge, "pack long, gone binary, failed binary"))
+    gone = judged.select("pack", "gone")
+    if judged.where(F.col("failed").isNotNull()).limit(1).count():  # some windows of one hash differ
+        failed = spans.join(judged.select("pack", "failed"), "pack", "left")
+        again = spans.join(_hits(_map_rows(failed, send_failed, _SENT), WINDOW_BYTES), "pack", "left")
+        spelt = checkpointed(_map_rows(again, spell, "pack long, at long, words binary"))
+        twice = spelt.groupBy("words").count().where("count > 1").select("words")
+        more = _gathered(spelt.join(twice, "words").select("pack", "at"), "at")
+        gone = gone.unionByName(_map_rows(spans.join(more, "pack"), place, "pack long, gone binary"))
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*columns).schema.fields)
     tail = "n_words long, n_removed long, " + ("kept_sha256 string" if digest else "text string, spans array<struct<start long, end long>>")
-    return _map_packs(packs.join(both, "pack", "left"), cut, f"{own}, {tail}" if own else tail)
+    return _map_rows(packs.join(_gathered(gone, "gone"), "pack", "left"), cut, f"{own}, {tail}" if own else tail)
 
 
 def op3_dedup_substrings(spark, sf_dir):

@@ -36,8 +36,7 @@ def awkward(seed=0, n=40):
     return [*out, " ".join(rng.choice(words) for _ in range(3000)), *out[-3:]]
 
 
-def test_substrings(spark):
-    texts = awkward()
+def substrings_by_brute_force(texts):
     count = collections.Counter()
     words = [WORD.findall(t or "") for t in texts]
     for w in words:
@@ -49,23 +48,52 @@ def test_substrings(spark):
             if count[tuple(w[k : k + 35])] > 1:
                 gone[k : k + 35] = [True] * 35
         want[i] = (len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g))
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["text"]) for r in substrings.dedup_substrings(documents(spark, texts)).collect()}
+    return want
+
+
+@pytest.mark.parametrize("bits", [64, 12, 5])
+@pytest.mark.parametrize("seed", [0, 7])
+def test_substrings(spark, bits, seed):
+    texts = awkward(seed)
+    want = substrings_by_brute_force(texts)
+    docs = documents(spark, texts).repartition(5)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["text"]) for r in substrings.dedup_substrings(docs, bits=bits).collect()}
     assert got == want and sum(v[1] for v in want.values()) > 500
 
 
+def test_substrings_overlapping_repeats(spark):
+    """Repeats with different partners, within one text, of one word only, and at ends of texts."""
+    w = [f"q{i}" for i in range(200)]
+    texts = [" ".join(x) for x in (w[:40] + w[100:160], w[:40] + w[60:99], w[20:40] + w[100:140], ["a"] * 90, ["a"] * 34, ["b", "c"] * 40, w[:35], w[:34], w[1:35] + w[:34], w[165:] + w[165:])]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["text"]) for r in substrings.dedup_substrings(documents(spark, texts).repartition(3)).collect()}
+    assert got == substrings_by_brute_force(texts)
+
+
+def test_substrings_compare_words(spark):
+    """Complementary Thue-Morse words collide under any polynomial hash modulo a power of two."""
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    rest = " ".join(f"u{i}" for i in range(34))
+    docs = spark.createDataFrame([(1, f"{thue} {rest}"), (2, f"{thue.translate({97: 98, 98: 97})} {rest}")], "doc_id long, text string")
+    for bits in (64, 3):
+        assert [r["n_removed"] for r in substrings.dedup_substrings(docs, bits=bits).collect()] == [0, 0]
+
+
 def test_substrings_repeated_rows_and_empty(spark):
     t = " ".join(f"u{i}" for i in range(40))
     twice = spark.createDataFrame([(None, t), (None, t), (3, "short")], "doc_id long, text string")
     got = sorted((r["doc_id"] or 0, r["n_removed"], len(r["spans"])) for r in substrings.dedup_substrings(twice).collect())
     assert got == [(0, 40, 1), (0, 40, 1), (3, 0, 0)]
     assert substrings.dedup_substrings(twice.limit(0)).count() == 0
+    clash = twice.select("doc_id", "text", *(F.lit(c).alias(c) for c in ("pack", "payload", "spans", "c0", "n_words")))
+    got = substrings.dedup_substrings(clash, keep=clash.columns).orderBy("doc_id").collect()[-1]
+    assert got.asDict() == {"doc_id": 3, "pack": "pack", "payload": "payload", "c0": "c0", "n_words": 1, "n_removed": 0, "text": "short", "spans": []}
 
 
 def test_segments_don_t_change_hashes(monkeypatch):
-    w = substrings.Words(" ".join(f"v{i % 50}" for i in range(500)).encode())
+    w = substrings.Words([" ".join(f"v{i % 50}" for i in range(500)).encode(), b"x y", b"", b"a b c d e f"])
     whole = w.hashes(5)
     monkeypatch.setattr(substrings, "_SEGMENT", 7)
-    assert (w.hashes(5) == whole).all()
+    assert (w.hashes(5)[1] == whole[1]).all() and whole[0].tolist() == [*range(496), 502, 503]
 
 
 def test_lines(spark):
