@@ -12,149 +12,200 @@ from pyspark.sql import functions as F
 
 from .common import remainder, table
 
-#: Documents of a language that its statistics are taken from, at most.
+#: Documents that statistics are taken from, at most: of a language, and of all together.
 TRAINING_DOCUMENTS = 400
-#: Contexts of three symbols that are kept, the most frequent ones; rarer ones fall back on two symbols.
-CONTEXTS = 24_000
-_SYMBOLS = 64
+TRAINING_TOTAL = 20_000
+#: Bytes of the longest contexts, and how often a context has to be seen to be a node of its tree.
+ORDER = 4
+LEAST = 2
 _LETTER = regex.compile(r"\p{L}")
 _SLICE = 1 << 20
 
 
-def _fold() -> np.ndarray:
-    """A-Z to a-z, digits to 0, ASCII white space to a space."""
-    fold = np.arange(256, dtype=np.uint8)
-    fold[65:91] += 32
-    fold[48:58] = 48
-    fold[9:14] = 32
-    return fold
+class _Costs:
+    """A hash table from integer codes to bits, looked up by whole arrays."""
+
+    def __init__(self, codes: np.ndarray, bits: np.ndarray):
+        self.shift = np.uint64(64 - max(4, (2 * len(codes)).bit_length()))
+        self.codes = np.zeros(1 << int(64 - self.shift), np.uint64)  # code + 1; 0: free
+        self.bits = np.zeros(len(self.codes), np.float32)
+        slots, waiting = self._slots(codes), np.arange(len(codes))
+        while len(waiting):
+            at, first = np.unique(slots[waiting], return_index=True)
+            first = waiting[first[self.codes[at] == 0]]
+            self.codes[slots[first]], self.bits[slots[first]] = codes[first] + np.uint64(1), bits[first]
+            waiting = np.setdiff1d(waiting, first, assume_unique=True)
+            slots[waiting] = (slots[waiting] + 1) % len(self.codes)
+
+    def _slots(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, codes: np.ndarray) -> np.ndarray:
+        """The bits of each code, -1 if it is not in the table."""
+        slots, want = self._slots(codes), codes + np.uint64(1)
+        out = np.full(len(codes), -1, np.float32)
+        there = self.codes[slots]
+        hit = there == want
+        out[hit] = self.bits[slots[hit]]
+        on = np.flatnonzero(~hit & (there != 0))
+        while len(on):
+            slots[on] = (slots[on] + 1) % len(self.codes)
+            there = self.codes[slots[on]]
+            hit = there == want[on]
+            out[on[hit]] = self.bits[slots[on[hit]]]
+            on = on[~hit & (there != 0)]
+        return out
+
+
+class _Tree:
+    """Contexts of one language, up to ``order`` bytes long, and what they cost.
+
+    A context that was seen n times with q distinct followers escapes with probability q / (n + q) to the context
+    without its first byte; a follower seen c times has c / (n + q), and its share of what escapes. Below no
+    context all 256 bytes are equally likely. A context seen less than ``least`` times is no node: the tree stops
+    above it. ``seen[k]`` has the bits of every follower of a context of k bytes, by the code of both;
+    ``escape[k]`` the bits of the escape from each context of k bytes. The sum over the 256 bytes is 1 after
+    every context, so bits are exact code lengths.
+    """
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, order: int, least: int):
+        """codes: the distinct runs of order + 1 bytes, big-endian; counts: how often each was seen."""
+        lower = np.full(256, 1 / 256)
+        self.seen, self.escape = [], []
+        for k in range(order + 1):
+            own, place = np.unique(codes & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
+            c = np.bincount(place, counts, len(own))
+            context, at = np.unique(own >> np.uint64(8), return_inverse=True)
+            n, q = np.bincount(at, c), np.bincount(at).astype(float)
+            below = lower if not k else shorter[np.searchsorted(names, own & np.uint64((1 << 8 * k) - 1))]
+            if not k:
+                p = np.zeros(256)
+                p[own.astype(np.int64)] = c
+                shorter = (p + q[0] * below) / (n[0] + q[0])
+                names = np.arange(256, dtype=np.uint64)
+                self.none = -np.log2(shorter).astype(np.float32)
+                continue
+            node = n >= least
+            p = np.where(node[at], (c + q[at] * below) / (n + q)[at], below)
+            self.seen.append(_Costs(own[node[at]], -np.log2(p[node[at]])))
+            self.escape.append(_Costs(context[node], -np.log2(q[node] / (n + q)[node])))
+            shorter, names = p, own
+
+    def bits(self, code: np.ndarray) -> np.ndarray:
+        """The cost of the last byte of each code, given the bytes before it."""
+        out, at = np.zeros(len(code), np.float32), None
+        for k in range(len(self.seen), 0, -1):
+            found = self.seen[k - 1].get(code)
+            missed = np.flatnonzero(found < 0)
+            if at is None:
+                out, at = np.maximum(found, 0), missed
+            else:
+                out[at] += np.maximum(found, 0)
+                at = at[missed]
+            if not len(at):
+                return out
+            code = code[missed]
+            out[at] += np.maximum(self.escape[k - 1].get(code >> np.uint64(8)), 0)
+            code &= np.uint64((1 << 8 * k) - 1)
+        out[at] += self.none[code.astype(np.int64)]
+        return out
+
+    def nbytes(self) -> int:
+        return sum(t.codes.nbytes + t.bits.nbytes for t in self.seen + self.escape)
 
 
 class PPM:
-    """Frozen context trees of all languages over one alphabet of at most 64 symbols.
-
-    The alphabet is the 63 most frequent folded bytes; the last symbol stands for all others, which share its
-    probability evenly. A context of k symbols that was seen n times with q distinct followers gives a follower
-    seen c times c / (n + q) and escapes with q / (n + q) to the context of k - 1 symbols, there without the
-    symbols that it has itself (exclusion); below no context all symbols are equally likely. As the statistics
-    don't change while a text is scored, the cost in bits of each symbol after each context is tabulated for all
-    languages; the code length of a text is then a sum of table rows.
+    """Frozen context trees, one for each language, over plain bytes: nothing is folded and no byte left out.
+
+    Trees know nothing of each other, so a language keeps all its contexts however many others there are, and
+    the size is that of the bounded sample: ``nbytes`` tells it.
     """
 
-    def __init__(self, langs: list[str], grams: dict[str, tuple[np.ndarray, np.ndarray]], contexts: int = CONTEXTS):
-        """grams: for each language the distinct folded 4-byte codes (big-endian) of its texts, and their counts."""
-        self.langs = langs
-        totals = np.zeros(256)
-        for codes, counts in grams.values():
-            totals += np.bincount((codes & 255).astype(np.int64), counts, 256)
-        kept = [b for b in np.argsort(-totals, kind="stable")[: _SYMBOLS - 1] if totals[b]]
-        symbol = np.full(256, _SYMBOLS - 1, np.uint8)
-        symbol[kept] = np.arange(len(kept))
-        self.symbol = symbol[_fold()]
-        others = max(1, 256 - len(kept))
-
-        sparse = {}
-        weight = np.zeros(_SYMBOLS**3)
-        for lang, (codes, counts) in grams.items():
-            s = [symbol[(codes >> np.uint32(shift)) & 255].astype(np.int64) for shift in (24, 16, 8, 0)]
-            keys, inverse = np.unique(((s[0] * 64 + s[1]) * 64 + s[2]) * 64 + s[3], return_inverse=True)
-            sparse[lang] = keys, np.bincount(inverse, counts)
-            weight += np.bincount(keys >> 6, sparse[lang][1], _SYMBOLS**3)
-        seen = np.flatnonzero(weight)
-        seen = np.sort(seen[np.argsort(-weight[seen], kind="stable")[:contexts]])
-        # a row for each context kept, then one for each context of two symbols
-        self.row = (len(seen) + np.arange(_SYMBOLS**3) % _SYMBOLS**2).astype(np.int32)
-        self.row[seen] = np.arange(len(seen))
-        cost = np.zeros((len(seen) + _SYMBOLS**2, _SYMBOLS, len(langs)), np.float32)
-        for k, lang in enumerate(langs):
-            keys, counts = sparse[lang]
-            lower = np.full((1, _SYMBOLS), 1 / _SYMBOLS)
-            for order in (0, 1, 2):
-                shape = (_SYMBOLS**order, _SYMBOLS)
-                lower = self._blend(np.bincount(keys % _SYMBOLS ** (order + 1), counts, shape[0] * shape[1]).reshape(shape), lower)
-            full = np.zeros((len(seen), _SYMBOLS))
-            at = np.searchsorted(seen, keys >> 6)
-            own = (at < len(seen)) & (seen[np.minimum(at, max(0, len(seen) - 1))] == keys >> 6) if len(seen) else np.zeros(len(keys), bool)
-            full[at[own], keys[own] & 63] = counts[own]
-            top = self._blend(full, lower, seen % _SYMBOLS**2)
-            cost[:, :, k] = -np.log2(np.concatenate([top, lower]))
-        cost[:, _SYMBOLS - 1] += np.log2(others)
-        self.cost = cost.reshape(cost.shape[0] * _SYMBOLS, len(langs))
-
-    @staticmethod
-    def _blend(counts: np.ndarray, lower: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
-        """Probabilities after contexts with these counts. rows: of ``lower``, for each context; by default its number modulo theirs."""
-        below = lower[np.arange(len(counts)) % len(lower) if rows is None else rows]
-        seen = counts > 0
-        n, q = counts.sum(1, keepdims=True), seen.sum(1, keepdims=True)
-        free = np.where(seen, 0, below)
-        rest = free.sum(1, keepdims=True)
-        escape = np.where(rest > 0, q / np.maximum(n + q, 1), 0)
-        stay = np.where(rest > 0, 1 / np.maximum(n + q, 1), 1 / np.maximum(n, 1))
-        return np.where(n > 0, counts * stay + escape * free / np.maximum(rest, 1e-300), below)
+    def __init__(self, langs: list[str], grams: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER, least: int = LEAST):
+        """grams: for each language the distinct codes of order + 1 bytes (big-endian) of its texts, and their counts."""
+        self.langs, self.order = langs, order
+        self.trees = [_Tree(*grams[lang], order, least) for lang in langs]
+
+    def nbytes(self) -> int:
+        return sum(t.nbytes() for t in self.trees)
 
     def lengths(self, texts: list[bytes]) -> np.ndarray:
         """Code lengths in bits, a row for each text, a column for each language. A text starts after spaces."""
         out = np.zeros((len(texts), len(self.langs)))
-        start = self.symbol[32]
-        group: list[int] = []
+        waiting: list[tuple[int, bytes]] = []
         size = 0
         for i, text in enumerate(texts):
-            group.append(i)
-            size += len(text)
-            if size >= _SLICE or i == len(texts) - 1:
-                raw = np.frombuffer(b"".join(b"   " + texts[j] for j in group), np.uint8)
-                ends = np.cumsum([len(texts[j]) + 3 for j in group])
-                for lo in range(0, len(raw), _SLICE):  # a very long text is one group in several slices
-                    part = self.symbol[raw[max(0, lo - 3) : lo + _SLICE]].astype(np.int32)
-                    part = part if lo else np.concatenate([np.full(3, start, np.int32), part])
-                    context = (part[:-3] << 12) | (part[1:-2] << 6) | part[2:-1]
-                    cost = self.cost[self.row[context] * _SYMBOLS + part[3:]]
-                    first = np.searchsorted(ends, lo, "right")
-                    last = np.searchsorted(ends, lo + len(cost), "left")
-                    cuts = np.maximum(np.concatenate([[0], ends[first:last] - lo]), 0)
-                    keep = np.ones(len(cost), bool)
-                    for j in range(first, min(last + 1, len(group))):  # the spaces in front are not part of a text
-                        head = (ends[j - 1] if j else 0) - lo
-                        keep[max(0, head) : max(0, head + 3)] = False
-                    cost[~keep] = 0
-                    spans = cuts[cuts < len(cost)]
-                    sums = np.add.reduceat(cost, spans, axis=0, dtype=np.float64)
-                    for j, row in zip(range(first, first + len(spans)), sums, strict=True):
-                        out[group[j]] += row
-                group, size = [], 0
+            padded = b" " * self.order + text
+            for lo in range(0, len(text), _SLICE):  # memory doesn't grow with a text's length
+                waiting.append((i, padded[lo : lo + _SLICE + self.order]))
+                size += len(waiting[-1][1])
+                if size >= _SLICE:
+                    self._add(out, waiting)
+                    waiting, size = [], 0
+        if waiting:
+            self._add(out, waiting)
         return out
 
+    def _add(self, out: np.ndarray, parts: list[tuple[int, bytes]]) -> None:
+        raw = np.frombuffer(b"".join(p for _, p in parts), np.uint8)
+        size = np.array([len(p) for _, p in parts])
+        begin = np.cumsum(size) - size
+        spans = np.stack([begin, begin + size - self.order], 1).ravel()  # what lies between parts is context only
+        codes, place = np.unique(_codes(raw, self.order), return_inverse=True)
+        for k, tree in enumerate(self.trees):
+            sums = np.add.reduceat(np.append(tree.bits(codes)[place], np.float32(0)), spans, dtype=np.float64)[::2]
+            np.add.at(out[:, k], [i for i, _ in parts], sums)
+
+
+def _codes(raw: np.ndarray, order: int) -> np.ndarray:
+    """Each byte from place ``order`` on and the bytes before it as one number, big-endian."""
+    wide = raw.astype(np.uint64)
+    code = np.zeros(len(raw) - order, np.uint64)
+    for k in range(order + 1):
+        code = (code << np.uint64(8)) | wide[k : k + len(code)]
+    return code
+
+
+def grams(raw: bytes, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes of order + 1 bytes of a text that starts after spaces, and their counts."""
+    return np.unique(_codes(np.frombuffer(b" " * order + raw, np.uint8), order), return_counts=True)
+
 
-def fit_languages(documents: DataFrame, most: int = TRAINING_DOCUMENTS) -> PPM:
-    """PPM statistics of at most ``most`` documents of each non-null ``lang``, those with the least hash of doc_id.
+def fit_languages(documents: DataFrame, most: int = TRAINING_DOCUMENTS, total: int = TRAINING_TOTAL, order: int = ORDER) -> PPM:
+    """PPM statistics of at most ``most`` documents of each non-null ``lang`` and ``total`` of all, those with the least hash of doc_id.
 
-    The sample is chosen without reading texts; 4-byte counts are made and added up on the executors, and only
-    their sums, bounded by the sample, come to the driver.
+    The sample is chosen without reading texts: a bound on the hash, from the number of a language's documents,
+    leaves little more than it, so no task ranks all documents of a language. Runs of bytes are counted and added
+    up on the executors, and only the sums, bounded by the sample, come to the driver. Documents with a null id,
+    lang or text are not learned from; an empty table, or one without labels, gives a model without languages.
+    Rows that repeat an id are sampled together. Only doc_id, lang and text are read.
     """
+    labelled = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text")
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    each = max(1, min(most, total // max(1, counts.count())))
+    bound = counts.select("lang", ((2 * each + 50) / F.col("n")).alias("share"))
+    place = F.xxhash64("doc_id").cast("double") / float(1 << 64) + 0.5
+    few = labelled.select("doc_id", "lang").join(bound, "lang").where(place <= F.col("share"))
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    labelled = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    chosen = labelled.select("doc_id", "lang").withColumn("__n", F.row_number().over(by_hash)).where(F.col("__n") <= most).select("doc_id", "lang")
-    sample = labelled.select("doc_id", "lang", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
+    chosen = few.withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= each).select("doc_id", "lang")
+    sample = labelled.where(F.col("text").isNotNull()).join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fold = _fold()
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = fold[np.frombuffer(b"   " + text.encode(), np.uint8)].astype(np.uint32)
-                codes, n = np.unique(raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:], return_counts=True)
+                codes, n = grams(text.encode(), order)
                 if lang in sums:
                     codes, inverse = np.unique(np.concatenate([sums[lang][0], codes]), return_inverse=True)
                     n = np.bincount(inverse, np.concatenate([sums[lang][1], n])).astype(np.int64)
                 sums[lang] = codes, n
         for lang, (codes, n) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes, pa.int64()), pa.array(n, pa.int64())], ["lang", "code", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(n, pa.int64())], ["lang", "code", "n"])
 
     counted = sample.select("lang", "text").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     found = counted.toArrow().to_pandas()
-    grams = {lang: (g["code"].to_numpy(np.uint32), g["n"].to_numpy(np.float64)) for lang, g in found.sort_values(["lang", "code"]).groupby("lang")}
-    return PPM(sorted(grams), grams)
+    learned = {lang: (g["code"].to_numpy(np.uint64), g["n"].to_numpy(np.float64)) for lang, g in found.sort_values(["lang", "code"]).groupby("lang")}
+    return PPM(sorted(learned), learned, order)
 
 
 def identify_languages(documents: DataFrame, model: PPM, keep: list[str] | None = None) -> DataFrame:
@@ -163,7 +214,8 @@ def identify_languages(documents: DataFrame, model: PPM, keep: list[str] | None
     Returns the input's columns, or those in ``keep``, then lang_pred, score and bits (bits a byte under lang_pred); columns of these
     names are replaced. lang_pred is the language with the shortest code, ties to the smaller name; score is its
     share of 2^-length over the languages. A text that is null or has no letter gets ``und``, score 0 and null
-    bits, as does every text if no language was learned. A map over rows: only texts go to Python.
+    bits, as does every text if no language was learned. An empty table gives no rows; repeated rows are scored
+    alike; all other columns, whatever their names, come through unchanged. A map over rows: only texts go to Python.
     """
     broadcast = documents.sparkSession.sparkContext.broadcast(model)
     columns = [c for c in keep or documents.columns if c not in ("lang_pred", "score", "bits", "text")]
