@@ -10,15 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import remainder, table
+from .common import fresh, remainder, table
 
-#: Training documents of each class, at most, and the bytes of a text that may be one.
+#: Training documents of each class, at most; of any length.
 TRAINING_DOCUMENTS = 2000
-TRAINING_BYTES = 8_192
 BUCKETS = 1 << 18
-#: A subword has a vector if it is in so many segments; log odds are shrunk by so many segments that didn't say.
-LEAST_SEGMENTS = 8
+#: Log odds of a subword are shrunk by so many segments that didn't say.
 SHRINK = 8.0
+#: A toxic text weighs as much in training as its number of segments, but no more than so many.
+MOST_WEIGHT = 8
 #: Words of a text that are averaged together, and how many words of no meaning are averaged with them.
 SEGMENT = 48
 PRIOR = 8
@@ -156,10 +156,11 @@ def _line(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, floa
 def train(texts: list[str], toxic: list[int], share: float, dimensions: int = 4, steps: int = 40, rate: float = 0.5, decay: float = 1e-3, floor: float = 0.03, seed: int = 0) -> SubwordClassifier:
     """Fit subword vectors and the softmax together, by Adam on the segments of three quarters of the texts.
 
-    A segment has its text's label. Vectors start from the shrunken log odds of their subwords in one dimension
-    and near 0 in the others, and decay towards that start. The other texts then give the line from a text's
-    highest segment to its score, weighted to ``share``, the share of toxic documents among all labelled ones.
-    Without texts of both classes every score is ``share``.
+    A segment has its text's label; as most of a long toxic text is clean, half-way through the weight of each
+    toxic text moves to those of its segments that look toxic by then. Vectors start from the shrunken log odds of
+    their subwords in one dimension and near 0 in the others, and decay towards that start. The other texts then
+    give the line from a text's highest segment to its score, weighted to ``share``, the share of toxic documents
+    among all labelled ones. Without texts of both classes every score is ``share``.
     """
     labels = np.array(toxic, np.int64)
     odds = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
@@ -174,13 +175,14 @@ def train(texts: list[str], toxic: list[int], share: float, dimensions: int = 4,
     if not words:
         return nothing
     number = {w: i for i, w in enumerate(words)}
-    row, column, target = [], [], []
+    row, column, target, document = [], [], [], []
     for s, label, i in zip(split, labels, inner, strict=True):
         if i and s:
             own = np.array([number[w] for w in s], np.int64)
             row.append(np.repeat(np.arange(len(begin := segments(len(s)))), np.diff(np.append(begin, len(s)))) + len(target))
             column.append(own)
             target += [label] * len(begin)
+            document += [len(column) - 1] * len(begin)
     row, column, y = np.concatenate(row), np.concatenate(column), np.array(target)
     size = np.bincount(row)
     row, column = np.divmod(np.unique(row * len(words) + column), len(words))
@@ -192,7 +194,7 @@ def train(texts: list[str], toxic: list[int], share: float, dimensions: int = 4,
     # in how many segments of either class a subword is, once for each word
     classes = [np.bincount(column[y[row] == k], minlength=len(words)) for k in (0, 1)]
     clean, bad = (np.bincount(bucket, c[owner], BUCKETS) for c in classes)
-    kept = np.flatnonzero(clean + bad >= LEAST_SEGMENTS)
+    kept = np.flatnonzero(clean + bad)
     place = np.full(BUCKETS, -1)
     place[kept] = np.arange(len(kept))
     held = place[bucket] >= 0
@@ -210,9 +212,16 @@ def train(texts: list[str], toxic: list[int], share: float, dimensions: int = 4,
     weight = np.where(y > 0, 0.5 / totals[1], 0.5 / totals[0]).astype(np.float32)[:, None]
     parameters = [vectors, softmax, offset]
     first, second = [np.zeros_like(p) for p in parameters], [np.zeros_like(p) for p in parameters]
+    document = np.array(document)
+    starts, sizes = np.unique(document, return_index=True, return_counts=True)[1:]
     for step in range(1, steps + 1):
         hidden = bags @ (subs @ vectors)
         logits = hidden @ softmax + offset
+        if step == steps // 2 + 1:  # from here on a toxic text's weight lies on the segments that look toxic
+            odds_of = np.where(y > 0, logits[:, 1] - logits[:, 0], 0)
+            part = np.exp((odds_of - np.maximum.reduceat(odds_of, starts)[document]) / 2)
+            part *= (np.minimum(sizes, MOST_WEIGHT) / np.add.reduceat(part, starts))[document]
+            weight = np.where(y > 0, 0.5 * part / part[y > 0].sum(), 0.5 / totals[0]).astype(np.float32)[:, None]
         p = np.exp(logits - logits.max(1, keepdims=True))
         error = (p / p.sum(1, keepdims=True) - onehot) * weight
         gradients = [subs.back(bags.back(error @ softmax.T)) + decay / len(kept) * (vectors - start), hidden.T @ error, error.sum(0)]
@@ -232,20 +241,25 @@ def train(texts: list[str], toxic: list[int], share: float, dimensions: int = 4,
     return SubwordClassifier(score, max(0.0, slope), bias if slope > 0 else odds)
 
 
-def fit_toxicity(documents: DataFrame, labels: DataFrame) -> SubwordClassifier:
-    """Train on at most ``TRAINING_DOCUMENTS`` whole texts of each class, those with the least hash of doc_id.
+def fit_toxicity(documents: DataFrame, labels: DataFrame, most: int = TRAINING_DOCUMENTS) -> SubwordClassifier:
+    """Train on at most ``most`` whole texts of each class, of any length, those with the least hash of doc_id.
 
-    Texts over ``TRAINING_BYTES`` bytes are left out of training, so at most their product comes to the driver;
-    all labels count for the share of toxic documents.
+    So many documents come to the driver; all labels count for the share of toxic documents. A bound on the hash,
+    from the size of a class, leaves few labels to rank, so no task gets all of a class. Labels other than 0 and 1
+    and null ids are left out, as are documents without text. An empty table, or one class only, gives a model that
+    scores every text alike. Rows that repeat an id are sampled together. Other columns are ignored.
     """
     labels = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     counts = {r[0]: r[1] for r in labels.groupBy("toxic").count().collect()}
+    place = F.xxhash64("doc_id").cast("double") / float(1 << 64) + 0.5
+    limit = lambda k: (2.5 * most + 100) / max(1, counts.get(k, 0))
+    few = labels.where(place <= F.when(F.col("toxic") == 1, limit(1)).otherwise(limit(0)))
     by_hash = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # twice as many as needed, for some have no text or a long one
-    chosen = labels.withColumn("__n", F.row_number().over(by_hash)).where(F.col("__n") <= 2 * TRAINING_DOCUMENTS).select("doc_id", "toxic", "__n")
-    short = documents.select("doc_id", "text").where(F.octet_length("text") <= TRAINING_BYTES)
-    found = short.join(F.broadcast(chosen), "doc_id").toArrow().to_pandas().sort_values(["toxic", "__n", "text"])
-    sample = found.groupby("toxic").head(TRAINING_DOCUMENTS)
+    # twice as many as needed, for some have no text
+    chosen = few.withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= 2 * most)
+    texts = documents.select("doc_id", "text").where(F.col("text").isNotNull())
+    found = texts.join(F.broadcast(chosen), "doc_id").toArrow().to_pandas().sort_values(["toxic", "nth", "text"])
+    sample = found.groupby("toxic").head(most)
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     return train(sample["text"].tolist(), sample["toxic"].tolist(), share)
 
@@ -257,10 +271,12 @@ def score_toxicity(documents: DataFrame, model: SubwordClassifier, keep: list[st
     mean of its subwords'; as the softmax is linear, a word counts by one number, which workers keep at hand. A
     text is as toxic as its most toxic segment, so that long texts don't dilute it; a word counts once a segment,
     so that one repeated throughout doesn't stand for all.
-    Texts that are null or have no words get the share of toxic documents as their score. A map over rows.
+    Texts that are null or have no words have mean 0, as one of unknown words has: their score is 1 / (1 + exp(-bias)).
+    An empty table gives no rows; repeated rows are scored alike; columns named score or predicted in ``keep`` are
+    replaced, any others come through unchanged. A map over rows.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    columns = ["doc_id"] if keep is None else keep
+    columns = [c for c in (["doc_id"] if keep is None else keep) if c not in ("score", "predicted")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -271,7 +287,7 @@ def score_toxicity(documents: DataFrame, model: SubwordClassifier, keep: list[st
                 new = [pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32), pa.int32())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], [*columns, "score", "predicted"])
 
-    read = documents.select(*columns, F.col("text").alias("__text"))
+    read = documents.select(*columns, F.col("text").alias(*fresh(columns, "text")))
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields[:-1])
     return read.mapInArrow(run, f"{own}, score double, predicted int")
 
