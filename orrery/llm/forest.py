@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,20 +12,19 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, table
 from .graph import components
-from .vectors import matrix, valid_vectors
+from .vectors import by_length, matrix, valid_vectors
 
 SIMILARITY = 0.9
 #: Share of links of the sample, and of pairs planted at exactly the similarity, that have to meet in some tree, and
 #: how many of the latter are planted. Trees are added until then; from ``TREES`` on, less depth is tried instead.
 RECALL = 0.9999
 PLANTED = 20_000
-TREES = 24
+TREES = 64
 #: Vectors that the splits are fitted on, and how many of all a leaf is to hold on average.
 SAMPLE = 20_000
 LEAF = 600
-#: Half the width of the strip round a split that goes to both sides, and the most levels of a tree.
+#: Half the width of the strip round a split that goes to both sides.
 SPILL = 0.01
-DEPTH = 16
 #: Levels beyond those of even splits; places of a split, in the order tried; share of a node's links a split may part.
 SLACK = 3
 PLACES = (0.5, 0.4, 0.6, 0.3, 0.7, 0.2, 0.8, 0.1, 0.9)
@@ -132,19 +132,21 @@ def fit_forest(vectors: DataFrame, sample: int = SAMPLE, leaf: int = LEAF, simil
     """Splits fitted on about ``sample`` vectors, as deep as leaves of ``leaf`` of all vectors need.
 
     Trees are added until ``recall`` of the sample's links and of as many planted ones meet in one of them. If
-    ``TREES`` are not enough, the trees get a level less; without any level all vectors meet.
+    ``TREES`` are not enough, the trees get a level less; without any level all vectors meet. Leaves hold about
+    ``leaf`` vectors up to sample x leaf vectors; beyond, they grow unless ``sample`` does.
     """
     count = vectors.count()
     if not count:
         return None
     limit = min((1 << 63) - 1, -(1 << 63) + int(min(1.0, 1.2 * sample / count) * (1 << 64)))
-    some = vectors.where(F.xxhash64("vec_id") <= F.lit(limit)).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample)
+    some = vectors.where(F.xxhash64("embedding") <= F.lit(limit)).orderBy(F.xxhash64("embedding"), "vec_id").limit(sample)
     found = matrix(some.select("embedding").toArrow().column("embedding"))
     if not len(found):
         found = matrix(vectors.limit(sample).select("embedding").toArrow().column("embedding"))
     found = _unit(found)
     even = max(0, int(np.ceil(np.log2(count / leaf))))
-    return _grown(found, min(even + SLACK if even else 0, DEPTH), leaf * len(found) / count, similarity, recall)
+    told = max(0, len(found).bit_length() - 1)  # more levels than the sample tells apart would be guesses
+    return _grown(found, min(even + SLACK if even else 0, told), leaf * len(found) / count, similarity, recall)
 
 
 def _grown(sample: np.ndarray, depth: int, least: float, similarity: float = SIMILARITY, recall: float = RECALL) -> Forest:
@@ -203,21 +205,35 @@ def near_duplicates(embeddings: DataFrame, similarity: float = SIMILARITY, fores
     once and counted as often as they occur.
 
     Returns vec_id, n_links (other rows linked directly), component_id (smallest vec_id reachable, itself
-    included) and kept (vec_id = component_id), one row per input row. Vectors that are null, empty, zero, of an
-    odd length or hold null or non-finite components link with nothing; a null vec_id stays alone with null
-    component_id and kept false. Rows repeated with one vec_id and vector link with each other.
+    included) and kept (vec_id = component_id), one row per input row. Vectors that are null, empty, zero or hold
+    null or non-finite components link with nothing, nor do vectors of different lengths with each other; a null
+    vec_id stays alone with null component_id and kept false. Rows are told apart by their vectors, not by vec_id:
+    rows repeated with one vec_id and vector link with each other, and one vec_id with several vectors is several
+    rows with links of their own. An empty table gives no rows. Other columns are ignored.
     """
     mark = [F.xxhash64(F.lit(k), "embedding").alias(f"mark{k}") for k in (1, 2)]  # 128 bits name a vector
     every = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    valid = valid_vectors(every)
-    grouped = valid.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"))
-    distinct = checkpointed(grouped.select("vec_id", "embedding", "copies", *mark))
+    fits = lambda n: forest is not None and forest.directions.shape[2] == n
+    labels = [_labels(vectors, similarity, forest if fits(n) else None) for n, vectors in by_length(valid_vectors(every))]
+    marked = every.select("vec_id", *mark)
+    if not labels:
+        return marked.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    joined = marked.join(reduce(DataFrame.unionByName, labels), ["mark1", "mark2"], "left")
+    joined = joined.withColumn("n_links", F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))))
+    joined = joined.withColumn("component_id", F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id")))
+    return joined.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def _labels(valid: DataFrame, similarity: float, forest: Forest | None) -> DataFrame:
+    """mark1, mark2, n_links and component_id of each distinct vector. All are of one length."""
+    mark = [F.xxhash64(F.lit(k), "embedding").alias(f"mark{k}") for k in (1, 2)]
+    grouped = valid.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    # materialised, so a vector keeps the number that stands for it
+    distinct = checkpointed(grouped.select(F.monotonically_increasing_id().alias("vec_id"), "least", "embedding", "copies", *mark))
     forest = forest or fit_forest(distinct, similarity=similarity)
-    if forest is None:
-        return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    spark = embeddings.sparkSession
+    spark = valid.sparkSession
     shared = spark.sparkContext.broadcast(forest)
-    kind = every.schema["embedding"].dataType.simpleString()
+    kind = valid.schema["embedding"].dataType.simpleString()
     trees = len(forest.directions)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,12 +306,11 @@ def near_duplicates(embeddings: DataFrame, similarity: float = SIMILARITY, fores
     found = checkpointed(pairs.groupBy("leaf", "low", "high").applyInArrow(compare, "vec_id long, root long, links long"))
     nodes = components(found.where(F.col("vec_id") != F.col("root")).select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
-    labels = distinct.select("vec_id", "copies", "mark1", "mark2").join(links, "vec_id", "left").join(nodes.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-    labels = labels.select("mark1", "mark2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    marked = every.select("vec_id", *mark)
-    joined = marked.join(labels, ["mark1", "mark2"], "left").withColumn("n_links", F.when(F.col("vec_id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))))
-    joined = joined.withColumn("component_id", F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id")))
-    return joined.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    rooted = distinct.select("vec_id", "least", "copies", "mark1", "mark2").join(links, "vec_id", "left").join(nodes.withColumnRenamed("node", "vec_id"), "vec_id", "left")
+    rooted = rooted.withColumn("root", F.coalesce("component", "vec_id"))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    counted = rooted.withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
+    return counted.join(smallest, "root").select("mark1", "mark2", "n_links", "component_id")
 
 
 def op10_near_duplicates(spark, sf_dir):

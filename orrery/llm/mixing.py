@@ -48,7 +48,7 @@ def mix_sources(documents: DataFrame, weights: Sequence[int] = WEIGHTS, budget_p
     keeps each source's words within about one document of the target.
 
     Returns doc_id, size, source_size, target, copies, taken (copies x size) and the columns named in ``also``
-    (names that begin with two underscores), one row per input row. Null or
+    (of any other names), one row per input row. Null or
     wordless texts have size 0; a source of size 0 has target 0. Null sources form a source of their own, null
     ids are hashed as an empty text. Repeated rows are separate documents; rows that tie in every key are alike,
     so which of them is emitted makes no difference to the result. An empty table gives no rows. Other columns
@@ -56,7 +56,7 @@ def mix_sources(documents: DataFrame, weights: Sequence[int] = WEIGHTS, budget_p
     """
     key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
     words = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = checkpointed(documents.select("doc_id", "source", key.alias("key"), words.alias("size"), *also))
+    sized = checkpointed(documents.select("doc_id", "source", key.alias("key"), words.alias("size"), *(F.col(c).alias(f"also{k}") for k, c in enumerate(also))))
     sizes = sized.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     goal = targets(sizes, weights, budget_percent, most)
 
@@ -70,7 +70,7 @@ def mix_sources(documents: DataFrame, weights: Sequence[int] = WEIGHTS, budget_p
     ranked = ranked.withColumn("rate", rate).withColumn("offset", offset)
     crossed = F.floor(F.col("rate") * F.col("rank") + F.col("offset")) - F.floor(F.col("rate") * (F.col("rank") - 1) + F.col("offset"))
     copies = F.least(crossed, F.lit(most)).cast("long")
-    return ranked.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *also)
+    return ranked.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *(F.col(f"also{k}").alias(c) for k, c in enumerate(also)))
 
 
 def op6_mix_sources(spark, sf_dir):

@@ -21,6 +21,8 @@ CACHE = 400_000
 #: Texts that the word cache can take: printable ASCII, ASCII white space, letters of Latin-1.
 _PLAIN = re.compile(r"[\x09-\x0d\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\x09-\x0d\x20]+")
+#: Tells a tokenizer that splits so from others: cases, numbers, contractions, white space, marks, accents.
+_PROBE = "It's DON'T we'll 12,305.7 x_y  two\t tabs\n\nEnd!! (É über ñandú)-ß a1b2 ''s 'LL"
 
 
 #: Of this worker process, by path: words stay known from task to task.
@@ -50,22 +52,30 @@ class _Ids(dict):
 
 
 class WordTokenizer:
-    """Ids of whole texts from a byte-level tokenizer that lower-cases and never merges across words.
+    """Ids of whole texts from a byte-level tokenizer.
 
-    Plain texts are split by the tokenizer's own pattern and words looked up; any other text, and any that spells
-    a special token, goes to the tokenizer as it is.
+    If the tokenizer lower-cases and splits a probe as ``_SPLIT`` does, plain texts are split here and words looked
+    up; any other text, any that spells a special token, and all texts of other tokenizers go to the tokenizer as
+    they are.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        words = _SPLIT.findall(_PROBE.lower())
+        alike = self.tokenizer.encode(_PROBE, add_special_tokens=False).ids
+        letters = _byte_letters()
+        try:
+            self.splits = alike == [t.id for w in words for t in self.tokenizer.model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(letters))]
+        except Exception:  # a model of another kind knows no such pieces
+            self.splits = False
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words = _Ids(self.tokenizer.model)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers, without special tokens of the tokenizer's own."""
-        if _PLAIN.fullmatch(text) is None or any(s in text for s in self.special):
+        if not self.splits or _PLAIN.fullmatch(text) is None or any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.words.__getitem__, _SPLIT.findall(text.lower())))
 
@@ -258,9 +268,10 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     whatever the number of pieces; it names runs of ranks among the pieces of a length. Those ranks are made by
     two-level prefix sums, so no task gathers all pieces of a length.
 
-    Returns the input's columns, then sequence_id and offset. Sequences are filled without gaps from 0. Pieces
+    Returns the input's columns, then sequence_id and offset (columns of these names are replaced). Sequences are filled without gaps from 0. Pieces
     of equal length are exchangeable, so ties among repeated rows don't matter. An empty table gives no rows.
     """
+    pieces = pieces.drop("sequence_id", "offset")
     names = [f"__p_{c}" for c in pieces.columns]
     held = checkpointed(pieces.toDF(*names))
     histogram = {r[0]: r[1] for r in held.groupBy("__p_length").count().collect()}

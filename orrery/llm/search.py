@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, table
-from .vectors import matrix, valid_vectors
+from .vectors import by_length, matrix, valid_vectors
 
 NEAREST = 20
 #: Vectors that the centroids are fitted on, and queries among them that the depth of search is set by.
@@ -120,17 +121,24 @@ def nearest_neighbours(embeddings: DataFrame, queries: DataFrame, nearest: int =
     tasks; a block gives at most ``nearest`` rows a query, and those are merged.
 
     Returns query_id, rank (from 1), vec_id, score. A row is no candidate for a query with its own vec_id.
-    Queries and candidates that are no valid vectors take no part (see ``valid_vectors``). Ties go to the smaller
-    vec_id; rows repeated with one vec_id count once. Queries without candidates have no rows.
+    Queries and candidates that are no valid vectors take no part (see ``valid_vectors``); vectors of each length
+    are searched among themselves. Ties go to the smaller vec_id. A vec_id that several rows share, of queries or
+    of candidates, counts once, with the largest inner product of any of its rows. Queries without candidates have
+    no rows, nor has an empty table. Other columns are ignored.
     """
-    entries = valid_vectors(embeddings.select("vec_id", "embedding"))
-    asked = valid_vectors(queries.select("vec_id", "embedding"))
-    index = index or fit_index(entries)
+    every, asked = valid_vectors(embeddings.select("vec_id", "embedding")), valid_vectors(queries.select("vec_id", "embedding"))
+    fits = lambda n: index is not None and index.left.shape[1] + index.right.shape[1] == n
+    found = [_search(entries, asked.where(F.size("embedding") == n), nearest, index if fits(n) else fit_index(entries)) for n, entries in by_length(every)]
+    if not found:
+        return embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return _ranked(reduce(DataFrame.unionByName, found), nearest)
+
+
+def _search(entries: DataFrame, asked: DataFrame, nearest: int, index: MultiIndex) -> DataFrame:
+    """The best ``nearest`` of each block for each query, unmerged. All vectors are of one length."""
     schema = "query_id long, vec_id long, score double"
-    if index is None:
-        return entries.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     kind = entries.schema["embedding"].dataType.simpleString()
-    spark = embeddings.sparkSession
+    spark = entries.sparkSession
     shared = spark.sparkContext.broadcast(index)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,25 +180,37 @@ def nearest_neighbours(embeddings: DataFrame, queries: DataFrame, nearest: int =
         x, ids = matrix(group.column("embedding")), group.column("vec_id").to_numpy()
         return _best(x[asks], ids[asks], x[~asks], ids[~asks], nearest)
 
-    found = together.groupBy("cell", "part", "share").applyInArrow(compare, schema)
+    return together.groupBy("cell", "part", "share").applyInArrow(compare, schema)
+
+
+def _ranked(found: DataFrame, nearest: int) -> DataFrame:
     by_score = F.sort_array(F.collect_set(F.struct((-F.col("score")).alias("s"), "vec_id")))
-    merged = found.groupBy("query_id").agg(F.slice(by_score, 1, nearest).alias("best"))
-    ranked = merged.select("query_id", F.posexplode("best").alias("p", "b"))
+    merged = found.groupBy("query_id").agg(by_score.alias("all")).withColumn("ids", F.col("all.vec_id"))
+    once = F.filter("all", lambda x, i: F.array_position("ids", x["vec_id"]) == i + 1)  # of rows that share an id, the best
+    repeated = F.size(F.array_distinct("ids")) < F.size("ids")
+    best = merged.select("query_id", F.slice(F.when(repeated, once).otherwise(F.col("all")), 1, nearest).alias("best"))
+    ranked = best.select("query_id", F.posexplode("best").alias("p", "b"))
     return ranked.select("query_id", (F.col("p") + 1).alias("rank"), "b.vec_id", (-F.col("b.s")).alias("score"))
 
 
 def _best(queries: np.ndarray, query_ids: np.ndarray, entries: np.ndarray, ids: np.ndarray, nearest: int) -> pa.Table:
-    """The best ``nearest`` entries of a block for each of its queries, ties to the smaller id."""
+    """The best ``nearest`` ids of a block for each of its queries, ties to the smaller id."""
     found = [[], [], []]
     order = np.argsort(ids, kind="stable")
     entries, ids = entries[order], ids[order]
-    keep = min(nearest + 1, len(ids))
+    times = int(np.unique(ids, return_counts=True)[1].max(initial=1))  # an id that repeats must not push others out
+    keep = min((nearest + 1) * times, len(ids))
     for lo in range(0, len(queries) if len(ids) else 0, 512):
         q, own = queries[lo : lo + 512], query_ids[lo : lo + 512]
         score = np.where(ids == own[:, None], -np.inf, q @ entries.T)
         # everything that reaches the last place is kept, then cut by score and id
         last = -np.partition(-score, keep - 1, axis=1)[:, keep - 1]
         row, column = np.nonzero((score >= last[:, None]) & (score > -np.inf))
+        if times > 1:
+            by = np.lexsort((-score[row, column], ids[column], row))
+            row, column = row[by], column[by]
+            first = np.concatenate([[True], (row[1:] != row[:-1]) | (ids[column[1:]] != ids[column[:-1]])])
+            row, column = row[first], column[first]
         by = np.lexsort((ids[column], -score[row, column], row))
         row, column = row[by], column[by]
         place = np.arange(len(row)) - np.searchsorted(row, row)

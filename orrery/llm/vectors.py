@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 def valid_vectors(embeddings: DataFrame) -> DataFrame:
     """vec_id and embedding (as it is) of the rows that take part.
 
-    Rows with a null id, a null, empty or zero vector, or one with null or non-finite components take no part,
-    nor do vectors of another length than the most frequent one (of equally frequent lengths, the larger).
+    Rows with a null id, a null, empty or zero vector, or one with null or non-finite components take no part.
     """
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     rows = embeddings.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    rows = rows.where(F.exists("embedding", lambda x: x.isNotNull() & (x != 0)) & F.forall("embedding", finite))
-    length = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return rows.where(F.size("embedding") == (length[0] if length else 0))
+    return rows.where(F.exists("embedding", lambda x: x.isNotNull() & (x != 0)) & F.forall("embedding", finite))
+
+
+def by_length(vectors: DataFrame) -> list[tuple[int, DataFrame]]:
+    """Each length with its vectors: those of different lengths can't be compared. Few lengths are assumed."""
+    lengths = sorted(r[0] for r in vectors.select(F.size("embedding")).distinct().collect())
+    return [(n, vectors.where(F.size("embedding") == n)) for n in lengths]
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:

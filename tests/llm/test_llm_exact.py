@@ -108,6 +108,21 @@ def test_lines(spark):
     assert lines.dedup_lines(both.limit(0)).count() == 0
 
 
+def test_clashing_names(spark):
+    names = ["uid1", "UID2", "starts", "Cut", "__uid", "__starts", "__cut", "__url", "url_", "host_", "sequence_id", "offset", "__p_piece", "also0", "rank"]
+    rows = [(i, "a\nb\nc", "http://x.org/", *(f"{n}{i}" for n in names)) for i in range(4)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "url", *names])
+    for out, new in ((lines.dedup_lines(docs), ["n_lines", "n_removed"]), (urls.filter_urls(docs), ["host", "path", "rule", "verdict"])):
+        assert out.columns == [*docs.columns, *new]
+        assert all(r[n] == f"{n}{r['doc_id']}" for r in out.collect() for n in names)
+    pieces = docs.select("doc_id", F.lit(0).alias("piece"), F.lit(5).cast("long").alias("length"), *names)
+    got = packing.pack_pieces(pieces)
+    assert got.columns == ["doc_id", "piece", "length", *(n for n in names if n not in ("sequence_id", "offset")), "sequence_id", "offset"]
+    assert sorted(r["offset"] for r in got.collect()) == [0, 5, 10, 15]
+    mixed = mixing.mix_sources(docs.withColumn("source", F.lit("s")), also=["rank", "also0", "uid1"]).collect()
+    assert all(r[n] == f"{n}{r['doc_id']}" for r in mixed for n in ("rank", "also0", "uid1"))
+
+
 def fingerprint(text):
     text = (text or "").translate({c: c + 32 for c in range(65, 91)})
     w = WORD.findall(text)
@@ -340,6 +355,29 @@ def test_near_duplicates_of_a_dense_group(spark, monkeypatch):
     assert true > 10**6 and 0.999 * true <= found <= true
 
 
+def test_one_id_with_several_vectors(spark):
+    kind = "vec_id long, embedding array<double>"
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0]), (8, [1.0, 0.0, 0.0]), (9, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, kind).selectExpr("*", "1 AS mark1", "2 AS root", "3 AS leaf", "4 AS cell", "5 AS query_id")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in forest.near_duplicates(df).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (8, 1, 8), (9, 1, 8)]
+    found = [tuple(r) for r in search.nearest_neighbours(df, df).orderBy("query_id", "rank").collect()]
+    assert found == [(1, 1, 2, 1.0), (1, 2, 3, 1.0), (2, 1, 1, 1.0), (2, 2, 3, 0.01), (3, 1, 1, 1.0), (3, 2, 2, 0.01), (8, 1, 9, 1.0), (9, 1, 8, 1.0)]
+    many = spark.createDataFrame([(0, [1.0, 0.0])] + [(1, [1.0, 0.0])] * 50 + [(1, [0.5, k / 10]) for k in range(30)] + [(k, [1 / k, 0.0]) for k in range(2, 40)], kind)
+    assert [r["vec_id"] for r in search.nearest_neighbours(many, many.where("vec_id = 0")).orderBy("rank").collect()] == [*range(1, 21)]
+
+
+@pytest.mark.parametrize("depth", [8, 11, 14])
+def test_forest_finds_links_at_any_depth(depth):
+    """Pairs at exactly the similarity in vectors without any groups: the hardest to keep together."""
+    rng = np.random.default_rng(depth)
+    x = forest._unit(rng.normal(size=(4000, 32)))
+    fitted = forest._grown(x, depth, 0.5, recall=0.999)
+    a, b = forest._planted(forest._unit(rng.normal(size=(4000, 32))), 0.9, rng)
+    met = np.any([fitted.meet(a[:3000], b[:3000], t) for t in range(len(fitted.directions))], 0)
+    assert met.mean() >= 0.99
+
+
 def test_search(spark, monkeypatch):
     x, rows = vectors(4)
     monkeypatch.setattr(search, "BLOCK", 50)

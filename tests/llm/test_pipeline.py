@@ -128,3 +128,17 @@ def test_empty_table(spark):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, SF)
         assert out.count() == 0, name
+
+
+CLASHES = ("score", "bits", "lang_pred", "n_lines", "n_removed", "__uid", "uid1", "__url", "__cut", "__starts", "starts", "mark1", "__mark1", "copies", "size", "key", "rank", "x0", "component_id", "fp", "sequence_id", "offset", "nth", "a.b")
+
+
+def test_columns_of_clashing_names_come_through(spark):
+    rows = [(i, f"the and of that with w{i % 9} x{i % 9} y{i % 9}\nof the\nthat and\nwith the of", "en" if i % 2 else None, "s", 3, *(f"{c}{i}" for c in CLASHES)) for i in range(12)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "n_chars", *CLASHES])
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert got and all(r[c] == f"{c}{r['doc_id']}" for r in got for c in CLASHES), name
+    assert set(corpus_pipeline.packing(spark, docs, SF).columns) == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
