@@ -20,10 +20,22 @@ from orrery.session import ship
 RAW_BITS = 8.0
 
 
-def _like(docs: DataFrame, out: DataFrame) -> DataFrame:
-    """``out`` with the columns of ``docs``; n_chars, where there is one, follows the text."""
+#: The columns that operators read; all others are out of their sight, so that no name can clash.
+READ = ("doc_id", "text", "lang", "source")
+
+
+def _names(docs: DataFrame) -> list[str]:
+    return [c if c in READ else f"x{k}" for k, c in enumerate(docs.columns)]
+
+
+def _shielded(docs: DataFrame) -> DataFrame:
+    return docs.select(*(F.col(f"`{c}`").alias(name) for c, name in zip(docs.columns, _names(docs), strict=True)))
+
+
+def _back(docs: DataFrame, out: DataFrame) -> DataFrame:
+    """``out``, made of ``_shielded(docs)``, with the columns of ``docs``; n_chars, where there is one, follows the text."""
     length = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
-    return out.select(*(length.alias(c) if c == "n_chars" else c for c in docs.columns))
+    return out.select(*((length if c == "n_chars" else F.col(name)).alias(c) for c, name in zip(docs.columns, _names(docs), strict=True)))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,20 +43,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     How sure the choice among languages is doesn't matter: short texts of a learned language stay.
 
-    Without any labelled document nothing can be rejected, and all stay.
+    Without any labelled document nothing can be rejected, and all stay. Repeated rows are judged alike; columns of
+    any name come through unchanged.
     """
     ship(spark)
     model = fit_languages(docs.where(remainder("doc_id", 3) != 1))
     if not model.langs:
         return docs
-    kept = identify_languages(docs, model).where((F.col("lang_pred") != "und") & (F.col("bits") < RAW_BITS))
-    return kept.select(*(F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else c for c in docs.columns))
+    kept = identify_languages(_shielded(docs), model).where((F.col("lang_pred") != "und") & (F.col("bits") < RAW_BITS))
+    return _back(docs, kept.withColumn("lang", F.coalesce("lang", "lang_pred")))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of repeated three-line windows are cut out of the texts; every document stays."""
     ship(spark)
-    return _like(docs, dedup_lines(docs))
+    return _back(docs, dedup_lines(_shielded(docs)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,23 +65,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows of a group with one doc_id are told apart by a hash of all columns, so reruns keep the same one.
     """
-    values = [*docs.columns, *(F.col(c).isNull() for c in docs.columns)]  # hashes pass over nulls
-    marked = docs.withColumns({f"__mark{k}": F.xxhash64(F.lit(k), *values) for k in (1, 2)})  # 128 bits name a row
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__mark1", "__mark2")
+    ship(spark)
+    inner = _shielded(docs)
+    values = [*inner.columns, *(F.col(c).isNull() for c in inner.columns)]  # hashes pass over nulls
+    marked = inner.withColumns({f"mark{k}": F.xxhash64(F.lit(k), *values) for k in (1, 2)})  # 128 bits name a row
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark1", "mark2")
     found = simhash_components(marked.select(place.alias("doc_id"), "text")).where(F.col("doc_id") == F.col("component_id"))
-    kept = found.select("component_id.__mark1", "component_id.__mark2").distinct()
-    once = marked.join(kept, ["__mark1", "__mark2"], "left_semi").dropDuplicates(["__mark1", "__mark2"])
-    return once.select(*docs.columns)
+    kept = found.select("component_id.mark1", "component_id.mark2").distinct()
+    once = marked.join(kept, ["mark1", "mark2"], "left_semi").dropDuplicates(["mark1", "mark2"])
+    return _back(docs, once)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: not at all, once or twice."""
     ship(spark)
-    alike = Window.partitionBy("__uid").orderBy("__uid")  # rows that repeat both doc_id and text are exchangeable
-    keyed = docs.withColumn("__uid", F.xxhash64("doc_id", "text"))
-    copies = mix_sources(keyed, also=["__uid"]).select("__uid", "copies").withColumn("__k", F.row_number().over(alike))
-    taken = keyed.withColumn("__k", F.row_number().over(alike)).join(copies.where(F.col("copies") > 0), ["__uid", "__k"])
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    alike = Window.partitionBy("uid1", "uid2").orderBy("uid1")  # rows that repeat both doc_id and text are exchangeable
+    named = F.struct(F.col("doc_id").isNull(), F.col("text").isNull(), "doc_id", "text")
+    keyed = _shielded(docs).withColumns({f"uid{k}": F.xxhash64(F.lit(k), named) for k in (1, 2)})
+    copies = mix_sources(keyed, also=["uid1", "uid2"]).select("uid1", "uid2", "copies").withColumn("nth", F.row_number().over(alike))
+    taken = keyed.withColumn("nth", F.row_number().over(alike)).join(copies.where(F.col("copies") > 0), ["uid1", "uid2", "nth"])
+    return _back(docs, taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
