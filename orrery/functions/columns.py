@@ -61,8 +61,8 @@ def make_valid_text(content: Column) -> Column:
 
 def text_lines(text: Column) -> Column:
     """The lines of a text; a last line end makes no further line, and an empty text has none."""
-    parts = F.split(text, LINE_ENDS, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    ended = F.regexp_replace(text, rf"(?:{LINE_ENDS})\z", "")  # so that the text is split once only
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(ended, LINE_ENDS, -1))
 
 
 def found(text: Column, pattern: str, group: int = 0) -> Column:

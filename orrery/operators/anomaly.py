@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JError
+from pyspark import InheritableThread
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import normalised, numeric_columns, percent, unpivot
@@ -102,20 +105,22 @@ def iqr_outliers(df: DataFrame, least: int = 8, reach: float = 1.5) -> DataFrame
     """Numeric columns with values beyond the quartiles by more than ``reach`` times their distance.
 
     Quartiles are exact, interpolated linearly. Columns with under ``least`` values or equal quartiles are left
-    out. The counts read the one row that the quartiles of all columns make up.
+    out. The quartiles, two numbers a column, come to the driver and are literals of one counting pass.
     """
     df = normalised(df)
     columns = numeric_columns(df)
     if not columns:
         return _none(df)
-    both = exact_quantiles(df, columns).groupBy("position").agg(F.max("n").alias("n"), F.max(F.when(F.col("k") == 0, F.col("value"))).alias("a"), F.max(F.when(F.col("k") == 1, F.col("value"))).alias("b"))
-    told = both.where((F.col("n") >= least) & (F.col("b") > F.col("a")))
-    of = lambda i, v: F.max(F.when(F.col("position") == i, v))
-    gap = F.col("b") - F.col("a")
-    bounds = told.agg(*(of(i, v).alias(f"{i}_{e}") for i in range(len(columns)) for e, v in (("low", F.col("a") - reach * gap), ("high", F.col("b") + reach * gap))))
-    joined = df.select(*(F.col(f"`{c}`").cast("double").alias(f"{i}_x") for i, c in enumerate(columns))).join(F.broadcast(bounds))  # of one row
-    row = joined.agg(*(F.count_if((F.col(f"{i}_x") < F.col(f"{i}_low")) | (F.col(f"{i}_x") > F.col(f"{i}_high"))).alias(f"{i}_quantity") for i in range(len(columns))))
-    return _findings(unpivot(row, columns, ["quantity"], ["long"]).where("quantity > 0"), "outlier_iqr")
+    told: dict[int, dict] = {}
+    for r in exact_quantiles(df, columns).collect():  # two rows a column
+        if r["n"] >= least:
+            told.setdefault(r["position"], {})[r["k"]] = r["value"]
+    bounds = {i: (q[0] - reach * (q[1] - q[0]), q[1] + reach * (q[1] - q[0])) for i, q in told.items() if len(q) == 2 and q[1] > q[0]}
+    if not bounds:
+        return _none(df)
+    x = {i: F.col(f"`{columns[i]}`").cast("double") for i in bounds}
+    row = df.agg(*(F.count_if((x[i] < low) | (x[i] > high)).alias(f"{k}_quantity") for k, (i, (low, high)) in enumerate(bounds.items())))
+    return _findings(unpivot(row, [columns[i] for i in bounds], ["quantity"], ["long"]).where("quantity > 0"), "outlier_iqr")
 
 
 def suggest_keys(columns: list[str], most: int = 8) -> list[str]:
@@ -149,30 +154,33 @@ def score(findings: DataFrame, by: list[str] | None = None) -> DataFrame:
     return findings.groupBy(*(by or [])).agg(F.coalesce(F.sum(weight), F.lit(0)).cast("long").alias("score"), F.count(F.lit(1)).alias("findings"))
 
 
-def radar(tables: Mapping[str, DataFrame], keys: Mapping[str, list[str]] | None = None) -> DataFrame:
+def radar(tables: Mapping[str, DataFrame], keys: Mapping[str, list[str]] | None = None, at_once: int = 8) -> DataFrame:
     """table, ok, score, findings, error: tables by falling score, then name; those that can't be read come last.
 
-    Tables are analysed by one union, so one job covers all of them. A table that fails in analysis (or is given
-    as an exception) becomes a row with its error.
+    Every table is a job of its own, ``at_once`` at a time, that brings one row to the driver. So a table that fails,
+    in planning or in a task that meets a broken file, becomes a row with its error, as one given as an exception does.
     """
-    from pyspark.errors import PySparkException
+    spark = SparkSession.active()
 
-    spark = next(df for df in tables.values() if isinstance(df, DataFrame)).sparkSession
-    good, bad = [], []
-    for name, df in tables.items():
+    def judge(name: str, df: DataFrame) -> tuple:
         try:
             if not isinstance(df, DataFrame):
                 raise df
-            good.append((name, detect(df, (keys or {}).get(name)).withColumn("table", F.lit(name))))
-        except (PySparkException, ValueError, OSError) as e:
-            bad.append((name, str(e)[:500]))
-    names = spark.createDataFrame([(n, True, None) for n, _ in good] + [(n, False, e) for n, e in bad], "table string, ok boolean, error string")
-    if good:
-        union = good[0][1]
-        for _, df in good[1:]:
-            union = union.unionByName(df)
-        names = names.join(score(union, ["table"]), "table", "left")
-    else:
-        names = names.withColumn("score", F.lit(None).cast("long")).withColumn("findings", F.lit(None).cast("long"))
-    filled = names.withColumn("score", F.coalesce("score", F.lit(0))).withColumn("findings", F.coalesce("findings", F.lit(0)))
-    return filled.orderBy(F.desc("ok"), F.desc("score"), "table").select("table", "ok", "score", "findings", "error")
+            row = score(detect(df, (keys or {}).get(name))).first()
+            return name, True, row["score"], row["findings"], None
+        except (PySparkException, Py4JError, ValueError, OSError) as e:
+            return name, False, 0, 0, str(e)[:500]
+
+    out: list[tuple] = []
+
+    def work(mine: list) -> None:
+        out.extend(judge(*pair) for pair in mine)
+
+    pairs = list(tables.items())
+    threads = [InheritableThread(target=work, args=(pairs[k::at_once],)) for k in range(min(at_once, len(pairs)))]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    rows = sorted(out, key=lambda r: (not r[1], -r[2], r[0]))
+    return spark.createDataFrame(rows, "table string, ok boolean, score long, findings long, error string")

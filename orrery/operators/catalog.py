@@ -62,10 +62,12 @@ def graph_type(name: Column) -> Column:
     return F.when(n == "", "unknown").otherwise(F.coalesce(F.create_map(*(F.lit(x) for kv in GRAPH_TYPES.items() for x in kv))[n], n))
 
 
-def parse_columns(text: Column) -> Column:
-    """Lines ``name: type`` as an array of name, type; split at the first colon."""
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
-    return F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("name"), graph_type(F.when(x.contains(":"), F.regexp_replace(x, "^[^:]*:", ""))).alias("type")))
+def parse_columns(text: Column, strict: bool = True) -> Column:
+    """Lines ``name: type`` as an array of name, type; split at the first colon. strict: types get their names
+    here; otherwise they stay as they are, and none is null."""
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda x: F.trim(x)), lambda x: (x != "") & (F.lit(not strict) | ~x.rlike("^(<|y:)")))
+    name = lambda x: F.lower(F.regexp_replace(x, "[ /]", "_")) if strict else x
+    return F.transform(lines, lambda x: F.struct(name(F.trim(F.substring_index(x, ":", 1))).alias("name"), (graph_type if strict else F.trim)(F.when(x.contains(":"), F.regexp_replace(x, "^[^:]*:", ""))).alias("type")))
 
 
 def resolve_edges(edges: DataFrame, entities: DataFrame, strict: bool = True) -> DataFrame:

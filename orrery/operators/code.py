@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.blocks import blocks
 from ..functions.columns import found, found_once, kept, sorted_set, text_lines
-from .sqltext import embedded_sql, suspect_lines, tables_in_literals
+from .sqltext import embedded_sql, sql_literals, suspect_lines, tables_in_literals
 
 # What the texts' parts look like.
 INSTANTIATION = r"(?i)(\$\w+)\s*=\s*new\s+([A-Za-z_][A-Za-z0-9_]*)\s*\("
@@ -31,8 +33,18 @@ NOISY_OBJECTS = ("$stm", "$stmt", "$conn", "$pdo")
 # Thresholds of notes on facades, how far a docblock may be above a property, words for yes and no.
 FACADE_LINES, METHOD_LINES, METHOD_CALLS = 5000, 200, 15
 DOC_REACH = 2
-YES = ("sim", "s", "true", "1", "yes")
-NO = ("não", "nao", "n", "false", "0", "no")
+QUERY_SHOWN = 80
+YES = ("true", "1", "sim", "yes")
+NO = ("false", "0", "nao", "não", "no")
+# What a method's body may be noted for.
+METHOD_NOTES = (
+    "Usa superglobais de entrada diretamente.",
+    "Possível mistura de regra de negócio com saída HTTP/UI.",
+    "Executa ou monta SQL dentro do método.",
+    "Instancia camada de persistência diretamente.",
+    "Encadeia chamadas com outras fachadas.",
+    "Alta densidade de chamadas; fluxo potencialmente complexo.",
+)
 
 _BLOCKS = {aware: blocks(r"(?im)^[ \t]*(?:(?:public|protected|private|static|final|abstract)\s+)*function\s+\w+\s*\([^{;]*\)[^{;]*\{", aware) for aware in (False, True)}
 
@@ -130,14 +142,15 @@ def classes(files: DataFrame) -> DataFrame:
     return rows.groupBy("name").agg(F.min("path").alias("path"))
 
 
-def external_calls(records: DataFrame, files: DataFrame, deep: int = 1) -> DataFrame:
+def external_calls(records: DataFrame, files: DataFrame, deep: int = 1, every: DataFrame | None = None) -> DataFrame:
     """level, caller_path, caller, class, method, path, start_line of calls on objects of a known class.
 
     Calls of unknown class are dropped; the file and the method may be missing. deep 2 adds the calls of the
     methods that were found: the depth is bounded, so each level is one more join with the same two indexes.
+    every: all methods of the files, if they have been extracted already.
     """
     index = classes(files).withColumnRenamed("path", "class_path").withColumnRenamed("name", "class")
-    known = methods(files).groupBy("path", "method").agg(F.min("start_line").alias("start_line"), F.min_by("body", "start_line").alias("body"))
+    known = (methods(files) if every is None else every).groupBy("path", "method").agg(F.min("start_line").alias("start_line"), F.min_by("body", "start_line").alias("body"))
     known = known.select(F.col("path").alias("class_path"), "method", "start_line", "body")
 
     def level(rows: DataFrame, n: int) -> DataFrame:
@@ -181,47 +194,66 @@ def flow_steps(body: Column) -> Column:
 
 
 def dependency_tree(record: DataFrame) -> DataFrame:
-    """parent, name, kind, place: children of each method for a tree, so many of each kind at most."""
-    caps = {"superglobals": 6, "includes": 4, "actions": 4, "tables": 6, "procedures": 4}  # fixed values
-    each = F.concat(*(_children(k, n) for k, n in caps.items()))
+    """parent, name, kind, place: children of each method for a tree, so many of each kind at most: calls, tables,
+    procedures, includes, actions (but names of schemas), first lines of queries."""
+    caps = {"calls": 6, "tables": 6, "procedures": 4, "includes": 4, "actions": 4, "queries": 5}  # fixed values
+    names = {"calls": F.transform("calls", lambda c: F.concat(F.coalesce(F.nullif(c["class"], F.lit("")), c["object"]), F.when(c["class"] != "", "::").otherwise("->"), c["method"], F.lit("()")))}
+    first_line = F.transform("queries", lambda q: F.substring(F.substring_index(q["sql"], "\n", 1), 1, QUERY_SHOWN))
+    names["queries"] = F.filter(first_line, lambda x: x != "")
+    names["actions"] = F.filter("actions", lambda x: ~F.lower(x).rlike(r"^(_dbo|_ppa|gp|aux)\."))
+    each = F.concat(*(_children(k, names.get(k, F.col(k)), n) for k, n in caps.items()))
     return record.select(F.concat_ws("::", "path", "method").alias("parent"), F.explode(each).alias("c")).select("parent", "c.*")
 
 
-def _children(kind: str, most: int) -> Column:
-    return F.transform(F.slice(kind, 1, most), lambda x, i: F.struct(F.lit(kind).alias("kind"), x.alias("name"), i.alias("place")))
+def _children(kind: str, names: Column, most: int) -> Column:
+    return F.transform(F.slice(names, 1, most), lambda x, i: F.struct(F.lit(kind).alias("kind"), x.alias("name"), i.alias("place")))
 
 
 def facade_methods(files: DataFrame) -> DataFrame:
-    """Public methods with string-aware bodies: objects made, static calls, calls, each distinct with its line, and
-    tables of SQL in string literals; sorted unions of dependencies."""
+    """Public methods with string-aware bodies: objects made, static calls, calls, each distinct with its line, SQL in
+    string literals and its tables; sorted unions of dependencies; notes."""
     rows = methods(files, aware=True).where("visibility = 'public'")
     b = F.col("body")
     lines = text_lines(b)
     at = lambda p, g: F.flatten(F.transform(lines, lambda x, i: F.transform(found(x, p, g), lambda y: F.struct(y.alias("name"), (i + F.col("start_line")).cast("int").alias("line")))))
     new, static, call = NEW, STATIC_CALL, METHOD_CALL
-    full = rows.withColumns({"objects": F.array_distinct(at(new, 1)), "static_calls": F.array_distinct(at(static, 1)), "method_calls": F.array_distinct(at(call, 1)), "tables": tables_in_literals(b)})
+    full = rows.withColumns({"objects": F.array_distinct(at(new, 1)), "static_calls": F.array_distinct(at(static, 1)), "method_calls": F.array_distinct(at(call, 1)), "tables": tables_in_literals(b), "sql_blocks": sql_literals(b)})
     deps = sorted_set(F.transform("objects", lambda x: x["name"]), F.transform("static_calls", lambda x: F.substring_index(x["name"], "::", 1)))
-    return full.withColumn("dependencies", deps)
+    made = lambda part: F.exists("objects", lambda x: x["name"].contains(part))
+    n_calls = F.size("method_calls") + F.size("static_calls")
+    held = (
+        b.contains("$_GET") | b.contains("$_POST") | b.contains("$_REQUEST"),
+        b.contains("header(") | b.contains("echo ") | b.contains("print "),
+        F.size("sql_blocks") > 0,
+        made("Persistencia"),
+        made("Fachada"),
+        n_calls > METHOD_CALLS,
+    )
+    return full.withColumns({"dependencies": deps, "notes": kept(*zip(held, METHOD_NOTES, strict=True))})
 
 
 def facade_rollup(records: DataFrame) -> DataFrame:
     """For each file: methods, tables, dependencies (sorted unions) and warnings."""
-    length = F.col("end_line") - F.col("start_line") + 1
+    length = F.col("end_line") - F.col("start_line")
     grouped = records.groupBy("path").agg(
         F.count(F.lit(1)).alias("methods"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("tables")))).alias("tables"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("dependencies")))).alias("dependencies"),
         F.max("end_line").alias("last_line"),
         F.count_if(length > METHOD_LINES).alias("long_methods"),
-        F.count_if(F.size("method_calls") > METHOD_CALLS).alias("busy_methods"),
+        F.count_if(F.size("sql_blocks") > 0).alias("sql_methods"),
+        F.count_if(F.size("method_calls") + F.size("static_calls") > METHOD_CALLS).alias("busy_methods"),
     )
-    return grouped.withColumn("warnings", kept((F.col("last_line") > FACADE_LINES, "large_file"), (F.col("long_methods") > 0, "long_methods"), (F.col("busy_methods") > 0, "many_calls")))
+    told = ((F.col("last_line") > FACADE_LINES, "large_file"), (F.col("long_methods") > 0, "long_methods"), (F.col("sql_methods") > 0, "embedded_sql"), (F.col("busy_methods") > 0, "many_calls"))
+    return grouped.withColumn("warnings", kept(*told))
 
 
 def relevant_methods(records: DataFrame, top: int = 12) -> DataFrame:
-    """The ``top`` methods by tables, dependencies, calls, objects, static calls and length, then by name."""
-    order = [F.desc(F.size(c)) for c in ("tables", "dependencies", "method_calls", "objects", "static_calls")]
-    return records.orderBy(*order, F.desc(F.col("end_line") - F.col("start_line")), "path", "method").limit(top)
+    """The ``top`` methods: those with SQL first, then by SQL blocks, lines, calls, objects made, notes and name, all
+    falling; ties by path."""
+    calls_ = F.size("method_calls") + F.size("static_calls")
+    order = [F.size("sql_blocks") > 0, F.size("sql_blocks"), F.col("end_line") - F.col("start_line"), calls_, F.size("objects"), F.size("notes"), F.lower("method")]
+    return records.orderBy(*map(F.desc, order), "path").limit(top)
 
 
 def annotations(doc: Column) -> Column:
@@ -294,14 +326,22 @@ def accessor(method: Column) -> Column:
 
 
 def model_warnings(fields: DataFrame, found_methods: DataFrame) -> DataFrame:
-    """path, warning: fields without docblock or type, fields without getter or setter, models without fields."""
+    """path, warning, distinct: fields without docblock, ``@campo`` or type, or with auto-increment but not primary;
+    fields without getter or setter; models without fields, without accessors, without a primary field, with several
+    primary or auto-increment fields. Fields come with their annotations."""
     named = found_methods.select("path", accessor(F.col("method")).alias("a")).select("path", "a.*").where("kind <> 'other'")
     have = named.groupBy("path", F.lower("property").alias("p")).agg(F.collect_set("kind").alias("kinds"))
     joined = fields.join(have, (fields["path"] == have["path"]) & (F.lower(fields["name"]) == have["p"]), "left").select(fields["*"], F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"))
-    each = kept((~F.col("documented"), "undocumented"), (F.col("type").isNull(), "untyped"), (~F.array_contains("kinds", "getter"), "no_getter"), (~F.array_contains("kinds", "setter"), "no_setter"))
+    flag = lambda *names: F.coalesce(*(as_boolean(F.element_at("annotations", n)) for n in names), F.lit(False))
+    joined = joined.withColumns({"primary": flag("primary"), "auto": flag("auto-increment", "auto_increment")})
+    doc = F.col("documented")
+    each = kept((~doc, "undocumented"), (doc & F.element_at("annotations", "campo").isNull(), "no_campo"), (doc & F.col("type").isNull(), "untyped"), (doc & F.col("auto") & ~F.col("primary"), "auto_not_primary"), (~F.array_contains("kinds", "getter"), "no_getter"), (~F.array_contains("kinds", "setter"), "no_setter"))
     rows = joined.select("path", F.explode(F.transform(each, lambda w: F.concat(F.col("name"), F.lit(": "), w))).alias("warning"))
     empty = found_methods.select("path").distinct().join(fields.select("path").distinct(), "path", "left_anti").withColumn("warning", F.lit("no_fields"))
-    return rows.unionByName(empty).distinct()
+    of_model = joined.groupBy("path").agg(F.count_if("primary").alias("p"), F.count_if("auto").alias("a"))
+    counts = kept((F.col("p") == 0, "no_primary"), (F.col("p") > 1, "several_primary"), (F.col("a") > 1, "several_auto_increment"))
+    bare = found_methods.groupBy("path").agg(F.count_if(accessor(F.col("method"))["kind"] != "other").alias("n")).where("n = 0").select("path", F.lit("no_accessors").alias("warning"))
+    return rows.unionByName(empty).unionByName(of_model.select("path", F.explode(counts).alias("warning"))).unionByName(bare).distinct()
 
 
 def locate_target(files: DataFrame, target: str, prefer: tuple[str, ...] = ()) -> DataFrame:
@@ -316,7 +356,7 @@ def locate_target(files: DataFrame, target: str, prefer: tuple[str, ...] = ()) -
         F.when(F.col("path") == target, 0)
         .when((base == f"{name.lower()}.php") & folder, 1)
         .when(base == f"{name.lower()}.php", 2)
-        .when(F.col("text").rlike(rf"(?i)\bclass\s+{name}\b"), 3)
+        .when(F.col("text").rlike(rf"(?i)\bclass\s+{re.escape(name)}\b"), 3)
         .when(base.contains(name.lower()), 4)
     )
     return files.select("path", rank.alias("rank")).where("rank IS NOT NULL").orderBy("rank", "path").limit(1)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import kept
@@ -109,6 +109,42 @@ def category(name: Column, domain: str = "") -> Column:
     return out.otherwise("geral")
 
 
+# Descriptions of entities by words of their names, the first that fits counts; those of the process
+# domain come first there.
+PROCESS_DESCRIPTIONS = (
+    (("processo",), "Entidade associada ao fluxo de processos do planejamento."),
+    (("despacho",), "Entidade associada ao registro de despacho ou movimentação de processo."),
+    (("notificacao",), "Entidade associada a notificações do fluxo."),
+    (("tipodocumento", "documento"), "Entidade associada à classificação documental."),
+    (("departamento", "orgao", "setor"), "Entidade associada à estrutura organizacional."),
+    (("acesso", "usuario", "grupo", "perfil"), "Entidade associada a controle de acesso e permissões."),
+    (("tag",), "Entidade associada à classificação ou etiquetagem de processos."),
+)
+DESCRIPTIONS = (
+    (("diretriz",), "Entidade associada a direcionamento estratégico."),
+    (("programaobjetivo",), "Entidade associada a objetivos vinculados a programas."),
+    (("programa",), "Entidade associada à organização programática do domínio."),
+    (("acao",), "Entidade associada à execução operacional."),
+    (("meta",), "Entidade associada a metas físicas, qualitativas ou financeiras."),
+    (("indicador",), "Entidade associada à medição de desempenho."),
+    (("fonte",), "Entidade associada à origem de recursos ou detalhamento financeiro."),
+    (("regiao", "municip"), "Entidade associada à regionalização ou recorte territorial."),
+    (("status",), "Entidade associada à classificação de estado ou situação."),
+    (("config",), "Entidade associada a configuração sistêmica."),
+)
+
+
+def description(name: Column, domain: str = "") -> Column:
+    """The description that the name's first fitting words give; null if none fits."""
+    rules = (*(PROCESS_DESCRIPTIONS if domain in PROCESS_DOMAINS else ()), *DESCRIPTIONS)
+    return F.coalesce(*(F.when(_holds(F.lower(name), words), text) for words, text in rules))
+
+
+def expected_signals(spark: SparkSession) -> DataFrame:
+    """signal, words: what every domain map expects."""
+    return spark.createDataFrame(list(EXPECTED_SIGNALS.items()), "signal string, words array<string>")
+
+
 def relation_kind(source: Column, target: Column, domain: str = "") -> Column:
     """What a relation between two entities is, by their names."""
     s, t = F.lower(source), F.lower(target)
@@ -144,8 +180,25 @@ def domain_relations(relationships: DataFrame, entities: DataFrame, domain: str
     return both.select("source", "target", relation_kind(F.col("source"), F.col("target"), domain).alias("kind")).distinct()
 
 
-def candidate_rules(entities: DataFrame) -> DataFrame:
-    """rule: which rules the names and columns of the entities suggest, sorted."""
+# Texts of the rules that a domain may suggest.
+RULE_TEXTS = {
+    "processes": "O domínio possui gestão de processos.",
+    "dispatch": "O domínio possui tramitação ou despacho associado a processos.",
+    "notifications": "O domínio possui envio ou controle de notificações.",
+    "access_control": "O domínio possui controle de acesso por usuários, grupos ou permissões.",
+    "document_classes": "O domínio possui mecanismos de classificação documental ou temática.",
+    "multi_year": "O domínio possui distribuição temporal em múltiplos anos, possivelmente com planejamento plurianual.",
+    "financial_detail": "O domínio possui componentes financeiros com detalhamento por valores e possivelmente por fonte de recurso.",
+    "revision": "O domínio possui sinais de revisão, versionamento ou ajuste de valores/metas.",
+    "regional": "O domínio possui regionalização ou recorte territorial.",
+    "program_action_hierarchy": "Há indícios de uma estrutura hierárquica entre programa e ação.",
+    "objective_goal": "Há indícios de associação entre objetivos e metas.",
+    "indicator": "Há entidades voltadas à medição de desempenho por indicadores.",
+}
+
+
+def candidate_rules(entities: DataFrame, domain: str = "") -> DataFrame:
+    """rule, text: which rules the names and columns of the entities suggest, sorted by text."""
     e = distinct_entities(entities).select("canonical", F.transform("columns", lambda c: F.lower(F.trim(c["name"]))).alias("cols"))
     in_any = lambda words: F.bool_or(_holds(F.col("canonical"), words) | _any_column(F.col("cols"), words))
     in_name = lambda *words: F.bool_or(_holds(F.col("canonical"), words))
@@ -158,8 +211,17 @@ def candidate_rules(entities: DataFrame) -> DataFrame:
         "objective_goal": in_name("objetivo") & in_name("meta"),
         "indicator": in_name("indicador"),
     }
+    if domain in PROCESS_DOMAINS:
+        told |= {
+            "processes": in_name("processo"),
+            "dispatch": in_name("despacho"),
+            "notifications": in_name("notificacao"),
+            "access_control": in_name("acesso", "usuario", "grupo", "perfil"),
+            "document_classes": in_name("tag", "tipodocumento", "documento"),
+        }
     row = e.agg(*(v.alias(k) for k, v in told.items()))
-    return row.select(F.explode(kept(*((F.coalesce(k, F.lit(False)), k) for k in told))).alias("rule")).orderBy("rule")
+    held = [F.when(F.coalesce(k, F.lit(False)), F.struct(F.lit(k).alias("rule"), F.lit(RULE_TEXTS[k]).alias("text"))) for k in told]
+    return row.select(F.explode(F.array_compact(F.array(*held))).alias("r")).select("r.*").orderBy("text")
 
 
 def refine(entities: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -211,12 +273,41 @@ def adherence(crossed: DataFrame) -> DataFrame:
     return row.select("expected", "found", (F.col("expected") - F.col("found")).alias("missing"), F.when(F.col("expected") == 0, 0.0).otherwise(F.round(F.col("found") / F.col("expected") * 100, 2)).alias("pct"))
 
 
-def rule_evidence(rules: DataFrame, found_signals: DataFrame) -> DataFrame:
-    """rule, evidence, confidence: signals that a rule's words ask for and the schema gives. Three pieces of evidence
-    or more are alta, one or two média, none baixa."""
-    have = found_signals.where(F.size("entities") > 0).agg(F.collect_set("signal").alias("have"))  # of five signals at most
-    asked = kept(*((_holds(F.lower("rule"), words), s) for words, names in EVIDENCE for s in names))
-    joined = rules.crossJoin(F.broadcast(have)).withColumn("evidence", F.array_intersect(F.array_distinct(asked), "have"))
+# Words of a rule, and the groups of entities and the relationships (source, target) that are evidence for it.
+KEY_EVIDENCE = (
+    (("estrutura programática", "programas, objetivos e ações"), (("programa", "programaobjetivo", "acao"),), (("acao", "programa"), ("programaobjetivo", "programa"))),
+    (("direcionamento estratégico", "diretrizes, programas"), (("diretriz", "diretriz_programa", "programa"),), (("diretriz_programa", "diretriz"), ("diretriz_programa", "programa"))),
+    (("detalhamento financeiro", "fontes de recurso"), (("acaofonte",), ("despesateto",), ("tetoorgao",), ("unidorca_fonteger",)), ()),
+    (("metas associadas", "monitoramento"), (("acaometa",), ("programaobjetivometa",), ("opameta",)), ()),
+    (("indicadores", "medição de desempenho"), (("indicador",),), (("indicador", "programa"),)),
+    (("regionalização", "territorial"), (("acaoregiao",), ("tbmeta_e_regioes",), ("tbpropostametareg",)), (("acaoregiao", "acao"), ("tbmeta_e_regioes", "tbpropostametareg"))),
+    (("ação está semanticamente vinculada ao programa",), (("acao", "programa"),), (("acao", "programa"),)),
+    (("objetivos pertencem a programas",), (("programaobjetivo", "programa"),), (("programaobjetivo", "programa"),)),
+    (("metas detalham os objetivos",), (("programaobjetivometa", "programaobjetivo"),), (("programaobjetivometa", "programaobjetivo"),)),
+)
+
+
+def rule_evidence(rules: DataFrame, found_signals: DataFrame, entities: DataFrame | None = None, relationships: DataFrame | None = None) -> DataFrame:
+    """rule, evidence, confidence: signals that a rule's words ask for and the schema gives, groups of key entities
+    (name) and key relationships (source, target) that are there. Three pieces of evidence or more are alta, one or
+    two média, none baixa.
+
+    Only the signals, key entities and key relationships, fixed in number, are gathered to one row.
+    """
+    spark = rules.sparkSession
+    keys = sorted({n for _, groups, _ in KEY_EVIDENCE for g in groups for n in g})
+    pairs = sorted({f"{a} → {b}" for _, _, links in KEY_EVIDENCE for a, b in links})
+    none = spark.createDataFrame([], "name string")
+    named = none if entities is None else entities.select(F.lower(F.trim("name")).alias("name"))
+    linked = none if relationships is None else relationships.select(F.concat(F.lower(F.trim("source")), F.lit(" → "), F.lower(F.trim("target"))).alias("name"))
+    there = found_signals.where(F.size("entities") > 0).select(F.col("signal").alias("name"))
+    there = there.unionByName(named.where(F.col("name").isin(keys))).unionByName(linked.where(F.col("name").isin(pairs)))
+    have = there.agg(F.collect_set("name").alias("have"))
+    text, held = F.lower("rule"), (lambda names: F.forall(F.array(*map(F.lit, names)), lambda x: F.array_contains("have", x)))
+    told = [(_holds(text, words) & held([s]), s) for words, names in EVIDENCE for s in names]
+    told += [(_holds(text, words) & held(g), "Entidades presentes: " + ", ".join(g)) for words, groups, _ in KEY_EVIDENCE for g in groups]
+    told += [(_holds(text, words) & held([f"{a} → {b}"]), f"Relacionamento presente: {a} → {b}") for words, _, links in KEY_EVIDENCE for a, b in links]
+    joined = rules.select("rule").join(F.broadcast(have)).withColumn("evidence", F.array_distinct(kept(*told)))  # have: one row
     n = F.size("evidence")
     return joined.select("rule", "evidence", F.when(n >= 3, "alta").when(n >= 1, "média").otherwise("baixa").alias("confidence"))
 
@@ -226,16 +317,43 @@ def maturity(domains: DataFrame) -> DataFrame:
     e, r = F.coalesce("adherence_entities", F.lit(0.0)), F.coalesce("adherence_relationships", F.lit(0.0))
     n = F.coalesce("rule_count", F.lit(0))
     level = (
-        F.when(~F.col("has_structural"), "no_structure")
-        .when(~F.col("has_domain_map"), "structure_only")
-        .when(~F.col("has_cross"), "mapped")
-        .when((e >= 95) & (r >= 90) & (n >= 2), "high")
-        .when((e >= 70) & (r >= 50) & (n >= 1), "medium")
-        .otherwise("low")
+        F.when(~F.col("has_structural"), "não iniciado")
+        .when(~F.col("has_domain_map"), "estrutural")
+        .when(~F.col("has_cross"), "semântico inicial")
+        .when(~F.col("has_cross_ia"), "parcial")
+        .when((e >= 95) & (r >= 90) & (n >= 2), "maduro")
+        .when((e >= 70) | (r >= 50) | (n >= 1), "parcial")
+        .otherwise("raso")
     )
     return domains.withColumn("maturity", level)
 
 
+def inventory(structural: DataFrame, maps: DataFrame, crosses: DataFrame, commented: DataFrame) -> DataFrame:
+    """A row for each domain that any of the four tables names: which of them it is in, its adherences and number of
+    rules (of ``crosses``: domain, adherence_entities, adherence_relationships, rule_count), and its maturity.
+
+    The tables hold a row a domain; one outer join by equal keys, no file is parsed.
+    """
+    out = structural.select("domain", F.lit(True).alias("has_structural"))
+    out = out.join(maps.select("domain", F.lit(True).alias("has_domain_map")), "domain", "full")
+    out = out.join(crosses.select("domain", F.lit(True).alias("has_cross"), "adherence_entities", "adherence_relationships", "rule_count"), "domain", "full")
+    out = out.join(commented.select("domain", F.lit(True).alias("has_cross_ia")), "domain", "full")
+    flags = ("has_structural", "has_domain_map", "has_cross", "has_cross_ia")
+    filled = out.withColumns({c: F.coalesce(c, F.lit(False)) for c in flags}).withColumn("rule_count", F.coalesce("rule_count", F.lit(0)))
+    return maturity(filled).select("domain", *flags, "adherence_entities", "adherence_relationships", "rule_count", "maturity").orderBy("domain")
+
+
+def expected_entities(maps: DataFrame) -> DataFrame:
+    """name, distinct: the entities of domain maps, given as an object by name or as a list of names or of objects
+    with a name. maps: one column ``entities`` with the JSON text of either."""
+    text = F.col("entities")
+    by_name = F.map_keys(F.from_json(text, "map<string,string>"))
+    listed = F.from_json(text, "array<string>")
+    names = F.transform(listed, lambda x: F.when(x.startswith("{"), F.get_json_object(x, "$.name")).otherwise(x))
+    each = F.when(F.trim(text).startswith("["), names).otherwise(by_name)
+    return maps.select(F.explode(each).alias("name")).select(F.lower(F.trim("name")).alias("name")).where("name <> ''").distinct()
+
+
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row for each key, the first in this order."""
     window = Window.partitionBy(*keys).orderBy(*order)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import text_lines
@@ -16,22 +16,24 @@ class Rule:
     severity: str
     category: str
     pattern: str
+    title: str
+    message: str
 
 
-# Rules by id, severity, category and Java pattern.
+# Rules by id, severity, category, Java pattern, title and message.
 RULES = (
-    Rule("debug_var_dump", "warning", "debug", r"(?i)\bvar_dump\s*\("),
-    Rule("debug_print_r", "warning", "debug", r"(?i)\bprint_r\s*\("),
-    Rule("debug_die_exit", "warning", "debug", r"(?i)\b(die|exit)\s*\("),
-    Rule("hardcoded_login_session", "critical", "seguranca", r"""(?i)\$_SESSION\s*\[\s*['"]login['"]\s*\]\s*([=!]==?|===)\s*['"][^'"]+['"]"""),
-    Rule("invalid_superglobal_session", "critical", "erro-provavel", r"(?<!_)\$SESSION\b"),
-    Rule("invalid_superglobal_generic", "critical", "erro-provavel", r"(?<!_)\$(GET|POST|REQUEST|SERVER)\b"),
-    Rule("direct_request_usage", "warning", "input", r"(?i)\$_REQUEST\b"),
-    Rule("suspicious_comment", "info", "comentario", r"(?iu)(mock|mocado|tempor[aá]rio|remover depois|gambiarra|hotfix|teste r[aá]pido)"),
-    Rule("sql_inline", "warning", "sql", r"(?i)\b(SELECT|INSERT|UPDATE|DELETE|EXEC|MERGE)\b"),
+    Rule("debug_var_dump", "warning", "debug", r"(?i)\bvar_dump\s*\(", "Uso de var_dump", "Uso de var_dump encontrado no código."),
+    Rule("debug_print_r", "warning", "debug", r"(?i)\bprint_r\s*\(", "Uso de print_r", "Uso de print_r encontrado no código."),
+    Rule("debug_die_exit", "warning", "debug", r"(?i)\b(die|exit)\s*\(", "Uso de die/exit", "Uso de die/exit encontrado no código."),
+    Rule("hardcoded_login_session", "critical", "seguranca", r"""(?i)\$_SESSION\s*\[\s*['"]login['"]\s*\]\s*([=!]==?|===)\s*['"][^'"]+['"]""", "Login hardcoded em sessão", "Comparação direta de login em sessão encontrada."),
+    Rule("invalid_superglobal_session", "critical", "erro-provavel", r"(?<!_)\$SESSION\b", "Superglobal inválida $SESSION", "Uso de $SESSION encontrado. O correto provavelmente é $_SESSION."),
+    Rule("invalid_superglobal_generic", "critical", "erro-provavel", r"(?<!_)\$(GET|POST|REQUEST|SERVER)\b", "Superglobal inválida", "Uso de superglobal sem underscore encontrado."),
+    Rule("direct_request_usage", "warning", "input", r"(?i)\$_REQUEST\b", "Uso direto de $_REQUEST", "Uso direto de $_REQUEST encontrado."),
+    Rule("suspicious_comment", "info", "comentario", r"(?iu)(mock|mocado|tempor[aá]rio|remover depois|gambiarra|hotfix|teste r[aá]pido)", "Comentário suspeito", "Comentário suspeito encontrado."),
+    Rule("sql_inline", "warning", "sql", r"(?i)\b(SELECT|INSERT|UPDATE|DELETE|EXEC|MERGE)\b", "SQL inline", "Possível SQL inline encontrado."),
 )
 # Fixed value: the further rule of the second rule set.
-GENERIC_LOGIN = Rule("hardcoded_login_generic", "critical", "seguranca", r"""(?i)\$[A-Za-z_][A-Za-z0-9_]*\s*([=!]==?|===)\s*['"](admin|teste|root|guest|usuario)['"]""")
+GENERIC_LOGIN = Rule("hardcoded_login_generic", "critical", "seguranca", r"""(?i)\$[A-Za-z_][A-Za-z0-9_]*\s*([=!]==?|===)\s*['"](admin|teste|root|guest|usuario)['"]""", "Login hardcoded", "Comparação direta de usuário encontrada.")
 # Severities, their weight in a file's score, and sizes.
 SEVERITIES = {"critical": 5, "warning": 3, "info": 1}
 LARGE_FILE_LINES = 2000
@@ -59,20 +61,26 @@ def missing_semicolon(line: Column) -> Column:
 
 def apply_rules(files: DataFrame, rules: tuple[Rule, ...] = RULES, path: str = "path", text: str = "text") -> DataFrame:
     """path, line_no, rule_id, severity, category, matched_text: a finding for each rule that a line matches,
-    for each line that may lack a semicolon, and for each file over ``LARGE_FILE_LINES`` lines.
+    for each line that may lack a semicolon, and for each file over ``LARGE_FILE_LINES`` lines. Titles and messages
+    are the rules' own (``rule_texts``).
 
-    The rules are columns of one projection, so lines are matched in the scan and nothing is shuffled.
+    The rules are columns of one projection, so lines are matched in the scan and nothing is shuffled. Files are read
+    and split once: the finding for a large file comes from its last line's place.
     """
-    rows = lines_of(files, path, text)
+    row = files.select(F.col(path).alias("path"), text_lines(F.col(text)).alias("lines"))
+    rows = row.select("path", F.size("lines").alias("n"), F.posexplode_outer("lines").alias("p", "line")).withColumn("line_no", F.col("p") + 1)
     hits = [F.when(F.col("line").rlike(r.pattern), F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category"))) for r in rules]
     hits.append(F.when(missing_semicolon(F.col("line")), F.struct(F.lit("possible_missing_semicolon").alias("rule_id"), F.lit("info").alias("severity"), F.lit("sintaxe-suspeita").alias("category"))))
-    matched = rows.select("path", "line_no", "line", F.explode(F.array_compact(F.array(*hits))).alias("r"))
-    found = matched.select("path", F.col("line_no").cast("int").alias("line_no"), "r.*", F.substring(stripped(F.col("line")), 1, SHOWN).alias("matched_text"))
-    n_lines = F.size(text_lines(F.col(text)))
-    large = files.where(n_lines > LARGE_FILE_LINES).select(
-        F.col(path).alias("path"), F.lit(1).alias("line_no"), F.lit("large_file").alias("rule_id"), F.lit("info").alias("severity"), F.lit("estrutura").alias("category"), n_lines.cast("string").alias("matched_text")
-    )
-    return found.unionByName(large)
+    hits.append(F.when((F.col("n") > LARGE_FILE_LINES) & (F.col("line_no") == F.col("n")), F.struct(F.lit("large_file").alias("rule_id"), F.lit("info").alias("severity"), F.lit("estrutura").alias("category"))))
+    matched = rows.select("path", "n", "line_no", "line", F.explode(F.array_compact(F.array(*hits))).alias("r"))
+    whole = F.col("r.rule_id") == "large_file"
+    shown = F.when(whole, F.col("n").cast("string")).otherwise(F.substring(stripped(F.col("line")), 1, SHOWN))
+    return matched.select("path", F.when(whole, 1).otherwise(F.col("line_no")).cast("int").alias("line_no"), "r.*", shown.alias("matched_text"))
+
+
+def rule_texts(spark: SparkSession, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """rule_id, title, message of each rule."""
+    return spark.createDataFrame([(r.rule_id, r.title, r.message) for r in rules], "rule_id string, title string, message string")
 
 
 def findings_rollup(findings: DataFrame) -> DataFrame:
@@ -97,10 +105,11 @@ def search(files: DataFrame, term: str, context: int = 2, ignore_case: bool = Tr
     Contexts are clamped to the file and may overlap. They are slices of a file's own lines, so nothing is shuffled.
     """
     all_lines = F.col("__lines")
-    row = files.select(F.col(path).alias("path"), text_lines(F.col(text)).alias("__lines"))
     fold = (lambda c: F.lower(c)) if ignore_case else (lambda c: c)
     needle = F.lit(term.lower() if ignore_case else term)
-    hit = row.select("path", "__lines", F.posexplode("__lines").alias("p", "line")).where(fold(F.col("line")).contains(needle))
+    holding = files.where(fold(F.col(text)).contains(needle))  # only these are split
+    row = holding.select(F.col(path).alias("path"), text_lines(F.col(text)).alias("__lines"))
+    hit = row.select("path", "__lines", F.posexplode_outer("__lines").alias("p", "line")).where(fold(F.col("line")).contains(needle))
     low = F.greatest(F.col("p") - context, F.lit(0))
     high = F.least(F.col("p") + context + 1, F.size(all_lines))
     near = F.transform(F.sequence(low, high - 1), lambda i: F.struct((i + 1).cast("int").alias("line_no"), F.get(all_lines, i).alias("line")))

@@ -195,10 +195,15 @@ def suspect_lines(text: Column) -> Column:
     return F.filter(F.transform(text_lines(F.coalesce(text, F.lit(""))), stripped), lambda x: x.rlike(words))
 
 
+def sql_literals(text: Column) -> Column:
+    """String literals of either quote, double ones first, that hold an SQL verb."""
+    literals = F.concat(found(text, r'(?s)"((?:[^"\\]|\\.)*)"', 1), found(text, r"(?s)'((?:[^'\\]|\\.)*)'", 1))
+    return F.filter(literals, lambda x: x.rlike(r"(?i)\b(SELECT|INSERT|UPDATE|DELETE|EXEC|MERGE)\b"))
+
+
 def tables_in_literals(text: Column) -> Column:
     """Tables named by SQL inside string literals of either quote, sorted."""
-    literals = F.concat(found(text, r'(?s)"((?:[^"\\]|\\.)*)"', 1), found(text, r"(?s)'((?:[^'\\]|\\.)*)'", 1))
-    sql = F.array_join(F.filter(literals, lambda x: x.rlike(r"(?i)\b(SELECT|INSERT|UPDATE|DELETE|EXEC|MERGE)\b")), "\n")
+    sql = F.array_join(sql_literals(text), "\n")
     return sorted_set(read_tables(sql), write_tables(sql))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.blocks import blocks, js_arguments
-from ..functions.columns import found, found_once, kept, sorted_set
+from ..functions.columns import found, found_once, kept, sorted_set, text_lines
 
 # What the texts' parts look like.
 MODAL = r'(?i)id="([^"]*modal[^"]*)"'
@@ -236,9 +236,11 @@ def script_blocks(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     p = SCRIPT
     text = F.coalesce(F.col(html), F.lit(""))
     parts = F.arrays_zip(found(text, p, 1).alias("attrs"), found(text, p, 2).alias("body"), found(text, p, 0).alias("all"))
-    before = F.split(text, r"(?i)<script\b", -1)
-    rows = pages.select(key, before.alias("before"), F.posexplode(parts).alias("p", "s"))
-    line = F.size(F.split(F.array_join(F.slice("before", 1, F.col("p") + 1), "<script"), "\n", -1))
+    gaps = F.split(text, p, -1)
+    rows = pages.select(key, gaps.alias("gaps"), parts.alias("parts"), F.posexplode(parts).alias("p", "s"))
+    breaks = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+    total = lambda texts: F.aggregate(texts, F.lit(0), lambda n, x: n + breaks(x))
+    line = total(F.slice("gaps", 1, F.col("p") + 1)) + total(F.slice(F.transform("parts", lambda x: x["all"]), 1, F.col("p"))) + 1
     return rows.select(key, (F.col("p") + 1).alias("block"), "s.attrs", F.nullif(F.regexp_extract("s.attrs", SCRIPT_SRC, 1), F.lit("")).alias("src"), F.trim("s.body").alias("body"), line.alias("start_line"))
 
 
@@ -261,9 +263,12 @@ callbacks = blocks(r"(?is)\.(?:done|fail|always)\s*\(\s*function\s*\(.*?\)\s*\{"
 
 
 def ajax_fields(call: Column) -> Column:
-    """url, method (or type), data, dataType of one ajax call's text."""
-    field = lambda n: F.nullif(F.trim(F.regexp_extract(call, rf"(?s)\b{n}\s*:\s*([^,\n}}]+)", 1)), F.lit(""))
-    return F.struct(field("url").alias("url"), F.coalesce(field("method"), field("type")).alias("method"), field("data").alias("data"), field("dataType").alias("dataType"))
+    """url, method (or type), data, dataType, timeout, processData, contentType of one ajax call's text, and the text
+    itself as raw; a quoted value runs to its closing quote, any other to the next comma or brace."""
+    value = r"""\s*:\s*("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|[^,\n}]+)"""
+    field = lambda n: F.nullif(F.trim(F.regexp_extract(call, rf"(?s)\b{n}{value}", 1)), F.lit(""))
+    others = (field(n).alias(n) for n in ("data", "dataType", "timeout", "processData", "contentType"))
+    return F.struct(field("url").alias("url"), F.coalesce(field("method"), field("type")).alias("method"), *others, call.alias("raw"))
 
 
 def inline_events(html: Column) -> Column:
@@ -310,6 +315,34 @@ def page_summary(html: Column) -> Column:
     )
 
 
+# Parts of the paths of includes that are looked into.
+RELEVANT_INCLUDES = ("modal_", "financeiro", "detalhe", "resultado", "consulta", "decreto", "encaminhamento")
+
+
+def relevant_includes(files: DataFrame, base: str = "") -> DataFrame:
+    """path, include, target, status, actions, endpoints of the included files that may matter, one level deep.
+
+    An include is looked up from ``base``; one that isn't there has status ``não encontrado``. One join of paths
+    with files, no recursion.
+    """
+    asked = files.select("path", F.explode(include_paths(F.col("text"))).alias("include")).where(_any(F.lower(F.trim("include")), RELEVANT_INCLUDES))
+    asked = asked.withColumn("target", F.concat(F.lit(base), F.regexp_replace("include", r"^\./|^/", "")))
+    known = files.select(F.col("path").alias("target"), actions(F.col("text")).alias("actions"), endpoints(F.col("text")).alias("endpoints"))
+    joined = asked.join(known, "target", "left")
+    return joined.select("path", "include", "target", F.when(F.col("actions").isNull(), "não encontrado").otherwise("ok").alias("status"), "actions", "endpoints")
+
+
+def sql_lines(files: DataFrame, most: int = SQL_LINES) -> DataFrame:
+    """path, line_no, kind, text: lines that hold SQL, white space collapsed, distinct by kind and text, the first
+    ``most`` of each file. All within a file's own row."""
+    plain = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
+    all_ = F.transform(text_lines(F.coalesce("text", F.lit(""))), lambda x, i: F.struct((i + 1).alias("line_no"), sql_line_kind(x).alias("kind"), plain(x).alias("text")))
+    held = files.select("path", F.filter(all_, lambda x: x["kind"].isNotNull() & (x["text"] != "")).alias("held"))
+    keys = F.transform("held", lambda x: F.struct(x["kind"], x["text"]))
+    once = held.withColumn("keys", keys).withColumn("held", F.filter("held", lambda x, i: F.array_position("keys", F.get("keys", i)) == i + 1))
+    return once.select("path", F.explode(F.slice("held", 1, most)).alias("h")).select("path", "h.*")
+
+
 def sql_line_kind(line: Column) -> Column:
     """The first kind of SQL that a line holds; null for none and for lines of HTML, CSS or JavaScript."""
     out = F.when(line.rlike(_NO_SQL), F.lit(None).cast("string"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..operators import anomaly, catalog, code, domain, profile, rules, sqltext, web
 
-STAR = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -178,9 +177,51 @@ def anomaly_score(spark, sf_dir):
     return anomaly.score(anomaly.detect(dirty(spark, sf_dir), ["ano", "mes", "grp_id"]))
 
 
-@query()
+#: All tables of the folder: columns with numbers, then the others.
+SCHEMA = {
+    "region": (("r_regionkey",), ("r_name",)),
+    "nation": (("n_nationkey", "n_regionkey"), ("n_name",)),
+    "customer": (("c_custkey", "c_nationkey", "c_acctbal"), ("c_name", "c_mktsegment")),
+    "supplier": (("s_suppkey", "s_nationkey", "s_acctbal"), ("s_name",)),
+    "part": (("p_partkey", "p_size", "p_retailprice"), ("p_name", "p_brand", "p_type")),
+    "orders": (("o_orderkey", "o_custkey", "o_totalprice"), ("o_orderstatus", "o_orderdate", "o_orderpriority")),
+    "lineitem": (_LINEITEM, ("l_returnflag", "l_linestatus", "l_shipdate")),
+    "events": (("event_id", "user_id", "value"), ("ts", "event_type", "props")),
+    "documents": (("doc_id", "n_chars"), ("text", "lang", "source")),
+    "embeddings": (("vec_id", "label"), ("embedding",)),
+    "pages": (("page_id",), ("url", "html")),
+    "benchmark": (("item_id",), ("text",)),
+    "labels": (("doc_id", "quality", "toxic"), ()),
+    "conversations": (("conv_id", "turn"), ("role", "text")),
+    "dirty": (("event_id", "mostly_null", "grp_id"), ("const_col", "ano", "mes")),
+}
+
+
+def _radar_sql() -> str:
+    """Every finding that a table can have as a row with its weight."""
+    found = []
+    for t, (numbers, others) in SCHEMA.items():
+        add = lambda weight, rest, t=t: found.append(f"SELECT '{t}' AS t, {weight} AS w FROM {rest}")
+        for c in (*numbers, *others):
+            add(4, f"{t} HAVING round((count(*) - count({c})) / count(*) * 100, 2) >= 50")
+            add(2, f"{t} HAVING count(DISTINCT {c}) = 1")
+        for c in numbers:
+            add(3, f"{t} WHERE {c} < 0 HAVING count(*) > 0")
+            add(3, f"{t}, (SELECT quantile_cont({c}, 0.25) AS a, quantile_cont({c}, 0.75) AS b, count({c}) AS n FROM {t}) WHERE n >= 8 AND b > a AND ({c} < a - 1.5 * (b - a) OR {c} > b + 1.5 * (b - a)) HAVING count(*) > 0")
+        if "ano" in others:
+            add(5, f"{t} WHERE CAST(ano AS INT) NOT BETWEEN 2000 AND 2100 HAVING count(*) > 0")
+            add(5, f"{t} WHERE CAST(mes AS INT) NOT BETWEEN 1 AND 12 HAVING count(*) > 0")
+        keys = ", ".join(c for c in (*numbers, *others) if c.endswith("_id") or c in ("ano", "mes"))
+        if keys:
+            add(6, f"(SELECT count(*) AS n FROM {t} GROUP BY {keys} HAVING count(*) > 1) HAVING count(*) > 0")
+    names = ", ".join(f"('{t}')" for t in SCHEMA)
+    return f"""WITH {_DIRTY}, fs AS ({_union(found)})
+SELECT n.t AS "table", true AS ok, CAST(coalesce(sum(w), 0) AS BIGINT) AS score, count(w) AS findings, CAST(NULL AS VARCHAR) AS error FROM (VALUES {names}) n(t) LEFT JOIN fs ON n.t = fs.t GROUP BY n.t"""
+
+
+@query(_radar_sql())
 def radar(spark, sf_dir):
-    return anomaly.radar({t: table(spark, sf_dir, t) for t in STAR} | {"dirty": dirty(spark, sf_dir)})
+    return anomaly.radar({t: dirty(spark, sf_dir) if t == "dirty" else table(spark, sf_dir, t) for t in SCHEMA})
 
 
 @query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), p AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i, len(ls) AS n FROM l)
@@ -221,10 +262,11 @@ def page_links(spark, sf_dir):
     return rows.select("page_id", "a.text", "a.href").distinct()
 
 
-@query("""WITH s AS (SELECT page_id, regexp_extract_all(html, '(?is)<script\\b[^>]*>(.*?)</script>', 1) AS bs FROM pages)
-SELECT page_id, CAST(unnest(range(len(bs))) + 1 AS INT) AS block, trim(unnest(bs)) AS body FROM s""")
+@query("""WITH s AS (SELECT page_id, regexp_extract_all(html, '(?is)<script\\b[^>]*>(.*?)</script>', 1) AS bs, regexp_extract_all(html, '(?is)(.*?)<script\\b[^>]*>.*?</script>', 1) AS gaps, regexp_extract_all(html, '(?is)<script\\b[^>]*>.*?</script>') AS alls FROM pages),
+b AS (SELECT page_id, unnest(range(len(bs))) + 1 AS i, bs, array_to_string(gaps, '') AS g, gaps, alls FROM s)
+SELECT page_id, CAST(i AS INT) AS block, trim(bs[i]) AS body, CAST(len(string_split(array_to_string(gaps[:i], '') || array_to_string(alls[:i - 1], ''), chr(10))) AS INT) AS start_line FROM b""")
 def script_blocks(spark, sf_dir):
-    return web.script_blocks(table(spark, sf_dir, "pages"), "page_id").select("page_id", "block", "body")
+    return web.script_blocks(table(spark, sf_dir, "pages"), "page_id").select("page_id", "block", "body", "start_line")
 
 
 @query("""SELECT page_id, 'Page.show' AS action, 'Page' AS class, 'show' AS method, CAST(page_id AS VARCHAR) AS id_param FROM pages""")
@@ -257,11 +299,12 @@ def sql_flags(spark, sf_dir):
     return a.select("id", *(r[k].alias(k) for k in ("cursor", "transaction", "nolock", "merge")), "update_without_where", "delete_without_where", "kind")
 
 
-@query("""SELECT 'brazil' AS name, false AS found UNION ALL SELECT lower(n_name), true FROM nation""")
+@query("""WITH w AS (SELECT DISTINCT lower(n_name) AS name FROM nation), h AS (SELECT DISTINCT trim(CASE WHEN n_nationkey % 3 = 0 THEN n_name ELSE ' ' || lower(n_name) END) AS name FROM nation WHERE n_nationkey % 4 <> 1)
+SELECT w.name, h.name IS NOT NULL AS found FROM w LEFT JOIN h ON w.name = h.name""")
 def entity_cross(spark, sf_dir):
-    have = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("name"))
-    want = have.unionByName(spark.createDataFrame([("BRAZIL",)], "name string").where("1 = 1"))
-    return domain.cross_entities(want, have).where("name <> 'brazil' OR NOT found")
+    nation = table(spark, sf_dir, "nation")
+    have = nation.where("n_nationkey % 4 <> 1").select(F.when(F.col("n_nationkey") % 3 == 0, F.col("n_name")).otherwise(F.concat(F.lit(" "), F.lower("n_name"))).alias("name"))
+    return domain.cross_entities(nation.select(F.col("n_name").alias("name")), have)
 
 
 @query("""SELECT count(*) AS rows, count(c_custkey) AS matched, count(*) - count(c_custkey) AS orphans, round(count(c_custkey) / count(*) * 100, 2) AS pct_matched FROM orders LEFT JOIN customer ON o_custkey = c_custkey""")
@@ -316,7 +359,8 @@ def method_records(spark, sf_dir):
 UNION SELECT 2, 'src/C' || b.p_partkey || '.php', 'C' || (b.p_partkey + 1), 'run', CASE WHEN c.p_partkey IS NOT NULL THEN 'src/C' || c.p_partkey || '.php' END FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 LEFT JOIN part c ON c.p_partkey = b.p_partkey + 1""")
 def external_calls(spark, sf_dir):
     files = _program(spark, sf_dir)
-    return code.external_calls(code.methods(files), files, deep=2).select("level", "caller_path", "class", "method", "path")
+    every = code.methods(files).persist()  # read by the first level and by both look-ups
+    return code.external_calls(every, files, deep=2, every=every).select("level", "caller_path", "class", "method", "path")
 
 
 @query("""SELECT 'src/C' || p_partkey || '.php' AS path, 'id' AS name, true AS documented, 'int' AS type, p_brand AS label FROM part UNION ALL SELECT 'src/C' || p_partkey || '.php', 'other', false, NULL, NULL FROM part""")

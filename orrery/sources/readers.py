@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import make_valid_text
@@ -88,18 +88,27 @@ def all_program_files(spark: SparkSession, path: str) -> DataFrame:
 def graphml(spark: SparkSession, path: str, strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """entities (id, name, columns) and edges (id, source_id, target_id) of a GraphML file with yWorks labels.
 
-    strict: nodes without id or name are left out, types get their names here; otherwise they stay as they are.
+    strict: nodes without id or name are left out, names and types of columns are normalised, an edge without id is
+    ``edge<its place from 0>``; otherwise all stay as they are.
     """
     label = "struct<_VALUE:string,_configuration:string>"
     node = f"_id string, data array<struct<`y:GenericNode`:struct<`y:NodeLabel`:array<{label}>>>>"
     nodes = spark.read.format("xml").option("rowTag", "node").schema(node).load(path)
     labels = F.flatten(F.transform(F.filter("data", lambda d: d["y:GenericNode"].isNotNull()), lambda d: d["y:GenericNode"]["y:NodeLabel"]))
     of = lambda kind: F.try_element_at(F.filter(labels, lambda x: x["_configuration"].endswith(kind)), F.lit(1))["_VALUE"]
-    entities = nodes.select(F.col("_id").alias("id"), F.trim(of("name")).alias("name"), parse_columns(of("attributes")).alias("columns"))
+    entities = nodes.select(F.col("_id").alias("id"), F.trim(of("name")).alias("name"), parse_columns(of("attributes"), strict).alias("columns"))
     if strict:
         entities = entities.where("id IS NOT NULL AND name IS NOT NULL AND name <> ''")
     edge = spark.read.format("xml").option("rowTag", "edge").schema("_id string, _source string, _target string").load(path)
-    named = edge.select(F.coalesce("_id", F.concat(F.lit("edge"), F.monotonically_increasing_id())).alias("id"), F.col("_source").alias("source_id"), F.col("_target").alias("target_id"))
+    # an edge without id is numbered by its place in the file; only those without are looked at again
+    spread = edge.withColumn("at", F.monotonically_increasing_id())
+    part = F.shiftright("at", 33)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    offsets = spread.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    placed = spread.withColumn("part", part).join(F.broadcast(offsets), "part")
+    place = F.col("offset") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    number = F.concat(F.lit("edge"), place.cast("string")) if strict else F.lit(None)
+    named = placed.select(F.coalesce("_id", number).alias("id"), F.col("_source").alias("source_id"), F.col("_target").alias("target_id"))
     return entities, named
 
 
