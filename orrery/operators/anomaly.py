@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import normalised, numeric_columns, percent, unpivot
-from .quantiles import exact_quantiles
+from .quantiles import brackets, exact_quantiles
 
 # Kinds of findings and what each adds to a table's score; any other kind adds 1.
 WEIGHTS = {
@@ -104,15 +104,25 @@ def year_month_range(df: DataFrame) -> DataFrame:
 def iqr_outliers(df: DataFrame, least: int = 8, reach: float = 1.5) -> DataFrame:
     """Numeric columns with values beyond the quartiles by more than ``reach`` times their distance.
 
-    Quartiles are exact, interpolated linearly. Columns with under ``least`` values or equal quartiles are left
+    A pass with a sketch leaves out columns that can't have any. Quartiles are exact, interpolated linearly. Columns with under ``least`` values or equal quartiles are left
     out. The quartiles, two numbers a column, come to the driver and are literals of one counting pass.
     """
     df = normalised(df)
     columns = numeric_columns(df)
     if not columns:
         return _none(df)
+    # one pass tells which columns may have any: fences are at q1 - reach (q3 - q1) and q3 + reach (q3 - q1)
+    asked = []
+    for c, t in zip(columns, brackets(df, columns), strict=True):
+        if t.n >= least:
+            (a, b), (x, y) = t.around
+            if t.least < (1 + reach) * b - reach * x or t.greatest > (1 + reach) * x - reach * b:
+                asked.append((c, t))
+    if not asked:
+        return _none(df)
+    columns = [c for c, _ in asked]
     told: dict[int, dict] = {}
-    for r in exact_quantiles(df, columns).collect():  # two rows a column
+    for r in exact_quantiles(df, columns, told=[t for _, t in asked]).collect():  # two rows a column
         if r["n"] >= least:
             told.setdefault(r["position"], {})[r["k"]] = r["value"]
     bounds = {i: (q[0] - reach * (q[1] - q[0]), q[1] + reach * (q[1] - q[0])) for i, q in told.items() if len(q) == 2 and q[1] > q[0]}

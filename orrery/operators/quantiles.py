@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,28 +13,51 @@ _BUCKETS = 4096
 _MARGIN = 0.005
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float] = (0.25, 0.75)) -> DataFrame:
+@dataclass(frozen=True)
+class Bracket:
+    """Of one column: number of values, least, greatest, and two values that hold each quantile between them."""
+
+    n: int
+    least: float | None
+    greatest: float | None
+    around: list[tuple[float, float]]
+
+
+def brackets(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float] = (0.25, 0.75)) -> list[Bracket]:
+    """A bracket for each column, from one pass with a sketch. Nulls are left out and NaN must not occur."""
+    if not columns:
+        return []
+    wide = [max(0.0, min(1.0, p + d * _MARGIN)) for p in probabilities for d in (-1, 1)]
+    n = len(columns)
+    cells = df.select(*(F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(columns)))
+    told = cells.agg(*(F.percentile_approx(f"x{i}", wide, _ACCURACY) for i in range(n)), *(f(f"x{i}") for f in (F.count, F.min, F.max) for i in range(n))).first()
+    out = []
+    for i in range(n):
+        count, least, greatest = told[n + i], told[2 * n + i], told[3 * n + i]
+        # of few values the bracket could miss a neighbour, so it is all of them
+        ends = told[i] if count >= 10 / _MARGIN else [least, greatest] * len(probabilities)
+        out.append(Bracket(count, least, greatest, list(zip(ends[::2], ends[1::2], strict=True))))
+    return out
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float] = (0.25, 0.75), told: list[Bracket] | None = None) -> DataFrame:
     """position (of the column), k (of the probability), n (values), value: quantiles interpolated linearly.
 
     Nulls are left out and NaN must not occur. A sketch first brackets every quantile within half a percent of the
     rows; it is taken at once, as merged sketches may differ from run to run and all that follows must see the
     same brackets. The values in a bracket fall into 4096 equal buckets, whose counts tell which one or two hold the
     wanted ranks, and only those are sorted. So the largest sort is of some millionths of the rows, and ties are counted
-    first, where the built-in exact percentile keeps all distinct values in one task.
+    first, where the built-in exact percentile keeps all distinct values in one task. told: brackets made before.
     """
     if not columns:
         return df.sparkSession.createDataFrame([], "position int, k int, n long, value double")
     x = [F.col(f"`{c}`").cast("double") for c in columns]
     cells = df.select(*(v.alias(f"x{i}") for i, v in enumerate(x)))
-    wide = [max(0.0, min(1.0, p + d * _MARGIN)) for p in probabilities for d in (-1, 1)]
-    n = len(columns)
-    told = cells.agg(*(F.percentile_approx(f"x{i}", wide, _ACCURACY) for i in range(n)), *(f(f"x{i}") for f in (F.count, F.min, F.max) for i in range(n))).first()
-    # of few values the bracket could miss a neighbour, so it is all of them
-    sketch = [told[i] if told[n + i] >= 10 / _MARGIN else [told[2 * n + i], told[3 * n + i]] * len(probabilities) for i in range(n)]
-    pairs = [(i, k) for i in range(n) if told[n + i] for k in range(len(probabilities))]
+    told = brackets(df, columns, probabilities) if told is None else told
+    pairs = [(i, k) for i, t in enumerate(told) if t.n for k in range(len(probabilities))]
     if not pairs:
         return df.sparkSession.createDataFrame([], "position int, k int, n long, value double")
-    low, high = (lambda i, k: F.lit(sketch[i][2 * k])), (lambda i, k: F.lit(sketch[i][2 * k + 1]))
+    low, high = (lambda i, k: F.lit(told[i].around[k][0])), (lambda i, k: F.lit(told[i].around[k][1]))
     counts = [F.count(f"x{i}").alias(f"n{i}") for i in range(len(columns))]
     below = [F.count_if(F.col(f"x{i}") < low(i, k)).alias(f"b{i}_{k}") for i, k in pairs]
     row = cells.agg(*counts, *below)

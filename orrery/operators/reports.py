@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .anomaly import detect, radar
+
 
 def _cell(value) -> str:
     if isinstance(value, list | tuple):
@@ -26,6 +30,15 @@ def document(title: str, sections: dict[str, DataFrame], most: int = 200) -> str
     return f"# {title}\n\n" + "\n".join(markdown(df, name, most) for name, df in sections.items())
 
 
+def radar_report(tables: Mapping[str, DataFrame], most: int = 20, each: int = 10) -> str:
+    """The ranking of all tables, and of the first ``most`` with a score the first ``each`` findings."""
+    ranked = radar(tables)
+    top = [r["table"] for r in ranked.limit(most).collect() if r["ok"] and r["score"] > 0]
+    parts = [markdown(ranked, "Tables")]
+    parts += [markdown(detect(tables[t]), t, each).replace("## ", "### ", 1) for t in top]
+    return "# Radar\n\n" + "\n".join(parts)
+
+
 def write_findings(findings: DataFrame, path: str) -> None:
     """Findings as Parquet, a folder for each severity."""
     findings.write.mode("overwrite").partitionBy("severity").parquet(path)

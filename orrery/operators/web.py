@@ -99,10 +99,16 @@ def buttons(html: Column) -> Column:
 def links(html: Column) -> Column:
     """Distinct anchors with a text: array of text, href, onclick, class, id (empty if not given)."""
     pairs = F.arrays_zip(found(html, LINK, 1).alias("attrs"), found(html, LINK, 2).alias("inner"))
-    item = lambda x: F.struct(clean_html(x["inner"]).alias("text"), *(attribute(x["attrs"], n).alias(n) for n in ("href", "onclick", "class", "id")))
+    given = lambda m, n: F.coalesce(F.element_at(m, n), F.lit("")).alias(n)
+    item = lambda x: _let(attributes(x["attrs"]), lambda m: F.struct(clean_html(x["inner"]).alias("text"), *(given(m, n) for n in ("href", "onclick", "class", "id"))))
     return F.array_distinct(F.filter(F.transform(pairs, item), lambda x: x["text"] != ""))
 
 
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once."""
+    return F.transform(F.array(value), f)[0]
+
+
 def attribute(tag: Column, name: str) -> Column:
     """One attribute's value; empty if not given."""
     return F.coalesce(F.element_at(attributes(tag), name), F.lit(""))
@@ -198,14 +204,14 @@ def js_behaviour(onclick: Column) -> Column:
 def clickables(html: Column) -> Column:
     """Distinct elements that can be clicked: anchors with a text, buttons among inputs, other tags with onclick.
     Array of element, label, href, onclick, class, id."""
-    item = lambda kind, label, tag: F.struct(F.lit(kind).alias("element"), label.alias("label"), *(attribute(tag, n).alias(n) for n in ("href", "onclick", "class", "id")))
-    a = LINK
-    anchors = F.transform(F.arrays_zip(found(html, a, 1).alias("t"), found(html, a, 2).alias("i")), lambda x: item("a", clean_html(x["i"]), x["t"]))
-    fields = F.filter(found(html, INPUT, 1), lambda t: F.lower(attribute(t, "type")).isin("button", "submit", "image"))
-    inputs = F.transform(fields, lambda t: item("input", F.trim(F.coalesce(F.nullif(attribute(t, "value"), F.lit("")), attribute(t, "title"))), t))
-    g = GENERIC
-    tags = F.arrays_zip(found(html, g, 2).alias("t"), found(html, g, 3).alias("i"))
-    others = F.transform(F.filter(tags, lambda x: F.trim(attribute(x["t"], "onclick")) != ""), lambda x: item("generic", clean_html(x["i"]), x["t"]))
+    get = lambda m, n: F.coalesce(F.element_at(m, n), F.lit(""))
+    item = lambda kind, label, m: F.struct(F.lit(kind).alias("element"), label.alias("label"), *(get(m, n).alias(n) for n in ("href", "onclick", "class", "id")))
+    read = lambda tags, inner: F.transform(F.arrays_zip(tags.alias("t"), inner.alias("i")), lambda x: F.struct(attributes(x["t"]).alias("m"), clean_html(x["i"]).alias("i")))
+    anchors = F.transform(read(found(html, LINK, 1), found(html, LINK, 2)), lambda x: item("a", x["i"], x["m"]))
+    fields = F.filter(F.transform(found(html, INPUT, 1), attributes), lambda m: F.lower(get(m, "type")).isin("button", "submit", "image"))
+    inputs = F.transform(fields, lambda m: item("input", F.trim(F.coalesce(F.nullif(get(m, "value"), F.lit("")), get(m, "title"))), m))
+    clicked = F.filter(read(found(html, GENERIC, 2), found(html, GENERIC, 3)), lambda x: F.trim(get(x["m"], "onclick")) != "")
+    others = F.transform(clicked, lambda x: item("generic", x["i"], x["m"]))
     return F.array_distinct(F.filter(F.concat(anchors, inputs, others), lambda x: x["label"] != ""))
 
 

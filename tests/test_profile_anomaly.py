@@ -61,3 +61,19 @@ def test_radar_ranks_and_guards(spark):
     bad = ValueError("no table")
     out = rows(anomaly.radar({"b": spark.createDataFrame(ROWS, SCHEMA), "a": spark.range(3), "z": bad}))
     assert [r[:2] for r in out] == [("b", True), ("a", True), ("z", False)] and out[2][4] == "no table"
+
+
+def test_radar_survives_a_broken_file(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "t"))
+    broken = spark.read.parquet(str(tmp_path / "t"))
+    for part in (tmp_path / "t").glob("*.parquet"):
+        raw = bytearray(part.read_bytes())
+        raw[4:-40] = bytes(len(raw) - 44)
+        part.write_bytes(raw)
+    out = rows(anomaly.radar({"broken": broken, "a": spark.range(3)}))
+    assert [r[:2] for r in out] == [("a", True), ("broken", False)] and out[1][4]
+
+
+def test_outliers_of_skipped_and_asked_columns(spark):
+    df = spark.createDataFrame([(float(i % 100), float(i % 100) if i else 1e6, -1e6 if i == 7 else float(i)) for i in range(3000)], "flat double, high double, low double")
+    assert {r["column"]: r["quantity"] for r in anomaly.iqr_outliers(df).collect()} == {"high": 1, "low": 1}

@@ -124,5 +124,47 @@ def test_catalog_and_domain(spark):
     edges = spark.createDataFrame([("e", "1", "2"), ("f", "1", "9")], "id string, source_id string, target_id string")
     ents = spark.createDataFrame([("1", "A"), ("2", "B")], "id string, name string")
     assert catalog.resolve_edges(edges, ents).count() == 1 and catalog.resolve_edges(edges, ents, strict=False).count() == 2
-    d = spark.createDataFrame([("x", True, True, True, 95.0, 90.0, 2), ("y", True, True, True, 70.0, 50.0, 1), ("z", True, False, False, None, None, None)], "domain string, has_structural boolean, has_domain_map boolean, has_cross boolean, adherence_entities double, adherence_relationships double, rule_count int")
-    assert [r["maturity"] for r in domain.maturity(d).orderBy("domain").collect()] == ["high", "medium", "structure_only"]
+    kind = "domain string, has_structural boolean, has_domain_map boolean, has_cross boolean, has_cross_ia boolean, adherence_entities double, adherence_relationships double, rule_count int"
+    rows = [("a", False, True, True, True, 99.0, 99.0, 9), ("b", True, False, True, True, 99.0, 99.0, 9), ("c", True, True, False, True, None, None, None), ("d", True, True, True, False, 99.0, 99.0, 9)]
+    rows += [("e", True, True, True, True, 95.0, 90.0, 2), ("f", True, True, True, True, 95.0, 90.0, 1), ("g", True, True, True, True, 69.0, 50.0, 0), ("h", True, True, True, True, 69.9, 49.9, 0)]
+    levels = {r["domain"]: r["maturity"] for r in domain.maturity(spark.createDataFrame(rows, kind)).collect()}
+    assert levels == {"a": "não iniciado", "b": "estrutural", "c": "semântico inicial", "d": "parcial", "e": "maduro", "f": "parcial", "g": "parcial", "h": "raso"}
+
+
+def test_script_lines_count_whole_blocks(spark):
+    pages = spark.createDataFrame([(1, '<p>\n<script>var a="<script x";\n\n</script>\n<script>f()</script>')], "id int, html string")
+    assert [r["start_line"] for r in web.script_blocks(pages, "id").orderBy("block").collect()] == [2, 5]
+
+
+def test_booleans_are_the_words_given(spark):
+    words = {"true": True, "1": True, " Sim ": True, "yes": True, "false": False, "0": False, "nao": False, "NÃO": False, "no": False, "s": None, "n": None, "": None}
+    assert {w: one(spark, code.as_boolean, w) for w in words} == words
+
+
+def test_relevant_methods_put_sql_and_size_first(spark):
+    body = lambda name, text: f"  public function {name}() {{\n{text}\n  }}\n"
+    text = "class A {\n" + body("calls", "$a->b(); $a->c(); $a->d();") + body("sql", '$q = "SELECT 1 FROM t";') + body("two", '$q = "SELECT 1 FROM t"; $r = "DELETE FROM t";') + body("long", '$q = "SELECT 1 FROM t";\n\n\n') + "}"
+    files = spark.createDataFrame([("a.php", text)], "path string, text string")
+    assert [r["method"] for r in code.relevant_methods(code.facade_methods(files)).collect()] == ["two", "long", "sql", "calls"]
+    assert code.locate_target(files.withColumn("text", F.lit("class X")), "A(b.c").count() == 0
+
+
+def test_evidence_of_entities_and_relationships(spark):
+    rules_ = spark.createDataFrame([("Estrutura programática",), ("Os objetivos pertencem a programas",), ("nada",)], "rule string")
+    signals = spark.createDataFrame([], "signal string, entities array<string>")
+    names = spark.createDataFrame([("Programa",), ("programaobjetivo",), ("acao",)], "name string")
+    links = spark.createDataFrame([("acao", "programa"), ("programaobjetivo", "programa")], "source string, target string")
+    got = {r["rule"]: (len(r["evidence"]), r["confidence"]) for r in domain.rule_evidence(rules_, signals, names, links).collect()}
+    assert got == {"Estrutura programática": (3, "alta"), "Os objetivos pertencem a programas": (2, "média"), "nada": (0, "baixa")}
+    assert {r["confidence"] for r in domain.rule_evidence(rules_, signals).collect()} == {"baixa"}
+
+
+def test_ajax_fields_keep_quoted_commas(spark):
+    r = one(spark, web.ajax_fields, '$.ajax({ url: "a,b}.php", type: \'GET\', data: { x: 1 }, timeout: 5, processData: false, contentType: false })')
+    assert (r["url"], r["method"], r["timeout"], r["processData"], r["contentType"]) == ('"a,b}.php"', "'GET'", "5", "false", "false")
+
+
+def test_sql_lines_are_distinct_and_capped(spark):
+    text = "SELECT a FROM b\nselect\n<select from>\nSELECT  a FROM b\n" + "\n".join(f"DELETE FROM t{i}" for i in range(60))
+    got = web.sql_lines(spark.createDataFrame([("f", text), ("g", None)], "path string, text string")).collect()
+    assert len(got) == 50 and got[0]["text"] == "SELECT a FROM b" and got[1]["line_no"] == 5
