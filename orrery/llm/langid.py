@@ -185,7 +185,7 @@ def fit_languages(documents: DataFrame, most: int = TRAINING_DOCUMENTS, total: i
     each = max(1, min(most, total // max(1, counts.count())))
     bound = counts.select("lang", ((2 * each + 50) / F.col("n")).alias("share"))
     place = F.xxhash64("doc_id").cast("double") / float(1 << 64) + 0.5
-    few = labelled.select("doc_id", "lang").join(bound, "lang").where(place <= F.col("share"))
+    few = labelled.select("doc_id", "lang").join(F.broadcast(bound), "lang").where(place <= F.col("share"))  # bound: a row for each language
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = few.withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= each).select("doc_id", "lang")
     sample = labelled.where(F.col("text").isNotNull()).join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
