@@ -109,8 +109,8 @@ def _sums(values: np.ndarray, index: np.ndarray, weight: np.ndarray, begin: np.n
     """For each span of places from begin on: the sum of weight times the rows of values that index names."""
     out = np.zeros((len(begin), values.shape[1]), np.float32)
     ends = np.append(begin[1:], len(index))
-    for lo in range(0, len(begin), 8192):
-        hi = min(lo + 8192, len(begin))
+    for lo in range(0, len(begin), 4096):
+        hi = min(lo + 4096, len(begin))
         a, b = begin[lo], ends[hi - 1]
         full = ends[lo:hi] > begin[lo:hi]
         if b > a:
@@ -122,10 +122,11 @@ class _Sparse:
     """A sparse matrix by row, and by column, to multiply dense ones with."""
 
     def __init__(self, row: np.ndarray, column: np.ndarray, weight: np.ndarray, shape: tuple[int, int]):
-        order = np.argsort(row, kind="stable")
-        self.by_row = column[order], weight[order], np.searchsorted(row[order], np.arange(shape[0]))
-        order = np.argsort(column, kind="stable")
-        self.by_column = row[order], weight[order], np.searchsorted(column[order], np.arange(shape[1]))
+        """row: in order. Indices have 32 bits: the driver holds them twice."""
+        row, column = row.astype(np.int32), column.astype(np.int32)
+        self.by_row = column, weight, np.searchsorted(row, np.arange(shape[0], dtype=np.int32))
+        order = np.argsort(column, kind="stable").astype(np.int32)
+        self.by_column = row[order], weight[order], np.searchsorted(column[order], np.arange(shape[1], dtype=np.int32))
 
     def __matmul__(self, values: np.ndarray) -> np.ndarray:
         return _sums(values, *self.by_row)
@@ -188,17 +189,20 @@ def train(texts: list[str], toxic: list[int], share: float, dimensions: int = 4,
     row, column = np.divmod(np.unique(row * len(words) + column), len(words))
     bags = _Sparse(row, column, (1 / (size[row] + PRIOR)).astype(np.float32), (len(y), len(words)))
 
-    bucket, begin = subwords(words)
-    count = np.diff(np.append(begin, len(bucket)))
-    owner = np.repeat(np.arange(len(words)), count)
+    parts = [subwords(words[lo : lo + 16_384]) for lo in range(0, len(words), 16_384)]
+    bucket = np.concatenate([b.astype(np.int32) for b, _ in parts])
+    count = np.concatenate([np.diff(np.append(begin, len(b))) for b, begin in parts])
+    del parts
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), count)
     # in how many segments of either class a subword is, once for each word
     classes = [np.bincount(column[y[row] == k], minlength=len(words)) for k in (0, 1)]
     clean, bad = (np.bincount(bucket, c[owner], BUCKETS) for c in classes)
     kept = np.flatnonzero(clean + bad)
-    place = np.full(BUCKETS, -1)
+    place = np.full(BUCKETS, -1, np.int32)
     place[kept] = np.arange(len(kept))
     held = place[bucket] >= 0
-    subs = _Sparse(owner[held], place[bucket[held]], (1 / count)[owner[held]].astype(np.float32), (len(words), len(kept)))
+    subs = _Sparse(owner[held], place[bucket[held]], (1 / count).astype(np.float32)[owner[held]], (len(words), len(kept)))
+    del bucket, owner, held
     totals = [max(1, int((y == k).sum())) for k in (0, 1)]
     shrink = SHRINK / len(y)
     rng = np.random.default_rng(seed)
