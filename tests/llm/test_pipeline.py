@@ -38,6 +38,14 @@ def test_language_keeps_all_texts_with_letters(stages):
     assert all(r["lang"] for r in stages[1])
 
 
+def test_language_keeps_capitals_and_drops_foreign_texts(spark):
+    base = spark.read.parquet(f"{SF}/documents.parquet")
+    capitals = base.where("text IS NOT NULL").selectExpr("doc_id + 1000000 AS doc_id", "upper(text) AS text", "lang", "source", "n_chars")
+    foreign = spark.createDataFrame([(5 * 10**6, "Это русский текст о погоде", None, "s", 1), (5 * 10**6 + 1, "这是一个中文句子", None, "s", 1)], base.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, base.unionByName(capitals).unionByName(foreign), SF).collect()}
+    assert {r["doc_id"] for r in capitals.collect() if re.search(r"[^\W\d_]", r["text"])} <= kept and not {5 * 10**6, 5 * 10**6 + 1} & kept
+
+
 def test_lines(stages):
     first, want = {}, collections.Counter()
     order = sorted({(r["doc_id"] is not None, r["doc_id"] or 0, r["text"]) for r in stages[1]})
