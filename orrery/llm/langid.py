@@ -20,6 +20,7 @@ ORDER = 4
 LEAST = 2
 _LETTER = regex.compile(r"\p{L}")
 _SLICE = 1 << 20
+_ROWS = 512
 
 
 class _Costs:
@@ -223,21 +224,23 @@ def identify_languages(documents: DataFrame, model: PPM, keep: list[str] | None
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ppm = broadcast.value
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            known = [i for i, t in enumerate(texts) if ppm.langs and t and _LETTER.search(t)]
-            pred, share, rate = ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts)
-            if known:
-                raw = [texts[i].encode() for i in known]
-                bits = ppm.lengths(raw)
-                best = bits.argmin(1)
-                least = bits[np.arange(len(known)), best]
-                p = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1)
-                for i, text, b, x, q in zip(known, raw, best, least, p, strict=True):
-                    pred[i], share[i], rate[i] = ppm.langs[b], float(q), float(x / len(text))
-            new = [batch.column(batch.num_columns - 1)] * text_too
-            new += [pa.array(pred, pa.string()), pa.array(share, pa.float64()), pa.array(rate, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, _ROWS):  # the texts of a batch are never all copied at once
+                batch = whole.slice(lo, _ROWS)
+                texts = batch.column(batch.num_columns - 1).to_pylist()
+                known = [i for i, t in enumerate(texts) if ppm.langs and t and _LETTER.search(t)]
+                pred, share, rate = ["und"] * len(texts), [0.0] * len(texts), [None] * len(texts)
+                if known:
+                    raw = [texts[i].encode() for i in known]
+                    bits = ppm.lengths(raw)
+                    best = bits.argmin(1)
+                    least = bits[np.arange(len(known)), best]
+                    p = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1)
+                    for i, text, b, x, q in zip(known, raw, best, least, p, strict=True):
+                        pred[i], share[i], rate[i] = ppm.langs[b], float(q), float(x / len(text))
+                new = [batch.column(batch.num_columns - 1)] * text_too
+                new += [pa.array(pred, pa.string()), pa.array(share, pa.float64()), pa.array(rate, pa.float64())]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names)
 
     read = documents.select(*columns, "text")
     own = [f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields][: None if text_too else -1]
