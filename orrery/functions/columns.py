@@ -59,6 +59,12 @@ def make_valid_text(content: Column) -> Column:
     return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("�"), F.lit(""))
 
 
+def exploded(df: DataFrame, array: Column, name: str, *keep: str | Column) -> DataFrame:
+    """``keep`` and each element of ``array``. Of an outer explode no filter on the array is inferred, which would
+    compute it again; what an empty or null array leaves is dropped afterwards."""
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def text_lines(text: Column) -> Column:
     """The lines of a text; a last line end makes no further line, and an empty text has none."""
     ended = F.regexp_replace(text, rf"(?:{LINE_ENDS})\z", "")  # so that the text is split once only

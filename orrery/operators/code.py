@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.blocks import blocks
-from ..functions.columns import found, found_once, kept, sorted_set, text_lines
+from ..functions.columns import exploded, found, found_once, kept, sorted_set, text_lines
 from .sqltext import embedded_sql, sql_literals, suspect_lines, tables_in_literals
 
 # What the texts' parts look like.
@@ -54,7 +54,7 @@ def methods(files: DataFrame, aware: bool = False) -> DataFrame:
 
     aware: braces in strings and comments don't count. A body whose braces don't close is left out.
     """
-    rows = files.select("path", F.explode(_BLOCKS[aware]("text")).alias("b"))
+    rows = exploded(files, _BLOCKS[aware]("text"), "b", "path")
     signature = F.trim(F.regexp_extract("b.text", r"(?s)^\s*((?:\w+\s+)*?function\s+\w+\s*\(.*?\))", 1))
     return rows.select(
         "path",

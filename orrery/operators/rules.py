@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import text_lines
+from ..functions.columns import exploded, text_lines
 
 
 @dataclass(frozen=True)
@@ -72,7 +72,7 @@ def apply_rules(files: DataFrame, rules: tuple[Rule, ...] = RULES, path: str = "
     hits = [F.when(F.col("line").rlike(r.pattern), F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category"))) for r in rules]
     hits.append(F.when(missing_semicolon(F.col("line")), F.struct(F.lit("possible_missing_semicolon").alias("rule_id"), F.lit("info").alias("severity"), F.lit("sintaxe-suspeita").alias("category"))))
     hits.append(F.when((F.col("n") > LARGE_FILE_LINES) & (F.col("line_no") == F.col("n")), F.struct(F.lit("large_file").alias("rule_id"), F.lit("info").alias("severity"), F.lit("estrutura").alias("category"))))
-    matched = rows.select("path", "n", "line_no", "line", F.explode(F.array_compact(F.array(*hits))).alias("r"))
+    matched = exploded(rows, F.array_compact(F.array(*hits)), "r", "path", "n", "line_no", "line")
     whole = F.col("r.rule_id") == "large_file"
     shown = F.when(whole, F.col("n").cast("string")).otherwise(F.substring(stripped(F.col("line")), 1, SHOWN))
     return matched.select("path", F.when(whole, 1).otherwise(F.col("line_no")).cast("int").alias("line_no"), "r.*", shown.alias("matched_text"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import exploded
 from ..operators import anomaly, catalog, code, domain, profile, rules, sqltext, web
 
 QUERIES: dict = {}
@@ -258,7 +259,7 @@ def page_tags(spark, sf_dir):
 SELECT DISTINCT page_id, trim(regexp_replace(regexp_replace(inner_, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS text, regexp_extract(attrs, 'href="([^"]*)"', 1) AS href FROM a
 WHERE trim(regexp_replace(regexp_replace(inner_, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) <> ''""")
 def page_links(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select("page_id", F.explode(web.links(F.col("html"))).alias("a"))
+    rows = exploded(table(spark, sf_dir, "pages"), web.links(F.col("html")), "a", "page_id")
     return rows.select("page_id", "a.text", "a.href").distinct()
 
 

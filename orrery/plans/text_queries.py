@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import exploded
 from ..operators import code, rules, sqltext, web
 from .queries import query, table
 
@@ -117,7 +118,7 @@ def sql_warnings(spark, sf_dir):
 SELECT path, 'variavel' AS kind, '$sql' AS variable, NULL AS method, first || CASE WHEN more <> '' THEN chr(10) || more ELSE '' END AS sql FROM h
 UNION ALL SELECT path, 'variavel_em_chamada', '$sql', 'query', first || CASE WHEN more <> '' THEN chr(10) || more ELSE '' END FROM h UNION ALL SELECT path, 'direto', NULL, 'prepare', direct FROM h""")
 def embedded_sql(spark, sf_dir):
-    return php_files(spark, sf_dir).select("path", F.explode(sqltext.embedded_sql(F.col("text"))).alias("s")).select("path", "s.*")
+    return exploded(php_files(spark, sf_dir), sqltext.embedded_sql(F.col("text")), "s", "path").select("path", "s.*")
 
 
 @query(f"""WITH {_BODY} SELECT path, CAST(a AS INT) AS start_line, CAST(b AS INT) AS end_line, array_to_string(list_filter(['$_REQUEST', '$_GET', '$_POST', '$_SESSION', '$_FILES', '$_SERVER', '$_COOKIE'], lambda x: contains(body, x)), ',') AS superglobals,
@@ -232,7 +233,7 @@ SELECT k, element, label, onclick, class, CASE WHEN regexp_matches(lower(class |
  CASE WHEN contains(lower(label || ' ' || onclick), 'decreto') THEN 'detalhamento_decreto' WHEN contains(lower(label || ' ' || onclick), 'detalhamento') THEN 'detalhamento_generico' END AS hint,
  CASE WHEN regexp_matches(lower(onclick), 'action=|recuperaconteudodinamico|\\$\\.ajax') THEN 'backend_trigger' WHEN regexp_matches(lower(onclick), 'show\\(|hide\\(|style\\.display|\\.text\\(|#tab') THEN 'dom_toggle' WHEN contains(lower(onclick), 'datatable') THEN 'datatable_init' ELSE 'unknown' END AS behaviour FROM c""")
 def clickables(spark, sf_dir):
-    c = ui_pages(spark, sf_dir).select("k", F.explode(web.clickables(F.col("html"))).alias("c")).select("k", "c.element", "c.label", "c.onclick", "c.class")
+    c = exploded(ui_pages(spark, sf_dir), web.clickables(F.col("html")), "c", "k").select("k", "c.element", "c.label", "c.onclick", "c.class")
     return c.withColumns({"priority": web.priority(F.col("class"), F.col("label")), "hint": web.semantic_hint(F.col("label"), F.col("onclick")), "behaviour": web.js_behaviour(F.col("onclick"))})
 
 
