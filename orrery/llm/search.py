@@ -8,7 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, table
@@ -118,7 +118,8 @@ def nearest_neighbours(embeddings: DataFrame, queries: DataFrame, nearest: int =
     seen the share of all entries that held ``TARGET`` of the nearest of queries in the fitting sample. Visited
     entries are scored exactly in double precision on the original vectors. Cells are cut into blocks of about
     ``BLOCK`` entries and visits into blocks of as many queries, so a cell that holds a third of all rows is many
-    tasks; a block gives at most ``nearest`` rows a query, and those are merged.
+    tasks; a block gives at most ``nearest`` rows a query, and those are merged. Blocks are dealt by row, not by
+    vec_id, so an id that many rows share is spread too, and equal rows of ``queries`` ask once.
 
     Returns query_id, rank (from 1), vec_id, score. A row is no candidate for a query with its own vec_id.
     Queries and candidates that are no valid vectors take no part (see ``valid_vectors``); vectors of each length
@@ -142,12 +143,17 @@ def _search(entries: DataFrame, asked: DataFrame, nearest: int, index: MultiInde
     shared = spark.sparkContext.broadcast(index)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
         for batch in batches:
             if batch.num_rows:
                 cell = shared.value.cells(matrix(batch.column(1)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32())], ["vec_id", "embedding", "cell"])
+                place = np.arange(seen, seen + batch.num_rows)
+                seen += batch.num_rows
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(place, pa.int64())], ["vec_id", "embedding", "cell", "place"])
 
-    celled = checkpointed(entries.mapInArrow(assign, f"vec_id long, embedding {kind}, cell int"))
+    celled = checkpointed(entries.mapInArrow(assign, f"vec_id long, embedding {kind}, cell int, place long"))
+    # materialised, so that a query keeps the mark that its visits are joined by
+    asked = checkpointed(asked.dropDuplicates(["vec_id", "embedding"]).select("vec_id", "embedding", F.xxhash64("embedding").alias("mark")))
     population = np.zeros(len(index.size), np.int64)
     for cell, n in celled.groupBy("cell").count().collect():  # one row a cell
         population[cell] = n
@@ -160,18 +166,17 @@ def _search(entries: DataFrame, asked: DataFrame, nearest: int, index: MultiInde
             for i, vector in enumerate(matrix(batch.column(1)) if batch.num_rows else []):
                 cells = shared.value.visits(vector, sizes, 10 * nearest)
                 row = pa.array([i] * len(cells), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array(cells, pa.int32())], ["vec_id", "cell"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(2).take(row), pa.array(cells, pa.int32())], ["vec_id", "mark", "cell"])
 
     # a group is a block of a cell's entries with a block of the queries that visit the cell
-    visits = checkpointed(asked.mapInArrow(visit, "vec_id long, cell int"))
+    visits = checkpointed(asked.mapInArrow(visit, "vec_id long, mark long, cell int"))
     visitors = visits.groupBy("cell").count().withColumn("shares", F.ceil(F.col("count") / BLOCK).cast("int")).select("cell", "shares")
     blocks = F.array(*(F.lit(int(p)) for p in parts))
-    hashed = F.xxhash64("vec_id")
-    here = visits.join(asked, "vec_id").join(visitors, "cell").select(
-        "cell", F.explode(F.sequence(F.lit(0), F.element_at(blocks, F.col("cell") + 1) - 1)).alias("part"), F.pmod(hashed, "shares").cast("int").alias("share"), "vec_id", "embedding", F.lit(True).alias("asks")
+    here = visits.join(asked, ["vec_id", "mark"]).join(visitors, "cell").select(
+        "cell", F.explode(F.sequence(F.lit(0), F.element_at(blocks, F.col("cell") + 1) - 1)).alias("part"), F.pmod(F.xxhash64("vec_id", "mark"), "shares").cast("int").alias("share"), "vec_id", "embedding", F.lit(True).alias("asks")
     )
     there = celled.join(visitors, "cell").select(
-        "cell", F.pmod(hashed, F.element_at(blocks, F.col("cell") + 1)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "vec_id", "embedding", F.lit(False).alias("asks")
+        "cell", F.pmod(F.xxhash64("vec_id", "place"), F.element_at(blocks, F.col("cell") + 1)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "vec_id", "embedding", F.lit(False).alias("asks")
     )
     together = here.unionByName(there)
 
@@ -184,13 +189,10 @@ def _search(entries: DataFrame, asked: DataFrame, nearest: int, index: MultiInde
 
 
 def _ranked(found: DataFrame, nearest: int) -> DataFrame:
-    by_score = F.sort_array(F.collect_set(F.struct((-F.col("score")).alias("s"), "vec_id")))
-    merged = found.groupBy("query_id").agg(by_score.alias("all")).withColumn("ids", F.col("all.vec_id"))
-    once = F.filter("all", lambda x, i: F.array_position("ids", x["vec_id"]) == i + 1)  # of rows that share an id, the best
-    repeated = F.size(F.array_distinct("ids")) < F.size("ids")
-    best = merged.select("query_id", F.slice(F.when(repeated, once).otherwise(F.col("all")), 1, nearest).alias("best"))
-    ranked = best.select("query_id", F.posexplode("best").alias("p", "b"))
-    return ranked.select("query_id", (F.col("p") + 1).alias("rank"), "b.vec_id", (-F.col("b.s")).alias("score"))
+    """The best of all blocks: each id's largest score, then ranks; tasks pass on only ``nearest`` rows a query."""
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    return best.withColumn("rank", place).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
 
 
 def _best(queries: np.ndarray, query_ids: np.ndarray, entries: np.ndarray, ids: np.ndarray, nearest: int) -> pa.Table:

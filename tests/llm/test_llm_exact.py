@@ -367,6 +367,27 @@ def test_one_id_with_several_vectors(spark):
     assert [r["vec_id"] for r in search.nearest_neighbours(many, many.where("vec_id = 0")).orderBy("rank").collect()] == [*range(1, 21)]
 
 
+def test_an_id_that_a_third_of_all_rows_share(spark, monkeypatch):
+    """Of queries and of candidates, with equal and with different vectors, over many blocks."""
+    monkeypatch.setattr(search, "BLOCK", 40)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(300, 8))
+    ids = np.where(np.arange(300) < 100, 20, np.arange(300) + 1000)
+    x[:80] = x[0]
+    df = spark.createDataFrame([(int(i), v) for i, v in zip(ids, x.tolist(), strict=True)], "vec_id long, embedding array<double>").repartition(4)
+    asked = df.where("vec_id % 20 = 0")
+    got = collections.defaultdict(list)
+    for r in search.nearest_neighbours(df, asked, nearest=40).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], round(r["score"], 9)))
+    scores = x @ x.T
+    for q in set(ids[ids % 20 == 0].tolist()):
+        best = collections.defaultdict(lambda: -np.inf)
+        for i, s in zip(ids.tolist(), scores[ids == q].max(0), strict=True):
+            best[i] = max(best[i], s)
+        del best[q]
+        assert got[q] == [(i, round(s, 9)) for i, s in sorted(best.items(), key=lambda y: (-y[1], y[0]))][:40]
+
+
 @pytest.mark.parametrize("depth", [8, 11, 14])
 def test_forest_finds_links_at_any_depth(depth):
     """Pairs at exactly the similarity in vectors without any groups: the hardest to keep together."""
