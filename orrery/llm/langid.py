@@ -179,17 +179,18 @@ def fit_languages(documents: DataFrame, most: int = TRAINING_DOCUMENTS, total: i
     leaves little more than it, so no task ranks all documents of a language. Runs of bytes are counted and added
     up on the executors, and only the sums, bounded by the sample, come to the driver. Documents with a null id,
     lang or text are not learned from; an empty table, or one without labels, gives a model without languages.
-    Rows that repeat an id are sampled together. Only doc_id, lang and text are read.
+    Of rows that repeat an id and a lang the least text is learned from. Only doc_id, lang and text are read.
     """
     labelled = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text")
     counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     each = max(1, min(most, total // max(1, counts.count())))
     bound = counts.select("lang", ((2 * each + 50) / F.col("n")).alias("share"))
     place = F.xxhash64("doc_id").cast("double") / float(1 << 64) + 0.5
-    few = labelled.select("doc_id", "lang").join(F.broadcast(bound), "lang").where(place <= F.col("share"))  # bound: a row for each language
+    few = labelled.select("doc_id", "lang").join(F.broadcast(bound), "lang").where(place <= F.col("share")).distinct()  # bound: a row for each language
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = few.withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= each).select("doc_id", "lang")
     sample = labelled.where(F.col("text").isNotNull()).join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
+    sample = sample.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
