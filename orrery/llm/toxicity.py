@@ -251,18 +251,20 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, most: int = TRAINING_D
     So many documents come to the driver; all labels count for the share of toxic documents. A bound on the hash,
     from the size of a class, leaves few labels to rank, so no task gets all of a class. Labels other than 0 and 1
     and null ids are left out, as are documents without text. An empty table, or one class only, gives a model that
-    scores every text alike. Rows that repeat an id are sampled together. Other columns are ignored.
+    scores every text alike. Of rows that repeat an id and a label, the least text is learned from, so an id that
+    many rows share brings one text to the driver. Other columns are ignored.
     """
     labels = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     counts = {r[0]: r[1] for r in labels.groupBy("toxic").count().collect()}
     place = F.xxhash64("doc_id").cast("double") / float(1 << 64) + 0.5
     limit = lambda k: (2.5 * most + 100) / max(1, counts.get(k, 0))
-    few = labels.where(place <= F.when(F.col("toxic") == 1, limit(1)).otherwise(limit(0)))
+    few = labels.where(place <= F.when(F.col("toxic") == 1, limit(1)).otherwise(limit(0))).distinct()
     by_hash = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     # twice as many as needed, for some have no text
     chosen = few.withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= 2 * most)
     texts = documents.select("doc_id", "text").where(F.col("text").isNotNull())
-    found = texts.join(F.broadcast(chosen), "doc_id").toArrow().to_pandas().sort_values(["toxic", "nth", "text"])
+    once = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "nth").agg(F.min("text").alias("text"))
+    found = once.toArrow().to_pandas().sort_values(["toxic", "nth"])
     sample = found.groupby("toxic").head(most)
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     return train(sample["text"].tolist(), sample["toxic"].tolist(), share)

@@ -88,6 +88,8 @@ def test_languages(spark):
     assert [r["count"] for r in twice] == [2] * 4
     few = langid.fit_languages(docs.where("doc_id < 100"), total=6)
     assert few.langs == sorted(SYLLABLES) and few.nbytes() < model.nbytes()
+    again = langid.fit_languages(docs.where("doc_id < 100").unionByName(docs.where("doc_id < 100")), most=20)
+    assert np.array_equal(again.lengths([b"th er"]), model.lengths([b"th er"]))
     nothing = langid.fit_languages(docs.limit(0))
     assert [r["lang_pred"] for r in langid.identify_languages(odd, nothing, keep=["doc_id"]).collect()] == ["und"] * 4
 
@@ -116,6 +118,8 @@ def test_toxicity(spark):
     clash = toxicity.score_toxicity(odd.union(odd).selectExpr("*", "'x' AS __text", "1 AS nth"), model, keep=["doc_id", "score", "__text", "nth"])
     assert clash.columns == ["doc_id", "__text", "nth", "score", "predicted"] and clash.distinct().count() == 3
     assert {r["__text"] for r in clash.collect()} == {"x"}
+    again = toxicity.fit_toxicity(docs.unionByName(docs).unionByName(docs.where("doc_id = 4")), labels.unionByName(labels))
+    assert np.allclose(again.scores(["th er grumblefex"]), model.scores(["th er grumblefex"]))
     untrained = toxicity.fit_toxicity(docs, labels.limit(0))
     assert all(r["predicted"] == 0 for r in toxicity.score_toxicity(odd, untrained).collect())
 
