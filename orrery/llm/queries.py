@@ -1,5 +1,8 @@
 """The queries of the training-data operators, and SQL for those that SQL can express."""
 
+from .conversations import OP12_SQL, op12_repair_conversations
+from .divergence import OP11_SQL, op11_audit_sources
+from .exact import OP13_SQL, op13_dedup_exact
 from .forest import op10_near_duplicates
 from .langid import op2_identify_languages
 from .lines import OP1_SQL, op1_dedup_lines
@@ -24,6 +27,16 @@ QUERIES = {
         op8_filter_urls,
         op9_pack_sequences,
         op10_near_duplicates,
+        op11_audit_sources,
+        op12_repair_conversations,
+        op13_dedup_exact,
     )
 }
-ORACLE_SQL = {"op1_dedup_lines": OP1_SQL, "op6_mix_sources": OP6_SQL, "op8_filter_urls": OP8_SQL}
+ORACLE_SQL = {
+    "op1_dedup_lines": OP1_SQL,
+    "op6_mix_sources": OP6_SQL,
+    "op8_filter_urls": OP8_SQL,
+    "op11_audit_sources": OP11_SQL,
+    "op12_repair_conversations": OP12_SQL,
+    "op13_dedup_exact": OP13_SQL,
+}
