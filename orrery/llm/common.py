@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: One word: a run of anything but space and the ASCII controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,19 +50,26 @@ def stored(df: DataFrame) -> DataFrame:
 def own(df: DataFrame, *names: str) -> DataFrame:
     """Only the columns of exactly these names, even where others differ from them in case only or hold dots."""
     at = {df.columns.index(name): name for name in names}
-    return df.toDF(*(at.get(k, f"x{k}") for k in range(len(df.columns)))).select(*names)
-
-
-def fresh(columns: Iterable[str], *names: str) -> list[str]:
-    """The names, each with as many underscores behind it as keep it apart from all ``columns``."""
-    taken = {c.lower() for c in columns}
-    out = []
-    for name in names:
-        while name.lower() in taken:
-            name += "_"
-        taken.add(name.lower())
-        out.append(name)
-    return out
+    return df.toDF(*(at.get(k, f"x{k}") for k in range(len(df.columns)))).select(*(F.col(f"`{name}`") for name in names))
+
+
+def shielded(df: DataFrame, read: Sequence[str], made: Sequence[str] = (), keep: Sequence[str] | None = None) -> tuple[DataFrame, list[str], list[str]]:
+    """``df`` with columns under names that an operator's own can't clash with, and the columns that it passes on.
+
+    Those of exactly the names in ``read`` keep them, the others are called x0, x1, and so on. Passed on are the columns
+    in ``keep`` (default: all), but those that are named as one of ``made``, whatever the case: the second list has their
+    names here, the third what they are to be called again.
+    """
+    at = {df.columns.index(name): name for name in read}
+    inner = [at.get(k, f"x{k}") for k in range(len(df.columns))]
+    replaced = {name.lower() for name in made}
+    passed = [k for k, c in enumerate(df.columns) if c.lower() not in replaced] if keep is None else [df.columns.index(c) for c in keep if c.lower() not in replaced]
+    return df.toDF(*inner), [inner[k] for k in passed], [df.columns[k] for k in passed]
+
+
+def schema(df: DataFrame, **more: str) -> T.StructType:
+    """The schema of ``df`` with further columns of these kinds; a type, as names of nested fields needn't parse."""
+    return T.StructType([*df.schema.fields, *(T.StructField(name, T.DataType.fromDDL(kind)) for name, kind in more.items())])
 
 
 def remainder(id_column: str, modulus: int) -> Column:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, own, table
 from .graph import components
 from .vectors import by_length, matrix, valid_vectors
 
@@ -212,7 +212,7 @@ def near_duplicates(embeddings: DataFrame, similarity: float = SIMILARITY, fores
     rows with links of their own. An empty table gives no rows. Other columns are ignored.
     """
     mark = [F.xxhash64(F.lit(k), "embedding").alias(f"mark{k}") for k in (1, 2)]  # 128 bits name a vector
-    every = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    every = own(embeddings, "vec_id", "embedding").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     fits = lambda n: forest is not None and forest.directions.shape[2] == n
     labels = [_labels(vectors, similarity, forest if fits(n) else None) for n, vectors in by_length(valid_vectors(every))]
     marked = every.select("vec_id", *mark)

@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import remainder, table
+from .common import own, remainder, schema, shielded, table
 
 #: Documents that statistics are taken from, at most: of a language, and of all together.
 TRAINING_DOCUMENTS = 400
@@ -181,7 +181,7 @@ def fit_languages(documents: DataFrame, most: int = TRAINING_DOCUMENTS, total: i
     lang or text are not learned from; an empty table, or one without labels, gives a model without languages.
     Of rows that repeat an id and a lang the least text is learned from. Only doc_id, lang and text are read.
     """
-    labelled = documents.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text")
+    labelled = own(documents, "doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     each = max(1, min(most, total // max(1, counts.count())))
     bound = counts.select("lang", ((2 * each + 50) / F.col("n")).alias("share"))
@@ -214,14 +214,15 @@ def identify_languages(documents: DataFrame, model: PPM, keep: list[str] | None
     """Score every whole text under each language's frozen statistics.
 
     Returns the input's columns, or those in ``keep``, then lang_pred, score and bits (bits a byte under lang_pred); columns of these
-    names are replaced. lang_pred is the language with the shortest code, ties to the smaller name; score is its
+    names are replaced, in any case. lang_pred is the language with the shortest code, ties to the smaller name; score is its
     share of 2^-length over the languages. A text that is null or has no letter gets ``und``, score 0 and null
     bits, as does every text if no language was learned. An empty table gives no rows; repeated rows are scored
     alike; all other columns, whatever their names, come through unchanged. A map over rows: only texts go to Python.
     """
     broadcast = documents.sparkSession.sparkContext.broadcast(model)
-    columns = [c for c in keep or documents.columns if c not in ("lang_pred", "score", "bits", "text")]
-    text_too = keep is None or "text" in keep
+    made = {"lang_pred": "string", "score": "double", "bits": "double"}
+    inner, passed, names = shielded(documents, ("text",), tuple(made), keep)
+    text_too, others = "text" in passed, [c for c in passed if c != "text"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ppm = broadcast.value
@@ -241,12 +242,10 @@ def identify_languages(documents: DataFrame, model: PPM, keep: list[str] | None
                         pred[i], share[i], rate[i] = ppm.langs[b], float(q), float(x / len(text))
                 new = [batch.column(batch.num_columns - 1)] * text_too
                 new += [pa.array(pred, pa.string()), pa.array(share, pa.float64()), pa.array(rate, pa.float64())]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], made_here.names)
 
-    read = documents.select(*columns, "text")
-    own = [f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields][: None if text_too else -1]
-    names = [*columns, *["text"] * text_too, "lang_pred", "score", "bits"]
-    return read.mapInArrow(score, ", ".join([*own, "lang_pred string", "score double", "bits double"]))
+    made_here = schema(inner.select(*others, *["text"] * text_too), **made)
+    return inner.select(*others, "text").mapInArrow(score, made_here).select(*passed, *made).toDF(*names, *made)
 
 
 def op2_identify_languages(spark, sf_dir):

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import shielded, table
 
 LINES = 3
 
@@ -26,30 +26,29 @@ def dedup_lines(documents: DataFrame, lines: int = LINES) -> DataFrame:
     """Remove later occurrences of repeated windows of ``lines`` consecutive lines.
 
     A line ends at ``\\n`` and is compared as it is. Every window of a document is hashed to 128 bits; of each
-    window that occurs more than once, the first occurrence by (doc_id, line) stays, and all lines that later
-    occurrences cover go. Windows are judged on the input.
+    window that occurs more than once, the first occurrence by (doc_id, document, line) stays, where documents of one
+    doc_id are in the order of a hash of their text, and all lines that later occurrences cover go. Windows are judged on the input.
 
     Returns all columns of the input row with ``text`` cut down to the kept lines, then n_lines and n_removed
-    (columns of these names in the input are replaced, any others come through unchanged). A null text has 0 lines and stays null; an empty text
+    (columns of these names in the input are replaced, in any case, all others come through unchanged). A null text has 0 lines and stays null; an empty text
     has one empty line. Texts under ``lines`` lines have no window and stay whole. Null ids come first in the
     order. Rows that repeat both doc_id and text are one document in this order, so they are cut alike; a
     window never counts as a repeat of itself. An empty table gives no rows.
     """
-    columns = [c for c in documents.columns if c not in ("n_lines", "n_removed")]
-    uid1, uid2, starts_, cut_ = fresh(documents.columns, "uid1", "uid2", "starts", "cut")
+    inner, passed, names = shielded(documents, ("doc_id", "text"), ("n_lines", "n_removed"))
     named = F.struct(F.col("doc_id").isNull(), F.col("text").isNull(), "doc_id", "text")  # 128 bits name a document
-    keyed = documents.withColumns({name: F.xxhash64(F.lit(k), named) for k, name in enumerate((uid1, uid2))})
-    split = keyed.select(F.col(uid1).alias("u"), F.col(uid2).alias("v"), "doc_id", F.split("text", "\n", -1).alias("ls")).where(F.size("ls") >= lines)
+    keyed = inner.withColumns({name: F.xxhash64(F.lit(k), named) for k, name in enumerate("uv")})
+    split = keyed.select("u", "v", "doc_id", F.split("text", "\n", -1).alias("ls")).where(F.size("ls") >= lines)
     window = lambda i: F.slice("ls", i, lines)
     hashed = F.transform(
         F.sequence(F.lit(1), F.size("ls") - (lines - 1)),
         lambda i: F.struct(F.xxhash64(F.lit(1), window(i)).alias("a"), F.xxhash64(F.lit(2), window(i)).alias("b")),
     )
     windows = split.select("u", "v", "doc_id", F.posexplode(hashed).alias("pos", "w"))
-    windows = windows.select("u", "v", "pos", "w.a", "w.b", F.struct("doc_id", "pos").alias("at"))
+    windows = windows.select("u", "v", "pos", "w.a", "w.b", F.struct("doc_id", "u", "v", "pos").alias("at"))
     repeated = windows.groupBy("a", "b").agg(F.min("at").alias("first"), F.max("at").alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
     later = windows.join(repeated, ["a", "b"]).where(~F.col("at").eqNullSafe(F.col("first")))
-    starts = later.groupBy(F.col("u").alias(uid1), F.col("v").alias(uid2)).agg(F.collect_set("pos").alias(starts_))
+    starts = later.groupBy("u", "v").agg(F.collect_set("pos").alias("starts"))
 
     @F.pandas_udf("text string, n_lines long, n_removed long")
     def cut(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -64,9 +63,9 @@ def dedup_lines(documents: DataFrame, lines: int = LINES) -> DataFrame:
                 rows.append(("\n".join(x for x, g in zip(own, gone, strict=True) if not g), len(own), sum(gone)))
             yield pd.DataFrame(rows, columns=["text", "n_lines", "n_removed"])
 
-    joined = keyed.join(starts, [uid1, uid2], "left").withColumn(cut_, cut("text", starts_))
-    kept = [F.col(cut_)["text"].alias("text") if c == "text" else F.col(f"`{c}`") for c in columns]
-    return joined.select(*kept, F.col(cut_)["n_lines"].alias("n_lines"), F.col(cut_)["n_removed"].alias("n_removed"))
+    joined = keyed.join(starts, ["u", "v"], "left").withColumn("cut", cut("text", "starts"))
+    kept = [F.col("cut.text") if c == "text" else F.col(c) for c in passed]
+    return joined.select(*kept, "cut.n_lines", "cut.n_removed").toDF(*names, "n_lines", "n_removed")
 
 
 def op1_dedup_lines(spark, sf_dir):

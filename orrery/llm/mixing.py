@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, hex_bits, table
+from .common import WORD, checkpointed, hex_bits, own, table
 from .ranks import rank_in_group
 
 WEIGHTS = (3, 1, 2)
@@ -56,7 +56,8 @@ def mix_sources(documents: DataFrame, weights: Sequence[int] = WEIGHTS, budget_p
     """
     key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
     words = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = checkpointed(documents.select("doc_id", "source", key.alias("key"), words.alias("size"), *(F.col(c).alias(f"also{k}") for k, c in enumerate(also))))
+    documents = own(documents, *dict.fromkeys(("doc_id", "source", "text", *also)))
+    sized = checkpointed(documents.select("doc_id", "source", key.alias("key"), words.alias("size"), *(F.col(f"`{c}`").alias(f"also{k}") for k, c in enumerate(also))))
     sizes = sized.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     goal = targets(sizes, weights, budget_percent, most)
 

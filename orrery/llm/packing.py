@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, own, schema, shielded, table
 from .ranks import rank_in_group
 
 CAPACITY = 4096
@@ -91,14 +91,15 @@ def tokenize_pieces(documents: DataFrame, path: str | None = None, capacity: int
 
     ``path`` names the tokenizer's file on the executors; by default each looks it up in its own installation.
     Returns doc_id, piece (from 0), start (the document's ids before it), length and ids (binary, little-endian
-    unsigned 32-bit). Null and empty texts have the single id ``end``.
+    unsigned 32-bit). Null and empty texts have the single id ``end``. Rows are cut each by itself, so repeated rows and
+    null ids give pieces of their own; an empty table gives none. Other columns are ignored, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = path or tokenizer_path()
-        if own not in _TOKENIZERS:
-            _TOKENIZERS[own] = WordTokenizer(own)
-        tokenizer = _TOKENIZERS[own]
+        file = path or tokenizer_path()
+        if file not in _TOKENIZERS:
+            _TOKENIZERS[file] = WordTokenizer(file)
+        tokenizer = _TOKENIZERS[file]
         last = np.array([end], "<u4").tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
@@ -114,8 +115,8 @@ def tokenize_pieces(documents: DataFrame, path: str | None = None, capacity: int
                 new = [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), *new], ["doc_id", "piece", "start", "length", "ids"])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids binary")
+    read = own(documents, "doc_id", "text")
+    return read.mapInArrow(run, schema(read.select("doc_id"), piece="int", start="long", length="long", ids="binary"))
 
 
 @dataclass
@@ -268,13 +269,13 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     whatever the number of pieces; it names runs of ranks among the pieces of a length. Those ranks are made by
     two-level prefix sums, so no task gathers all pieces of a length.
 
-    Returns the input's columns, then sequence_id and offset (columns of these names are replaced). Sequences are filled without gaps from 0. Pieces
+    Returns the input's columns, then sequence_id and offset (columns of these names are replaced, in any case). Sequences are filled without gaps from 0. Pieces
     of equal length are exchangeable, so ties among repeated rows don't matter. An empty table gives no rows.
     """
-    pieces = pieces.drop("sequence_id", "offset")
-    names = [f"__p_{c}" for c in pieces.columns]
-    held = checkpointed(pieces.toDF(*names))
-    histogram = {r[0]: r[1] for r in held.groupBy("__p_length").count().collect()}
+    made = {"sequence_id": "long", "offset": "long"}
+    inner, passed, names = shielded(pieces, ("doc_id", "piece", "length"), tuple(made))
+    held = checkpointed(inner.select(*passed))
+    histogram = {r[0]: r[1] for r in held.groupBy("length").count().collect()}
     plan = plan_sequences(histogram, capacity)
     runs = np.array(plan.runs or [(0,) * 6], np.int64)
     # runs of a length are in order of rank: one sorted key finds a piece's run
@@ -282,7 +283,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     order = np.argsort(key, kind="stable")
     shared = pieces.sparkSession.sparkContext.broadcast((key[order], runs[order]))
 
-    columns, at_length = pieces.columns, names.index("__p_length")
+    at_length = passed.index("length")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, rows = shared.value
@@ -292,12 +293,11 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             at = rank - run[:, 1]
             sequence = run[:, 4] + at // np.maximum(run[:, 3], 1)
             offset = run[:, 5] + at % np.maximum(run[:, 3], 1) * length
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], [*columns, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], [*passed, *made])
 
-    keyed = held.withColumn("bucket", F.pmod(F.xxhash64("__p_doc_id", "__p_piece"), F.lit(4096)).cast("int")).withColumn("coarse", F.lit(0))
-    ranked = rank_in_group(keyed, "__p_length", "coarse", "bucket", ["__p_doc_id", "__p_piece"], "rank").select(*names, "rank")
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return ranked.mapInArrow(place, f"{own}, sequence_id long, offset long")
+    keyed = held.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(4096)).cast("int")).withColumn("coarse", F.lit(0))
+    ranked = rank_in_group(keyed, "length", "coarse", "bucket", ["doc_id", "piece"], "rank").select(*passed, "rank")
+    return ranked.mapInArrow(place, schema(held, **made)).toDF(*names, *made)
 
 
 def op9_pack_sequences(spark, sf_dir):

@@ -127,7 +127,7 @@ def nearest_neighbours(embeddings: DataFrame, queries: DataFrame, nearest: int =
     of candidates, counts once, with the largest inner product of any of its rows. Queries without candidates have
     no rows, nor has an empty table. Other columns are ignored.
     """
-    every, asked = valid_vectors(embeddings.select("vec_id", "embedding")), valid_vectors(queries.select("vec_id", "embedding"))
+    every, asked = valid_vectors(embeddings), valid_vectors(queries)
     fits = lambda n: index is not None and index.left.shape[1] + index.right.shape[1] == n
     found = [_search(entries, asked.where(F.size("embedding") == n), nearest, index if fits(n) else fit_index(entries)) for n, entries in by_length(every)]
     if not found:

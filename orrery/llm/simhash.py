@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, own, schema, table
 from .graph import components
 
 SHINGLE = 3
@@ -194,8 +194,8 @@ def simhash_components(documents: DataFrame, shingle: int = SHINGLE, distance: i
             prints = fingerprints(batch.column(1).to_pylist(), shingle)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    prints = checkpointed(documents.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, fp long"))
+    read = own(documents, "doc_id", "text")
+    prints = checkpointed(read.mapInArrow(score, schema(read.select("doc_id"), fp="long")))
     distinct = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     nodes = components(hamming_links(distinct, distance))
     rooted = distinct.join(nodes, distinct["fp"] == nodes["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))

@@ -14,8 +14,9 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import checkpointed, table
+from .common import checkpointed, schema, shielded, table
 
 WINDOW = 35
 #: Bytes of text in a pack of documents; a longer document has a pack of its own.
@@ -241,13 +242,13 @@ def _equal(here: list[bytes], there: list[bytes], window: int) -> np.ndarray:
     return sums[window:] - sums[:n] == window
 
 
-def _map_rows(rows: DataFrame, make: Callable[[dict], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def _map_rows(rows: DataFrame, make: Callable[[dict], Iterator[pa.RecordBatch]], kind: str | T.StructType) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 yield from make(batch.slice(i, 1).to_pylist()[0])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, kind)
 
 
 def _gathered(rows: DataFrame, *columns: str) -> DataFrame:
@@ -284,12 +285,13 @@ def dedup_substrings(documents: DataFrame, window: int = WINDOW, keep: list[str]
 
     Returns the columns in ``keep`` (default: doc_id), then n_words, n_removed, text (the kept words joined by one
     space) and spans (covered [start, end) word ranges, merged), one row per input row; columns of these names in
-    ``keep`` are replaced. Hashes have ``bits`` bits, on which the result doesn't depend.
+    ``keep`` are replaced, in any case. Hashes have ``bits`` bits, on which the result doesn't depend.
     Null and empty texts have no words and an empty text. Repeated rows are documents of their own, so they
     repeat each other. Empty tables give no rows. Other columns are ignored.
     """
-    columns = [c for c in (["doc_id"] if keep is None else keep) if c not in ("n_words", "n_removed", "text", "spans")]
-    return _dedup(documents, window, columns, False, bits)
+    made = ("n_words", "n_removed", "text", "spans")
+    inner, passed, names = shielded(documents, ("text",), made, ["doc_id"] if keep is None else keep)
+    return _dedup(inner, window, passed, False, bits).toDF(*names, *made)
 
 
 def _dedup(documents: DataFrame, window: int, columns: list[str], digest: bool, bits: int = 64) -> DataFrame:
@@ -437,9 +439,8 @@ def _dedup(documents: DataFrame, window: int, columns: list[str], digest: bool,
         twice = spelt.groupBy("words").count().where("count > 1").select("words")
         more = _gathered(spelt.join(twice, "words").select("pack", "at"), "at")
         gone = gone.unionByName(_map_rows(spans.join(more, "pack"), place, "pack long, gone binary"))
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*columns).schema.fields)
-    tail = "n_words long, n_removed long, " + ("kept_sha256 string" if digest else "text string, spans array<struct<start long, end long>>")
-    return _map_rows(packs.join(_gathered(gone, "gone"), "pack", "left"), cut, f"{own}, {tail}" if own else tail)
+    more = {"kept_sha256": "string"} if digest else {"text": "string", "spans": "array<struct<start: bigint, end: bigint>>"}
+    return _map_rows(packs.join(_gathered(gone, "gone"), "pack", "left"), cut, schema(documents.select(*columns), n_words="long", n_removed="long", **more))
 
 
 def op3_dedup_substrings(spark, sf_dir):

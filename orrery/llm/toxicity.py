@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, remainder, table
+from .common import own, remainder, schema, shielded, table
 
 #: Training documents of each class, at most; of any length.
 TRAINING_DOCUMENTS = 2000
@@ -254,7 +254,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, most: int = TRAINING_D
     scores every text alike. Of rows that repeat an id and a label, the least text is learned from, so an id that
     many rows share brings one text to the driver. Other columns are ignored.
     """
-    labels = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    labels = own(labels, "doc_id", "toxic").where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     counts = {r[0]: r[1] for r in labels.groupBy("toxic").count().collect()}
     place = F.xxhash64("doc_id").cast("double") / float(1 << 64) + 0.5
     limit = lambda k: (2.5 * most + 100) / max(1, counts.get(k, 0))
@@ -262,7 +262,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, most: int = TRAINING_D
     by_hash = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     # twice as many as needed, for some have no text
     chosen = few.withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= 2 * most)
-    texts = documents.select("doc_id", "text").where(F.col("text").isNotNull())
+    texts = own(documents, "doc_id", "text").where(F.col("text").isNotNull())
     once = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "nth").agg(F.min("text").alias("text"))
     found = once.toArrow().to_pandas().sort_values(["toxic", "nth"])
     sample = found.groupby("toxic").head(most)
@@ -279,23 +279,23 @@ def score_toxicity(documents: DataFrame, model: SubwordClassifier, keep: list[st
     so that one repeated throughout doesn't stand for all.
     Texts that are null or have no words have mean 0, as one of unknown words has: their score is 1 / (1 + exp(-bias)).
     An empty table gives no rows; repeated rows are scored alike; columns named score or predicted in ``keep`` are
-    replaced, any others come through unchanged. A map over rows.
+    replaced, in any case, all others come through unchanged. A map over rows.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    columns = [c for c in (["doc_id"] if keep is None else keep) if c not in ("score", "predicted")]
+    inner, passed, names = shielded(documents, ("text",), ("score", "predicted"), ["doc_id"] if keep is None else keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        classifier = shared.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                score = own.scores(part.column(part.num_columns - 1).to_pylist())
+                score = classifier.scores(part.column(part.num_columns - 1).to_pylist())
                 new = [pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32), pa.int32())]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], [*columns, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], [*passed, "score", "predicted"])
 
-    read = documents.select(*columns, F.col("text").alias(*fresh(columns, "text")))
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields[:-1])
-    return read.mapInArrow(run, f"{own}, score double, predicted int")
+    read = inner.select(*passed, F.col("text").alias("scored"))
+    made = schema(inner.select(*passed), score="double", predicted="int")
+    return read.mapInArrow(run, made).toDF(*names, "score", "predicted")
 
 
 def op4_score_toxicity(spark, sf_dir):

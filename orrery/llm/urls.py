@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import schema, shielded, table
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 _UPPER = bytes(range(65, 91))
@@ -115,12 +115,13 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, defa
     Host runs from the first ``://`` to the next ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path from there
     to ``?``, ``#`` or the end. Null urls and urls without ``://`` have empty host and path and fit no rule.
 
-    Returns the input's columns, then host, path, rule, verdict (columns of these names are replaced, any others
+    Returns the input's columns, then host, path, rule, verdict (columns of these names are replaced, in any case, all others
     come through unchanged), a row for each input row; an empty table gives none. A map over the rows: no shuffle, and memory is that of one Arrow batch.
     """
     automaton = GlobAutomaton(rule_globs(rules))
     ranked = sorted(range(len(rules)), key=lambda k: (-len(rules[k][1]), k))
-    columns = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    made = dict.fromkeys(("host", "path", "rule", "verdict"), "string")
+    inner, passed, names = shielded(pages, ("url",), tuple(made))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, verdicts = [r for _, r in rules], [v for v, _ in rules]
@@ -135,10 +136,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, defa
             new.append(pa.array([verdicts[k] if k >= 0 else default for k in best], pa.string()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], [*batch.schema.names[:-1], "host", "path", "rule", "verdict"])
 
-    kept = pages.select(*columns)
-    (copy,) = fresh(columns, "url_")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.withColumn(copy, F.col("url")).mapInArrow(judge, f"{schema}, host string, path string, rule string, verdict string")
+    kept = inner.select(*passed)
+    return inner.select(*passed, F.col("url").alias("judged")).mapInArrow(judge, schema(kept, **made)).toDF(*names, *made)
 
 
 def op8_filter_urls(spark, sf_dir):

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import own
+
 
 def valid_vectors(embeddings: DataFrame) -> DataFrame:
     """vec_id and embedding (as it is) of the rows that take part.
@@ -14,7 +16,7 @@ def valid_vectors(embeddings: DataFrame) -> DataFrame:
     Rows with a null id, a null, empty or zero vector, or one with null or non-finite components take no part.
     """
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    rows = embeddings.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    rows = own(embeddings, "vec_id", "embedding").where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     return rows.where(F.exists("embedding", lambda x: x.isNotNull() & (x != 0)) & F.forall("embedding", finite))
 
 

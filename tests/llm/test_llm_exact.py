@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from orrery.llm import forest, graph, lines, mixing, packing, search, simhash, substrings, urls
+from orrery.llm import forest, graph, langid, lines, mixing, packing, search, simhash, substrings, toxicity, urls
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOC = "doc_id long, text string, lang string, source string, n_lines int, size int, __text string"
@@ -108,6 +108,39 @@ def test_lines(spark):
     assert lines.dedup_lines(both.limit(0)).count() == 0
 
 
+def test_lines_of_one_id(spark):
+    rows = [(1, "a\nb\nc\nd"), (1, "a\nb\nc\nzz"), (1, "a\nb\nc\nzz")]
+    got = sorted((r["text"], r["n_removed"]) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got in ([("a\nb\nc\nd", 0), ("zz", 3), ("zz", 3)], [("a\nb\nc\nzz", 0), ("a\nb\nc\nzz", 0), ("d", 3)])
+
+
+def test_names_that_differ_in_case_or_hold_dots(spark):
+    odd = "Host string, N_Lines int, Score double, SEQUENCE_ID int, Text int, `a.b` int, `n w` struct<`x y`: int, z: string>"
+    docs = spark.createDataFrame([(i, "a\nb\nc one two", "s", "http://x.org/", "h", 1, 0.5, 2, 3, 4, (5, "z")) for i in range(3)], "doc_id long, text string, source string, url string, " + odd)
+    whole = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    names = docs.columns
+
+    def check(out, dropped, new):
+        assert out.columns == [*(c for c in names if c not in dropped), *new]
+        assert len(whole(out)) == 3
+
+    check(lines.dedup_lines(docs), ["N_Lines"], ["n_lines", "n_removed"])
+    check(urls.filter_urls(docs), ["Host"], ["host", "path", "rule", "verdict"])
+    ppm = langid.PPM(["x"], {"x": langid.grams(b"a b c one two")})
+    check(langid.identify_languages(docs, ppm), ["Score"], ["lang_pred", "score", "bits"])
+    blank = toxicity.SubwordClassifier(np.zeros(toxicity.BUCKETS), 1.0, 0.0)
+    check(toxicity.score_toxicity(docs, blank, keep=names), ["Score"], ["score", "predicted"])
+    check(substrings.dedup_substrings(docs, 2, keep=names), ["Text", "text"], ["n_words", "n_removed", "text", "spans"])
+    assert {r["component_id"] for r in simhash.simhash_components(docs).collect()} == {0}
+    assert len(whole(mixing.mix_sources(docs, also=["a.b", "n w"]))) == 3
+    pieces = packing.tokenize_pieces(docs)
+    assert pieces.count() == 3
+    joined = pieces.toDF("doc_id", "piece", "Start", "length", "ids.x").withColumn("Offset", F.lit(1))
+    assert packing.pack_pieces(joined).columns == ["doc_id", "piece", "Start", "length", "ids.x", "sequence_id", "offset"]
+    n = pieces.first()["length"]
+    assert [r["offset"] for r in packing.pack_pieces(joined).orderBy("offset").collect()] == [0, n, 2 * n]
+
+
 def test_clashing_names(spark):
     names = ["uid1", "UID2", "starts", "Cut", "__uid", "__starts", "__cut", "__url", "url_", "host_", "sequence_id", "offset", "__p_piece", "also0", "rank"]
     rows = [(i, "a\nb\nc", "http://x.org/", *(f"{n}{i}" for n in names)) for i in range(4)]
