@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import own, remainder, schema, shielded, table
+from .common import own, remainder, schema, shielded, stored, table
 
 #: Training documents of each class, at most; of any length.
 TRAINING_DOCUMENTS = 2000
@@ -260,12 +260,11 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, most: int = TRAINING_D
     limit = lambda k: (2.5 * most + 100) / max(1, counts.get(k, 0))
     few = labels.where(place <= F.when(F.col("toxic") == 1, limit(1)).otherwise(limit(0))).distinct()
     by_hash = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # twice as many as needed, for some have no text
-    chosen = few.withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= 2 * most)
     texts = own(documents, "doc_id", "text").where(F.col("text").isNotNull())
-    once = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "nth").agg(F.min("text").alias("text"))
-    found = once.toArrow().to_pandas().sort_values(["toxic", "nth"])
-    sample = found.groupby("toxic").head(most)
+    # more labels than needed, as some have no text; written, so that ids are ranked without their texts
+    once = stored(texts.join(F.broadcast(few), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
+    chosen = once.select("doc_id", "toxic").withColumn("nth", F.row_number().over(by_hash)).where(F.col("nth") <= most)
+    sample = once.join(F.broadcast(chosen), ["doc_id", "toxic"]).toArrow().to_pandas().sort_values(["toxic", "nth"])
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     return train(sample["text"].tolist(), sample["toxic"].tolist(), share)
 
