@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import checkpointed, remainder, table
+from orrery.llm.common import checkpointed, remainder, shielded, table
 from orrery.llm.langid import fit_languages, identify_languages
 from orrery.llm.lines import dedup_lines
 from orrery.llm.mixing import mix_sources
@@ -25,18 +25,15 @@ FOREIGN_BITS = 14.0
 READ = ("doc_id", "text", "lang", "source")
 
 
-def _names(docs: DataFrame) -> list[str]:
-    return [c if c in READ else f"x{k}" for k, c in enumerate(docs.columns)]
-
-
 def _shielded(docs: DataFrame) -> DataFrame:
-    return docs.select(*(F.col(f"`{c}`").alias(name) for c, name in zip(docs.columns, _names(docs), strict=True)))
+    return shielded(docs, READ)[0]
 
 
 def _back(docs: DataFrame, out: DataFrame) -> DataFrame:
     """``out``, made of ``_shielded(docs)``, with the columns of ``docs``; n_chars, where there is one, follows the text."""
     length = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
-    return out.select(*((length if c == "n_chars" else F.col(name)).alias(c) for c, name in zip(docs.columns, _names(docs), strict=True)))
+    _, inner, names = shielded(docs, READ)
+    return out.select(*(length if c == "n_chars" else F.col(name) for c, name in zip(names, inner, strict=True))).toDF(*names)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +45,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     any name come through unchanged.
     """
     ship(spark)
-    model = fit_languages(docs.where(remainder("doc_id", 3) != 1))
+    model = fit_languages(_shielded(docs).where(remainder("doc_id", 3) != 1))
     if not model.langs:
         return docs
     kept = identify_languages(_shielded(docs), model).where((F.col("lang_pred") != "und") & (F.col("bits") < FOREIGN_BITS))
@@ -56,7 +53,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of repeated three-line windows are cut out of the texts; every document stays."""
+    """Later occurrences of repeated three-line windows are cut out of the texts; every document stays.
+
+    The first occurrence by doc_id (null first), document and line stays. Null texts stay null, empty texts and texts
+    under three lines stay as they are, and long texts are cut whole. Rows that repeat doc_id and text are one document and are
+    cut alike; an empty table gives no rows.
+    """
     ship(spark)
     return _back(docs, dedup_lines(_shielded(docs)))
 
@@ -78,7 +80,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it: not at all, once or twice."""
+    """Every document as often as the mix takes it: not at all, once or twice.
+
+    A text of any length counts by its words; null, empty and wordless texts have none and are taken by rate all the
+    same. Null sources are one source, null ids are hashed as empty text. Rows that repeat doc_id and text are ranked among
+    each other in one window (the stage before leaves none), and get the copies by rank. An empty table gives no rows.
+    """
     ship(spark)
     alike = Window.partitionBy("uid1", "uid2").orderBy("uid1")  # rows that repeat both doc_id and text are exchangeable
     named = F.struct(F.col("doc_id").isNull(), F.col("text").isNull(), "doc_id", "text")
@@ -89,7 +96,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences of at most 4096 tokens."""
+    """The pieces of all documents and their places in sequences of at most 4096 tokens.
+
+    Null and empty texts are one piece of the end token; longer texts than a sequence are cut. Repeated rows and null ids
+    are packed as documents of their own, ties in length in any order; an empty table gives no rows.
+    """
     ship(spark)
     pieces = tokenize_pieces(docs)
     return pack_pieces(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
