@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,44 +20,63 @@ BLOCK = T.ArrayType(
         ]
     )
 )
+#: Braces, and what they don't count in: quotes with escapes, comments to the end of the line or of the block.
+_AWARE = re.compile(r"""[{}]|'[^'\\]*(?:\\.[^'\\]*)*(?:'|\\?\Z)|"[^"\\]*(?:\\.[^"\\]*)*(?:"|\\?\Z)|`[^`\\]*(?:\\.[^`\\]*)*(?:`|\\?\Z)|//[^\n]*|\#[^\n]*|/\*.*?(?:\*/|\Z)""", re.S)
+_PLAIN = re.compile("[{}]")
 
 
-def match_brace(text: str, opening: int, aware: bool) -> int:
-    """Place after the brace that closes the one at ``opening``; -1 if none does.
+class Braces:
+    """All pairs of braces of a text, found in one pass with a stack, and the number of line ends before any place.
 
-    aware: braces inside quotes and comments don't count; otherwise every brace does.
+    aware: braces inside quotes and comments don't count; otherwise every brace does. A brace that such a pass finds
+    inside a quote or comment may still be asked for; the text is then read once more from there, which answers
+    for all braces that this reading sees, so a text is read about once for each way in which its quotes can be taken.
     """
-    depth, at, quote = 0, opening, ""
-    while at < len(text):
-        ch = text[at]
-        if aware and quote:
-            if ch == "\\":
-                at += 1
-            elif ch == quote:
-                quote = ""
-        elif aware and ch in "'\"`":
-            quote = ch
-        elif aware and text.startswith(("//", "#"), at):
-            end = text.find("\n", at)
-            at = len(text) if end < 0 else end
-        elif aware and text.startswith("/*", at):
-            end = text.find("*/", at + 2)
-            at = len(text) if end < 0 else end + 1
-        elif ch == "{":
-            depth += 1
-        elif ch == "}":
-            depth -= 1
-            if not depth:
-                return at + 1
-        at += 1
-    return -1
+
+    def __init__(self, text: str, aware: bool):
+        self.text, self.token = text, _AWARE if aware else _PLAIN
+        self.ends: dict[int, int] = {}
+        self._read(0)
+        self.breaks: list[int] | None = None
+
+    def _read(self, begin: int) -> None:
+        stack, ends = [], self.ends
+        for m in self.token.finditer(self.text, begin):
+            at = m.start()
+            brace = self.text[at]
+            if brace == "{":
+                if begin and at in ends and not stack:
+                    break  # from here on an earlier reading was the same
+                stack.append(at)
+            elif brace == "}" and stack:
+                ends.setdefault(stack.pop(), at + 1)
+                if begin and not stack:
+                    break  # what was asked for is known
+        for at in stack:
+            ends.setdefault(at, -1)
+
+    def end(self, opening: int) -> int:
+        """Place after the brace that closes the one at ``opening``; -1 if none does."""
+        if opening not in self.ends:
+            self._read(opening)
+        return self.ends[opening]
+
+    def line(self, at: int) -> int:
+        """The line of a place, from 1."""
+        if self.breaks is None:
+            self.breaks = [m.start() for m in re.finditer("\n", self.text)]
+        return bisect_left(self.breaks, at) + 1
+
+
+def match_brace(text: str, opening: int, aware: bool) -> int:
+    """Place after the brace that closes the one at ``opening``; -1 if none does."""
+    return Braces(text, aware).end(opening)
 
 
 def blocks(pattern: str, aware: bool = True, first_only: bool = False):
     """A column function: for each match of the (Python) pattern in a text, the match and the text to the end of
-    the braces that open after it. Matches without closed braces are left out. Lines count from 1."""
-    import re
-
+    the braces that open after it. Matches without closed braces are left out. Lines count from 1. A text is read
+    once for all its matches."""
     head = re.compile(pattern)
 
     @F.pandas_udf(BLOCK)
@@ -63,12 +84,13 @@ def blocks(pattern: str, aware: bool = True, first_only: bool = False):
         for series in texts:
             out = []
             for text in series:
-                rows = []
+                rows, braces = [], None
                 for m in head.finditer(text or ""):
+                    braces = braces or Braces(text, aware)
                     opening = text.find("{", max(m.start(), m.end() - 1))
-                    end = match_brace(text, opening, aware) if opening >= 0 else -1
+                    end = braces.end(opening) if opening >= 0 else -1
                     if end >= 0:
-                        rows.append((m.group(0).strip(), m.start(), end, text.count("\n", 0, m.start()) + 1, text.count("\n", 0, end) + 1, text[m.start() : end]))
+                        rows.append((m.group(0).strip(), m.start(), end, braces.line(m.start()), braces.line(end), text[m.start() : end]))
                         if first_only:
                             break
                 out.append([dict(zip(("head", "start", "end", "start_line", "end_line", "text"), r, strict=True)) for r in rows])

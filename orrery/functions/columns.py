@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,6 +83,21 @@ def found_once(text: Column, pattern: str, group: int = 0) -> Column:
     return F.array_distinct(found(text, pattern, group))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it, also inside lambdas."""
+    return F.transform(F.array(value), f)[0]
+
+
+def last_entries(entries: Column) -> Column:
+    """A map of (k, v) structs; of repeated keys the last counts."""
+    return let(entries, lambda rows: F.map_from_entries(F.filter(rows, lambda x, i: ~F.exists(F.slice(rows, i + 2, F.size(rows)), lambda y: y["k"] == x["k"]))))
+
+
+def first_by(rows: Column, key: Callable[[Column], Column]) -> Column:
+    """The first of the elements that share a key, in order."""
+    return let(rows, lambda r: let(F.transform(r, key), lambda keys: F.filter(r, lambda _, i: F.array_position(keys, F.get(keys, i)) == i + 1)))
+
+
 def sorted_set(*arrays: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(*arrays)))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.blocks import blocks
-from ..functions.columns import exploded, found, found_once, kept, sorted_set, text_lines
+from ..functions.columns import exploded, found, found_once, kept, last_entries, let, sorted_set, text_lines
 from .sqltext import embedded_sql, sql_literals, suspect_lines, tables_in_literals
 
 # What the texts' parts look like.
@@ -36,6 +36,37 @@ DOC_REACH = 2
 QUERY_SHOWN = 80
 YES = ("true", "1", "sim", "yes")
 NO = ("false", "0", "nao", "não", "no")
+# Warnings of facades; the last three follow a number.
+FACADE_WARNINGS = (
+    "Classe principal não identificada no arquivo.",
+    "Nenhum método público foi encontrado.",
+    "Arquivo muito grande: revisão manual recomendada em trechos críticos.",
+    " método(s) público(s) possuem mais de 200 linhas.",
+    " método(s) público(s) contêm SQL embutido.",
+    " método(s) possuem alta densidade de chamadas.",
+)
+# Warnings of models; the sixth and the last follow a number.
+MODEL_WARNINGS = (
+    "Classe principal não identificada no arquivo.",
+    "Metadado @tabela não identificado no cabeçalho da classe.",
+    "Metadado @SGBD não identificado no cabeçalho da classe.",
+    "Nenhuma propriedade de model foi encontrada.",
+    "Nenhum campo primário foi identificado.",
+    " campos marcados como primários foram encontrados.",
+    "Nenhum getter/setter foi identificado no model.",
+    " campos marcados como auto-increment foram encontrados.",
+)
+# Warnings of a model's property, after its name and line.
+FIELD_WARNINGS = (
+    "não possui docblock associado.",
+    "não possui anotação @campo.",
+    "não possui anotação @var.",
+    "está com auto-increment=true sem ser primária.",
+)
+# How many children of each kind the second level of a dependency tree shows, and queries the first.
+TREE_CALLS, TREE_TABLES, TREE_PROCEDURES, TREE_INCLUDES, TREE_ACTIONS, TREE_QUERIES, ROOT_QUERIES = 6, 6, 4, 4, 4, 3, 5
+# Schemas whose dotted names are no actions.
+NO_ACTIONS = r"(?i)^(_dbo|_ppa|gp|aux)\."
 # What a method's body may be noted for.
 METHOD_NOTES = (
     "Usa superglobais de entrada diretamente.",
@@ -93,9 +124,12 @@ def calls(body: Column, noise: bool = False) -> Column:
 
 def resolved_calls(body: Column) -> Column:
     """Calls with the class of their object: of several instantiations the last; empty if there is none."""
-    made = instantiations(body)
-    of = lambda v: F.coalesce(F.try_element_at(F.filter(made, lambda x: x["variable"] == v), F.lit(-1))["class"], F.lit(""))
-    return F.transform(calls(body), lambda x: F.struct(x["object"].alias("object"), x["method"].alias("method"), of(x["object"]).alias("class")))
+
+    def resolved(made: Column) -> Column:
+        of = lambda v: F.coalesce(F.try_element_at(F.filter(made, lambda x: x["variable"] == v), F.lit(-1))["class"], F.lit(""))
+        return F.transform(calls(body), lambda x: F.struct(x["object"].alias("object"), x["method"].alias("method"), of(x["object"]).alias("class")))
+
+    return let(instantiations(body), resolved)
 
 
 def includes(body: Column) -> Column:
@@ -193,20 +227,89 @@ def flow_steps(body: Column) -> Column:
     )
 
 
-def dependency_tree(record: DataFrame) -> DataFrame:
-    """parent, name, kind, place: children of each method for a tree, so many of each kind at most: calls, tables,
-    procedures, includes, actions (but names of schemas), first lines of queries."""
-    caps = {"calls": 6, "tables": 6, "procedures": 4, "includes": 4, "actions": 4, "queries": 5}  # fixed values
-    names = {"calls": F.transform("calls", lambda c: F.concat(F.coalesce(F.nullif(c["class"], F.lit("")), c["object"]), F.when(c["class"] != "", "::").otherwise("->"), c["method"], F.lit("()")))}
-    first_line = F.transform("queries", lambda q: F.substring(F.substring_index(q["sql"], "\n", 1), 1, QUERY_SHOWN))
-    names["queries"] = F.filter(first_line, lambda x: x != "")
-    names["actions"] = F.filter("actions", lambda x: ~F.lower(x).rlike(r"^(_dbo|_ppa|gp|aux)\."))
-    each = F.concat(*(_children(k, names.get(k, F.col(k)), n) for k, n in caps.items()))
-    return record.select(F.concat_ws("::", "path", "method").alias("parent"), F.explode(each).alias("c")).select("parent", "c.*")
+def _shown(kind: str, names: Column, before: str) -> Column:
+    return F.transform(names, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("place"), F.concat(F.lit(before), x).alias("text"), F.array().cast("array<string>").alias("items")))
 
 
-def _children(kind: str, names: Column, most: int) -> Column:
-    return F.transform(F.slice(names, 1, most), lambda x, i: F.struct(F.lit(kind).alias("kind"), x.alias("name"), i.alias("place")))
+def _first_lines(queries: Column, most: int) -> Column:
+    lines = F.transform(F.slice(queries, 1, most), lambda q: F.substring(F.substring_index(q["sql"], "\n", 1), 1, QUERY_SHOWN))
+    return F.filter(lines, lambda x: x != "")
+
+
+def _real_actions(actions: Column) -> Column:
+    return F.filter(actions, lambda x: x.contains(".") & ~x.rlike(NO_ACTIONS))
+
+
+def dependency_tree(records: DataFrame, files: DataFrame, every: DataFrame | None = None) -> DataFrame:
+    """path, method, start_line, signature, children of each method: an array of kind, place, text, items.
+
+    The first level is whole but for queries: includes with their status, calls on objects of a known class with theirs,
+    tables, procedures, actions (but names of schemas), first lines of queries. A call that is found has a
+    second level as its items: file, signature, lines, and so many calls, tables, procedures, includes, actions and
+    queries. records and every (default: the same) are method records; calls are looked for in every.
+    """
+    key = ["path", "method", "start_line", "signature"]
+    rows = records.select(*key, "includes", "calls", "tables", "procedures", "actions", "queries")
+    statements = rows.select(*key, F.posexplode_outer("includes").alias("place", "include")).where("include IS NOT NULL")
+    found_ = resolve_includes(statements, files)
+    shown = F.concat(F.lit("include "), F.regexp_extract("include", INCLUDED, 1), F.when(F.col("found"), F.lit(" [OK]")).otherwise(F.lit(" [NÃO ENCONTRADO]")))
+    bare = statements.where(F.regexp_extract("include", INCLUDED, 1) == "").withColumn("text", F.concat(F.lit("include "), "include", F.lit(" [NÃO ENCONTRADO]")))
+    included = found_.select(*key, "place", shown.alias("text")).unionByName(bare.select(*key, "place", "text"))
+    child = lambda rank, kind, items: F.struct(F.lit(rank).alias("rank"), "place", F.lit(kind).alias("kind"), "text", items.alias("items"))
+    none = F.array().cast("array<string>")
+
+    index = classes(files).select(F.col("name").alias("class"), F.col("path").alias("class_path"))
+    called = rows.select(*key, F.posexplode_outer(F.filter("calls", lambda c: c["class"] != "")).alias("place", "c")).where("c IS NOT NULL")
+    called = called.select(*key, "place", "c.class", F.col("c.method").alias("called")).join(index, "class", "left")
+    target = F.struct("start_line", "end_line", "signature", "calls", "tables", "procedures", "includes", "actions", "queries")
+    known = (records if every is None else every).groupBy("path", "method").agg(F.min_by(target, "start_line").alias("target"))
+    known = known.select(F.col("path").alias("class_path"), F.col("method").alias("called"), "target")
+    t = F.col("target")
+    prefixed = lambda before, names: F.transform(names, lambda x: F.concat(F.lit(before), x))
+    chain = lambda c: F.concat(F.when(c["class"] != "", F.concat(c["class"], F.lit("::"))).otherwise(F.concat(c["object"], F.lit("->"))), c["method"], F.lit("()"))
+    items = F.concat(
+        F.when(F.col("class_path").isNotNull(), F.array(F.concat(F.lit("arquivo: "), F.substring_index("class_path", "/", -1)))).otherwise(none),
+        F.when(t.isNotNull() & (t["signature"] != ""), F.array(F.concat(F.lit("assinatura: "), t["signature"]))).otherwise(none),
+        F.when(t.isNotNull(), F.array(F.concat(F.lit("linhas: "), t["start_line"].cast("string"), F.lit("-"), t["end_line"].cast("string")))).otherwise(none),
+        *(
+            F.coalesce(x, none)
+            for x in (
+                F.transform(F.slice(t["calls"], 1, TREE_CALLS), lambda c: F.concat(F.lit("chama: "), chain(c))),
+                prefixed("tabela: ", F.slice(t["tables"], 1, TREE_TABLES)),
+                prefixed("procedure: ", F.slice(t["procedures"], 1, TREE_PROCEDURES)),
+                prefixed("include: ", F.slice(t["includes"], 1, TREE_INCLUDES)),
+                prefixed("action: ", _real_actions(F.slice(t["actions"], 1, TREE_ACTIONS))),
+                prefixed("query: ", _first_lines(t["queries"], TREE_QUERIES)),
+            )
+        ),
+    )
+    external = called.join(known, ["class_path", "called"], "left")
+    status = F.when(t.isNotNull(), F.lit("() [OK]")).otherwise(F.lit("() [NÃO RESOLVIDO]"))
+    external = external.select(*key, "place", F.concat("class", F.lit("::"), "called", status).alias("text"), items.alias("items"))
+
+    joined = included.select(*key, child(0, "include", none).alias("child")).unionByName(external.select(*key, child(1, "call", F.col("items")).alias("child")))
+    linked = joined.groupBy(*key).agg(F.array_sort(F.collect_list("child")).alias("linked"))
+    linked = linked.select(*key, F.transform("linked", lambda x: F.struct(x["kind"].alias("kind"), x["place"].alias("place"), x["text"].alias("text"), x["items"].alias("items"))).alias("linked"))
+    own = F.concat(
+        _shown("table", F.col("tables"), "tabela "),
+        _shown("procedure", F.col("procedures"), "procedure "),
+        _shown("action", _real_actions(F.col("actions")), "action "),
+        _shown("query", _first_lines(F.col("queries"), ROOT_QUERIES), "query "),
+    )
+    kind = "array<struct<kind:string,place:int,text:string,items:array<string>>>"
+    whole = rows.select(*key, own.cast(kind).alias("own")).join(linked, key, "left")
+    return whole.select(*key, F.concat(F.coalesce(F.col("linked").cast(kind), F.array().cast(kind)), "own").alias("children"))
+
+
+def tree_lines(tree: DataFrame) -> DataFrame:
+    """path, method, start_line, lines of each method's tree, drawn with branches."""
+    n = F.size("children")
+    last = lambda i, size: F.when(i == size - 1, F.lit("└── ")).otherwise(F.lit("├── "))
+    under = lambda i: F.when(i == n - 1, F.lit("    ")).otherwise(F.lit("│   "))
+    below = lambda x, i: F.transform(x["items"], lambda y, j: F.concat(under(i), last(j, F.size(x["items"])), y))
+    drawn = F.transform("children", lambda x, i: F.concat(F.array(F.concat(last(i, n), x["text"])), below(x, i)))
+    root = F.coalesce(F.nullif("signature", F.lit("")), F.lit("metodo()"))
+    return tree.select("path", "method", "start_line", F.concat(F.array(root), F.flatten(drawn)).alias("lines"))
 
 
 def facade_methods(files: DataFrame) -> DataFrame:
@@ -232,20 +335,33 @@ def facade_methods(files: DataFrame) -> DataFrame:
     return full.withColumns({"dependencies": deps, "notes": kept(*zip(held, METHOD_NOTES, strict=True))})
 
 
-def facade_rollup(records: DataFrame) -> DataFrame:
-    """For each file: methods, tables, dependencies (sorted unions) and warnings."""
+def class_name(text: Column) -> Column:
+    """The first class that a text declares; null if there is none."""
+    return F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), CLASS, 1), F.lit(""))
+
+
+def facade_rollup(records: DataFrame, files: DataFrame) -> DataFrame:
+    """For each file: class, lines, public methods, tables, dependencies (sorted unions) and warnings.
+
+    records: the public methods. Files without a class or without public methods are warned of too; their unions are empty.
+    """
     length = F.col("end_line") - F.col("start_line")
     grouped = records.groupBy("path").agg(
         F.count(F.lit(1)).alias("methods"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("tables")))).alias("tables"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("dependencies")))).alias("dependencies"),
-        F.max("end_line").alias("last_line"),
         F.count_if(length > METHOD_LINES).alias("long_methods"),
         F.count_if(F.size("sql_blocks") > 0).alias("sql_methods"),
         F.count_if(F.size("method_calls") + F.size("static_calls") > METHOD_CALLS).alias("busy_methods"),
     )
-    told = ((F.col("last_line") > FACADE_LINES, "large_file"), (F.col("long_methods") > 0, "long_methods"), (F.col("sql_methods") > 0, "embedded_sql"), (F.col("busy_methods") > 0, "many_calls"))
-    return grouped.withColumn("warnings", kept(*told))
+    own = files.select("path", class_name(F.col("text")).alias("class"), F.size(text_lines(F.coalesce("text", F.lit("")))).alias("lines"))
+    none = F.array().cast("array<string>")
+    joined = own.join(grouped, "path", "left").na.fill(0, ["methods", "long_methods", "sql_methods", "busy_methods"])
+    joined = joined.withColumns({c: F.coalesce(c, none) for c in ("tables", "dependencies")})
+    no_class, no_methods, large, *counted = FACADE_WARNINGS
+    told = [(F.col("class").isNull(), F.lit(no_class)), (F.col("methods") == 0, F.lit(no_methods)), (F.col("lines") > FACADE_LINES, F.lit(large))]
+    told += [(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(w))) for c, w in zip(("long_methods", "sql_methods", "busy_methods"), counted, strict=True)]
+    return joined.withColumn("warnings", F.array_compact(F.array(*(F.when(c, w) for c, w in told))))
 
 
 def relevant_methods(records: DataFrame, top: int = 12) -> DataFrame:
@@ -260,7 +376,7 @@ def annotations(doc: Column) -> Column:
     """``@key value`` of a docblock as a map of lower-case keys; of repeated keys the last."""
     p = r"(?m)@[ \t]*([A-Za-z0-9_\-]+)[ \t]+(.+?)[ \t]*(?:\*/)?[ \t]*$"
     rows = F.arrays_zip(F.transform(found(doc, p, 1), F.lower).alias("k"), F.transform(found(doc, p, 2), lambda x: F.trim(x)).alias("v"))
-    return F.map_from_entries(F.filter(rows, lambda x, i: ~F.exists(F.slice(rows, i + 2, F.size(rows)), lambda y: y["k"] == x["k"])))
+    return last_entries(rows)
 
 
 def as_boolean(text: Column) -> Column:
@@ -325,23 +441,30 @@ def accessor(method: Column) -> Column:
     return F.struct(kind.alias("kind"), F.when(kind != "other", F.concat(F.lower(F.substring(rest, 1, 1)), F.substring(rest, 2, 1000))).alias("property"))
 
 
-def model_warnings(fields: DataFrame, found_methods: DataFrame) -> DataFrame:
-    """path, warning, distinct: fields without docblock, ``@campo`` or type, or with auto-increment but not primary;
-    fields without getter or setter; models without fields, without accessors, without a primary field, with several
-    primary or auto-increment fields. Fields come with their annotations."""
-    named = found_methods.select("path", accessor(F.col("method")).alias("a")).select("path", "a.*").where("kind <> 'other'")
-    have = named.groupBy("path", F.lower("property").alias("p")).agg(F.collect_set("kind").alias("kinds"))
-    joined = fields.join(have, (fields["path"] == have["path"]) & (F.lower(fields["name"]) == have["p"]), "left").select(fields["*"], F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"))
+def model_warnings(fields: DataFrame, found_methods: DataFrame, files: DataFrame) -> DataFrame:
+    """path, warning, distinct: of every file without a class, ``@tabela``, ``@SGBD``, fields, a primary field or accessors, or
+    with several primary or auto-increment fields; of each field without docblock, else without ``@campo`` or ``@var``, or with
+    auto-increment but not primary. fields come with their annotations."""
     flag = lambda *names: F.coalesce(*(as_boolean(F.element_at("annotations", n)) for n in names), F.lit(False))
-    joined = joined.withColumns({"primary": flag("primary"), "auto": flag("auto-increment", "auto_increment")})
+    flagged = fields.withColumns({"primary": flag("primary"), "auto": flag("auto-increment", "auto_increment")})
     doc = F.col("documented")
-    each = kept((~doc, "undocumented"), (doc & F.element_at("annotations", "campo").isNull(), "no_campo"), (doc & F.col("type").isNull(), "untyped"), (doc & F.col("auto") & ~F.col("primary"), "auto_not_primary"), (~F.array_contains("kinds", "getter"), "no_getter"), (~F.array_contains("kinds", "setter"), "no_setter"))
-    rows = joined.select("path", F.explode(F.transform(each, lambda w: F.concat(F.col("name"), F.lit(": "), w))).alias("warning"))
-    empty = found_methods.select("path").distinct().join(fields.select("path").distinct(), "path", "left_anti").withColumn("warning", F.lit("no_fields"))
-    of_model = joined.groupBy("path").agg(F.count_if("primary").alias("p"), F.count_if("auto").alias("a"))
-    counts = kept((F.col("p") == 0, "no_primary"), (F.col("p") > 1, "several_primary"), (F.col("a") > 1, "several_auto_increment"))
-    bare = found_methods.groupBy("path").agg(F.count_if(accessor(F.col("method"))["kind"] != "other").alias("n")).where("n = 0").select("path", F.lit("no_accessors").alias("warning"))
-    return rows.unionByName(empty).unionByName(of_model.select("path", F.explode(counts).alias("warning"))).unionByName(bare).distinct()
+    lacks = lambda key: F.coalesce(F.element_at("annotations", key), F.lit("")) == ""
+    held = (~doc, doc & lacks("campo"), doc & lacks("var"), doc & F.col("auto") & ~F.col("primary"))
+    begin = F.concat(F.lit("A propriedade $"), "name", F.lit(" (linha "), F.col("line").cast("string"), F.lit(") "))
+    each = F.array_compact(F.array(*(F.when(h, F.concat(begin, F.lit(w))) for h, w in zip(held, FIELD_WARNINGS, strict=True))))
+    of_fields = exploded(flagged, each, "warning", "path")
+
+    per_file = flagged.groupBy("path").agg(F.count(F.lit(1)).alias("fields"), F.count_if("primary").alias("primaries"), F.count_if("auto").alias("autos"))
+    kinds = found_methods.groupBy("path").agg(F.count(F.lit(1)).alias("methods"), F.count_if(accessor(F.col("method"))["kind"] != "other").alias("accessors"))
+    own = files.select("path", class_name(F.col("text")).alias("class"), class_header(F.col("text")).alias("header"))
+    joined = own.join(per_file, "path", "left").join(kinds, "path", "left").na.fill(0, ["fields", "primaries", "autos", "methods", "accessors"])
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    counted = lambda c, w: F.concat(F.col(c).cast("string"), F.lit(w))
+    texts = [*map(F.lit, MODEL_WARNINGS[:5]), counted("primaries", MODEL_WARNINGS[5]), F.lit(MODEL_WARNINGS[6]), counted("autos", MODEL_WARNINGS[7])]
+    fields_, primaries, autos = F.col("fields"), F.col("primaries"), F.col("autos")
+    held = (F.col("class").isNull(), empty("header.tabela"), empty("header.sgbd"), fields_ == 0, (primaries == 0) & (fields_ > 0), primaries > 1, (F.col("methods") > 0) & (F.col("accessors") == 0), autos > 1)
+    whole = F.array_compact(F.array(*(F.when(h, w) for h, w in zip(held, texts, strict=True))))
+    return of_fields.unionByName(exploded(joined, whole, "warning", "path")).distinct()
 
 
 def locate_target(files: DataFrame, target: str, prefer: tuple[str, ...] = ()) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import found, kept, sorted_set, text_lines
+from ..functions.columns import first_by, found, kept, let, sorted_set, text_lines
 from .rules import stripped
 
 # What names are in SQL, thresholds of warnings, methods that run SQL, words that SQL starts with.
@@ -102,8 +102,7 @@ def statements(sql: Column, verb: str) -> Column:
     ends = r"(?i)^(\s*(BEGIN|END)\s*(\n|\z))+|((\A|\n)\s*(BEGIN|END)\s*)+\z"
     tidy = lambda s: F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"[ \t]+(?=\n|\z)", ""), r"\n\s*\n+", "\n"), ends, "")
     clean = F.filter(F.transform(raw, lambda s: F.trim(tidy(stripped(s)))), lambda s: s != "")
-    folded = F.transform(clean, lambda s: F.upper(F.regexp_replace(s, r"\s+", " ")))
-    return F.filter(clean, lambda s, i: F.array_position(folded, F.get(folded, i)) == i + 1)
+    return first_by(clean, lambda s: F.upper(F.regexp_replace(s, r"\s+", " ")))
 
 
 def classify(ops: Column) -> Column:
@@ -116,9 +115,10 @@ def analyse_sql(texts: DataFrame, sql: str = "sql", strict: bool = False) -> Dat
     """Everything above for each row: the input's columns, then operations, tables_read, tables_write, tables_all,
     temp_tables, table_variables, variables, procedure_calls, function_calls, resources, line_count,
     update_without_where, delete_without_where, kind and warnings. One projection, no shuffle."""
-    plain = strip_comments(F.coalesce(F.col(sql), F.lit("")))
-    lines = F.size(F.filter(text_lines(F.coalesce(F.col(sql), F.lit(""))), lambda x: stripped(x) != ""))
-    first = texts.withColumns(
+    text = F.coalesce(F.col(sql), F.lit(""))
+    lines = F.size(F.filter(text_lines(text), lambda x: stripped(x) != ""))
+    plain = F.col("__plain")  # a column of its own, so that comments are stripped once
+    first = texts.withColumn("__plain", strip_comments(text)).withColumns(
         {
             "operations": operations(plain),
             "tables_read": read_tables(plain),
@@ -145,7 +145,7 @@ def analyse_sql(texts: DataFrame, sql: str = "sql", strict: bool = False) -> Dat
         (F.col("line_count") >= LINES_MANY, "Procedure muito grande"),
         (F.size("procedure_calls") >= CALLS_MANY, "Múltiplas chamadas para outras procedures"),
     )
-    return first.withColumns({"tables_all": sorted_set(F.col("tables_read"), F.col("tables_write")), "kind": classify(F.col("operations")), "warnings": warnings})
+    return first.drop("__plain").withColumns({"tables_all": sorted_set(F.col("tables_read"), F.col("tables_write")), "kind": classify(F.col("operations")), "warnings": warnings})
 
 
 def normalise_embedded(sql: Column) -> Column:
@@ -158,6 +158,11 @@ def looks_like_sql(text: Column) -> Column:
     return text.rlike(rf"(?i)^\s*({'|'.join(STARTS)})")
 
 
+# How SQL is put into a variable, added to it, passed to a method, and passed as a variable.
+ASSIGN = r'(?is)(\$\w+)\s*=\s*"(.*?)"\s*;'
+APPEND = r'(?is)(\$\w+)\s*\.=\s*"(.*?)"\s*;'
+DIRECT = r'(?is)(\w+)\s*\(\s*"((?:[^"\\]|\\.)*?)"\s*\)'
+USE = r"(?i)(\w+)\s*\(\s*(\$\w+)\s*\)"
 _EMBEDDED = "array<struct<kind:string,variable:string,method:string,sql:string>>"
 
 
@@ -168,25 +173,31 @@ def embedded_sql(text: Column) -> Column:
     ``direto``: passed to a method that runs SQL. ``variavel_em_chamada``: such a variable passed to such a method.
     """
     text = F.coalesce(text, F.lit(""))
-    assign = r'(?is)(\$\w+)\s*=\s*"(.*?)"\s*;'
-    append = r'(?is)(\$\w+)\s*\.=\s*"(.*?)"\s*;'
     pairs = lambda p: F.arrays_zip(found(text, p, 1).alias("v"), found(text, p, 2).alias("s"))
     clean = lambda a: F.transform(a, lambda x: F.struct(x["v"].alias("v"), normalise_embedded(x["s"]).alias("s")))
-    assigned = F.filter(clean(pairs(assign)), lambda x: looks_like_sql(x["s"]))
-    appended = clean(pairs(append))
-    names = F.array_distinct(F.transform(assigned, lambda x: x["v"]))
-    last = lambda v: F.element_at(F.filter(assigned, lambda x: x["v"] == v), -1)["s"]
-    more = lambda v: F.transform(F.filter(appended, lambda x: x["v"] == v), lambda x: x["s"])
     null = F.lit(None).cast("string")
     item = lambda kind, variable, method, sql: F.struct(F.lit(kind).alias("kind"), variable.alias("variable"), method.alias("method"), sql.alias("sql"))
-    held = F.transform(names, lambda v: item("variavel", v, null, normalise_embedded(F.array_join(F.concat(F.array(last(v)), more(v)), "\n"))))
-    call = r'(?is)(\w+)\s*\(\s*"((?:[^"\\]|\\.)*?)"\s*\)'
-    called = F.filter(clean(pairs(call)), lambda x: F.lower(x["v"]).isin(*EXECUTING) & looks_like_sql(x["s"]))
-    direct = F.transform(called, lambda x: item("direto", null, x["v"], x["s"]))
-    use = r"(?i)(\w+)\s*\(\s*(\$\w+)\s*\)"
-    uses = F.filter(pairs(use), lambda x: F.lower(x["v"]).isin(*EXECUTING) & F.array_contains(names, x["s"]))
-    through = F.transform(uses, lambda x: item("variavel_em_chamada", x["s"], x["v"], F.filter(held, lambda h: h["variable"] == x["s"])[0]["sql"]))
-    return F.array_distinct(F.concat(held.cast(_EMBEDDED), direct.cast(_EMBEDDED), through.cast(_EMBEDDED)))
+
+    def all_(assigned: Column, appended: Column, called: Column, uses: Column) -> Column:
+        last = lambda v: F.element_at(F.filter(assigned, lambda x: x["v"] == v), -1)["s"]
+        more = lambda v: F.transform(F.filter(appended, lambda x: x["v"] == v), lambda x: x["s"])
+        names = F.array_distinct(F.transform(assigned, lambda x: x["v"]))
+        held_ = F.transform(names, lambda v: item("variavel", v, null, normalise_embedded(F.array_join(F.concat(F.array(last(v)), more(v)), "\n"))))
+        direct = F.transform(called, lambda x: item("direto", null, x["v"], x["s"]))
+
+        def with_calls(held: Column) -> Column:
+            of = lambda v: F.filter(held, lambda h: h["variable"] == v)
+            used = F.filter(uses, lambda x: F.exists(held, lambda h: h["variable"] == x["s"]))
+            through = F.transform(used, lambda x: item("variavel_em_chamada", x["s"], x["v"], of(x["s"])[0]["sql"]))
+            return F.array_distinct(F.concat(held.cast(_EMBEDDED), direct.cast(_EMBEDDED), through.cast(_EMBEDDED)))
+
+        return let(held_, with_calls)
+
+    # each pattern runs over the text once; what it finds is bound to a name
+    runs = lambda x: F.lower(x["v"]).isin(*EXECUTING)
+    assigned = F.filter(clean(pairs(ASSIGN)), lambda x: looks_like_sql(x["s"]))
+    called = F.filter(clean(F.filter(pairs(DIRECT), runs)), lambda x: looks_like_sql(x["s"]))
+    return let(assigned, lambda a: let(clean(pairs(APPEND)), lambda b: let(called, lambda c: let(F.filter(pairs(USE), runs), lambda d: all_(a, b, c, d)))))
 
 
 def suspect_lines(text: Column) -> Column:
@@ -205,5 +216,3 @@ def tables_in_literals(text: Column) -> Column:
     """Tables named by SQL inside string literals of either quote, sorted."""
     sql = F.array_join(sql_literals(text), "\n")
     return sorted_set(read_tables(sql), write_tables(sql))
-
-

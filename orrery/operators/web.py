@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.blocks import blocks, js_arguments
-from ..functions.columns import found, found_once, kept, sorted_set, text_lines
+from ..functions.columns import exploded, first_by, found, found_once, kept, last_entries, let, sorted_set, text_lines
+from .rules import stripped
 
 # What the texts' parts look like.
 MODAL = r'(?i)id="([^"]*modal[^"]*)"'
@@ -37,6 +38,9 @@ FUNCTION = r"(?i)\bfunction\s+([A-Za-z_][A-Za-z0-9_]*)\s*\("
 CLASS = r"(?i)\bclass\s+([A-Za-z_][A-Za-z0-9_]*)\b"
 SCRIPT_FILE = r"""(?i)<script\b[^>]*src=["']([^"']+)["']"""
 STYLE_FILE = r"""(?i)<link\b[^>]*href=["']([^"']+)["']"""
+TAG_WHOLE = r"(?i)<([a-zA-Z][a-zA-Z0-9]*)\b([^>]*)>"
+HANDLER = r"""(?i)(on[a-z]+)\s*=\s*["']([^"']+)["']"""
+ACTION_OF_CLASS = r"action=([A-Z][A-Za-z0-9_]*\.[A-Za-z_][A-Za-z0-9_]*)"
 TAG = r"<([a-zA-Z][a-zA-Z0-9]*)\b"
 # Kinds of calls to a server, by name and pattern.
 AJAX = {
@@ -70,7 +74,21 @@ SQL_KINDS = (
     ("call", r"(?i)\bcall\b\s+[a-zA-Z_][\w.]*"),
     ("with_select", r"(?i)\bwith\b[\s\S]{0,500}?\bas\b[\s\S]{0,500}?\bselect\b"),
 )
-_NO_SQL = r"(?i)^\s*(</?[a-z][\w:-]*\b|[.#]?[\w-]+\s*\{|//|\*)|\bfrom\s*\{|document\.queryselector|\.onblur|^\s*[\w-]+\s*:[^:;]+;\s*$"
+# Attributes and tags by which a line is HTML.
+HTML_ATTRIBUTES = (
+    " id=", " class=", " style=", " name=", " value=", " type=",
+    " onclick=", " onchange=", " onsubmit=", " onblur=", " onkeyup=",
+    " href=", " src=", " selected", " checked", " disabled",
+)
+HTML_STARTS = ("<select", "<option", "<input", "<form", "<div", "<span", "<table", "<tr", "<td", "<label", "<script", "<link")
+# Properties by which a line is a style.
+CSS_PROPERTIES = (
+    "color:", "background:", "display:", "margin:", "padding:",
+    "font-size:", "font-family:", "border:", "width:", "height:",
+    "position:", "top:", "left:", "right:", "bottom:",
+    "transform:", "transition:", "z-index:", "overflow:",
+    "text-align:", "vertical-align:", "float:", "clear:",
+)
 SQL_LINES = 50
 
 
@@ -83,9 +101,7 @@ def clean_html(text: Column) -> Column:
 def attributes(tag: Column) -> Column:
     """A map of attribute names, in lower case, to values; of repeated names the last, single quotes after double."""
     entry = lambda p: F.arrays_zip(F.transform(found(tag, p, 1), F.lower).alias("k"), found(tag, p, 2).alias("v"))
-    both = F.concat(entry(ATTRIBUTE_DOUBLE), entry(ATTRIBUTE_SINGLE))
-    last = F.filter(both, lambda x, i: ~F.exists(F.slice(both, i + 2, F.size(both)), lambda y: y["k"] == x["k"]))
-    return F.map_from_entries(last)
+    return last_entries(F.concat(entry(ATTRIBUTE_DOUBLE), entry(ATTRIBUTE_SINGLE)))
 
 
 def modals(html: Column) -> Column:
@@ -100,15 +116,10 @@ def links(html: Column) -> Column:
     """Distinct anchors with a text: array of text, href, onclick, class, id (empty if not given)."""
     pairs = F.arrays_zip(found(html, LINK, 1).alias("attrs"), found(html, LINK, 2).alias("inner"))
     given = lambda m, n: F.coalesce(F.element_at(m, n), F.lit("")).alias(n)
-    item = lambda x: _let(attributes(x["attrs"]), lambda m: F.struct(clean_html(x["inner"]).alias("text"), *(given(m, n) for n in ("href", "onclick", "class", "id"))))
+    item = lambda x: let(attributes(x["attrs"]), lambda m: F.struct(clean_html(x["inner"]).alias("text"), *(given(m, n) for n in ("href", "onclick", "class", "id"))))
     return F.array_distinct(F.filter(F.transform(pairs, item), lambda x: x["text"] != ""))
 
 
-def _let(value: Column, f) -> Column:
-    """f of a value that is computed once."""
-    return F.transform(F.array(value), f)[0]
-
-
 def attribute(tag: Column, name: str) -> Column:
     """One attribute's value; empty if not given."""
     return F.coalesce(F.element_at(attributes(tag), name), F.lit(""))
@@ -131,16 +142,14 @@ def parameters(raw: Column) -> Column:
     """``a=1&b`` as a map; without ``=`` the value is empty; of repeated keys the last."""
     chunks = F.filter(F.transform(F.split(F.replace(F.coalesce(raw, F.lit("")), F.lit("&amp;"), F.lit("&")), "[&?]"), lambda x: F.trim(x)), lambda x: x != "")
     entries = F.filter(F.transform(chunks, lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("k"), F.when(x.contains("="), F.trim(F.regexp_replace(x, "^[^=]*=", ""))).otherwise("").alias("v"))), lambda x: x["k"] != "")
-    last = F.filter(entries, lambda x, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda y: y["k"] == x["k"]))
-    return F.map_from_entries(last)
+    return last_entries(entries)
 
 
 def actions(text: Column) -> Column:
     """``action=Class.method&k=v``: array of class, method, params, backend; distinct regardless of case."""
     p = ACTION
     rows = F.arrays_zip(found(text, p, 1).alias("c"), found(text, p, 2).alias("m"), found(text, p, 3).alias("r"))
-    key = F.transform(rows, lambda x: F.lower(F.concat_ws("|", x["c"], x["m"], x["r"])))
-    first = F.filter(rows, lambda x, i: F.array_position(key, F.get(key, i)) == i + 1)
+    first = first_by(rows, lambda x: F.lower(F.concat_ws("|", x["c"], x["m"], x["r"])))
     return F.transform(first, lambda x: F.struct(x["c"].alias("class"), x["m"].alias("method"), parameters(x["r"]).alias("params"), F.concat(x["c"], F.lit("CTR::"), x["m"], F.lit("()")).alias("backend")))
 
 
@@ -247,40 +256,48 @@ def script_blocks(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     breaks = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
     total = lambda texts: F.aggregate(texts, F.lit(0), lambda n, x: n + breaks(x))
     line = total(F.slice("gaps", 1, F.col("p") + 1)) + total(F.slice(F.transform("parts", lambda x: x["all"]), 1, F.col("p"))) + 1
-    return rows.select(key, (F.col("p") + 1).alias("block"), "s.attrs", F.nullif(F.regexp_extract("s.attrs", SCRIPT_SRC, 1), F.lit("")).alias("src"), F.trim("s.body").alias("body"), line.alias("start_line"))
+    return rows.select(key, (F.col("p") + 1).alias("block"), F.trim("s.attrs").alias("attrs"), F.nullif(F.regexp_extract("s.attrs", SCRIPT_SRC, 1), F.lit("")).alias("src"), "s.body", line.alias("start_line"))
 
 
 def js_constants(script: Column) -> Column:
     """const declarations: array of name, kind (string or expression), value; a string wins over an expression."""
-    s = CONST_STRING
-    e = CONST_ANY
+    pairs = lambda p, v: F.arrays_zip(found(script, p, 1).alias("n"), found(script, p, v).alias("v"))
     item = lambda kind: lambda x: F.struct(x["n"].alias("name"), F.lit(kind).alias("kind"), F.trim(x["v"]).alias("value"))
-    strings = F.transform(F.arrays_zip(found(script, s, 1).alias("n"), found(script, s, 3).alias("v")), item("string"))
-    taken = F.transform(strings, lambda x: x["name"])
-    rest = F.filter(F.arrays_zip(found(script, e, 1).alias("n"), found(script, e, 2).alias("v")), lambda x: ~F.array_contains(taken, x["n"]))
-    return F.concat(strings, F.transform(rest, item("expression")))
+    rest = lambda strings: F.filter(pairs(CONST_ANY, 2), lambda x: ~F.exists(strings, lambda y: y["name"] == x["n"]))
+    return let(F.transform(pairs(CONST_STRING, 3), item("string")), lambda strings: F.concat(strings, F.transform(rest(strings), item("expression"))))
 
 
 js_functions = blocks(r"\bfunction\s+[A-Za-z_$][A-Za-z0-9_$]*\s*\([^)]*\)\s*\{", aware=False)
 jquery_events = blocks(r"""(?is)\$\s*\(\s*[^)]+\s*\)\s*\.\s*on\s*\(\s*["'][a-zA-Z]+["']\s*,\s*["'][^"']+["']\s*,\s*function\s*\(.*?\)\s*\{""", aware=False)
 ajax_calls = blocks(r"(?i)\$\s*\.ajax\s*\(\s*\{", aware=False)
 swal_calls = blocks(r"(?i)\bSwal\s*\.\s*fire\s*\(\s*\{", aware=False)
+js_objects = blocks(r"(?:\b(?:const|let|var)\s+)?[A-Za-z_$][A-Za-z0-9_$]*\s*(?:=|:)\s*\{", aware=False)
 callbacks = blocks(r"(?is)\.(?:done|fail|always)\s*\(\s*function\s*\(.*?\)\s*\{", aware=False)
 
 
+def object_field(text: Column, name: str) -> Column:
+    """A field of an object's text: what its quotes hold if it is a string anywhere, else what runs to the next comma,
+    line end or brace; null if there is none."""
+    string = F.regexp_extract(text, rf"""(?is)\b{name}\s*:\s*(["'])(.*?)\1""", 2)
+    has_string = text.rlike(rf"""(?is)\b{name}\s*:\s*(["'])(.*?)\1""")
+    plain = F.regexp_extract(text, rf"(?i)\b{name}\s*:\s*([^,\n}}]+)", 1)
+    return F.when(has_string, F.trim(string)).otherwise(F.nullif(F.trim(plain), F.lit("")))
+
+
 def ajax_fields(call: Column) -> Column:
-    """url, method (or type), data, dataType, timeout, processData, contentType of one ajax call's text, and the text
-    itself as raw; a quoted value runs to its closing quote, any other to the next comma or brace."""
-    value = r"""\s*:\s*("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|[^,\n}]+)"""
-    field = lambda n: F.nullif(F.trim(F.regexp_extract(call, rf"(?s)\b{n}{value}", 1)), F.lit(""))
-    others = (field(n).alias(n) for n in ("data", "dataType", "timeout", "processData", "contentType"))
-    return F.struct(field("url").alias("url"), F.coalesce(field("method"), field("type")).alias("method"), *others, call.alias("raw"))
+    """url, method (or type), data, dataType, timeout, processData, contentType of one ajax call's text, and its object
+    as raw."""
+    others = (object_field(call, n).alias(n) for n in ("data", "dataType", "timeout", "processData", "contentType"))
+    method = F.coalesce(F.nullif(object_field(call, "method"), F.lit("")), object_field(call, "type"))
+    return F.struct(object_field(call, "url").alias("url"), method.alias("method"), *others, F.regexp_replace(call, r"^[^{]*", "").alias("raw"))
 
 
 def inline_events(html: Column) -> Column:
-    """Handlers in tags: array of event, handler."""
-    p = r"""(?i)<[a-zA-Z][a-zA-Z0-9]*\b[^>]*?\s(on[a-z]+)\s*=\s*["']([^"']+)["']"""
-    return F.transform(F.arrays_zip(found(html, p, 1).alias("e"), found(html, p, 2).alias("h")), lambda x: F.struct(F.lower(x["e"]).alias("event"), F.trim(x["h"]).alias("handler")))
+    """Handlers in tags, all of each tag: array of tag, event, handler."""
+    tags = F.arrays_zip(found(html, TAG_WHOLE, 1).alias("t"), found(html, TAG_WHOLE, 2).alias("a"))
+    pairs = lambda a: F.arrays_zip(found(a, HANDLER, 1).alias("e"), found(a, HANDLER, 2).alias("h"))
+    each = lambda x: F.transform(pairs(x["a"]), lambda y: F.struct(x["t"].alias("tag"), F.lower(y["e"]).alias("event"), F.trim(y["h"]).alias("handler")))
+    return F.flatten(F.transform(tags, each))
 
 
 def script_summary(script: Column) -> Column:
@@ -294,12 +311,28 @@ def script_summary(script: Column) -> Column:
     )
 
 
+def script_endpoints(script: Column) -> Column:
+    """What a script asks for, sorted: actions of classes, quoted ``url:`` fields, names of ``URL_`` constants, and values of
+    constants that hold an action or the index page."""
+    told = F.filter(js_constants(script), lambda c: c["value"].contains("action=") | c["value"].contains("index.php"))
+    urls = F.transform(found(script, URL_FIELD, 1), lambda x: F.trim(x))
+    return sorted_set(found(script, ACTION_OF_CLASS, 1), urls, found(script, "(?i)" + URL_CONSTANT), F.transform(told, lambda c: c["value"]))
+
+
 def script_rollup(blocks_: DataFrame, key: str) -> DataFrame:
-    """For each file: inline and external blocks, server calls by kind, endpoints over all its blocks."""
-    inline = F.col("src").isNull()
-    counted = blocks_.withColumns({"__e": endpoints(F.col("body")), **{f"__{i}": F.size(found(F.col("body"), "(?i)" + p)) for i, p in enumerate(AJAX.values())}})
+    """For each file: inline blocks, all blocks, sources of external scripts, server calls in all and by kind (those that
+    occur), endpoints over all its blocks."""
+    kinds = {f"__{i}": F.size(found(F.col("body"), "(?i)" + p)) for i, p in enumerate(AJAX.values())}
+    counted = blocks_.withColumns({"__e": script_endpoints(F.col("body")), **kinds})
     calls = F.create_map(*(x for i, k in enumerate(AJAX) for x in (F.lit(k), F.sum(f"__{i}"))))
-    return counted.groupBy(key).agg(F.count_if(inline).alias("script_blocks"), F.count_if(~inline).alias("external_scripts"), calls.alias("calls"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("__e")))).alias("endpoints"))
+    grouped = counted.groupBy(key).agg(
+        F.count_if(F.col("src").isNull()).alias("script_blocks"),
+        F.count(F.lit(1)).alias("script_blocks_total"),
+        F.array_sort(F.collect_set("src")).alias("external_scripts"),
+        F.map_filter(calls, lambda _, n: n > 0).alias("calls"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("__e")))).alias("endpoints"),
+    )
+    return grouped.withColumn("calls_total", F.aggregate(F.map_values("calls"), F.lit(0).cast("long"), lambda n, x: n + x))
 
 
 def tag_count(html: Column) -> Column:
@@ -317,7 +350,7 @@ def page_summary(html: Column) -> Column:
         tag_count(html).alias("tags"),
         ajax_kinds(html).alias("ajax"),
         endpoints(html).alias("endpoints"),
-        sorted_set(found(html, r"action=([A-Z][A-Za-z0-9_]*\.[A-Za-z_][A-Za-z0-9_]*)", 1)).alias("actions"),
+        sorted_set(found(html, ACTION_OF_CLASS, 1)).alias("actions"),
     )
 
 
@@ -331,7 +364,7 @@ def relevant_includes(files: DataFrame, base: str = "") -> DataFrame:
     An include is looked up from ``base``; one that isn't there has status ``não encontrado``. One join of paths
     with files, no recursion.
     """
-    asked = files.select("path", F.explode(include_paths(F.col("text"))).alias("include")).where(_any(F.lower(F.trim("include")), RELEVANT_INCLUDES))
+    asked = exploded(files, include_paths(F.col("text")), "include", "path").where(_any(F.lower(F.trim("include")), RELEVANT_INCLUDES))
     asked = asked.withColumn("target", F.concat(F.lit(base), F.regexp_replace("include", r"^\./|^/", "")))
     known = files.select(F.col("path").alias("target"), actions(F.col("text")).alias("actions"), endpoints(F.col("text")).alias("endpoints"))
     joined = asked.join(known, "target", "left")
@@ -344,14 +377,31 @@ def sql_lines(files: DataFrame, most: int = SQL_LINES) -> DataFrame:
     plain = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
     all_ = F.transform(text_lines(F.coalesce("text", F.lit(""))), lambda x, i: F.struct((i + 1).alias("line_no"), sql_line_kind(x).alias("kind"), plain(x).alias("text")))
     held = files.select("path", F.filter(all_, lambda x: x["kind"].isNotNull() & (x["text"] != "")).alias("held"))
-    keys = F.transform("held", lambda x: F.struct(x["kind"], x["text"]))
-    once = held.withColumn("keys", keys).withColumn("held", F.filter("held", lambda x, i: F.array_position("keys", F.get("keys", i)) == i + 1))
-    return once.select("path", F.explode(F.slice("held", 1, most)).alias("h")).select("path", "h.*")
+    once = held.select("path", first_by(F.col("held"), lambda x: F.struct(x["kind"], x["text"])).alias("held"))
+    return exploded(once, F.slice("held", 1, most), "h", "path").select("path", "h.*")
+
+
+def looks_like_html(line: Column) -> Column:
+    """Whether a trimmed line in lower case begins with a tag, or holds one with a common attribute."""
+    starts = F.lit(False)
+    for tag in HTML_STARTS:
+        starts = starts | line.startswith(tag)
+    return line.rlike(r"^</?[a-z][a-z0-9:_-]*\b") | (line.contains("<") & line.contains(">") & _any(line, HTML_ATTRIBUTES)) | starts
+
+
+def looks_like_css(line: Column) -> Column:
+    """Whether a trimmed line in lower case opens or closes a block, begins with a selector or names a property."""
+    block = line.endswith("{") | (line == "}") | line.startswith(".") | line.startswith("#")
+    return block | _any(line, CSS_PROPERTIES) | line.rlike(r"\bfrom\s*\{")
 
 
 def sql_line_kind(line: Column) -> Column:
-    """The first kind of SQL that a line holds; null for none and for lines of HTML, CSS or JavaScript."""
-    out = F.when(line.rlike(_NO_SQL), F.lit(None).cast("string"))
-    for kind, pattern in SQL_KINDS:
-        out = out.when(line.rlike(pattern), kind)
-    return out
+    """The first kind of SQL that a line holds; null for none and for lines of HTML or CSS. Comments and scripts count."""
+
+    def kind(s: Column) -> Column:
+        out = F.when(looks_like_html(s) | looks_like_css(s) | s.contains("<select") | s.contains("</select>"), F.lit(None).cast("string"))
+        for name, pattern in SQL_KINDS:
+            out = out.when(line.rlike(pattern), name)
+        return out
+
+    return let(F.lower(stripped(line)), kind)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import exploded
 from ..operators import anomaly, catalog, code, domain, profile, rules, sqltext, web
+from ..shared import stored
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -265,7 +266,7 @@ def page_links(spark, sf_dir):
 
 @query("""WITH s AS (SELECT page_id, regexp_extract_all(html, '(?is)<script\\b[^>]*>(.*?)</script>', 1) AS bs, regexp_extract_all(html, '(?is)(.*?)<script\\b[^>]*>.*?</script>', 1) AS gaps, regexp_extract_all(html, '(?is)<script\\b[^>]*>.*?</script>') AS alls FROM pages),
 b AS (SELECT page_id, unnest(range(len(bs))) + 1 AS i, bs, array_to_string(gaps, '') AS g, gaps, alls FROM s)
-SELECT page_id, CAST(i AS INT) AS block, trim(bs[i]) AS body, CAST(len(string_split(array_to_string(gaps[:i], '') || array_to_string(alls[:i - 1], ''), chr(10))) AS INT) AS start_line FROM b""")
+SELECT page_id, CAST(i AS INT) AS block, bs[i] AS body, CAST(len(string_split(array_to_string(gaps[:i], '') || array_to_string(alls[:i - 1], ''), chr(10))) AS INT) AS start_line FROM b""")
 def script_blocks(spark, sf_dir):
     return web.script_blocks(table(spark, sf_dir, "pages"), "page_id").select("page_id", "block", "body", "start_line")
 
@@ -360,7 +361,7 @@ def method_records(spark, sf_dir):
 UNION SELECT 2, 'src/C' || b.p_partkey || '.php', 'C' || (b.p_partkey + 1), 'run', CASE WHEN c.p_partkey IS NOT NULL THEN 'src/C' || c.p_partkey || '.php' END FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 LEFT JOIN part c ON c.p_partkey = b.p_partkey + 1""")
 def external_calls(spark, sf_dir):
     files = _program(spark, sf_dir)
-    every = code.methods(files).persist()  # read by the first level and by both look-ups
+    every = stored(code.methods(files))  # read by the first level and by both look-ups
     return code.external_calls(every, files, deep=2, every=every).select("level", "caller_path", "class", "method", "path")
 
 

@@ -15,11 +15,11 @@ from .queries import query, table
 _NL, _Q = " || chr(10) || ", " || chr(39) || "
 
 
-def _lines(*parts: str) -> str:
+def lines_of_text(*parts: str) -> str:
     return _NL.join(f"({p})" for p in parts)
 
 
-PHP = _lines(
+PHP = lines_of_text(
     "'<?php'", "'/**'", "' * @author team' || (k % 3)", "' * @tabela tb_' || (k % 7)", "' * @SGBD mssql'", "' */'",
     "'class Fachada' || k || ' {'", "'  /** @var int'", "'   * @campo id_' || (k % 5)", "'   * @primary sim'", "'   */'", "'  private $id;'",
     "'  /** @label L */'", "'  private $nome;'", "''", "''", "'  private $solto;'",
@@ -30,7 +30,7 @@ PHP = _lines(
     "'    $conn->prepare(\"EXEC dbo.pr_' || (k % 2) || '\");'", "'    return \"}\" . $u;'", "'  }'", "'  protected function setNome($v) { $this->nome = $v; }'", "'}'", "''",
 )
 
-PAGE = _lines(
+PAGE = lines_of_text(
     "'<div id=\"modal_' || (k % 4) || '\"></div><button class=\"btn\"> Salvar <b>' || (k % 3) || '</b></button>'",
     f"'<a class=\"btn\" href=\"#\" onclick=\"recuperaConteudoDinamico(this, '{_Q}'x.php?action=Ped.lista&id=' || k{_Q}', '{_Q}'#alvo' || (k % 5){_Q}')\" data-id=\"' || k || '\">Detalhamento ' || k || '</a>'",
     f"'<input type=\"button\" value=\"Ok ' || (k % 2) || '\" onclick=\"show('{_Q}'a,b'{_Q}', f(1, 2))\"/>'",
@@ -110,7 +110,7 @@ def sql_statements(spark, sf_dir):
  CASE WHEN len(list_distinct(regexp_extract_all(plain, '(?i)\\bEXEC\\s+(\\w+)', 1))) >= 5 THEN 'Múltiplas chamadas para outras procedures' END], lambda x: x IS NOT NULL) AS ws FROM t)
 SELECT warning, count(*) AS n FROM (SELECT unnest(ws) AS warning FROM w) GROUP BY warning""")
 def sql_warnings(spark, sf_dir):
-    a = sqltext.analyse_sql(sqls(spark, sf_dir)).select(F.explode("warnings").alias("warning"))
+    a = exploded(sqltext.analyse_sql(sqls(spark, sf_dir)), F.col("warnings"), "warning")
     return a.groupBy("warning").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -153,12 +153,6 @@ def facade_methods(spark, sf_dir):
     return r.select("path", "method", "start_line", "end_line", *map(at, ("objects", "static_calls", "method_calls")), _joined("tables").alias("tables"), _joined("dependencies").alias("dependencies"), F.size("notes").alias("notes"))
 
 
-@query(f"""WITH {_BODY} SELECT path, 1::BIGINT AS methods, {_all('body', '(?i)\\bFROM\\s+([\\w.]+)')} AS tables, 'embedded_sql' AS warnings FROM m WHERE regexp_matches(body, '"[^"]*(SELECT|EXEC)')""")
-def facade_rollup(spark, sf_dir):
-    r = code.facade_rollup(code.facade_methods(php_files(spark, sf_dir)))
-    return r.select("path", "methods", _joined("tables").alias("tables"), _joined("warnings").alias("warnings"))
-
-
 @query(f"""WITH {_BODY} SELECT path, 'getId' AS method FROM (SELECT path, b - a AS size, len(regexp_extract_all(body, '"[^"]*(SELECT|EXEC)[^"]*"')) AS blocks,
  CAST(contains(body, '$_GET') AS INT) + CAST(contains(body, 'echo ') AS INT) AS notes FROM m) ORDER BY blocks DESC, size DESC, notes DESC, path LIMIT 12""")
 def relevant_methods(spark, sf_dir):
@@ -177,30 +171,6 @@ def accessors(spark, sf_dir):
     return m.select("path", "method", code.accessor(F.col("method")).alias("a")).select("path", "method", "a.*")
 
 
-@query(f"""WITH {_FILES} w AS (SELECT path, unnest(['id: no_setter', 'nome: no_campo', 'nome: untyped', 'nome: no_getter', 'solto: undocumented', 'solto: no_getter', 'solto: no_setter', 'solto: untyped', 'several_primary']) AS warning, text FROM f)
-SELECT path, warning FROM w WHERE CASE split_part(warning, ': ', 2) WHEN 'no_setter' THEN NOT regexp_matches(text, '(?i)function set' || split_part(warning, ': ', 1)) WHEN 'no_getter' THEN NOT regexp_matches(text, '(?i)function get' || split_part(warning, ': ', 1))
- WHEN 'undocumented' THEN NOT regexp_matches(text, '\\*/\\n( *\\n)?  private \\$' || split_part(warning, ': ', 1)) WHEN 'no_campo' THEN NOT regexp_matches(text, '@campo[^/]*/\\n  private \\$' || split_part(warning, ': ', 1))
- WHEN 'untyped' THEN warning NOT LIKE 'solto%' AND NOT regexp_matches(text, '@var[^/]*/\\n  private \\$' || split_part(warning, ': ', 1)) ELSE len(regexp_extract_all(text, '@primary sim')) > 1 END""")
-def model_warnings(spark, sf_dir):
-    files = php_files(spark, sf_dir)
-    return code.model_warnings(code.model_fields(files), code.methods(files, aware=True))
-
-
-@query(f"""WITH {_FILES} q AS (SELECT path, unnest(regexp_extract_all(text, 'include "([^"]+)"', 1)) AS inc FROM f)
-SELECT path, inc AS target, false AS found FROM q""")
-def include_targets(spark, sf_dir):
-    files = php_files(spark, sf_dir)
-    asked = files.select("path", F.explode(code.includes(F.col("text"))).alias("include"))
-    return code.resolve_includes(asked, files).select("path", "target", "found")
-
-
-@query(f"""WITH {_BODY}, c AS (SELECT path, unnest([['calls', regexp_extract(body, 'new (\\w+)', 1) || '::salvar()'], ['tables', regexp_extract(body, 'FROM ([\\w.]+)', 1)], ['procedures', regexp_extract(body, 'EXEC ([\\w.]+)', 1)],
- ['includes', regexp_extract(body, '(include [^;\\n]+)', 1)], ['actions', regexp_extract(body, 'action=([\\w.]+)', 1)]]) AS x FROM m) SELECT path || '::getId' AS parent, x[1] AS kind, x[2] AS name FROM c""")
-def dependency_tree(spark, sf_dir):
-    r = code.method_records(code.methods(php_files(spark, sf_dir), aware=True)).where("method = 'getId'")
-    return code.dependency_tree(r).where("kind <> 'queries'").select("parent", "kind", "name")
-
-
 @query(f"""WITH {_FILES.rstrip().rstrip(',')} SELECT 1 AS rank_, min(path) AS path FROM f WHERE regexp_extract(path, '([^/]+)$', 1) = 'Fachada7.php' UNION ALL SELECT 2, min(path) FROM f WHERE contains(text, 'function getId(')
 UNION ALL SELECT 3, path FROM f WHERE regexp_matches(text, 'class Fachada9\\b')""")
 def located(spark, sf_dir):
@@ -240,7 +210,7 @@ def clickables(spark, sf_dir):
 @query(f"""WITH {_PAGES}, o AS (SELECT k, unnest(regexp_extract_all(html, 'onclick="([^"]+)"', 1)) AS onclick FROM p), i AS (SELECT k, regexp_extract(onclick, '^(\\w+)\\(', 1) AS function, regexp_extract(onclick, '^\\w+\\((.*)\\)$', 1) AS inner_ FROM o)
 SELECT k, function, CAST(len(string_split(regexp_replace(regexp_replace(inner_, chr(39) || '[^' || chr(39) || ']*' || chr(39), '', 'g'), '\\([^()]*\\)', '', 'g'), ',')) AS INT) AS args FROM i""")
 def js_calls(spark, sf_dir):
-    rows = ui_pages(spark, sf_dir).select("k", F.explode(web.onclicks(F.col("html"))).alias("o")).select("k", web.js_call(F.col("o")).alias("c"))
+    rows = exploded(ui_pages(spark, sf_dir), web.onclicks(F.col("html")), "o", "k").select("k", web.js_call(F.col("o")).alias("c"))
     return rows.select("k", "c.function", F.size("c.args").alias("args"))
 
 
@@ -248,7 +218,7 @@ def js_calls(spark, sf_dir):
  regexp_extract(html, 'this, ' || chr(39) || '([^' || chr(39) || ']*)', 1) AS endpoint, regexp_extract(html, chr(39) || '(#\\w+)', 1) AS target FROM p""")
 def page_actions(spark, sf_dir):
     h = F.col("html")
-    rows = ui_pages(spark, sf_dir).select("k", F.explode(web.actions(h)).alias("a"), web.dynamic_loads(h)[0].alias("d"))
+    rows = exploded(ui_pages(spark, sf_dir), web.actions(h), "a", "k", web.dynamic_loads(h)[0].alias("d"))
     return rows.select("k", "a.class", "a.method", F.element_at("a.params", "id").alias("id_param"), "a.backend", "d.endpoint", "d.target")
 
 
@@ -269,7 +239,7 @@ def script_places(spark, sf_dir):
 
 
 @query(f"""WITH {_PAGES} SELECT k, regexp_extract(html, 'const URL_A = "([^"]*)"', 1) AS url_a, trim(regexp_extract(html, 'const N = ([^;]*);', 1)) AS n, CAST(len(regexp_extract_all(html, '\\bfunction \\w+\\(')) AS INT) AS functions, CAST(len(regexp_extract_all(html, '\\.done\\(')) AS INT) AS callbacks, CAST(len(regexp_extract_all(html, 'Swal\\.fire')) AS INT) AS swals,
- CAST(len(regexp_extract_all(html, '\\.on\\("click"')) AS INT) AS events, regexp_extract(html, 'url: (\\w+)', 1) AS url, regexp_extract(html, 'method: ("\\w+")', 1) AS method, trim(regexp_extract(html, 'timeout: (\\d+)', 1)) AS timeout, 'fd' AS form_data, regexp_extract(html, '\\$\\("([^"]*)"', 1) AS selector, CAST(len(regexp_extract_all(html, 'console\\.\\w+\\(')) AS INT) AS console,
+ CAST(len(regexp_extract_all(html, '\\.on\\("click"')) AS INT) AS events, regexp_extract(html, 'url: (\\w+)', 1) AS url, regexp_extract(html, 'method: "(\\w+)"', 1) AS method, trim(regexp_extract(html, 'timeout: (\\d+)', 1)) AS timeout, 'fd' AS form_data, regexp_extract(html, '\\$\\("([^"]*)"', 1) AS selector, CAST(len(regexp_extract_all(html, 'console\\.\\w+\\(')) AS INT) AS console,
  CAST(contains(html, 'FormData') AS INT) + CAST(contains(html, '$.ajax') AS INT) + CAST(contains(html, '.done(') AS INT) + CAST(contains(html, '.fail(') AS INT) + CAST(contains(html, 'Swal.fire') AS INT) + CAST(contains(html, 'console.') AS INT) + CAST(contains(html, '$(document).on(') AS INT) AS steps FROM p""")
 def script_details(spark, sf_dir):
     s = web.script_blocks(ui_pages(spark, sf_dir), "k").where("src IS NULL")
@@ -283,25 +253,25 @@ def script_details(spark, sf_dir):
     )
 
 
-@query(f"""WITH {_PAGES} SELECT k, 1::BIGINT AS script_blocks, 1::BIGINT AS external_scripts, CAST(len(regexp_extract_all(html, '\\$\\.ajax\\(')) AS BIGINT) AS ajax, CAST(len(regexp_extract_all(html, '\\$\\.get\\(')) AS BIGINT) AS gets, regexp_extract(html, '\\$\\.get\\("([^"]*)"', 1) AS endpoints FROM p""")
-def script_rollup(spark, sf_dir):
-    r = web.script_rollup(web.script_blocks(ui_pages(spark, sf_dir), "k"), "k")
-    return r.select("k", "script_blocks", "external_scripts", F.element_at("calls", "$.ajax").alias("ajax"), F.element_at("calls", "$.get").alias("gets"), _joined("endpoints").alias("endpoints"))
-
-
 @query(f"""WITH {_PAGES}, a AS (SELECT DISTINCT regexp_extract(html, 'action=(\\w+)\\.', 1) AS class, regexp_extract(html, 'action=\\w+\\.(\\w+)', 1) AS method FROM p UNION SELECT 'Fachada' || k, 'getid' FROM p WHERE k % 5 = 0)
 SELECT class, method, CASE WHEN class LIKE 'Fachada%' THEN 'app/' || (CAST(substr(class, 8) AS INT) % 10) || '/' || class || '.php' END AS target, CASE WHEN class NOT LIKE 'Fachada%' THEN 'method not found' END AS error FROM a""")
 def action_traces(spark, sf_dir):
-    acts = ui_pages(spark, sf_dir).select(F.explode(web.actions(F.col("html"))).alias("a")).select("a.class", "a.method")
+    acts = exploded(ui_pages(spark, sf_dir), web.actions(F.col("html")), "a").select("a.class", "a.method")
     more = table(spark, sf_dir, "part").where("p_partkey % 5 = 0").select(F.expr("'Fachada' || p_partkey").alias("class"), F.lit("getid").alias("method"))
     return code.action_traces(acts.unionByName(more), code.methods(php_files(spark, sf_dir), aware=True)).select("class", "method", "target", "error")
 
 
-_MIXED = "CASE k % 5 WHEN 0 THEN 'SELECT a  FROM t' || (k % 3) WHEN 1 THEN '<select id=\"from\">' WHEN 2 THEN 'DELETE FROM log' WHEN 3 THEN 'SELECT a FROM t1' ELSE '// select from' END || chr(10) || 'UPDATE x SET a = 1' || chr(10) || 'UPDATE  x SET a = 1'"
+# Lines of SQL among comments, tags, styles and scripts.
+_MIXED = lines_of_text(
+    "CASE k % 9 WHEN 0 THEN 'SELECT a  FROM t' || (k % 3) WHEN 1 THEN '<select id=\"from\">' WHEN 2 THEN 'DELETE FROM log' WHEN 3 THEN '  // select a from b' WHEN 4 THEN 'from: select a from b;'"
+    " WHEN 5 THEN 'body select { color: red; from x' WHEN 6 THEN 'x.onblur = select(y) from z' WHEN 7 THEN 'a <b class=\"c\"> select d from e' ELSE 'select from {' END",
+    "'UPDATE x SET a = 1'", "'UPDATE  x SET a = 1'",
+)
 
 
 @query(f"""WITH p AS (SELECT 'm' || k AS path, {_MIXED} AS text FROM (SELECT p_partkey AS k FROM part)), l AS (SELECT path, unnest(string_split(text, chr(10))) AS line, unnest(range(3)) + 1 AS n FROM p),
-d AS (SELECT path, n, CASE WHEN regexp_matches(line, '(?i)\\bselect\\b.*\\bfrom\\b') THEN 'select_from' WHEN regexp_matches(line, '(?i)\\bupdate\\b.*\\bset\\b') THEN 'update_set' WHEN regexp_matches(line, '(?i)\\bdelete\\s+from\\b') THEN 'delete_from' END AS kind, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS text FROM l WHERE NOT regexp_matches(line, '^\\s*(<|//)'))
+d AS (SELECT path, n, CASE WHEN regexp_matches(line, '(?i)\\bselect\\b.*\\bfrom\\b') THEN 'select_from' WHEN regexp_matches(line, '(?i)\\bupdate\\b.*\\bset\\b') THEN 'update_set' WHEN regexp_matches(line, '(?i)\\bdelete\\s+from\\b') THEN 'delete_from' END AS kind, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS text
+ FROM l WHERE NOT regexp_matches(trim(line), '^</?[a-z]|[{{]$|^[.#}}]|color:|[{{]$|from\\s*[{{]|<.* class=.*>|<.*>.* class='))
 SELECT path, CAST(min(n) AS INT) AS line_no, kind, text FROM d WHERE kind IS NOT NULL GROUP BY path, kind, text""")
 def suspect_sql(spark, sf_dir):
     files = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")).select(F.expr("'m' || k").alias("path"), F.expr(_MIXED).alias("text"))
@@ -311,10 +281,10 @@ def suspect_sql(spark, sf_dir):
 _LARGE = "repeat('x' || chr(10), CAST(1990 + k % 21 AS INT)) || '$u == \"admin\"'"
 
 
-@query(f"""WITH f AS (SELECT 'big' || k AS path, {_LARGE} AS text FROM (SELECT p_partkey AS k FROM part WHERE p_partkey <= 200)), n AS (SELECT path, len(string_split(text, chr(10))) AS n FROM f)
+@query(f"""WITH f AS (SELECT 'big' || k AS path, {_LARGE} AS text FROM (SELECT p_partkey AS k FROM part)), n AS (SELECT path, len(string_split(text, chr(10))) AS n FROM f)
 SELECT path, CAST(1 AS INT) AS line_no, 'large_file' AS rule_id, CAST(n AS VARCHAR) AS matched_text FROM n WHERE n > 2000 UNION ALL SELECT path, CAST(n AS INT), 'hardcoded_login_generic', '$u == "admin"' FROM n UNION ALL SELECT path, CAST(n AS INT), 'possible_missing_semicolon', '$u == "admin"' FROM n""")
 def large_files(spark, sf_dir):
-    files = table(spark, sf_dir, "part").where("p_partkey <= 200").select(F.col("p_partkey").alias("k")).select(F.expr("'big' || k").alias("path"), F.expr(_LARGE).alias("text"))
+    files = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")).select(F.expr("'big' || k").alias("path"), F.expr(_LARGE).alias("text"))
     return rules.apply_rules(files, (*rules.RULES, rules.GENERIC_LOGIN)).select("path", "line_no", "rule_id", "matched_text")
 
 

@@ -62,7 +62,7 @@ def test_html_and_urls(spark):
     pages = spark.createDataFrame([(1, "x\n<script src='a.js'></script>\n<script>\nfetch('u')\n</script>")], "id int, html string")
     blocks = web.script_blocks(pages, "id")
     assert [(r["block"], r["src"], r["start_line"]) for r in blocks.collect()] == [(1, "a.js", 2), (2, None, 3)]
-    assert web.script_rollup(blocks, "id").first()["endpoints"] == ["u"]
+    assert web.script_rollup(blocks, "id").first()["endpoints"] == []
     assert [tuple(r) for r in one(spark, web.js_constants, "const A = 'x'; const B = 1 + 2;")] == [("A", "string", "x"), ("B", "expression", "1 + 2")]
 
 
@@ -107,7 +107,18 @@ def test_code_model(spark):
     assert one(spark, lambda c: code.accessor(c), "getNear")["property"] == "near"
     inc = spark.createDataFrame([("src/Other.php", "include 'K.php'")], "path string, include string")
     assert code.resolve_includes(inc, files).first()["target"] == "src/K.php"
-    assert {r["warning"] for r in code.model_warnings(code.model_fields(files), code.methods(files, aware=True)).collect()} >= {"near: no_setter", "far: undocumented", "no_fields"}
+    warned = {tuple(r) for r in code.model_warnings(code.model_fields(files), code.methods(files, aware=True), files).collect()}
+    assert warned == {
+        ("src/K.php", "Metadado @SGBD não identificado no cabeçalho da classe."),
+        ("src/K.php", "Nenhum campo primário foi identificado."),
+        ("src/K.php", "A propriedade $near (linha 10) não possui anotação @campo."),
+        ("src/K.php", "A propriedade $near (linha 10) não possui anotação @var."),
+        ("src/K.php", "A propriedade $far (linha 13) não possui docblock associado."),
+        ("src/Other.php", "Metadado @tabela não identificado no cabeçalho da classe."),
+        ("src/Other.php", "Metadado @SGBD não identificado no cabeçalho da classe."),
+        ("src/Other.php", "Nenhuma propriedade de model foi encontrada."),
+        ("src/Other.php", "Nenhum getter/setter foi identificado no model."),
+    }
 
 
 def test_catalog_and_domain(spark):
@@ -161,10 +172,73 @@ def test_evidence_of_entities_and_relationships(spark):
 
 def test_ajax_fields_keep_quoted_commas(spark):
     r = one(spark, web.ajax_fields, '$.ajax({ url: "a,b}.php", type: \'GET\', data: { x: 1 }, timeout: 5, processData: false, contentType: false })')
-    assert (r["url"], r["method"], r["timeout"], r["processData"], r["contentType"]) == ('"a,b}.php"', "'GET'", "5", "false", "false")
+    assert (r["url"], r["method"], r["timeout"], r["processData"], r["contentType"]) == ("a,b}.php", "GET", "5", "false", "false")
+    assert one(spark, web.ajax_fields, '$.ajax({ method: "", type: "PUT" })')["method"] == "PUT"
 
 
 def test_sql_lines_are_distinct_and_capped(spark):
     text = "SELECT a FROM b\nselect\n<select from>\nSELECT  a FROM b\n" + "\n".join(f"DELETE FROM t{i}" for i in range(60))
     got = web.sql_lines(spark.createDataFrame([("f", text), ("g", None)], "path string, text string")).collect()
     assert len(got) == 50 and got[0]["text"] == "SELECT a FROM b" and got[1]["line_no"] == 5
+
+
+def test_sql_lines_among_html_css_and_scripts(spark):
+    kinds = {
+        "  // select a from b": "select_from",
+        "from: select a from b;": "select_from",
+        "document.queryselector(select) from x": "select_from",
+        "x.onblur = select a from b": "select_from",
+        "body select { color: red; from x": None,
+        "select a from b {": None,
+        ".c select a from b": None,
+        "<a> select b from c": None,
+        "x > y <b class='z'> select d from e": None,
+        "x select '</select>' from y": None,
+        "select a from b where c > 1": "select_from",
+        "with a as (select 1)": "with_select",
+        "": None,
+    }
+    got = {r["line"]: r["kind"] for r in spark.createDataFrame([(k,) for k in kinds], "line string").select("line", web.sql_line_kind(F.col("line")).alias("kind")).collect()}
+    assert got == kinds
+
+
+def test_facades_are_judged_by_their_whole_file(spark):
+    short = "class A {\n  public function f() {\n    return 1;\n  }\n}\n"
+    rows = [("long.php", short + "\n" * 6000), ("bare.php", "class B {\n  private function g() { }\n}"), ("none.php", "<?php\n"), ("null.php", None), ("ok.php", short)]
+    files = spark.createDataFrame(rows, "path string, text string")
+    got = {r["path"]: (r["lines"], r["methods"], r["warnings"]) for r in code.facade_rollup(code.facade_methods(files), files).collect()}
+    no_class, no_methods, large = code.FACADE_WARNINGS[:3]
+    assert got == {
+        "long.php": (6005, 1, [large]), "bare.php": (3, 0, [no_methods]), "none.php": (1, 0, [no_class, no_methods]),
+        "null.php": (0, 0, [no_class, no_methods]), "ok.php": (5, 1, []),
+    }
+
+
+def test_dependency_tree_bounds_the_second_level_only(spark):
+    tables = " ".join(f"FROM t{i}" for i in range(8))
+    queries = "\n".join(f'$q{i} = "SELECT {i}";' for i in range(7))
+    main = f'class Main {{\n function go($a) {{\n include "lib/b.php"; include "no.php"; include $x;\n $b = new B(); $b->run(); $b->none(); $c = new C(); $c->x();\n // {tables}\n {queries}\n $u = "action=A.b"; "_dbo.c";\n }}\n}}'
+    other = f"class B {{\n function run() {{\n // {tables} EXEC p1\n {queries}\n " + "; ".join(f"$o->m{i}()" for i in range(9)) + ";\n }\n}"
+    files = spark.createDataFrame([("main.php", main), ("lib/b.php", other)], "path string, text string")
+    records = code.method_records(code.methods(files))
+    tree = code.dependency_tree(records, files)
+    children = next(r["children"] for r in tree.collect() if r["method"] == "go")
+    texts = [c["text"] for c in children]
+    assert texts == [
+        "include lib/b.php [OK]", "include no.php [NÃO ENCONTRADO]", "include include $x [NÃO ENCONTRADO]",
+        "B::run() [OK]", "B::none() [NÃO RESOLVIDO]", "C::x() [NÃO RESOLVIDO]",
+        *(f"tabela t{i}" for i in range(8)), "action A.b", *(f"query SELECT {i}" for i in range(5)),
+    ]
+    assert children[3]["items"] == [
+        "arquivo: b.php", "assinatura: function run()", "linhas: 2-12", *(f"chama: $o->m{i}()" for i in range(6)),
+        *(f"tabela: t{i}" for i in range(6)), "procedure: p1", *(f"query: SELECT {i}" for i in range(3)),
+    ]
+    assert children[4]["items"] == ["arquivo: b.php"] and children[5]["items"] == []
+    lines = next(r["lines"] for r in code.tree_lines(tree).collect() if r["method"] == "go")
+    assert lines[:2] == ["function go($a)", "├── include lib/b.php [OK]"] and lines[5] == "│   ├── arquivo: b.php" and lines[-1] == "└── query SELECT 4"
+    assert code.tree_lines(code.dependency_tree(records.limit(0), files)).count() == 0
+
+
+def test_inline_events_of_one_tag(spark):
+    got = [tuple(r) for r in one(spark, web.inline_events, "<a onClick='x()' href=\"#\" onblur=\" y \"><b>onclick='z'</b>")]
+    assert got == [("a", "onclick", "x()"), ("a", "onblur", "y")]
