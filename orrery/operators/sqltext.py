@@ -24,6 +24,37 @@ def strip_comments(sql: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(sql, r"(?s)/\*.*?\*/", " "), r"(?m)--.*?$", " ")
 
 
+#: One token of SQL: a comment, a literal (a doubled quote makes two in a row), a quoted or bracketed name, or what is
+#: between them. Every character is in one token, and none is read twice.
+TOKEN = r"""(?s)--[^\r\n]*+|/\*.*?(?:\*/|\z)|'[^']*+(?:'|\z)|"[^"]*+(?:"|\z)|\[[^\]]*+(?:\]|\z)|[^'"\[/-]++|."""
+_MASK = r"""(?s)'\d+'|"\d+"|\[\d+\]|[^'"\[]++|."""
+
+
+def tokens(sql: Column) -> Column:
+    """The tokens of a text, in order; joined they are the text. Comments don't nest."""
+    return found(sql, TOKEN)
+
+
+def masked(words: Column, brackets: bool = True) -> Column:
+    """The text of tokens with a blank for each comment and its place for what each literal, quoted name and (brackets)
+    bracketed name holds, so that patterns meet nothing that is no SQL."""
+
+    def one(x: Column, i: Column) -> Column:
+        out = F.when(x.startswith("--") | x.startswith("/*"), F.lit(" "))
+        for begin, end in (("'", "'"), ('"', '"'), *((("[", "]"),) if brackets else ())):
+            out = out.when(x.startswith(begin), F.concat(F.lit(begin), i.cast("string"), F.lit(end)))
+        return out.otherwise(x)
+
+    return F.array_join(F.transform(words, one), "")
+
+
+def restored(text: Column, words: Column) -> Column:
+    """A part of a masked text with what was masked."""
+    place = lambda x: F.regexp_extract(x, r"""^['"\[](\d+)['"\]]$""", 1)
+    each = F.transform(found(text, _MASK), lambda x: let(place(x), lambda p: F.when(p != "", F.get(words, p.try_cast("int"))).otherwise(x)))
+    return F.array_join(each, "")
+
+
 def has(sql: Column, pattern: str) -> Column:
     return sql.rlike(f"(?is){pattern}")
 
@@ -95,14 +126,23 @@ def without_where(sql: Column, verb: str, strict: bool = False) -> Column:
     return F.exists(statements, lambda s: ~(F.upper(s).contains(" WHERE ") if strict else s.rlike(r"(?i)\bWHERE\b")))
 
 
-def statements(sql: Column, verb: str) -> Column:
-    """Statements of a verb, each up to the next verb or the end, trimmed of outer BEGIN and END lines; distinct
-    but for white space and case."""
+def _split(sql: Column, verb: str) -> Column:
     raw = found(sql, rf"(?is)\b{verb}\b.*?(?=\b(?:{'|'.join(VERBS)})\b|\z)")
     ends = r"(?i)^(\s*(BEGIN|END)\s*(\n|\z))+|((\A|\n)\s*(BEGIN|END)\s*)+\z"
     tidy = lambda s: F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"[ \t]+(?=\n|\z)", ""), r"\n\s*\n+", "\n"), ends, "")
-    clean = F.filter(F.transform(raw, lambda s: F.trim(tidy(stripped(s)))), lambda s: s != "")
-    return first_by(clean, lambda s: F.upper(F.regexp_replace(s, r"\s+", " ")))
+    return F.filter(F.transform(raw, lambda s: F.trim(tidy(stripped(s)))), lambda s: s != "")
+
+
+def statements(sql: Column, verb: str, strict: bool = False) -> Column:
+    """Statements of a verb, each up to the next verb or the end, trimmed of outer BEGIN and END lines; distinct
+    but for white space and case. Verbs in comments, literals and brackets are none.
+
+    strict: the text is taken as it is, without a look at what is quoted; comments are to be taken out before.
+    """
+    folded = lambda s: F.upper(F.regexp_replace(s, r"\s+", " "))
+    if strict:
+        return first_by(_split(sql, verb), folded)
+    return let(tokens(sql), lambda words: first_by(F.transform(_split(masked(words), verb), lambda s: restored(s, words)), folded))
 
 
 def classify(ops: Column) -> Column:
@@ -114,13 +154,22 @@ def classify(ops: Column) -> Column:
 def analyse_sql(texts: DataFrame, sql: str = "sql", strict: bool = False) -> DataFrame:
     """Everything above for each row: the input's columns, then operations, tables_read, tables_write, tables_all,
     temp_tables, table_variables, variables, procedure_calls, function_calls, resources, line_count,
-    update_without_where, delete_without_where, kind and warnings. One projection, no shuffle."""
+    update_without_where, delete_without_where, kind and warnings. One projection, no shuffle.
+
+    The text is read as tokens: what comments, literals and quoted names hold is no SQL, and a bracketed verb is none.
+    strict: comments are found by pattern wherever they are, literals are read as SQL, and WHERE counts only between blanks.
+    """
     text = F.coalesce(F.col(sql), F.lit(""))
     lines = F.size(F.filter(text_lines(text), lambda x: stripped(x) != ""))
-    plain = F.col("__plain")  # a column of its own, so that comments are stripped once
-    first = texts.withColumn("__plain", strip_comments(text)).withColumns(
+    # columns of their own, so that each is made once
+    if strict:
+        staged = texts.withColumn("__plain", strip_comments(text)).withColumn("__verbs", F.col("__plain"))
+    else:
+        staged = texts.withColumn("__tokens", tokens(text)).withColumns({"__plain": masked(F.col("__tokens"), False), "__verbs": masked(F.col("__tokens"))}).drop("__tokens")
+    plain, verbs = F.col("__plain"), F.col("__verbs")
+    first = staged.withColumns(
         {
-            "operations": operations(plain),
+            "operations": operations(verbs),
             "tables_read": read_tables(plain),
             "tables_write": write_tables(plain),
             "temp_tables": temp_tables(plain),
@@ -128,10 +177,10 @@ def analyse_sql(texts: DataFrame, sql: str = "sql", strict: bool = False) -> Dat
             "variables": variables(plain),
             "procedure_calls": procedure_calls(plain),
             "function_calls": function_calls(plain),
-            "resources": resources(plain),
+            "resources": resources(verbs),
             "line_count": lines,
-            "update_without_where": without_where(plain, "UPDATE", strict),
-            "delete_without_where": without_where(plain, "DELETE", strict),
+            "update_without_where": without_where(verbs, "UPDATE", strict),
+            "delete_without_where": without_where(verbs, "DELETE", strict),
         }
     )
     used = F.col("resources")
@@ -145,7 +194,7 @@ def analyse_sql(texts: DataFrame, sql: str = "sql", strict: bool = False) -> Dat
         (F.col("line_count") >= LINES_MANY, "Procedure muito grande"),
         (F.size("procedure_calls") >= CALLS_MANY, "Múltiplas chamadas para outras procedures"),
     )
-    return first.drop("__plain").withColumns({"tables_all": sorted_set(F.col("tables_read"), F.col("tables_write")), "kind": classify(F.col("operations")), "warnings": warnings})
+    return first.drop("__plain", "__verbs").withColumns({"tables_all": sorted_set(F.col("tables_read"), F.col("tables_write")), "kind": classify(F.col("operations")), "warnings": warnings})
 
 
 def normalise_embedded(sql: Column) -> Column:

@@ -96,10 +96,55 @@ def sql_details(spark, sf_dir):
     return a.select("id", *arrays, *flags, F.col("update_without_where").alias("update_strict"), F.col("delete_without_where").alias("delete_strict"))
 
 
-@query(f"""WITH {_SQLS} SELECT id, CAST(len(list_distinct(list_transform(list_filter(string_split(regexp_replace(plain, '(?i)\\b(SELECT|INSERT|UPDATE|DELETE|MERGE)\\b', '~\\1', 'g'), '~'), lambda x: upper(x) LIKE 'SELECT%'), lambda x: upper(trim(regexp_replace(x, '\\s+', ' ', 'g')))))) AS INT) AS selects FROM t WHERE id % 6 = 4""")
+# SQL whose literals, comments and brackets hold what would be SQL elsewhere; ~ stands for a single quote.
+QUOTED = (
+    "replace(CASE k % 9 WHEN 0 THEN 'SELECT ~a -- b~ AS x FROM dbo.m' || (k % 5) || ' -- tail' || chr(10) || 'WHERE y = ~it~~s DELETE FROM z~'"
+    " WHEN 1 THEN 'UPDATE t SET a = ~/* no */~ /* WHERE */; SELECT [delete], ' || k || ' FROM [u v]'"
+    " WHEN 2 THEN 'DELETE FROM v' || (k % 3) || chr(10) || 'WHERE a = 1; DELETE FROM w -- WHERE'"
+    " WHEN 3 THEN 'INSERT INTO h (a) SELECT b FROM c WHERE d = ~MERGE INTO x~; MERGE INTO g USING f ON 1 = ' || k"
+    " WHEN 4 THEN 'WITH c AS (SELECT ' || k || ' AS a) SELECT a FROM c'"
+    " WHEN 5 THEN 'SELECT 1 FROM a; select  1  FROM A; SELECT 2 FROM b JOIN c' || (k % 4) || ' ON 1 = 1'"
+    " WHEN 6 THEN 'EXEC p ~SELECT 1 FROM x~, \"UPDATE y\"'"
+    " WHEN 7 THEN '/* DELETE FROM n -- */ UPDATE q SET s = ~WHERE~ || ' || k"
+    " ELSE 'SELECT ~open FROM x' END, '~', chr(39))"
+)
+_MASKED = f"""q AS (SELECT k AS id, {QUOTED} AS sql FROM (SELECT o_orderkey AS k FROM orders)),
+w AS (SELECT id, sql, regexp_extract_all(sql, '(?s)--[^\\r\\n]*|/\\*.*?\\*/|''[^'']*(?:''|$)|"[^"]*"|\\[[^\\]]*\\]|[^''"\\[/-]+|.') AS words FROM q),
+v AS (SELECT id, words, array_to_string(list_transform(words, lambda x, i: CASE WHEN x LIKE '--%' OR x LIKE '/*%' THEN ' ' WHEN x LIKE '''%' THEN '''' || (i - 1) || '''' WHEN x LIKE '"%' THEN '"' || (i - 1) || '"' ELSE x END), '') AS plain,
+  array_to_string(list_transform(words, lambda x, i: CASE WHEN x LIKE '--%' OR x LIKE '/*%' THEN ' ' WHEN x LIKE '''%' THEN '''' || (i - 1) || '''' WHEN x LIKE '"%' THEN '"' || (i - 1) || '"' WHEN x LIKE '[%' THEN '[' || (i - 1) || ']' ELSE x END), '') AS verbs FROM w)"""
+_VERBS = "['DELETE', 'INSERT', 'MERGE', 'SELECT', 'UPDATE']"
+
+
+def quoted_sqls(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).select(F.col("k").alias("id"), F.expr(QUOTED).alias("sql"))
+
+
+def _no_where(verb: str) -> str:
+    return f"len(list_filter(regexp_extract_all(verbs, '(?is)\\b{verb}\\b[^;]*'), lambda x: NOT regexp_matches(x, '(?i)\\bWHERE\\b'))) > 0"
+
+
+@query(f"""WITH {_MASKED},
+o AS (SELECT *, list_filter({_VERBS}, lambda x: regexp_matches(verbs, '(?i)\\b' || x || CASE x WHEN 'INSERT' THEN '\\s+INTO' ELSE '' END || '\\b')) AS ops FROM v)
+SELECT id, array_to_string(ops, ',') AS operations, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(plain, '(?i)\\b(?:FROM|JOIN)\\s+([#@\\[\\]\\w.]+)', 1), lambda x: regexp_replace(x, '[\\[\\]]', '', 'g')))), ',') AS tables_read,
+ array_to_string(list_sort(list_distinct(regexp_extract_all(plain, '(?i)\\b(?:INSERT\\s+INTO|UPDATE|DELETE\\s+FROM|MERGE\\s+INTO)\\s+(\\w+)', 1))), ',') AS tables_write,
+ {_no_where('UPDATE')} AS update_without_where, {_no_where('DELETE')} AS delete_without_where,
+ CASE WHEN len(list_filter(ops, lambda x: x <> 'SELECT')) = 0 THEN 'read' WHEN list_contains(ops, 'SELECT') THEN 'read_write' ELSE 'write' END AS kind FROM o""")
+def sql_quoted(spark, sf_dir):
+    a = sqltext.analyse_sql(quoted_sqls(spark, sf_dir))
+    arrays = [_joined(c).alias(c) for c in ("operations", "tables_read", "tables_write")]
+    return a.select("id", *arrays, "update_without_where", "delete_without_where", "kind")
+
+
+@query(f"""WITH {_MASKED},
+p AS (SELECT id, words, unnest(string_split(regexp_replace(verbs, '(?i)\\b(SELECT|INSERT|UPDATE|DELETE|MERGE)\\b', chr(1) || '\\1', 'g'), chr(1))) AS piece FROM v),
+r AS (SELECT id, upper(regexp_extract(piece, '^\\w+')) AS verb, trim(regexp_replace(array_to_string(list_transform(regexp_extract_all(piece, '''\\d+''|"\\d+"|\\[\\d+\\]|[^''"\\[]+|.'),
+  lambda x: CASE WHEN regexp_full_match(x, '[''"\\[]\\d+[''"\\]]') THEN words[CAST(regexp_extract(x, '\\d+') AS INT) + 1] ELSE x END), ''), '[ \\t]+\\n', chr(10), 'g'), ' ' || chr(10)) AS statement FROM p)
+SELECT id, verb, min(statement) AS statement, upper(regexp_replace(statement, '\\s+', ' ', 'g')) AS folded FROM r WHERE list_contains({_VERBS}, verb) GROUP BY id, verb, folded""")
 def sql_statements(spark, sf_dir):
-    plain = sqltext.strip_comments(F.col("sql"))
-    return sqls(spark, sf_dir).where("id % 6 = 4").select("id", F.size(sqltext.statements(plain, "SELECT")).alias("selects"))
+    kept = "array<struct<verb:string,statement:string>>"
+    named = lambda v: F.transform(sqltext.statements(F.col("sql"), v), lambda s: F.struct(F.lit(v).alias("verb"), s.alias("statement"))).cast(kept)
+    rows = exploded(quoted_sqls(spark, sf_dir), F.concat(*map(named, sqltext.VERBS)), "s", "id").select("id", "s.*")
+    return rows.withColumn("folded", F.upper(F.regexp_replace("statement", r"\s+", " ")))
 
 
 @query(f"""WITH {_SQLS}, w AS (SELECT id, list_filter([

@@ -41,7 +41,32 @@ def test_sql(spark):
     assert r[0]["tables_write"] == ["t", "x.y"] and r[0]["tables_read"] == [] and r[0]["procedure_calls"] == ["p"]
     assert not r[0]["update_without_where"] and r[0]["kind"] == "write" and r[1]["kind"] == "read"
     assert one(spark, lambda c: sqltext.without_where(c, "UPDATE", strict=True), text)
-    assert one(spark, lambda c: sqltext.statements(c, "SELECT"), "BEGIN\nSELECT 1\nEND\nselect  1\nDELETE x") == ["SELECT 1"]
+    for strict in (True, False):
+        assert one(spark, lambda c: sqltext.statements(c, "SELECT", strict), "BEGIN\nSELECT 1\nEND\nselect  1\nDELETE x") == ["SELECT 1"]
+
+
+def test_sql_is_read_as_tokens(spark):
+    rows = {
+        "SELECT '-- no' FROM t -- FROM u": (["SELECT"], ["t"], []),
+        "SELECT 'it''s DELETE FROM z' FROM [a].[b c] /* JOIN d */": (["SELECT"], ["a.b"], []),
+        "SELECT [delete], \"update\" FROM t": (["SELECT"], ["t"], []),
+        "/* x -- y */ INSERT INTO h SELECT 1 FROM t WHERE a = '/*' AND b = '*/'": (["INSERT", "SELECT"], ["t"], ["h"]),
+        "SELECT 'open FROM t": (["SELECT"], [], []),
+        "": ([], [], []),
+        None: ([], [], []),
+    }
+    df = spark.createDataFrame([(k,) for k in rows], "sql string")
+    got = {r["sql"]: (r["operations"], r["tables_read"], r["tables_write"]) for r in sqltext.analyse_sql(df).collect()}
+    assert got == rows
+    strict = {r["sql"]: r["operations"] for r in sqltext.analyse_sql(df, strict=True).collect()}
+    assert strict["SELECT 'it''s DELETE FROM z' FROM [a].[b c] /* JOIN d */"] == ["DELETE", "SELECT"]
+    deleted = "DELETE FROM a\nWHERE b = 1; DELETE FROM c WHERE d = 'x'; DELETE FROM e -- WHERE"
+    r = sqltext.analyse_sql(spark.createDataFrame([(deleted,)], "sql string")).first()
+    assert r["delete_without_where"]
+    assert one(spark, lambda c: sqltext.statements(c, "DELETE"), deleted.replace("x", "DELETE x")) == ["DELETE FROM a\nWHERE b = 1;", "DELETE FROM c WHERE d = 'DELETE x';", "DELETE FROM e"]
+    long = "SELECT '" + "it''s " * 100_000 + "' FROM t"
+    assert one(spark, lambda c: F.array_join(sqltext.tokens(c), ""), long) == long
+    assert one(spark, lambda c: sqltext.restored(sqltext.masked(sqltext.tokens(c)), sqltext.tokens(c)), "a 'b' [c] \"d\" 1") == "a 'b' [c] \"d\" 1"
 
 
 def test_embedded_sql(spark):
