@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import make_valid_text
 from ..operators.catalog import parse_columns
+from .embedded import EDGE, NODE, node_label
 
 # Folders that hold no program text of one's own, and names of map files in order of preference.
 IGNORED = (".git", "vendor", "node_modules", "__pycache__", ".idea", ".vscode")
@@ -91,15 +92,11 @@ def graphml(spark: SparkSession, path: str, strict: bool = True) -> tuple[DataFr
     strict: nodes without id or name are left out, names and types of columns are normalised, an edge without id is
     ``edge<its place from 0>``; otherwise all stay as they are.
     """
-    label = "struct<_VALUE:string,_configuration:string>"
-    node = f"_id string, data array<struct<`y:GenericNode`:struct<`y:NodeLabel`:array<{label}>>>>"
-    nodes = spark.read.format("xml").option("rowTag", "node").schema(node).load(path)
-    labels = F.flatten(F.transform(F.filter("data", lambda d: d["y:GenericNode"].isNotNull()), lambda d: d["y:GenericNode"]["y:NodeLabel"]))
-    of = lambda kind: F.try_element_at(F.filter(labels, lambda x: x["_configuration"].endswith(kind)), F.lit(1))["_VALUE"]
-    entities = nodes.select(F.col("_id").alias("id"), F.trim(of("name")).alias("name"), parse_columns(of("attributes"), strict).alias("columns"))
+    nodes = spark.read.format("xml").option("rowTag", "node").schema(NODE).load(path)
+    entities = nodes.select(F.col("_id").alias("id"), F.trim(node_label(F.col("data"), "name")).alias("name"), parse_columns(node_label(F.col("data"), "attributes"), strict).alias("columns"))
     if strict:
         entities = entities.where("id IS NOT NULL AND name IS NOT NULL AND name <> ''")
-    edge = spark.read.format("xml").option("rowTag", "edge").schema("_id string, _source string, _target string").load(path)
+    edge = spark.read.format("xml").option("rowTag", "edge").schema(EDGE).load(path)
     # an edge without id is numbered by its place in the file; only those without are looked at again
     spread = edge.withColumn("at", F.monotonically_increasing_id())
     part = F.shiftright("at", 33)
