@@ -138,6 +138,18 @@ def suggest_keys(columns: list[str], most: int = 8) -> list[str]:
     return [c for c in columns if c.lower().endswith("_id") or any(p in c.lower() for p in KEY_PARTS)][:most]
 
 
+def key_suggestions(columns: DataFrame, most: int = 8) -> DataFrame:
+    """TABLE_SCHEMA, TABLE_NAME, keys: of every table of a catalog the first ``most`` columns, by position, whose names look
+    like parts of a key; tables without any are left out. columns: a row a column, as the catalog has them."""
+    name = F.lower("COLUMN_NAME")
+    looks = name.endswith("_id")
+    for part in KEY_PARTS:
+        looks = looks | name.contains(part)
+    table = ["TABLE_SCHEMA", "TABLE_NAME"]
+    listed = columns.where(looks).groupBy(*table).agg(F.array_sort(F.collect_list(F.struct("ORDINAL_POSITION", "COLUMN_NAME"))).alias("all"))
+    return listed.select(*table, F.transform(F.slice("all", 1, most), lambda c: c["COLUMN_NAME"]).alias("keys"))
+
+
 def key_duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     """Rows that share their combination of ``keys`` with another row (nulls equal); detail counts the groups
     without any null."""

@@ -16,12 +16,6 @@ def date_texts(spark, sf_dir):
     return profile.date_ranges(rows)
 
 
-@query("""SELECT 'events' AS tbl, unnest(['event_id', 'user_id']) AS key UNION ALL SELECT 'documents', 'doc_id' UNION ALL SELECT 'conversations', 'conv_id'""")
-def key_suggestions(spark, sf_dir):
-    rows = [(t, k) for t in ("events", "documents", "conversations") for k in anomaly.suggest_keys(table(spark, sf_dir, t).columns)]
-    return spark.createDataFrame(rows, "tbl string, key string")
-
-
 @query("SELECT count(*) AS rows, CAST(6 AS INT) AS columns FROM events")
 def profile_shape(spark, sf_dir):
     return profile.profile(table(spark, sf_dir, "events"))["shape"]
@@ -52,6 +46,18 @@ def table_structure(spark, sf_dir):
     return catalog.structure(rows, rows.where("k % 5 = 0")).drop("ORDINAL_POSITION")
 
 
+_KEY_NAMES = "CASE k % 8 WHEN 0 THEN 'cliente_ID' WHEN 1 THEN 'valor' WHEN 2 THEN 'Ano' WHEN 3 THEN 'descricao' WHEN 4 THEN 'mes_ref' WHEN 5 THEN 'reg_x' WHEN 6 THEN 'id' ELSE 'exercicio' END || CASE WHEN k % 3 = 0 THEN '' ELSE '_' || k END"
+
+
+@query(f"""WITH c AS (SELECT 's' || (k % 2) AS "TABLE_SCHEMA", 't' || (k % 9) AS "TABLE_NAME", k AS place, {_KEY_NAMES} AS name FROM (SELECT p_partkey AS k FROM part)),
+r AS (SELECT *, row_number() OVER (PARTITION BY "TABLE_SCHEMA", "TABLE_NAME" ORDER BY place) AS nth FROM c WHERE regexp_matches(lower(name), '_id$|ano|mes|exercicio|reg_|pro_|pa_|uno_'))
+SELECT "TABLE_SCHEMA", "TABLE_NAME", string_agg(name, ',' ORDER BY place) AS keys FROM r WHERE nth <= 8 GROUP BY ALL""")
+def key_suggestions(spark, sf_dir):
+    k = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    columns = k.select(F.expr("'s' || (k % 2)").alias("TABLE_SCHEMA"), F.expr("'t' || (k % 9)").alias("TABLE_NAME"), F.col("k").alias("ORDINAL_POSITION"), F.expr(_KEY_NAMES).alias("COLUMN_NAME"))
+    return anomaly.key_suggestions(columns).withColumn("keys", F.array_join("keys", ","))
+
+
 @query(f"""WITH {_COLUMNS} SELECT c, CASE WHEN {_SIZED} AND len = -1 THEN kind || '(max)' WHEN kind IN ('nvarchar', 'nchar') AND len IS NOT NULL THEN kind || '(' || (len // 2) || ')' WHEN {_SIZED} AND len IS NOT NULL THEN kind || '(' || len || ')'
  WHEN kind = 'decimal' AND p IS NOT NULL AND sc IS NOT NULL THEN kind || '(' || p || ',' || sc || ')' WHEN kind = 'datetime2' AND sc IS NOT NULL THEN kind || '(' || sc || ')' ELSE kind END AS type FROM c""")
 def parameter_types(spark, sf_dir):
@@ -131,14 +137,14 @@ def refined_entities(spark, sf_dir):
     return domain.refine(ents, aliases).withColumn("aliases", F.array_join("aliases", ","))
 
 
-_EXPECTED = "x AS (SELECT DISTINCT 'n' || (k % 40) AS source, 'r' || (k % 7) AS target FROM (SELECT p_partkey AS k FROM part WHERE p_partkey <= 400))"
+_EXPECTED = "x AS (SELECT DISTINCT 'n' || (k % 40) AS source, 'r' || (k % 7) AS target FROM (SELECT p_partkey AS k FROM part))"
 
 
 @query(f"""WITH {_EXPECTED}, have AS (SELECT 'n' || n_nationkey AS source, 'r' || n_regionkey AS target FROM nation), inferred AS (SELECT source, target FROM x WHERE CAST(substr(source, 2) AS INT) % 3 = 0 AND target IN ('r1', 'r2')),
 c AS (SELECT x.source, x.target, coalesce(bool_or(h.source IS NOT NULL), false) AS found FROM x LEFT JOIN (SELECT * FROM have UNION SELECT * FROM inferred) h ON x.source = h.source AND x.target = h.target GROUP BY ALL)
 SELECT count(*) AS expected, count(*) FILTER (found) AS found, count(*) FILTER (NOT found) AS missing, round(count(*) FILTER (found) / count(*) * 100, 2) AS pct, (SELECT count(*) FROM inferred) AS inferred FROM c""")
 def relation_cross(spark, sf_dir):
-    x = table(spark, sf_dir, "part").where("p_partkey <= 400").selectExpr("'n' || (p_partkey % 40) AS source", "'r' || (p_partkey % 7) AS target")
+    x = table(spark, sf_dir, "part").selectExpr("'n' || (p_partkey % 40) AS source", "'r' || (p_partkey % 7) AS target")
     have = table(spark, sf_dir, "nation").selectExpr("'n' || n_nationkey AS source", "'r' || n_regionkey AS target")
     columns = x.where("CAST(substr(source, 2) AS INT) % 3 = 0").select(F.upper("source").alias("entity"), F.explode(F.array(F.lit("r1_id"), F.lit("COD_R2"), F.lit("r3"))).alias("column"))
     inferred = domain.infer_relations(x, columns)

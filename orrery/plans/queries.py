@@ -92,15 +92,26 @@ def program_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.concat(F.lit("src/f"), k.cast("string"), F.lit(".php")).alias("path"), text.alias("text"))
 
 
-_RULED = """f AS (SELECT 'src/f' || o_orderkey || '.php' AS path, o_orderkey AS k FROM orders),
-hits AS (
-  SELECT path, 2 AS line_no, 'debug_var_dump' AS rule_id, 'warning' AS severity, 'debug' AS category FROM f WHERE k % 6 = 0
-  UNION ALL SELECT path, 2, 'invalid_superglobal_session', 'critical', 'erro-provavel' FROM f WHERE k % 6 = 1
-  UNION ALL SELECT path, 2, 'direct_request_usage', 'warning', 'input' FROM f WHERE k % 6 = 2
-  UNION ALL SELECT path, 2, 'sql_inline', 'warning', 'sql' FROM f WHERE k % 6 = 3
-  UNION ALL SELECT path, 2, 'possible_missing_semicolon', 'info', 'sintaxe-suspeita' FROM f WHERE k % 6 = 4
-  UNION ALL SELECT path, 2, 'suspicious_comment', 'info', 'comentario' FROM f WHERE k % 6 = 5
-  UNION ALL SELECT path, 4, 'debug_die_exit', 'warning', 'debug' FROM f WHERE k % 10 = 0)"""
+_PROGRAM = """f AS (SELECT 'src/f' || o_orderkey || '.php' AS path, '<?php' || chr(10) || CASE o_orderkey % 6 WHEN 0 THEN 'var_dump($x);' WHEN 1 THEN '$a = $SESSION[''u''];' WHEN 2 THEN 'echo $_REQUEST[''q''];'
+  WHEN 3 THEN '$q = "SELECT 1 FROM t";' WHEN 4 THEN '$b = 1' ELSE '// gambiarra' END || chr(10) || '// ' || o_orderpriority || CASE WHEN o_orderkey % 10 = 0 THEN chr(10) || 'die();' ELSE '' END AS text FROM orders),
+l AS (SELECT path, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) + 1 AS line_no FROM f)"""
+
+# id, severity, category and pattern of each rule; what stands before a superglobal is part of the pattern here
+_RULE_PATTERNS = (
+    ("debug_var_dump", "warning", "debug", r"(?i)\bvar_dump\s*\("),
+    ("debug_print_r", "warning", "debug", r"(?i)\bprint_r\s*\("),
+    ("debug_die_exit", "warning", "debug", r"(?i)\b(die|exit)\s*\("),
+    ("invalid_superglobal_session", "critical", "erro-provavel", r"(^|[^_])\$SESSION\b"),
+    ("invalid_superglobal_generic", "critical", "erro-provavel", r"(^|[^_])\$(GET|POST|REQUEST|SERVER)\b"),
+    ("direct_request_usage", "warning", "input", r"(?i)\$_REQUEST\b"),
+    ("suspicious_comment", "info", "comentario", r"(?i)mock|mocado|tempor[aá]rio|remover depois|gambiarra|hotfix|teste r[aá]pido"),
+    ("sql_inline", "warning", "sql", r"(?i)\b(SELECT|INSERT|UPDATE|DELETE|EXEC|MERGE)\b"),
+)
+_STATEMENT_LINE = r"""regexp_matches(line, '^(return|echo|\$[A-Za-z_])') AND (contains(line, '=') OR starts_with(line, 'return ') OR starts_with(line, 'echo ')) AND NOT regexp_matches(line, '[;{}:,]$')"""
+_RULED = _PROGRAM + ",\nhits AS (" + "\nUNION ALL ".join(
+    [f"SELECT path, CAST(line_no AS INT) AS line_no, '{i}' AS rule_id, '{s}' AS severity, '{c}' AS category FROM l WHERE regexp_matches(line, '{p}')" for i, s, c, p in _RULE_PATTERNS]
+    + [f"SELECT path, CAST(line_no AS INT), 'possible_missing_semicolon', 'info', 'sintaxe-suspeita' FROM l WHERE {_STATEMENT_LINE}"]
+) + ")"
 
 
 def _union(parts: list[str]) -> str:
@@ -271,7 +282,8 @@ def script_blocks(spark, sf_dir):
     return web.script_blocks(table(spark, sf_dir, "pages"), "page_id").select("page_id", "block", "body", "start_line")
 
 
-@query("""SELECT page_id, 'Page.show' AS action, 'Page' AS class, 'show' AS method, CAST(page_id AS VARCHAR) AS id_param FROM pages""")
+@query("""WITH u AS (SELECT page_id, url || '?action=Page.show&id=' || page_id AS raw FROM pages), q AS (SELECT page_id, regexp_extract(raw, 'action=([^&]*)', 1) AS action, regexp_extract(raw, '&id=([^&]*)', 1) AS id_param FROM u)
+SELECT page_id, action, split_part(action, '.', 1) AS class, split_part(action, '.', 2) AS method, id_param FROM q""")
 def url_parts(spark, sf_dir):
     raw = F.concat(F.col("url"), F.lit("?action=Page.show&id="), F.col("page_id").cast("string"))
     u = table(spark, sf_dir, "pages").select("page_id", web.parse_action_url(raw).alias("u"))
@@ -283,22 +295,33 @@ def sql_operations(spark, sf_dir):
     return sqltext.analyse_sql(sql_texts(spark, sf_dir)).select("id", F.array_join("operations", ",").alias("operations"))
 
 
-@query(f"""WITH {_SQL_TEXTS} SELECT id,
- CASE id % 7 WHEN 0 THEN 'dbo.orders,dbo.t' || (id % 5) WHEN 3 THEN 'log' WHEN 5 THEN 'live' WHEN 6 THEN '@t' ELSE '' END AS tables_read,
- CASE id % 7 WHEN 1 THEN 'stock' WHEN 2 THEN 'stock' WHEN 3 THEN 'log' WHEN 4 THEN 'target' WHEN 5 THEN 'hist' ELSE '' END AS tables_write,
- CASE id % 7 WHEN 3 THEN 'dbo.purge' || (id % 3) ELSE '' END AS procedures FROM p""")
+_TABLES_OF = "array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(plain, '{}', 1), lambda x: regexp_replace(x, '[\\[\\];]', '', 'g')))), ',')"
+_NAMED = r"([#@\[\]\w.]+)"
+
+
+@query(
+    f"WITH {_SQL_TEXTS} SELECT id, "
+    + _TABLES_OF.format(rf"(?i)\b(?:FROM|JOIN)\s+{_NAMED}") + " AS tables_read, "
+    + _TABLES_OF.format(rf"(?i)\b(?:INSERT\s+INTO|UPDATE|DELETE\s+FROM|MERGE\s+INTO)\s+{_NAMED}") + " AS tables_write, "
+    + _TABLES_OF.format(r"(?i)\bEXEC(?:UTE)?\s+([\w.]+)") + " AS procedures FROM p"
+)
 def sql_tables(spark, sf_dir):
     a = sqltext.analyse_sql(sql_texts(spark, sf_dir))
     return a.select("id", F.array_join("tables_read", ",").alias("tables_read"), F.array_join("tables_write", ",").alias("tables_write"), F.array_join("procedure_calls", ",").alias("procedures"))
 
 
+def _lacks_where(verb: str) -> str:
+    return f"len(list_filter(regexp_extract_all(plain, '(?is)\\b{verb}\\b[^;]*'), lambda x: NOT regexp_matches(x, '(?i)\\bWHERE\\b'))) > 0"
+
+
 @query(f"""WITH {_SQL_TEXTS} SELECT id, regexp_matches(upper(plain), '\\bCURSOR\\b') AS cursor, regexp_matches(upper(plain), '\\bBEGIN\\s+TRAN\\b|\\bCOMMIT\\b|\\bROLLBACK\\b') AS transaction,
- regexp_matches(upper(plain), '\\bNOLOCK\\b') AS nolock, regexp_matches(upper(plain), '\\bMERGE\\b') AS merge, id % 7 = 1 AS update_without_where, id % 7 = 3 AS delete_without_where,
- CASE id % 7 WHEN 0 THEN 'read' WHEN 6 THEN 'read' WHEN 5 THEN 'read_write' ELSE 'write' END AS kind FROM p""")
+ regexp_matches(upper(plain), '\\bNOLOCK\\b') AS nolock, regexp_matches(upper(plain), '\\bMERGE\\b') AS merge, regexp_matches(upper(plain), '\\bDECLARE\\s+@\\w+\\s+TABLE\\b') AS table_variables,
+ {_lacks_where('UPDATE')} AS update_without_where, {_lacks_where('DELETE')} AS delete_without_where,
+ CASE WHEN NOT regexp_matches(upper(plain), '\\b(INSERT\\s+INTO|UPDATE|DELETE|MERGE)\\b') THEN 'read' WHEN regexp_matches(upper(plain), '\\bSELECT\\b') THEN 'read_write' ELSE 'write' END AS kind FROM p""")
 def sql_flags(spark, sf_dir):
     a = sqltext.analyse_sql(sql_texts(spark, sf_dir))
     r = F.col("resources")
-    return a.select("id", *(r[k].alias(k) for k in ("cursor", "transaction", "nolock", "merge")), "update_without_where", "delete_without_where", "kind")
+    return a.select("id", *(r[k].alias(k) for k in ("cursor", "transaction", "nolock", "merge", "table_variables")), "update_without_where", "delete_without_where", "kind")
 
 
 @query("""WITH w AS (SELECT DISTINCT lower(n_name) AS name FROM nation), h AS (SELECT DISTINCT trim(CASE WHEN n_nationkey % 3 = 0 THEN n_name ELSE ' ' || lower(n_name) END) AS name FROM nation WHERE n_nationkey % 4 <> 1)
@@ -351,20 +374,35 @@ def _program(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.concat(F.lit("src/C"), k, F.lit(".php")).alias("path"), text.alias("text"))
 
 
-@query("""SELECT 'src/C' || p_partkey || '.php' AS path, 'run' AS method, CAST(9 AS INT) AS start_line, CAST(14 AS INT) AS end_line, 'C' || (p_partkey + 1) AS class, 't' || (p_partkey % 3) AS tables, CAST(2 AS INT) AS params, '$_GET' AS superglobals FROM part""")
+_PROGRAMS = r"""f AS (SELECT p_partkey AS k, 'src/C' || p_partkey || '.php' AS path, '<?php' || chr(10) || 'class C' || p_partkey || ' {' || chr(10) || '  /** @var int' || chr(10) || '   * @label ' || p_brand || chr(10) || '   */' || chr(10)
+  || '  private $id;' || chr(10) || chr(10) || '  private $other;' || chr(10) || '  public function run($a, $b) {' || chr(10) || '    $o = new C' || (p_partkey + 1) || '();' || chr(10) || '    $o->run($a);' || chr(10)
+  || '    $sql = "SELECT x FROM t' || (p_partkey % 3) || '";' || chr(10) || '    if ($a) { return $_GET["q"]; }' || chr(10) || '  }' || chr(10) || '}' || chr(10) AS text FROM part),
+d AS (SELECT path, text, len(string_split(split_part(text, '  public function', 1), chr(10))) AS start_line, len(string_split(split_part(text, chr(10) || '  }', 1), chr(10))) + 1 AS end_line,
+  regexp_extract(text, '(?s)public function.*\n  \}') AS body, regexp_extract(text, 'class (\w+)', 1) AS class FROM f)"""
+
+
+@query(f"WITH {_PROGRAMS}" + r""" SELECT path, regexp_extract(body, 'function (\w+)', 1) AS method, CAST(start_line AS INT) AS start_line, CAST(end_line AS INT) AS end_line, regexp_extract(body, 'new (\w+)', 1) AS class,
+ regexp_extract(body, 'FROM (\w+)', 1) AS tables, CAST(len(string_split(regexp_extract(body, '\(([^)]*)\)', 1), ',')) AS INT) AS params, regexp_extract(body, '\$_\w+') AS superglobals,
+ array_to_string([end_line - start_line + 1, len(string_split(regexp_extract(body, '\(([^)]*)\)', 1), ',')), len(regexp_extract_all(body, '\$_(GET|POST)')), len(regexp_extract_all(body, '= new \w+\(')), len(regexp_extract_all(body, '->\w+\(')),
+  len(regexp_extract_all(body, 'include ')), len(regexp_extract_all(body, 'action=')), len(list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '(?i)(select|insert|update|delete|from|join|exec|where) '))), len(regexp_extract_all(body, '= "SELECT')),
+  len(regexp_extract_all(body, 'FROM \w+')), len(regexp_extract_all(body, 'EXEC '))], ',') AS counts FROM d""")
 def method_records(spark, sf_dir):
     r = code.method_records(code.methods(_program(spark, sf_dir)))
-    return r.select("path", "method", "start_line", "end_line", F.col("calls")[0]["class"].alias("class"), F.array_join("tables", ",").alias("tables"), F.size("params").alias("params"), F.array_join("superglobals", ",").alias("superglobals"))
+    sizes = ("lines", "params", "superglobals", "instantiations", "calls", "includes", "actions", "sql_lines", "queries", "tables", "procedures")
+    counts = F.array_join(F.array(*(F.element_at("counts", s).cast("string") for s in sizes)), ",")
+    return r.select("path", "method", "start_line", "end_line", F.col("calls")[0]["class"].alias("class"), F.array_join("tables", ",").alias("tables"), F.size("params").alias("params"), F.array_join("superglobals", ",").alias("superglobals"), counts.alias("counts"))
 
 
-@query("""SELECT 1 AS level, 'src/C' || a.p_partkey || '.php' AS caller_path, 'C' || (a.p_partkey + 1) AS class, 'run' AS method, CASE WHEN b.p_partkey IS NOT NULL THEN 'src/C' || b.p_partkey || '.php' END AS path FROM part a LEFT JOIN part b ON b.p_partkey = a.p_partkey + 1
-UNION SELECT 2, 'src/C' || b.p_partkey || '.php', 'C' || (b.p_partkey + 1), 'run', CASE WHEN c.p_partkey IS NOT NULL THEN 'src/C' || c.p_partkey || '.php' END FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 LEFT JOIN part c ON c.p_partkey = b.p_partkey + 1""")
+@query(f"WITH {_PROGRAMS}" + r""", e AS (SELECT path, regexp_extract(body, 'new (\w+)', 1) AS made, regexp_extract(body, '->(\w+)\(', 1) AS method FROM d),
+c AS (SELECT e.path AS caller_path, made AS class, method, d.path FROM e LEFT JOIN d ON d.class = made)
+SELECT 1 AS level, caller_path, class, method, path FROM c UNION SELECT 2, b.caller_path, b.class, b.method, b.path FROM c a JOIN c b ON b.caller_path = a.path""")
 def external_calls(spark, sf_dir):
     files = _program(spark, sf_dir)
     every = stored(code.methods(files))  # read by the first level and by both look-ups
     return code.external_calls(every, files, deep=2, every=every).select("level", "caller_path", "class", "method", "path")
 
 
-@query("""SELECT 'src/C' || p_partkey || '.php' AS path, 'id' AS name, true AS documented, 'int' AS type, p_brand AS label FROM part UNION ALL SELECT 'src/C' || p_partkey || '.php', 'other', false, NULL, NULL FROM part""")
+@query(f"WITH {_PROGRAMS}" + r""", p AS (SELECT path, unnest(regexp_extract_all(text, 'private \$(\w+);', 1)) AS name, text FROM d), q AS (SELECT path, name, regexp_extract(split_part(text, '  private $' || name, 1), '(?s)(/\*\*.*\*/)\n$', 1) AS doc FROM p)
+SELECT path, name, doc <> '' AS documented, nullif(regexp_extract(doc, '@var (\w+)', 1), '') AS type, nullif(regexp_extract(doc, '@label ([^\n]*)', 1), '') AS label FROM q""")
 def model_fields(spark, sf_dir):
     return code.model_fields(_program(spark, sf_dir)).select("path", "name", "documented", "type", F.element_at("annotations", "label").alias("label"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import exploded
-from ..operators import code, rules, sqltext, web
+from ..operators import code, reports, rules, sqltext, web
 from .queries import query, table
 
 _NL, _Q = " || chr(10) || ", " || chr(39) || "
@@ -54,9 +54,11 @@ SQL = (
 _FILES = f"f AS (SELECT k, 'app/' || (k % 10) || '/Fachada' || k || '.php' AS path, {PHP} AS text FROM (SELECT p_partkey AS k FROM part)),\n"
 _BODY = _FILES + (
     "l AS (SELECT path, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) + 1 AS n FROM f),\n"
-    "e AS (SELECT path, min(n) FILTER (contains(line, 'public function')) AS a, min(n) FILTER (line = '  }') AS b FROM l GROUP BY path),\n"
-    "m AS (SELECT f.path, k, text, a, b, array_to_string(string_split(text, chr(10))[a:b], chr(10)) AS body FROM f JOIN e USING (path))\n"
+    "e AS (SELECT path, 'getId' AS method, min(n) FILTER (contains(line, 'public function')) AS a, min(n) FILTER (line = '  }') AS b FROM l GROUP BY path"
+    " UNION ALL SELECT path, regexp_extract(line, 'function (\\w+)', 1), n, n FROM l WHERE contains(line, 'protected function')),\n"
+    "m AS (SELECT f.path, method, k, text, a, b, array_to_string(string_split(text, chr(10))[a:b], chr(10)) AS body FROM f JOIN e USING (path))\n"
 )
+_PUBLIC = "WHERE contains(body, 'public function')"
 _PAGES = f"p AS (SELECT k, {PAGE} AS html FROM (SELECT p_partkey AS k FROM part))\n"
 _SQLS = f"s AS (SELECT k AS id, {SQL} AS sql FROM (SELECT o_orderkey AS k FROM orders)),\nt AS (SELECT id, sql, regexp_replace(sql, '--[^\\n]*', ' ', 'g') AS plain FROM s)\n"
 
@@ -166,32 +168,32 @@ def embedded_sql(spark, sf_dir):
     return exploded(php_files(spark, sf_dir), sqltext.embedded_sql(F.col("text")), "s", "path").select("path", "s.*")
 
 
-@query(f"""WITH {_BODY} SELECT path, CAST(a AS INT) AS start_line, CAST(b AS INT) AS end_line, array_to_string(list_filter(['$_REQUEST', '$_GET', '$_POST', '$_SESSION', '$_FILES', '$_SERVER', '$_COOKIE'], lambda x: contains(body, x)), ',') AS superglobals,
+@query(f"""WITH {_BODY} SELECT path, method, CAST(a AS INT) AS start_line, CAST(b AS INT) AS end_line, array_to_string(list_filter(['$_REQUEST', '$_GET', '$_POST', '$_SESSION', '$_FILES', '$_SERVER', '$_COOKIE'], lambda x: contains(body, x)), ',') AS superglobals,
  array_to_string(list_filter(regexp_extract_all(body, '(\\$\\w+->\\w+)\\s*\\(', 1), lambda x: NOT (regexp_matches(lower(x), '^\\$(stm|stmt|conn|pdo)->(prepare|bindvalue|execute|fetch|fetchall|query|closecursor)$'))), ',') AS calls,
  {_all('body', '(include [^;\\n]+)')} AS includes, {_all('body', 'action=([A-Z]\\w*\\.\\w+)')} AS actions, CAST(len(list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '(?i)(select|insert|update|delete|from|join|exec|where) '))) AS INT) AS sql_lines,
  {_all('body', '(?i)\\b(?:from|join|update|into)\\s+([\\w.]+)')} AS tables, {_all('body', '(?i)\\bexec\\s+([\\w.]+)')} AS procedures FROM m""")
 def method_usage(spark, sf_dir):
-    r = code.method_records(code.methods(php_files(spark, sf_dir), aware=True)).where("method = 'getId'")
+    r = code.method_records(code.methods(php_files(spark, sf_dir), aware=True))
     called = F.transform("calls", lambda c: F.concat(c["object"], F.lit("->"), c["method"]))
     arrays = [_joined(c).alias(c) for c in ("superglobals", "includes", "actions", "tables", "procedures")]
-    return r.select("path", "start_line", "end_line", *arrays, _joined(called).alias("calls"), F.size("sql_lines").alias("sql_lines"))
+    return r.select("path", "method", "start_line", "end_line", *arrays, _joined(called).alias("calls"), F.size("sql_lines").alias("sql_lines"))
 
 
-@query(f"""WITH {_BODY} SELECT path, array_to_string(list_filter([CASE WHEN contains(body, '$_GET') THEN 'input' END, CASE WHEN contains(body, 'new ') THEN 'objects' END, CASE WHEN contains(body, '->salvar') THEN 'calls' END, CASE WHEN regexp_matches(body, '"SELECT') THEN 'sql' END,
+@query(f"""WITH {_BODY} SELECT path, method, array_to_string(list_filter([CASE WHEN contains(body, '$_GET') THEN 'input' END, CASE WHEN contains(body, 'new ') THEN 'objects' END, CASE WHEN contains(body, '->salvar') THEN 'calls' END, CASE WHEN regexp_matches(body, '"SELECT') THEN 'sql' END,
  CASE WHEN regexp_matches(body, '(?i)\\bexec\\s+\\w') THEN 'procedures' END, CASE WHEN regexp_matches(body, '\\binclude\\b') THEN 'includes' END, CASE WHEN regexp_matches(body, '\\becho\\b') THEN 'output' END, CASE WHEN regexp_matches(body, '\\breturn\\b') THEN 'return' END], lambda x: x IS NOT NULL), ',') AS steps FROM m""")
 def flow_steps(spark, sf_dir):
-    m = code.methods(php_files(spark, sf_dir), aware=True).where("method = 'getId'")
-    return m.select("path", _joined(code.flow_steps(F.col("body"))).alias("steps"))
+    m = code.methods(php_files(spark, sf_dir), aware=True)
+    return m.select("path", "method", _joined(code.flow_steps(F.col("body"))).alias("steps"))
 
 
-_AT = "SELECT path, string_agg(x || '@' || n, ',' ORDER BY n) AS v FROM (SELECT l.path, n, regexp_extract(line, '{p}', 1) AS x FROM l JOIN e USING (path) WHERE n BETWEEN a AND b) WHERE x <> '' GROUP BY path"
+_AT = "SELECT path, string_agg(x || '@' || n, ',' ORDER BY n) AS v FROM (SELECT l.path, n, regexp_extract(line, '{p}', 1) AS x FROM l JOIN e USING (path) WHERE method = 'getId' AND n BETWEEN a AND b) WHERE x <> '' GROUP BY path"
 
 
 @query(f"""WITH {_BODY}, o AS ({_AT.format(p='\\bnew\\s+(\\w+)\\s*\\(')}), st AS ({_AT.format(p='\\b(\\w+::\\w+)\\s*\\(')}), mc AS ({_AT.format(p='(\\$\\w+->\\w+)\\s*\\(')})
 SELECT m.path, 'getId' AS method, CAST(a AS INT) AS start_line, CAST(b AS INT) AS end_line, o.v AS objects, st.v AS static_calls, mc.v AS method_calls, {_all('body', '(?i)\\bFROM\\s+([\\w.]+)')} AS tables,
  array_to_string(list_sort([regexp_extract(body, 'new (\\w+)', 1), regexp_extract(body, '(\\w+)::', 1)]), ',') AS dependencies,
  CAST(contains(body, '$_GET') AS INT) + CAST(contains(body, 'echo ') AS INT) + CAST(regexp_matches(body, '"[^"]*SELECT') AS INT) + CAST(contains(body, 'new Persistencia') AS INT) AS notes
-FROM m JOIN o USING (path) JOIN st USING (path) JOIN mc USING (path)""")
+FROM m JOIN o USING (path) JOIN st USING (path) JOIN mc USING (path) {_PUBLIC}""")
 def facade_methods(spark, sf_dir):
     r = code.facade_methods(php_files(spark, sf_dir))
     at = lambda c: _joined(F.transform(c, lambda x: F.concat(x["name"], F.lit("@"), x["line"].cast("string")))).alias(c)
@@ -199,7 +201,7 @@ def facade_methods(spark, sf_dir):
 
 
 @query(f"""WITH {_BODY} SELECT path, 'getId' AS method FROM (SELECT path, b - a AS size, len(regexp_extract_all(body, '"[^"]*(SELECT|EXEC)[^"]*"')) AS blocks,
- CAST(contains(body, '$_GET') AS INT) + CAST(contains(body, 'echo ') AS INT) AS notes FROM m) ORDER BY blocks DESC, size DESC, notes DESC, path LIMIT 12""")
+ CAST(contains(body, '$_GET') AS INT) + CAST(contains(body, 'echo ') AS INT) AS notes FROM m {_PUBLIC}) ORDER BY blocks DESC, size DESC, notes DESC, path LIMIT 12""")
 def relevant_methods(spark, sf_dir):
     return code.relevant_methods(code.facade_methods(php_files(spark, sf_dir))).select("path", "method")
 
@@ -267,12 +269,12 @@ def page_actions(spark, sf_dir):
     return rows.select("k", "a.class", "a.method", F.element_at("a.params", "id").alias("id_param"), "a.backend", "d.endpoint", "d.target")
 
 
-@query(f"""WITH {_PAGES}, i AS (SELECT 'p' || k AS path, unnest(regexp_extract_all(html, 'include "([^"]+)"', 1)) AS include FROM p WHERE k % 4 = 1), x AS (SELECT 'inc/detalhe_' || (k % 2) || '.php' AS target, regexp_extract(html, 'action=(\\w+\\.\\w+)', 1) AS action FROM p WHERE k <= 2)
+@query(f"""WITH {_PAGES}, i AS (SELECT 'p' || k AS path, unnest(regexp_extract_all(html, 'include "([^"]+)"', 1)) AS include FROM p), x AS (SELECT 'inc/detalhe_' || (k * 2) || '.php' AS target, regexp_extract(html, 'action=(\\w+\\.\\w+)', 1) AS action FROM p)
 SELECT path, include, CASE WHEN x.target IS NULL THEN 'não encontrado' ELSE 'ok' END AS status, action FROM i LEFT JOIN x ON include = x.target WHERE regexp_matches(include, 'modal_|financeiro|detalhe|resultado|consulta|decreto|encaminhamento')""")
 def include_analysis(spark, sf_dir):
     pages = ui_pages(spark, sf_dir)
-    files = pages.where("k % 4 = 1").select(F.expr("'p' || k").alias("path"), F.col("html").alias("text"))
-    known = pages.where("k <= 2").select(F.expr("'inc/detalhe_' || (k % 2) || '.php'").alias("path"), F.col("html").alias("text"))
+    files = pages.select(F.expr("'p' || k").alias("path"), F.col("html").alias("text"))
+    known = pages.select(F.expr("'inc/detalhe_' || (k * 2) || '.php'").alias("path"), F.col("html").alias("text"))
     found = web.relevant_includes(files.unionByName(known)).where("path LIKE 'p%'")
     return found.select("path", "include", "status", F.concat_ws(".", F.col("actions")[0]["class"], F.col("actions")[0]["method"]).alias("a")).select("path", "include", "status", F.nullif("a", F.lit("")).alias("action"))
 
@@ -298,11 +300,11 @@ def script_details(spark, sf_dir):
     )
 
 
-@query(f"""WITH {_PAGES}, a AS (SELECT DISTINCT regexp_extract(html, 'action=(\\w+)\\.', 1) AS class, regexp_extract(html, 'action=\\w+\\.(\\w+)', 1) AS method FROM p UNION SELECT 'Fachada' || k, 'getid' FROM p WHERE k % 5 = 0)
-SELECT class, method, CASE WHEN class LIKE 'Fachada%' THEN 'app/' || (CAST(substr(class, 8) AS INT) % 10) || '/' || class || '.php' END AS target, CASE WHEN class NOT LIKE 'Fachada%' THEN 'method not found' END AS error FROM a""")
+@query(f"""WITH {_PAGES}, a AS (SELECT DISTINCT regexp_extract(html, 'action=(\\w+)\\.', 1) AS class, regexp_extract(html, 'action=\\w+\\.(\\w+)', 1) AS method FROM p UNION SELECT 'Fachada' || k, CASE WHEN k % 2 = 0 THEN 'getid' ELSE 'none' END FROM p)
+SELECT class, method, CASE WHEN method = 'getid' THEN 'app/' || (CAST(substr(class, 8) AS INT) % 10) || '/' || class || '.php' END AS target, CASE WHEN method <> 'getid' THEN 'method not found' END AS error FROM a""")
 def action_traces(spark, sf_dir):
     acts = exploded(ui_pages(spark, sf_dir), web.actions(F.col("html")), "a").select("a.class", "a.method")
-    more = table(spark, sf_dir, "part").where("p_partkey % 5 = 0").select(F.expr("'Fachada' || p_partkey").alias("class"), F.lit("getid").alias("method"))
+    more = table(spark, sf_dir, "part").select(F.expr("'Fachada' || p_partkey").alias("class"), F.expr("CASE WHEN p_partkey % 2 = 0 THEN 'getid' ELSE 'none' END").alias("method"))
     return code.action_traces(acts.unionByName(more), code.methods(php_files(spark, sf_dir), aware=True)).select("class", "method", "target", "error")
 
 
@@ -338,17 +340,14 @@ def highlighted(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", rules.highlight(F.col("text"), "tion").alias("marked"))
 
 
-@query(f"""WITH {_FILES.rstrip().rstrip(',')} SELECT path, sha256('{{"path":"' || path || '","method":"getId"}}') AS key FROM f""")
+@query(f"""WITH {_BODY} SELECT path, method, sha256('{{"path":"' || path || '","method":"' || method || '"}}') AS key FROM m""")
 def payload_keys(spark, sf_dir):
-    from ..operators import reports
-
-    m = code.methods(php_files(spark, sf_dir), aware=True).where("method = 'getId'")
-    return m.select("path", reports.payload_key("path", "method").alias("key"))
+    m = code.methods(php_files(spark, sf_dir), aware=True)
+    return m.select("path", "method", reports.payload_key("path", "method").alias("key"))
 
 
-@query(f"""WITH {_BODY} SELECT path, regexp_extract(body, 'new (\\w+)', 1) || '::salvar,' || regexp_extract(body, 'FROM ([\\w.]+)', 1) || ',PROC:' || regexp_extract(body, 'EXEC ([\\w.]+)', 1) AS names FROM m""")
+@query(f"""WITH {_BODY} SELECT path, method, array_to_string(list_concat(list_transform(regexp_extract_all(body, '->(salvar)\\(', 1), lambda x: regexp_extract(body, 'new (\\w+)', 1) || '::' || x),
+ list_sort(list_distinct(regexp_extract_all(body, '(?i)\\b(?:from|join|update|into)\\s+([\\w.]+)', 1))), list_transform(list_sort(list_distinct(regexp_extract_all(body, 'EXEC ([\\w.]+)', 1))), lambda x: 'PROC:' || x)), ',') AS names FROM m""")
 def analysis_inputs(spark, sf_dir):
-    from ..operators import reports
-
-    r = code.method_records(code.methods(php_files(spark, sf_dir), aware=True)).where("method = 'getId'")
-    return reports.analysis_input(r).select("path", _joined("names").alias("names"))
+    r = code.method_records(code.methods(php_files(spark, sf_dir), aware=True))
+    return reports.analysis_input(r).select("path", "method", _joined("names").alias("names"))
