@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import normalised, numeric_columns, percent, unpivot
-from .quantiles import brackets, exact_quantiles
+from .quantiles import Bracket, brackets, exact_quantiles
 
 # Kinds of findings and what each adds to a table's score; any other kind adds 1.
 WEIGHTS = {
@@ -38,6 +38,13 @@ def _none(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([], FINDING)
 
 
+def year_and_month(columns: list[str]) -> dict[str, tuple[str, int, int]]:
+    """The first columns whose names hold ``ano`` and ``mes``, with kind of finding and range; nothing without either."""
+    year = next((c for c in columns if "ano" in c.lower()), None)
+    month = next((c for c in columns if "mes" in c.lower()), None)
+    return {year: ("ano_fora_faixa", 2000, 2100)} | {month: ("mes_fora_faixa", 1, 12)} if year is not None and month is not None else {}
+
+
 def _simple(df: DataFrame, kinds: set[str], least_pct: float = 50.0) -> DataFrame:
     """Findings that plain aggregates tell, all in one pass over the table: one wide row, turned into findings."""
     plain, cells, told = normalised(df), [F.count(F.lit(1)).alias("n")], []
@@ -62,10 +69,8 @@ def _simple(df: DataFrame, kinds: set[str], least_pct: float = 50.0) -> DataFram
     for i, c in enumerate(numeric_columns(plain) if "valores_negativos" in kinds else []):
         below = cell(f"{i}_below", F.count_if(F.col(f"`{c}`") < 0))
         add("valores_negativos", c, below > 0, below)
-    year = next((c for c in df.columns if "ano" in c.lower()), None)
-    month = next((c for c in df.columns if "mes" in c.lower()), None)
-    if "ano_fora_faixa" in kinds and year is not None and month is not None:
-        for kind, c, low, high in (("ano_fora_faixa", year, 2000, 2100), ("mes_fora_faixa", month, 1, 12)):
+    if "ano_fora_faixa" in kinds:
+        for c, (kind, low, high) in year_and_month(df.columns).items():
             whole = F.col(f"`{c}`").cast("string").try_cast("double").try_cast("long")
             outside = cell(kind, F.count_if(~whole.between(low, high)))
             add(kind, c, outside > 0, outside)
@@ -107,13 +112,17 @@ def iqr_outliers(df: DataFrame, least: int = 8, reach: float = 1.5) -> DataFrame
     A pass with a sketch leaves out columns that can't have any. Quartiles are exact, interpolated linearly. Columns with under ``least`` values or equal quartiles are left
     out. The quartiles, two numbers a column, come to the driver and are literals of one counting pass.
     """
+    plain = normalised(df)
+    columns = numeric_columns(plain)
+    return iqr_by_brackets(df, dict(zip(columns, brackets(plain, columns), strict=True)), least, reach)
+
+
+def iqr_by_brackets(df: DataFrame, told: Mapping[str, Bracket], least: int = 8, reach: float = 1.5) -> DataFrame:
+    """``iqr_outliers`` of columns of which a bracket of each quartile is known: only columns that may have any are read.
+    A bracket that doesn't hold its quartile is made anew."""
     df = normalised(df)
-    columns = numeric_columns(df)
-    if not columns:
-        return _none(df)
-    # one pass tells which columns may have any: fences are at q1 - reach (q3 - q1) and q3 + reach (q3 - q1)
-    asked = []
-    for c, t in zip(columns, brackets(df, columns), strict=True):
+    asked = []  # fences are at q1 - reach (q3 - q1) and q3 + reach (q3 - q1)
+    for c, t in told.items():
         if t.n >= least:
             (a, b), (x, y) = t.around
             if t.least < (1 + reach) * b - reach * x or t.greatest > (1 + reach) * x - reach * b:
@@ -121,11 +130,19 @@ def iqr_outliers(df: DataFrame, least: int = 8, reach: float = 1.5) -> DataFrame
     if not asked:
         return _none(df)
     columns = [c for c, _ in asked]
-    told: dict[int, dict] = {}
-    for r in exact_quantiles(df, columns, told=[t for _, t in asked]).collect():  # two rows a column
-        if r["n"] >= least:
-            told.setdefault(r["position"], {})[r["k"]] = r["value"]
-    bounds = {i: (q[0] - reach * (q[1] - q[0]), q[1] + reach * (q[1] - q[0])) for i, q in told.items() if len(q) == 2 and q[1] > q[0]}
+
+    def quartiles(wanted: list[int], around: list[Bracket]) -> dict[int, dict]:
+        found: dict[int, dict] = {}
+        for r in exact_quantiles(df, [columns[i] for i in wanted], told=around).collect():  # two rows a column
+            if r["value"] is not None:
+                found.setdefault(wanted[r["position"]], {})[r["k"]] = r["value"]
+        return found
+
+    exact = quartiles(list(range(len(columns))), [t for _, t in asked])
+    missed = [i for i in range(len(columns)) if len(exact.get(i, {})) < 2]
+    if missed:
+        exact |= quartiles(missed, brackets(df, [columns[i] for i in missed]))
+    bounds = {i: (q[0] - reach * (q[1] - q[0]), q[1] + reach * (q[1] - q[0])) for i, q in exact.items() if len(q) == 2 and q[1] > q[0]}
     if not bounds:
         return _none(df)
     x = {i: F.col(f"`{columns[i]}`").cast("double") for i in bounds}

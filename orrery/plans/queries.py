@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import exploded
-from ..operators import anomaly, catalog, code, domain, profile, rules, sqltext, web
+from ..operators import anomaly, catalog, code, domain, profile, rules, sqltext, states, web
 from ..shared import stored
 
 QUERIES: dict = {}
@@ -184,6 +184,13 @@ def anomaly_findings(spark, sf_dir):
     return anomaly.detect(dirty(spark, sf_dir), ["ano", "mes", "grp_id"]).select("kind", "column", F.coalesce("quantity", F.lit(0)).alias("quantity"))
 
 
+@query(f"WITH {_FINDINGS} SELECT kind, \"column\", coalesce(quantity, 0) AS quantity FROM fs")
+def merged_findings(spark, sf_dir):
+    rows, keys, part = dirty(spark, sf_dir), ["ano", "mes", "grp_id"], F.col("event_id") % 5
+    kept = stored(states.table_state(rows, part)), stored(states.key_state(rows, keys, part))
+    return states.findings_of(*kept, rows, keys).select("kind", "column", F.coalesce("quantity", F.lit(0)).alias("quantity"))
+
+
 @query(f"""WITH {_FINDINGS} SELECT CAST(sum(CASE kind WHEN 'muitos_nulos' THEN 4 WHEN 'coluna_constante' THEN 2 WHEN 'valores_negativos' THEN 3
   WHEN 'outlier_iqr' THEN 3 WHEN 'duplicidade_combinacao' THEN 6 ELSE 5 END) AS BIGINT) AS score, count(*) AS findings FROM fs""")
 def anomaly_score(spark, sf_dir):
