@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import exploded
-from ..operators import closure, code, web
+from ..operators import closure, code, layouts, web
 from ..shared import stored
 from .queries import query, table
 from .text_queries import lines_of_text
@@ -238,3 +238,26 @@ def ajax_calls(spark, sf_dir):
 def script_rollup(spark, sf_dir):
     r = web.script_rollup(web.script_blocks(script_pages(spark, sf_dir), "k"), "k")
     return r.select("k", "script_blocks", "script_blocks_total", F.array_join("external_scripts", ",").alias("external_scripts"), "calls_total", F.element_at("calls", "$.get").alias("gets"), F.array_join("endpoints", ",").alias("endpoints"))
+
+
+@query(
+    f"WITH f AS (SELECT 'm' || k || '.php' AS path, {MODEL} AS text FROM (SELECT p_partkey AS k FROM part)),"
+    + r"""
+h AS (SELECT path, text, regexp_extract(text, '^(?s)(.*)class M', 1) AS header, nullif(regexp_extract(text, 'class (\w+)', 1), '') AS class FROM f)
+SELECT path AS name, coalesce(class, 'Classe não identificada') AS title, CASE WHEN contains(header, '@SGBD') THEN regexp_extract(header, '@SGBD (\w+)', 1) ELSE 'não identificado' END AS sgbd,
+ CASE WHEN contains(header, '@tabela') THEN regexp_extract(header, '@tabela (\w+)', 1) ELSE 'não identificada' END AS tabela, CAST(len(string_split(text, chr(10))) AS INT) AS lines,
+ CAST(len(regexp_extract_all(text, 'private \$\w+;')) AS INT) AS fields, CAST(len(regexp_extract_all(text, 'function get\w+')) AS INT) AS getters,
+ CASE WHEN contains(text, 'private $id;') AND regexp_matches(split_part(text, 'private $id;', 1), '@primary sim') THEN '- `$id` → `id`' ELSE '' END
+ || CASE WHEN contains(text, 'private $other;') AND contains(text, '@primary true') THEN '- `$other`' ELSE '' END AS primaries FROM h"""
+)
+def model_reports(spark, sf_dir):
+    k = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    files = k.select(F.expr("'m' || k || '.php'").alias("path"), F.expr(MODEL).alias("text"))
+    r = layouts.model_reports(files, code.methods(files))
+    told = lambda name: F.regexp_extract("report", rf"- \*\*{name}:\*\* ([^\n]*)", 1)
+    part = F.regexp_extract("report", r"(?s)## Chave primária\n\n(.*?)\n\n## Campos", 1)
+    primaries = F.when(part.contains("Nenhum"), "").otherwise(F.regexp_replace(part, "\n", ""))
+    return r.select(
+        "name", F.regexp_extract("report", r"^# Model Analyzer - ([^\n]*)", 1).alias("title"), told("SGBD").alias("sgbd"), told("Tabela").alias("tabela"), told("Total de linhas").cast("int").alias("lines"),
+        told("Campos encontrados").cast("int").alias("fields"), told("Getters").cast("int").alias("getters"), primaries.alias("primaries"),
+    )

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import exploded
-from ..operators import anomaly, catalog, code, domain, profile, rules, sqltext, states, web
-from ..shared import stored
+from ..operators import anomaly, catalog, code, domain, profile, rules, sqltext, states, terms, web
+from ..shared import shared_folder, stored
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -251,6 +253,30 @@ def term_search(spark, sf_dir):
     return rules.search(docs, "tion", 1).withColumn("n_context", F.size("context")).drop("context")
 
 
+_WORDS = "t AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))) AS term FROM benchmark), w AS (SELECT term FROM t WHERE length(term) >= 6)"
+
+
+@query(f"""WITH {_WORDS}, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) + 1 AS line_no FROM documents)
+SELECT CAST(doc_id AS VARCHAR) AS path, CAST(line_no AS INT) AS line_no, count(*) AS n, min(term) AS first FROM l JOIN w ON contains(lower(line), term) GROUP BY doc_id, line_no""")
+def terms_search(spark, sf_dir):
+    words = exploded(table(spark, sf_dir, "benchmark"), F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), "w")
+    wanted = words.select(F.lower("w").alias("term")).where(F.length("term") >= 6)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    return terms.search_terms(docs, wanted).select("path", "line_no", F.size("terms").cast("long").alias("n"), F.col("terms")[0].alias("first"))
+
+
+_INDEXED = "license"
+
+
+@query(f"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), p AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i, len(ls) AS n FROM l)
+SELECT CAST(doc_id AS VARCHAR) AS path, CAST(i + 1 AS INT) AS line_no, line, CAST(least(i + 1, n - 1) - greatest(i - 1, 0) + 1 AS INT) AS n_context FROM p WHERE contains(lower(line), '{_INDEXED}')""")
+def indexed_search(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    index = terms.TermIndex(spark, f"{shared_folder(spark)}/terms-{uuid.uuid4().hex}", 16)
+    index.add(docs)
+    return index.search(_INDEXED, 1).withColumn("n_context", F.size("context")).drop("context")
+
+
 @query(f"WITH {_RULED} SELECT * FROM hits")
 def line_rules(spark, sf_dir):
     return rules.apply_rules(program_files(spark, sf_dir)).drop("matched_text")
