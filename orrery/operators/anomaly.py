@@ -193,22 +193,21 @@ def score(findings: DataFrame, by: list[str] | None = None) -> DataFrame:
     return findings.groupBy(*(by or [])).agg(F.coalesce(F.sum(weight), F.lit(0)).cast("long").alias("score"), F.count(F.lit(1)).alias("findings"))
 
 
-def radar(tables: Mapping[str, DataFrame], keys: Mapping[str, list[str]] | None = None, at_once: int = 8) -> DataFrame:
-    """table, ok, score, findings, error: tables by falling score, then name; those that can't be read come last.
+def judged(tables: Mapping[str, DataFrame], keys: Mapping[str, list[str]] | None = None, at_once: int = 8) -> list[tuple[str, list, str | None]]:
+    """name, findings (rows) and error of each table: by falling score, then name; those that can't be read come last.
 
-    Every table is a job of its own, ``at_once`` at a time, that brings one row to the driver. So a table that fails,
-    in planning or in a task that meets a broken file, becomes a row with its error, as one given as an exception does.
+    Every table is a job of its own, ``at_once`` at a time, that brings its findings to the driver: a few rows a column. So a
+    table that fails, in planning or in a task that meets a broken file, becomes a row with its error, as one given as
+    an exception does.
     """
-    spark = SparkSession.active()
 
-    def judge(name: str, df: DataFrame) -> tuple:
+    def judge(name: str, df: DataFrame) -> tuple[str, list, str | None]:
         try:
             if not isinstance(df, DataFrame):
                 raise df
-            row = score(detect(df, (keys or {}).get(name))).first()
-            return name, True, row["score"], row["findings"], None
+            return name, detect(df, (keys or {}).get(name)).collect(), None
         except (PySparkException, Py4JError, ValueError, OSError) as e:
-            return name, False, 0, 0, str(e)[:500]
+            return name, [], str(e)[:500]
 
     out: list[tuple] = []
 
@@ -221,5 +220,19 @@ def radar(tables: Mapping[str, DataFrame], keys: Mapping[str, list[str]] | None
         t.start()
     for t in threads:
         t.join()
-    rows = sorted(out, key=lambda r: (not r[1], -r[2], r[0]))
+    return sorted(out, key=lambda r: (r[2] is not None, -_weight(r[1]), r[0]))
+
+
+def _weight(findings: list) -> int:
+    return sum(WEIGHTS.get(f["kind"], 1) for f in findings)
+
+
+def radar(tables: Mapping[str, DataFrame], keys: Mapping[str, list[str]] | None = None, at_once: int = 8) -> DataFrame:
+    """table, ok, score, findings, error: tables by falling score, then name; those that can't be read come last."""
+    return ranking(SparkSession.active(), judged(tables, keys, at_once))
+
+
+def ranking(spark: SparkSession, told: list[tuple[str, list, str | None]]) -> DataFrame:
+    """The rows of ``radar`` from what ``judged`` says."""
+    rows = [(name, error is None, _weight(found), len(found), error) for name, found, error in told]
     return spark.createDataFrame(rows, "table string, ok boolean, score long, findings long, error string")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anomaly import detect, radar
+from .anomaly import FINDING, judged, ranking
 
 
 def _cell(value) -> str:
@@ -31,11 +31,10 @@ def document(title: str, sections: dict[str, DataFrame], most: int = 200) -> str
 
 
 def radar_report(tables: Mapping[str, DataFrame], most: int = 20, each: int = 10) -> str:
-    """The ranking of all tables, and of the first ``most`` with a score the first ``each`` findings."""
-    ranked = radar(tables)
-    top = [r["table"] for r in ranked.limit(most).collect() if r["ok"] and r["score"] > 0]
-    parts = [markdown(ranked, "Tables")]
-    parts += [markdown(detect(tables[t]), t, each).replace("## ", "### ", 1) for t in top]
+    """The ranking of all tables, and of the first ``most`` with a score the first ``each`` findings. Each table is judged once."""
+    spark, told = SparkSession.active(), judged(tables)
+    parts = [markdown(ranking(spark, told), "Tables")]
+    parts += [markdown(spark.createDataFrame(found, FINDING), name, each).replace("## ", "### ", 1) for name, found, _ in told[:most] if found]
     return "# Radar\n\n" + "\n".join(parts)
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import exploded
-from ..operators import domain
-from ..sources import embedded
-from .queries import query, table
+from ..operators import domain, reports, rules
+from ..shared import shared_folder
+from ..sources import embedded, readers
+from .queries import _RULED, program_files, query, table
 
 # A GraphML document a nation: a node for each supplier, of which some lack a label or an id, and an edge to the next, of
 # which some lack an id. Both engines build its parts by these expressions.
@@ -94,3 +97,32 @@ def merged_relations(spark, sf_dir):
 SELECT k AS key, CAST(pos AS INT) AS pos, trim(v ->> '$') AS rule FROM u WHERE trim(v ->> '$') <> ''""")
 def map_rules(spark, sf_dir):
     return embedded.map_rules(map_texts(spark, sf_dir), "k", "text")
+
+
+def _folder(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("""WITH p AS (SELECT page_id % 40 AS part, html FROM pages) SELECT part, CAST(sum(strlen(html) + 1) AS BIGINT) AS bytes, CAST(sum(len(string_split(html, chr(10)))) AS BIGINT) AS lines,
+ CAST(sum(length(html) + 1) AS BIGINT) AS letters FROM p WHERE part <> 7 GROUP BY part""")
+def files_read(spark, sf_dir):
+    folder = _folder(spark, "pages")
+    parts = table(spark, sf_dir, "pages").select((F.col("page_id") % 40).alias("part"), "html")
+    parts.repartition("part").write.partitionBy("part").text(folder)
+    found = readers.files(spark, folder, "*.txt", ("part=7",))
+    part = F.regexp_extract("path", r"/part=(\d+)/", 1).cast("long").alias("part")
+    return found.groupBy(part).agg(F.sum("length").alias("bytes"), F.sum(F.size(F.split("text", "\n")) - 1).cast("long").alias("lines"), F.sum(F.length("text")).cast("long").alias("letters"))
+
+
+@query("SELECT n_nationkey, n_name, upper(n_name) AS shown FROM nation ORDER BY n_nationkey LIMIT 12")
+def loaded_query(spark, sf_dir):
+    view = f"nation_{uuid.uuid4().hex}"
+    table(spark, sf_dir, "nation").createOrReplaceTempView(view)
+    return readers.load(spark, query=f' "SELECT TOP 12 n_nationkey, n_name, upper(n_name) AS shown FROM {view} ORDER BY n_nationkey ;; " ')
+
+
+@query(f"WITH {_RULED} SELECT severity, rule_id, count(*) AS findings FROM hits GROUP BY severity, rule_id")
+def written_findings(spark, sf_dir):
+    folder = _folder(spark, "findings")
+    reports.write_findings(rules.apply_rules(program_files(spark, sf_dir)), folder)
+    return spark.read.parquet(folder).groupBy("severity", "rule_id").agg(F.count(F.lit(1)).alias("findings"))
