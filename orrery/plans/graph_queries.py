@@ -151,17 +151,28 @@ def relation_cross(spark, sf_dir):
     return domain.adherence(domain.cross_relations(x, have, inferred)).join(inferred.agg(F.count(F.lit(1)).alias("inferred")))
 
 
-_RULE = "CASE k % 5 WHEN 0 THEN 'Estrutura programática por 4 anos' WHEN 1 THEN 'Detalhamento financeiro e fontes de recurso' WHEN 2 THEN 'Indicadores' WHEN 3 THEN 'Regionalização territorial' ELSE 'Nada' END || ' ' || k"
-
-
-@query(f"""WITH r AS (SELECT {_RULE} AS rule, k % 5 AS m FROM (SELECT r_regionkey AS k FROM region)),
-c AS (SELECT rule, CASE m WHEN 0 THEN 1 + 1 + 1 WHEN 1 THEN 1 + 2 WHEN 2 THEN 1 WHEN 3 THEN 1 + 1 ELSE 0 END AS n FROM r) SELECT rule, CAST(n AS INT) AS evidence, CASE WHEN n >= 3 THEN 'alta' WHEN n >= 1 THEN 'média' ELSE 'baixa' END AS confidence FROM c""")
+_RULE = "CASE k % 7 WHEN 0 THEN 'Estrutura programática por 4 anos' WHEN 1 THEN 'Detalhamento financeiro e fontes de recurso' WHEN 2 THEN 'Indicadores' WHEN 3 THEN 'Regionalização territorial' WHEN 4 THEN 'Os objetivos pertencem a programas' WHEN 5 THEN 'Metas detalham os objetivos' ELSE 'Nada' END || ' ' || k"
+# Names of entities and relationships that a fifth and a seventh of the suppliers each give.
+_NAMES = "CASE k % 9 WHEN 0 THEN ' Programa' WHEN 1 THEN 'programaobjetivo' WHEN 2 THEN 'ACAO' WHEN 3 THEN 'acaofonte' WHEN 4 THEN 'indicador' WHEN 5 THEN 'acaoregiao' ELSE 'other' || k END"
+_ENDS = "CASE k % 5 WHEN 0 THEN 'acao' WHEN 1 THEN 'ProgramaObjetivo' WHEN 2 THEN 'acaoregiao' ELSE 'x' END", "CASE k % 5 WHEN 0 THEN 'programa ' WHEN 1 THEN 'programa' WHEN 2 THEN 'acao' ELSE 'y' END"
+
+
+@query(f"""WITH {_ENTITIES}, r AS (SELECT {_RULE} AS rule FROM (SELECT p_partkey AS k FROM part)),
+have AS (SELECT DISTINCT unnest(CASE odd WHEN 0 THEN ['temporal_signals', 'status_signals'] ELSE ['financial_signals'] END) AS name FROM e
+ UNION SELECT lower(trim({_NAMES})) FROM (SELECT s_suppkey AS k FROM supplier) UNION SELECT lower(trim({_ENDS[0]})) || ' → ' || lower(trim({_ENDS[1]})) FROM (SELECT s_suppkey AS k FROM supplier)),
+told(words, needs) AS (VALUES ('4 anos|quadrien|ano|plurianual', ['temporal_signals']), ('valor|finance|fonte|revis|teto|orc', ['financial_signals']), ('valor|finance|fonte|revis|teto|orc', ['versioning_signals']), ('região|regional|município|territ', ['regional_signals']), ('status|situação|avali', ['status_signals']),
+ ('estrutura programática|programas, objetivos e ações', ['programa', 'programaobjetivo', 'acao']), ('estrutura programática|programas, objetivos e ações', ['acao → programa']), ('estrutura programática|programas, objetivos e ações', ['programaobjetivo → programa']),
+ ('direcionamento estratégico|diretrizes, programas', ['diretriz', 'diretriz_programa', 'programa']), ('detalhamento financeiro|fontes de recurso', ['acaofonte']), ('detalhamento financeiro|fontes de recurso', ['despesateto']), ('detalhamento financeiro|fontes de recurso', ['tetoorgao']),
+ ('metas associadas|monitoramento', ['acaometa']), ('indicadores|medição de desempenho', ['indicador']), ('indicadores|medição de desempenho', ['indicador → programa']), ('regionalização|territorial', ['acaoregiao']), ('regionalização|territorial', ['acaoregiao → acao']),
+ ('ação está semanticamente vinculada ao programa', ['acao', 'programa']), ('objetivos pertencem a programas', ['programaobjetivo', 'programa']), ('objetivos pertencem a programas', ['programaobjetivo → programa']), ('metas detalham os objetivos', ['programaobjetivometa', 'programaobjetivo'])),
+h AS (SELECT list(name) AS names FROM have), met AS (SELECT words, needs FROM told, h WHERE len(list_filter(needs, lambda x: NOT list_contains(names, x))) = 0),
+c AS (SELECT rule, count(needs) AS n FROM r LEFT JOIN met ON regexp_matches(lower(rule), words) GROUP BY rule)
+SELECT rule, CAST(n AS INT) AS evidence, CASE WHEN n >= 3 THEN 'alta' WHEN n >= 1 THEN 'média' ELSE 'baixa' END AS confidence FROM c""")
 def rule_evidence(spark, sf_dir):
-    text = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k")).select(F.expr(_RULE).alias("rule"))
-    signals = spark.createDataFrame([("temporal_signals", ["a"]), ("financial_signals", ["b"]), ("regional_signals", ["c"]), ("status_signals", [])], "signal string, entities array<string>")
-    names = spark.createDataFrame([(n,) for n in ("Programa", "programaobjetivo", "acao", "acaofonte", "tetoorgao", "indicador")], "name string")
-    links = spark.createDataFrame([("acao", "programa"), ("acaoregiao", "acao")], "source string, target string")
-    return domain.rule_evidence(text, signals, names, links).withColumn("evidence", F.size("evidence"))
+    text = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")).select(F.expr(_RULE).alias("rule"))
+    k = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+    names, links = k.select(F.expr(_NAMES).alias("name")), k.select(F.expr(_ENDS[0]).alias("source"), F.expr(_ENDS[1]).alias("target"))
+    return domain.rule_evidence(text, domain.signals(_entities(spark, sf_dir)), names, links).withColumn("evidence", F.size("evidence"))
 
 
 @query("""WITH d AS (SELECT p_partkey AS k, 'd' || p_partkey AS domain FROM part), x AS (SELECT k, domain, k % 2 = 0 AS s, k % 3 <> 0 AS m, k % 4 <> 0 AS c, k % 5 <> 0 AS i, CASE WHEN k % 4 <> 0 THEN CAST(60 + k % 41 AS DOUBLE) END AS e, CASE WHEN k % 4 <> 0 THEN CAST(40 + k % 61 AS DOUBLE) END AS r, CASE WHEN k % 4 <> 0 THEN k % 3 ELSE 0 END AS n FROM d)

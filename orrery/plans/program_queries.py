@@ -261,3 +261,25 @@ def model_reports(spark, sf_dir):
         "name", F.regexp_extract("report", r"^# Model Analyzer - ([^\n]*)", 1).alias("title"), told("SGBD").alias("sgbd"), told("Tabela").alias("tabela"), told("Total de linhas").cast("int").alias("lines"),
         told("Campos encontrados").cast("int").alias("fields"), told("Getters").cast("int").alias("getters"), primaries.alias("primaries"),
     )
+
+
+# Included files with all that their summary tells.
+INCLUDED = lines_of_text(
+    "'<?php class Inc' || k || ' { } function f' || (k % 3) || '() { } function g() { } include \"a' || (k % 4) || '.php\"; ?>'",
+    "'<link rel=\"x\" href=\"c' || (k % 5) || '.css\"><script src=\"s' || (k % 2) || '.js\"></script><b>x</b>'",
+    "'<script>fetch(\"u' || (k % 6) || '?action=Ped.lista&z=1\"); $.post(\"p' || (k % 7) || '.php\"); new XMLHttpRequest(); fetch(\"v\");</script>'",
+)
+
+
+@query(
+    f"WITH f AS (SELECT 'i' || k AS path, {INCLUDED} AS text FROM (SELECT p_partkey AS k FROM part))"
+    + r""" SELECT path, array_to_string(list_distinct(regexp_extract_all(text, 'function (\w+)\(', 1)), ',') LIKE '%g%' AS has_g, len(regexp_extract_all(text, 'function \w+\(')) AS functions, regexp_extract(text, 'class (\w+)', 1) AS classes, regexp_extract(text, 'src="([^"]*)"', 1) AS scripts,
+ regexp_extract(text, 'href="([^"]*)"', 1) AS styles, regexp_extract(text, 'include "([^"]*)"', 1) AS includes, CAST(len(regexp_extract_all(text, '<[a-z]\w*\b')) AS INT) AS tags, len(regexp_extract_all(text, 'fetch\(')) AS fetches, len(regexp_extract_all(text, '\$\.post\(')) AS posts,
+ regexp_extract(text, 'action=([\w.&=]+)', 1) || ',' || regexp_extract(text, 'post\("([^"]*)"', 1) || ',' || array_to_string(regexp_extract_all(text, 'fetch\("([^"]*)"', 1), ',') AS endpoints, regexp_extract(text, 'action=(\w+\.\w+)', 1) AS actions FROM f"""
+)
+def page_summaries(spark, sf_dir):
+    k = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    s = k.select(F.expr("'i' || k").alias("path"), web.page_summary(F.expr(INCLUDED)).alias("s")).select("path", "s.*")
+    listed = [F.array_join(c, ",").alias(c) for c in ("classes", "scripts", "styles", "includes", "endpoints", "actions")]
+    calls = [F.element_at("ajax", name).cast("long").alias(c) for name, c in (("fetch", "fetches"), ("$.post", "posts"))]
+    return s.select("path", F.array_contains("functions", "g").alias("has_g"), F.size("functions").cast("long").alias("functions"), *listed, "tags", *calls)

@@ -282,6 +282,15 @@ def line_rules(spark, sf_dir):
     return rules.apply_rules(program_files(spark, sf_dir)).drop("matched_text")
 
 
+@query(f"""WITH {_RULED}, t(rule_id, title, message) AS (VALUES ('debug_var_dump', 'Uso de var_dump', 'Uso de var_dump encontrado no código.'), ('debug_print_r', 'Uso de print_r', 'Uso de print_r encontrado no código.'),
+ ('debug_die_exit', 'Uso de die/exit', 'Uso de die/exit encontrado no código.'), ('hardcoded_login_session', 'Login hardcoded em sessão', 'Comparação direta de login em sessão encontrada.'), ('invalid_superglobal_session', 'Superglobal inválida $SESSION', 'Uso de $SESSION encontrado. O correto provavelmente é $_SESSION.'),
+ ('invalid_superglobal_generic', 'Superglobal inválida', 'Uso de superglobal sem underscore encontrado.'), ('direct_request_usage', 'Uso direto de $_REQUEST', 'Uso direto de $_REQUEST encontrado.'), ('suspicious_comment', 'Comentário suspeito', 'Comentário suspeito encontrado.'), ('sql_inline', 'SQL inline', 'Possível SQL inline encontrado.'))
+SELECT title, message, severity, category, count(*) AS findings FROM hits JOIN t USING (rule_id) GROUP BY ALL""")
+def rule_messages(spark, sf_dir):
+    found = rules.apply_rules(program_files(spark, sf_dir)).groupBy("rule_id", "severity", "category").agg(F.count(F.lit(1)).alias("findings"))
+    return found.join(rules.rule_texts(spark), "rule_id").drop("rule_id")
+
+
 @query(f"WITH {_RULED} SELECT 'severity' AS dimension, severity AS value, count(*) AS findings FROM hits GROUP BY severity UNION ALL SELECT 'category', category, count(*) FROM hits GROUP BY category")
 def rule_rollup(spark, sf_dir):
     return rules.findings_rollup(rules.apply_rules(program_files(spark, sf_dir)))
