@@ -154,6 +154,13 @@ def _line(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, floa
     return float(w[0] / scale), float(w[1] - w[0] * middle / scale)
 
 
+def gradients(bags: _Sparse, subs: _Sparse, hidden: np.ndarray, logits: np.ndarray, softmax: np.ndarray, onehot: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+    """Of the weighted cross entropy by subword vectors, softmax and offset together; hidden and logits are the forward pass."""
+    p = np.exp(logits - logits.max(1, keepdims=True))
+    error = (p / p.sum(1, keepdims=True) - onehot) * weight
+    return [subs.back(bags.back(error @ softmax.T)), hidden.T @ error, error.sum(0)]
+
+
 def train(texts: list[str], toxic: list[int], share: float, dimensions: int = 4, steps: int = 40, rate: float = 0.5, decay: float = 1e-3, floor: float = 0.03, seed: int = 0) -> SubwordClassifier:
     """Fit subword vectors and the softmax together, by Adam on the segments of three quarters of the texts.
 
@@ -226,10 +233,9 @@ def train(texts: list[str], toxic: list[int], share: float, dimensions: int = 4,
             part = np.exp((odds_of - np.maximum.reduceat(odds_of, starts)[document]) / 2)
             part *= (np.minimum(sizes, MOST_WEIGHT) / np.add.reduceat(part, starts))[document]
             weight = np.where(y > 0, 0.5 * part / part[y > 0].sum(), 0.5 / totals[0]).astype(np.float32)[:, None]
-        p = np.exp(logits - logits.max(1, keepdims=True))
-        error = (p / p.sum(1, keepdims=True) - onehot) * weight
-        gradients = [subs.back(bags.back(error @ softmax.T)) + decay / len(kept) * (vectors - start), hidden.T @ error, error.sum(0)]
-        for x, g, m, v in zip(parameters, gradients, first, second, strict=True):
+        found = gradients(bags, subs, hidden, logits, softmax, onehot, weight)
+        found[0] += decay / len(kept) * (vectors - start)
+        for x, g, m, v in zip(parameters, found, first, second, strict=True):
             m += 0.1 * (g - m)
             v += 0.02 * (g * g - v)
             # subwords with little evidence move in proportion to it, not by a full step

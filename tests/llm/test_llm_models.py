@@ -167,3 +167,29 @@ def test_long_texts_and_cache(monkeypatch):
     monkeypatch.setattr(toxicity, "CACHE", 10)
     model.known.clear()
     assert np.allclose(model.scores([long, long + " zzqx"]), before) and before[1] > before[0]
+
+
+def test_joint_gradient_equals_finite_differences():
+    rng = np.random.default_rng(4)
+    # 6 segments of 5 words, words of 7 subwords: weights of either bag are arbitrary
+    bags_, subs_ = (rng.random(size) * (rng.random(size) < 0.6) for size in ((6, 5), (5, 7)))
+    sparse = lambda a: toxicity._Sparse(*np.nonzero(a), a[np.nonzero(a)], a.shape)
+    bags, subs = sparse(bags_), sparse(subs_)
+    parameters = [rng.normal(size=(7, 3)), rng.normal(size=(3, 2)), rng.normal(size=2)]
+    onehot, weight = np.eye(2)[rng.integers(2, size=6)], rng.random((6, 1))
+
+    def loss(vectors, softmax, offset):
+        logits = bags_ @ (subs_ @ vectors) @ softmax + offset
+        return float((weight * onehot * (np.log(np.exp(logits).sum(1, keepdims=True)) - logits)).sum())
+
+    hidden = bags @ (subs @ parameters[0])
+    assert np.allclose(hidden, bags_ @ (subs_ @ parameters[0]))
+    found = toxicity.gradients(bags, subs, hidden, hidden @ parameters[1] + parameters[2], parameters[1], onehot, weight)
+    for x, gradient in zip(parameters, found, strict=True):
+        for at in np.ndindex(x.shape):
+            kept, sides = x[at], []
+            for step in (1e-5, -1e-5):
+                x[at] = kept + step
+                sides.append(loss(*parameters))
+            x[at] = kept
+            assert abs((sides[0] - sides[1]) / 2e-5 - gradient[at]) < 1e-6
