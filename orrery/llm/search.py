@@ -18,7 +18,9 @@ NEAREST = 20
 #: Vectors that the centroids are fitted on, and queries among them that the depth of search is set by.
 SAMPLE = 20_000
 CALIBRATION = 200
-CENTROIDS = 16
+#: Centroids of a half at least and at most; there are more as soon as a cell would hold more than ``CELL`` entries on average.
+CENTROIDS, MOST_CENTROIDS = 16, 256
+CELL = 65_536
 TARGET = 0.95
 #: Entries and queries of a block that is compared in one go.
 BLOCK = 4096
@@ -98,6 +100,14 @@ class MultiIndex:
         return out
 
 
+def centroids_for(count: int) -> int:
+    """Centroids of each half for so many entries."""
+    k = CENTROIDS
+    while k < MOST_CENTROIDS and count > k * k * CELL:
+        k *= 2
+    return k
+
+
 def fit_index(vectors: DataFrame, sample: int = SAMPLE, **options) -> MultiIndex | None:
     """Fit on about ``sample`` vectors, those with the least hash of vec_id; None if there are none."""
     count = vectors.count()
@@ -108,7 +118,7 @@ def fit_index(vectors: DataFrame, sample: int = SAMPLE, **options) -> MultiIndex
     found = matrix(some.select("embedding").toArrow().column("embedding"))
     if not len(found):
         found = matrix(vectors.limit(sample).select("embedding").toArrow().column("embedding"))
-    return MultiIndex(found, **options)
+    return MultiIndex(found, **{"centroids": centroids_for(count)} | options)
 
 
 def nearest_neighbours(embeddings: DataFrame, queries: DataFrame, nearest: int = NEAREST, index: MultiIndex | None = None) -> DataFrame:
@@ -171,12 +181,13 @@ def _search(entries: DataFrame, asked: DataFrame, nearest: int, index: MultiInde
     # a group is a block of a cell's entries with a block of the queries that visit the cell
     visits = checkpointed(asked.mapInArrow(visit, "vec_id long, mark long, cell int"))
     visitors = visits.groupBy("cell").count().withColumn("shares", F.ceil(F.col("count") / BLOCK).cast("int")).select("cell", "shares")
-    blocks = F.array(*(F.lit(int(p)) for p in parts))
+    # a row a cell, of which there are at most MOST_CENTROIDS squared
+    visitors = visitors.join(F.broadcast(spark.createDataFrame([(c, int(p)) for c, p in enumerate(parts)], "cell int, blocks int")), "cell")
     here = visits.join(asked, ["vec_id", "mark"]).join(visitors, "cell").select(
-        "cell", F.explode(F.sequence(F.lit(0), F.element_at(blocks, F.col("cell") + 1) - 1)).alias("part"), F.pmod(F.xxhash64("vec_id", "mark"), "shares").cast("int").alias("share"), "vec_id", "embedding", F.lit(True).alias("asks")
+        "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.pmod(F.xxhash64("vec_id", "mark"), "shares").cast("int").alias("share"), "vec_id", "embedding", F.lit(True).alias("asks")
     )
     there = celled.join(visitors, "cell").select(
-        "cell", F.pmod(F.xxhash64("vec_id", "place"), F.element_at(blocks, F.col("cell") + 1)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "vec_id", "embedding", F.lit(False).alias("asks")
+        "cell", F.pmod(F.xxhash64("vec_id", "place"), "blocks").cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "vec_id", "embedding", F.lit(False).alias("asks")
     )
     together = here.unionByName(there)
 

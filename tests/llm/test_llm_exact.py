@@ -455,6 +455,20 @@ def test_search(spark, monkeypatch):
     assert search.nearest_neighbours(few.where("vec_id = 0"), few.where("vec_id = 0")).count() == 0
 
 
+def test_centroids_follow_the_table(spark, monkeypatch):
+    assert [search.centroids_for(n) for n in (0, 16_777_216, 16_777_217, 10**12)] == [16, 16, 32, 256]
+    monkeypatch.setattr(search, "CELL", 1)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = search.nearest_neighbours(df, df.where("vec_id % 50 = 0"), 10).collect()
+    found = {(r["query_id"], r["vec_id"]) for r in got}
+    score = x[::50] @ x.T
+    score[np.arange(60), np.arange(0, 3000, 50)] = -np.inf
+    true = {(50 * q, int(v)) for q, row in enumerate(score) for v in np.argsort(-row)[:10]}
+    assert len(got) == 600 and len(true & found) >= 0.9 * len(true)
+
+
 def test_multi_sequence_order():
     rng = np.random.default_rng(2)
     index = search.MultiIndex(rng.normal(size=(500, 8)), centroids=9)
