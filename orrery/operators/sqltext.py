@@ -139,10 +139,24 @@ def statements(sql: Column, verb: str, strict: bool = False) -> Column:
 
     strict: the text is taken as it is, without a look at what is quoted; comments are to be taken out before.
     """
-    folded = lambda s: F.upper(F.regexp_replace(s, r"\s+", " "))
     if strict:
-        return first_by(_split(sql, verb), folded)
-    return let(tokens(sql), lambda words: first_by(F.transform(_split(masked(words), verb), lambda s: restored(s, words)), folded))
+        return first_by(_split(sql, verb), _folded)
+    return let(tokens(sql), lambda words: first_by(F.transform(_split(masked(words), verb), lambda s: restored(s, words)), _folded))
+
+
+def _folded(statement: Column) -> Column:
+    return F.upper(F.regexp_replace(statement, r"\s+", " "))
+
+
+def all_statements(sql: Column) -> Column:
+    """verb, statement of the statements of all verbs, as ``statements`` has them; the text is read as tokens once."""
+    kind = "array<struct<verb:string,statement:string>>"
+
+    def of(verb: str, text: Column, words: Column) -> Column:
+        each = first_by(F.transform(_split(text, verb), lambda s: restored(s, words)), _folded)
+        return F.transform(each, lambda s: F.struct(F.lit(verb).alias("verb"), s.alias("statement"))).cast(kind)
+
+    return let(tokens(sql), lambda words: let(masked(words), lambda text: F.concat(*(of(v, text, words) for v in VERBS))))
 
 
 def classify(ops: Column) -> Column:

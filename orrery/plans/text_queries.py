@@ -143,9 +143,7 @@ r AS (SELECT id, upper(regexp_extract(piece, '^\\w+')) AS verb, trim(regexp_repl
   lambda x: CASE WHEN regexp_full_match(x, '[''"\\[]\\d+[''"\\]]') THEN words[CAST(regexp_extract(x, '\\d+') AS INT) + 1] ELSE x END), ''), '[ \\t]+\\n', chr(10), 'g'), ' ' || chr(10)) AS statement FROM p)
 SELECT id, verb, min(statement) AS statement, upper(regexp_replace(statement, '\\s+', ' ', 'g')) AS folded FROM r WHERE list_contains({_VERBS}, verb) GROUP BY id, verb, folded""")
 def sql_statements(spark, sf_dir):
-    kept = "array<struct<verb:string,statement:string>>"
-    named = lambda v: F.transform(sqltext.statements(F.col("sql"), v), lambda s: F.struct(F.lit(v).alias("verb"), s.alias("statement"))).cast(kept)
-    rows = exploded(quoted_sqls(spark, sf_dir), F.concat(*map(named, sqltext.VERBS)), "s", "id").select("id", "s.*")
+    rows = exploded(quoted_sqls(spark, sf_dir), sqltext.all_statements(F.col("sql")), "s", "id").select("id", "s.*")
     return rows.withColumn("folded", F.upper(F.regexp_replace("statement", r"\s+", " ")))
 
 
@@ -325,7 +323,8 @@ def suspect_sql(spark, sf_dir):
     return web.sql_lines(files)
 
 
-_LARGE = "repeat('x' || chr(10), CAST(1990 + k % 21 AS INT)) || '$u == \"admin\"'"
+# A fiftieth of the files have about as many lines as make a file large.
+_LARGE = "repeat('x' || chr(10), CAST(CASE WHEN k % 50 = 0 THEN 1998 + floor(k / 50) % 5 ELSE k % 9 END AS INT)) || '$u == \"admin\"'"
 
 
 @query(f"""WITH f AS (SELECT 'big' || k AS path, {_LARGE} AS text FROM (SELECT p_partkey AS k FROM part)), n AS (SELECT path, len(string_split(text, chr(10))) AS n FROM f)
