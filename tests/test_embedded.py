@@ -1,7 +1,7 @@
 """Graphs and maps in text columns, awkward ones too."""
 
 from orrery.sources import embedded, readers
-from tests.test_sources_reports import GRAPH
+from test_sources_reports import GRAPH
 
 
 def test_graphs_equal_those_of_files(spark, tmp_path):
