@@ -134,7 +134,7 @@ def facade_reports(records: DataFrame, files: DataFrame) -> DataFrame:
         ]
     )
     report = page(
-        F.concat(F.lit("Fachada Analyzer - "), F.coalesce("class", F.lit("Classe não identificada"))), section("Resumo", summary),
+        F.concat(F.lit("Análise de Fachada: "), F.coalesce("class", F.lit("Classe não identificada"))), section("Resumo", summary),
         section("Pontos de atenção", lines_or(F.transform("warnings", lambda w: F.concat(F.lit("- "), w)), "- Nenhum ponto de atenção automático foi identificado.")),
         section("Métodos públicos", lines_or(shown, "- Nenhum método público encontrado.")), section("Dependências", bullets(F.col("dependencies"), "- Nenhuma dependência identificada.")),
         section("Tabelas envolvidas", bullets(F.col("tables"), "- Nenhuma tabela identificada.")), section("Métodos com SQL", lines_or(with_sql, "- Nenhum método com SQL detectado.")),
@@ -167,7 +167,7 @@ def model_reports(files: DataFrame, found_methods: DataFrame) -> DataFrame:
         ]
     )
     report = page(
-        F.concat(F.lit("Model Analyzer - "), F.coalesce("class", F.lit("Classe não identificada"))), section("Resumo", summary),
+        F.concat(F.lit("Análise de Model: "), F.coalesce("class", F.lit("Classe não identificada"))), section("Resumo", summary),
         section("Pontos de atenção", lines_or(F.transform(F.coalesce("warnings", none), lambda w: F.concat(F.lit("- "), w)), "- Nenhum ponto de atenção automático foi identificado.")),
         section("Chave primária", lines_or(F.transform(F.filter(own, lambda f: f["primary"]), named), "- Nenhum campo primário identificado.")), section("Campos", lines_or(F.transform(own, typed), "- Nenhum campo identificado.")),
         section("Getters", bullets(called("getters"), "- Nenhum getter identificado.")), section("Setters", bullets(called("setters"), "- Nenhum setter identificado.")),

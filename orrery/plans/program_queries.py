@@ -258,7 +258,7 @@ def model_reports(spark, sf_dir):
     part = F.regexp_extract("report", r"(?s)## Chave primária\n\n(.*?)\n\n## Campos", 1)
     primaries = F.when(part.contains("Nenhum"), "").otherwise(F.regexp_replace(part, "\n", ""))
     return r.select(
-        "name", F.regexp_extract("report", r"^# Model Analyzer - ([^\n]*)", 1).alias("title"), told("SGBD").alias("sgbd"), told("Tabela").alias("tabela"), told("Total de linhas").cast("int").alias("lines"),
+        "name", F.regexp_extract("report", r"^# Análise de Model: ([^\n]*)", 1).alias("title"), told("SGBD").alias("sgbd"), told("Tabela").alias("tabela"), told("Total de linhas").cast("int").alias("lines"),
         told("Campos encontrados").cast("int").alias("fields"), told("Getters").cast("int").alias("getters"), primaries.alias("primaries"),
     )
 

@@ -94,7 +94,7 @@ DELETE FROM b
 ```
 """
 
-FACADE = """# Fachada Analyzer - K
+FACADE = """# Análise de Fachada: K
 
 ## Resumo
 
@@ -127,7 +127,7 @@ FACADE = """# Fachada Analyzer - K
 - `go` — 1 bloco(s) SQL, 1 tabela(s) detectada(s)
 """
 
-MODEL = """# Model Analyzer - M
+MODEL = """# Análise de Model: M
 
 ## Resumo
 
