@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import exploded
 from ..operators import closure, code, layouts, web
 from ..shared import stored
-from .queries import query, table
+from .queries import part_keys, query, table
 from .text_queries import lines_of_text
 
 _HALF = "CAST(floor(k / 10) AS INT)"
@@ -55,7 +55,7 @@ SELECT start, node, CAST(min(level) AS INT) AS level FROM r GROUP BY start, node
 
 
 def lib_files(spark, sf_dir) -> DataFrame:
-    k = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    k = part_keys(spark, sf_dir)
     return k.select(F.expr("'lib/m' || k || '.php'").alias("path"), F.expr(LIB).alias("text"))
 
 
