@@ -199,7 +199,7 @@ _SCRIPTS = f"p AS (SELECT k, {SCRIPT} AS html FROM (SELECT p_partkey AS k FROM p
 
 
 def script_pages(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")).select("k", F.expr(SCRIPT).alias("html"))
+    return part_keys(spark, sf_dir).select("k", F.expr(SCRIPT).alias("html"))
 
 
 @query(
