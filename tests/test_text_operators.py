@@ -146,6 +146,23 @@ def test_code_model(spark):
     }
 
 
+def test_model_fields_are_made_within_a_file(spark):
+    doc = lambda name: f"/** @label {name} */"
+    lines = ["<?php", doc("far"), "", doc("two"), "", "private $two;", "private $none;", doc("a") + " " + doc("b"), "public $last;", "/**", " * @var int", " */", "protected $long;", doc("own") + " private $same;"]
+    rows = [("a.php", "\n".join(lines)), ("null", None), ("empty", ""), ("bare", "private $x;"), ("two.php", doc("one") + "\nprivate $y;")]
+    df = code.model_fields(spark.createDataFrame(rows, "path string, text string"))
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {(r["path"], r["visibility"], r["name"], r["line"]): (r["annotations"].get("label"), r["type"], r["documented"]) for r in df.collect()}
+    assert got == {
+        ("a.php", "private", "two", 6): ("two", None, True),
+        ("a.php", "private", "none", 7): (None, None, False),
+        ("a.php", "public", "last", 9): ("b", None, True),
+        ("a.php", "protected", "long", 13): (None, "int", True),
+        ("bare", "private", "x", 1): (None, None, False),
+        ("two.php", "private", "y", 2): ("one", None, True),
+    }
+
+
 def test_catalog_and_domain(spark):
     assert one(spark, lambda c: catalog.split_name(c)["name"], "[a].[b.c]") == "b.c"
     assert one(spark, lambda c: catalog.format_type(c, F.lit(-1), F.lit(None).cast("int"), F.lit(None).cast("int")), "VARCHAR") == "varchar(max)"
