@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import exploded
 from ..operators import closure, code, layouts, web
 from ..shared import stored
-from .queries import part_keys, query, table
+from .queries import part_keys, query
 from .text_queries import lines_of_text
 
 _HALF = "CAST(floor(k / 10) AS INT)"
@@ -178,7 +178,7 @@ UNION ALL SELECT path, unnest(list_filter([CASE WHEN NOT has_class THEN 'Classe
   CASE WHEN contains(text, 'function run') THEN 'Nenhum getter/setter foi identificado no model.' END, CASE WHEN autos > 1 THEN autos || ' campos marcados como auto-increment foram encontrados.' END], lambda x: x IS NOT NULL)) FROM t"""
 )
 def model_warnings(spark, sf_dir):
-    k = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    k = part_keys(spark, sf_dir)
     files = k.select(F.expr("'m' || k || '.php'").alias("path"), F.expr(MODEL).alias("text"))
     return code.model_warnings(code.model_fields(files), code.methods(files), files)
 
@@ -251,7 +251,7 @@ SELECT path AS name, coalesce(class, 'Classe não identificada') AS title, CASE
  || CASE WHEN contains(text, 'private $other;') AND contains(text, '@primary true') THEN '- `$other`' ELSE '' END AS primaries FROM h"""
 )
 def model_reports(spark, sf_dir):
-    k = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    k = part_keys(spark, sf_dir)
     files = k.select(F.expr("'m' || k || '.php'").alias("path"), F.expr(MODEL).alias("text"))
     r = layouts.model_reports(files, code.methods(files))
     told = lambda name: F.regexp_extract("report", rf"- \*\*{name}:\*\* ([^\n]*)", 1)

@@ -18,7 +18,7 @@ def test_rows_of_one_split_are_dealt_evenly(spark, tmp_path):
 
 
 @pytest.mark.parametrize("name", [
-    "dependency_tree", "include_targets", "embedded_sql", "flow_steps", "relevant_methods", "method_usage", "facade_methods", "analysis_inputs", "payload_keys", "large_files", "page_summaries", "page_elements", "clickables", "method_records", "facade_rollup", "js_objects",
+    "dependency_tree", "include_targets", "embedded_sql", "flow_steps", "relevant_methods", "method_usage", "facade_methods", "analysis_inputs", "payload_keys", "large_files", "page_summaries", "page_elements", "clickables", "method_records", "facade_rollup", "js_objects", "model_warnings", "model_reports",
 ])
 def test_tasks_follow_the_number_of_texts(spark, monkeypatch, name):
     monkeypatch.setattr(queries, "TEXTS_A_TASK", 20)
