@@ -7,6 +7,7 @@ import zlib
 from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from .rules import search
 #: Terms that one search takes; they are sent to every executor.
 MOST_TERMS = 100_000
 GRAM = 3
+#: Letters of texts whose trigrams a task of the index sorts at once; a longer text is taken by itself.
+LETTERS = 1 << 20
 _ENDS = re.compile(LINE_ENDS)
 _AUTOMATA: dict = {}
 
@@ -102,10 +105,33 @@ def _grams(text: str) -> set[str]:
     return {low[i : i + GRAM] for i in range(len(low) - GRAM + 1)}
 
 
+def posted(paths: list, texts: list[str], buckets: int) -> pa.RecordBatch:
+    """bucket, gram, paths: a row for each trigram of the texts, in lower case, with the paths that hold it.
+
+    All places are sorted by trigram at once, three letters of 21 bits in a number; those over the end of a text go.
+    """
+    letters = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int64), [len(t) for t in texts])
+    inside = owner[: max(0, len(owner) - 2)] == owner[2:]
+    keys = (letters[:-2] << 42 | letters[1:-1] << 21 | letters[2:])[inside]
+    order = np.argsort(keys, kind="stable")
+    keys, owner = keys[order], owner[: len(inside)][inside][order]
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    once = first.copy()
+    once[1:] |= owner[1:] != owner[:-1]
+    keys, owner, starts = keys[once], owner[once], np.flatnonzero(first[once])
+    told = keys[starts]
+    spelled = np.stack([told >> 42, told >> 21 & 0x1FFFFF, told & 0x1FFFFF], 1).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    grams = [spelled[i : i + GRAM] for i in range(0, len(spelled), GRAM)]
+    listed = pa.ListArray.from_arrays(pa.array(np.append(starts, len(keys)), pa.int32()), pa.array(paths, pa.string()).take(pa.array(owner)))
+    return pa.RecordBatch.from_arrays([pa.array([_bucket(g, buckets) for g in grams], pa.int32()), pa.array(grams, pa.string()), listed], ["bucket", "gram", "paths"])
+
+
 class TermIndex:
     """Postings of the trigrams of all files, and the files themselves, as Parquet under ``folder``.
 
-    ``postings`` has (gram, path) in folders by a hash of the gram, sorted by it; ``texts`` has (path, text) in folders by a hash of
+    ``postings`` has (gram, paths), a row for each trigram of some hundreds of files, in folders by a hash of the gram, sorted by it; ``texts`` has (path, text) in folders by a hash of
     the path. A search reads the folders of its term's trigrams, of these the row groups that can hold them, then the
     folders of the files that hold them all, and looks at their lines. A path names one file.
     """
@@ -118,14 +144,22 @@ class TermIndex:
         buckets = self.buckets
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            paths, texts, n = [], [], 0
             for batch in batches:
                 for path, text in zip(*batch.columns, strict=True):
-                    grams = sorted(_grams(text.as_py() or ""))
-                    yield pa.RecordBatch.from_arrays([pa.array([_bucket(g, buckets) for g in grams], pa.int32()), pa.array(grams, pa.string()), pa.array([path.as_py()] * len(grams), pa.string())], ["bucket", "gram", "path"])
+                    low = (text.as_py() or "").lower()
+                    if texts and n + len(low) > LETTERS:
+                        yield posted(paths, texts, buckets)
+                        paths, texts, n = [], [], 0
+                    paths.append(path.as_py())
+                    texts.append(low)
+                    n += len(low)
+            if texts:
+                yield posted(paths, texts, buckets)
 
         read = files.select(F.col("path").cast("string").alias("path"), "text")
-        postings = read.mapInArrow(run, "bucket int, gram string, path string")
-        postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "gram", "path").write.mode("append").partitionBy("bucket").parquet(f"{self.folder}/postings")
+        postings = read.mapInArrow(run, "bucket int, gram string, paths array<string>")
+        postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "gram").write.mode("append").partitionBy("bucket").parquet(f"{self.folder}/postings")
         shard = F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int")
         texts = read.withColumn("shard", shard)
         texts.hint("rebalance", "shard").sortWithinPartitions("shard", "path").write.mode("append").partitionBy("shard").parquet(f"{self.folder}/texts")
@@ -135,9 +169,9 @@ class TermIndex:
         grams = sorted(_grams(term))
         if not grams:
             return None
-        postings = self.spark.read.schema("gram string, path string, bucket int").parquet(f"{self.folder}/postings")
+        postings = self.spark.read.schema("gram string, paths array<string>, bucket int").parquet(f"{self.folder}/postings")
         wanted = postings.where(F.col("bucket").isin(sorted({_bucket(g, self.buckets) for g in grams})) & F.col("gram").isin(grams))
-        return wanted.groupBy("path").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(grams)).select("path")
+        return wanted.select("gram", F.explode("paths").alias("path")).groupBy("path").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(grams)).select("path")
 
     def texts(self, term: str) -> DataFrame:
         """path and text of the files that may hold the term; of the folders only those that have any are read."""

@@ -62,6 +62,23 @@ def test_index(spark, tmp_path):
     assert told(index.search("Alpha", 0, ignore_case=False)) == told(rules.search(files, "Alpha", 0, ignore_case=False))
 
 
+def test_postings_are_a_row_for_each_trigram_of_many_files(spark, tmp_path):
+    rows, files = corpus(spark, 120)
+    index = terms.TermIndex(spark, str(tmp_path / "i"), 4)
+    index.add(files.coalesce(1))
+    got = [(r["gram"], p) for r in spark.read.parquet(f"{index.folder}/postings").collect() for p in r["paths"]]
+    want = {(g, p) for p, text in rows for g in terms._grams(text or "")}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert spark.read.parquet(f"{index.folder}/postings").count() == len({g for g, _ in want})
+
+
+def test_postings_of_odd_texts():
+    for texts in ([""], ["ab"], ["", "abc", "", "bc", "a", "bcd"], ["x\U0010ffffy\x00z", "\U0010ffffy\x00"], ["aaaa"]):
+        got = [(g, p) for g, ps in zip(*(c.to_pylist() for c in terms.posted([str(i) for i in range(len(texts))], texts, 4).columns[1:])) for p in ps]
+        want = sorted((g, str(i)) for i, t in enumerate(texts) for g in terms._grams(t))
+        assert sorted(got) == want
+
+
 def test_a_search_reads_little_of_the_index(spark, tmp_path):
     rows = [(f"f{i}", f"common words {'needle in it' if i == 77 else 'and more'}\n" * 50) for i in range(400)]
     index = terms.TermIndex(spark, str(tmp_path / "i"), 16)
