@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import anomaly, catalog, domain, profile
-from .queries import _ENTITIES, _entities, query, table
+from .queries import _ENTITIES, _entities, part_keys, query, table
 
 
 @query("""WITH d AS (SELECT CAST(ts AS DATE) AS d FROM events) SELECT 'data_ref' AS "column", strftime(min(d), '%Y-%m-%d') || ' 00:00:00' AS first, strftime(max(d), '%Y-%m-%d') || ' 00:00:00' AS last FROM d""")
@@ -28,7 +28,7 @@ _COLUMNS = f"c AS (SELECT k, '[s' || (k % 2) || '].[t' || (k % 9) || ']' AS full
 
 
 def _catalog(spark, sf_dir) -> DataFrame:
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")).select("k", F.expr("'[s' || (k % 2) || '].[t' || (k % 9) || ']'").alias("full_name"))
+    rows = part_keys(spark, sf_dir).select("k", F.expr("'[s' || (k % 2) || '].[t' || (k % 9) || ']'").alias("full_name"))
     named = rows.withColumn("n", catalog.split_name(F.col("full_name")))
     return named.select(
         "k", F.col("n.schema").alias("TABLE_SCHEMA"), F.col("n.name").alias("TABLE_NAME"), F.expr("'c' || k").alias("COLUMN_NAME"), F.col("k").cast("int").alias("ORDINAL_POSITION"), F.expr(_TYPES).alias("DATA_TYPE"),
@@ -53,7 +53,7 @@ _KEY_NAMES = "CASE k % 8 WHEN 0 THEN 'cliente_ID' WHEN 1 THEN 'valor' WHEN 2 THE
 r AS (SELECT *, row_number() OVER (PARTITION BY "TABLE_SCHEMA", "TABLE_NAME" ORDER BY place) AS nth FROM c WHERE regexp_matches(lower(name), '_id$|ano|mes|exercicio|reg_|pro_|pa_|uno_'))
 SELECT "TABLE_SCHEMA", "TABLE_NAME", string_agg(name, ',' ORDER BY place) AS keys FROM r WHERE nth <= 8 GROUP BY ALL""")
 def key_suggestions(spark, sf_dir):
-    k = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    k = part_keys(spark, sf_dir)
     columns = k.select(F.expr("'s' || (k % 2)").alias("TABLE_SCHEMA"), F.expr("'t' || (k % 9)").alias("TABLE_NAME"), F.col("k").alias("ORDINAL_POSITION"), F.expr(_KEY_NAMES).alias("COLUMN_NAME"))
     return anomaly.key_suggestions(columns).withColumn("keys", F.array_join("keys", ","))
 
@@ -169,7 +169,7 @@ h AS (SELECT list(name) AS names FROM have), met AS (SELECT words, needs FROM to
 c AS (SELECT rule, count(needs) AS n FROM r LEFT JOIN met ON regexp_matches(lower(rule), words) GROUP BY rule)
 SELECT rule, CAST(n AS INT) AS evidence, CASE WHEN n >= 3 THEN 'alta' WHEN n >= 1 THEN 'média' ELSE 'baixa' END AS confidence FROM c""")
 def rule_evidence(spark, sf_dir):
-    text = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")).select(F.expr(_RULE).alias("rule"))
+    text = part_keys(spark, sf_dir).select(F.expr(_RULE).alias("rule"))
     k = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
     names, links = k.select(F.expr(_NAMES).alias("name")), k.select(F.expr(_ENDS[0]).alias("source"), F.expr(_ENDS[1]).alias("target"))
     return domain.rule_evidence(text, domain.signals(_entities(spark, sf_dir)), names, links).withColumn("evidence", F.size("evidence"))
@@ -199,6 +199,6 @@ a AS (SELECT k, q, regexp_extract(q, '^action=([^&]*)', 1) AS action FROM q) SEL
 def url_variants(spark, sf_dir):
     from ..operators import web
 
-    u = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")).select("k", web.parse_action_url(F.expr(_URLS)).alias("u"))
+    u = part_keys(spark, sf_dir).select("k", web.parse_action_url(F.expr(_URLS)).alias("u"))
     params = F.array_sort(F.transform("u.params", lambda p: F.concat(p["key"], F.lit("="), p["value"])))
     return u.select("k", "u.action", "u.class", "u.method", F.array_join(params, "&").alias("params"))

@@ -11,7 +11,7 @@ from ..functions.columns import exploded
 from ..operators import domain, reports, rules
 from ..shared import shared_folder
 from ..sources import embedded, readers
-from .queries import _RULED, program_files, query, table
+from .queries import _RULED, part_keys, program_files, query, table
 
 # A GraphML document a nation: a node for each supplier, of which some lack a label or an id, and an edge to the next, of
 # which some lack an id. Both engines build its parts by these expressions.
@@ -74,7 +74,7 @@ ent AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k, name ORDER B
 
 
 def map_texts(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")).select("k", F.expr(_MAP).alias("text"))
+    return part_keys(spark, sf_dir).select("k", F.expr(_MAP).alias("text"))
 
 
 @query(f"""WITH {_MAPS}, {_ENTITY} SELECT k AS key, name, CASE WHEN json_type(v) = 'OBJECT' THEN v ->> 'descricao' END AS descricao, CASE WHEN json_type(v) = 'OBJECT' THEN v ->> 'categoria' END AS categoria,
