@@ -115,7 +115,7 @@ SELECT path, kind, CAST(place AS INT) AS place, text, items FROM shown"""
 )
 def dependency_tree(spark, sf_dir):
     files = lib_files(spark, sf_dir)
-    records = stored(code.method_records(code.methods(files)))
+    records = stored(code.method_records(code.methods(files)).select(*code.TREE_COLUMNS))  # no body, and no more of it than the tree shows
     return exploded(code.dependency_tree(records, files), F.col("children"), "c", "path").select("path", "c.kind", "c.place", "c.text", F.array_join("c.items", "|").alias("items"))
 
 

@@ -146,6 +146,25 @@ def test_code_model(spark):
     }
 
 
+def test_embedded_sql_runs_each_pattern_over_the_text_once(spark):
+    texts = [None, "", '$q = "select 1 from t" ; $q .= " where a = 1"; run($q); query( $q ); prepare("exec p \\"x\\" (1)" );', '$a = "x"; $b = "SELECT\n{$c}"; exec("with a");']
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(sqltext.embedded_sql(F.col("text")).alias("s"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 4
+    got = [[(x["kind"], x["variable"], x["method"], x["sql"]) for x in r["s"]] for r in df.collect()]
+    whole = "select 1 from t\nwhere a = 1"
+    assert got[:2] == [[], []]
+    assert got[2] == [("variavel", "$q", None, whole), ("direto", None, "prepare", 'exec p \\"x\\" (1)'), ("variavel_em_chamada", "$q", "query", whole)]
+    assert got[3] == [("variavel", "$b", None, "SELECT\n:var"), ("direto", None, "exec", "with a")]
+
+
+def test_a_tree_needs_its_columns_only(spark):
+    files = spark.createDataFrame([("src/K.php", CODE)], "path string, text string")
+    records = code.method_records(code.methods(files, aware=True))
+    told = lambda r: sorted(map(str, code.dependency_tree(r, files).collect()))
+    assert told(records.select(*code.TREE_COLUMNS)) == told(records)
+
+
 def test_model_fields_are_made_within_a_file(spark):
     doc = lambda name: f"/** @label {name} */"
     lines = ["<?php", doc("far"), "", doc("two"), "", "private $two;", "private $none;", doc("a") + " " + doc("b"), "public $last;", "/**", " * @var int", " */", "protected $long;", doc("own") + " private $same;"]
